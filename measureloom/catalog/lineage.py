@@ -11,6 +11,7 @@ from measureloom.catalog.registry import CONTRACT, REVENUE, SALES, facts_sql, qu
 from measureloom.contract import FieldSpec, SchemaContract
 from measureloom.operators import lineage as k
 from measureloom.operators import reconcile as r
+from measureloom.operators.onerow import attach
 
 _CONTRACT = SchemaContract("one row per order line", (), {
     "revenue": FieldSpec(required=True, type="number", unit="currency", aggregation="sum")})
@@ -25,7 +26,7 @@ def k01(spark, d):
   count(*) = 0 AS same FROM lineitem""")
 def k01_change(spark, d):
     lines = table(spark, d, "lineitem")
-    both = k.schema_fingerprint(lines).crossJoin(k.schema_fingerprint(
+    both = attach(k.schema_fingerprint(lines), k.schema_fingerprint(
         lines.withColumn("note", F.lit(""))).withColumnRenamed("schema_sha256", "other"))
     return both.select(F.lit("lineitem").alias("left"), F.lit("lineitem_plus").alias("right"),
                        (F.col("schema_sha256") == F.col("other")).alias("same"))
@@ -45,15 +46,15 @@ def k02_order_free(spark, d):
         F.col("result_sha256").alias("reordered"))
     double = k.content_fingerprint(lines.unionByName(lines)).select(
         F.col("result_sha256").alias("doubled"))
-    return one.crossJoin(other).crossJoin(double).select(
+    return attach(one, other, double).select(
         "rows", (F.col("result_sha256") == F.col("reordered")).alias("same_when_reordered"),
         (F.col("result_sha256") == F.col("doubled")).alias("same_when_doubled"))
 
 
 @query("k03_semantic_fingerprint")
 def k03(spark, d):
-    return k.semantic_fingerprint(spark, CONTRACT, _CONTRACT).crossJoin(
-        k.content_fingerprint(table(spark, d, "lineitem")).select("rows"))
+    return attach(k.semantic_fingerprint(spark, CONTRACT, _CONTRACT),
+                  k.content_fingerprint(table(spark, d, "lineitem")).select("rows"))
 
 
 def _orders(spark, d, year):

@@ -12,6 +12,7 @@ from measureloom.functions import calendar as cal
 from measureloom.functions import cleaning, display, labels
 from measureloom.operators.aggregate import member_facts
 from measureloom.operators.compare import member_comparison
+from measureloom.operators.onerow import attach
 from measureloom.operators.scope import lock_frame
 
 
@@ -287,9 +288,9 @@ def locked_labels(spark, d):
         | F.col("o_orderdate").between(F.lit(lock.base_start), F.lit(lock.base_end))).agg(
         F.count(F.lit(1)).alias("orders"))
     frame = lock_frame(spark, H1)
-    return frame.select(
+    return attach(frame.select(
         cal.period_display(F.col("base_start"), F.col("granularity")).alias("baseline"),
         F.coalesce("label", cal.period_display(F.col("start"), F.col("granularity")))
-        .alias("current")).crossJoin(n)
+        .alias("current")), n)
 
 

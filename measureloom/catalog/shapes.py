@@ -13,6 +13,7 @@ from measureloom.catalog.registry import (
 from measureloom.operators import aggregate as a
 from measureloom.operators import compare as c
 from measureloom.operators import shape as g
+from measureloom.operators.onerow import attach
 
 _RANKED = """ranked AS (SELECT *, row_number() OVER (PARTITION BY measure_id, dimension
   ORDER BY in_current DESC, current DESC NULLS LAST, baseline DESC NULLS LAST, name) AS rank
@@ -121,7 +122,7 @@ SELECT name, {r4('v')} AS value, place = 1 AND n >= 3 AND v > 0
 def g07(spark, d):
     base = rows(spark, d, (REVENUE,), ("customer",))
     lead = base.agg(F.max_by("name", "current").alias("lead"))
-    grown = base.crossJoin(lead).where("current is not null").select(
+    grown = attach(base, lead).where("current is not null").select(
         "measure_id", "dimension", "name",
         F.when(F.col("name") == F.col("lead"), F.col("current") * 1000).otherwise(
             F.col("current")).alias("value"))

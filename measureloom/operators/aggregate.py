@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from measureloom.contract import TOTAL, Measure
 from measureloom.functions import calendar as cal
 from measureloom.functions import cleaning
+from measureloom.operators.onerow import attach
 from measureloom.operators.quantiles import exact_quantiles
 from measureloom.operators.scope import BASE, CURRENT, Lock, roles, tag
 
@@ -214,7 +215,7 @@ def grouped(df: DataFrame, measures: Sequence[Measure], by: Sequence[str], time:
         rows = prepare(df, [m], keep, time if m.time_aggregation else None, timezone)
         parts.append(aggregate(rows, by, m).withColumnRenamed("value", m.id))
     if not by:
-        return reduce(lambda a, b: a.crossJoin(b), parts)  # one row each
+        return attach(*parts)
     joined = reduce(lambda a, b: a.join(b, by, "full"), parts)
     return joined.select(*by, *[m.id for m in measures])
 

@@ -67,8 +67,9 @@ def member_comparison(facts: DataFrame, measures: Sequence[Measure]) -> DataFram
     base_total = F.when(F.col("total_base") != 0, F.col("total_base"))
     base_share = F.when(additive & ~F.col("has_negative_part"), baseline / base_total * 100)
     delta = current - baseline
-    rows = (facts.join(_signs(facts).where("is_member"), ["measure_id", "dimension"])
-            .join(_totals(facts), ["measure_id"]))
+    # One row per declared measure and dimension: bounded by the contract, so safe to broadcast.
+    rows = (facts.join(F.broadcast(_signs(facts).where("is_member")), ["measure_id", "dimension"])
+            .join(F.broadcast(_totals(facts)), ["measure_id"]))
     return rows.select(
         "measure_id", "dimension", "name", "current", "baseline", "in_current", "in_base",
         share.alias("share"), base_share.alias("base_share"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from measureloom.contract import Measure, SchemaContract
+from measureloom.operators.onerow import attach
 from measureloom.operators.quality import FINDINGS, field_rows, schema_rows
 
 SNAPSHOT = ("rows bigint, schema_sha256 string, result_sha256 string, semantic_sha256 string")
@@ -59,16 +60,16 @@ def semantic_fingerprint(spark: SparkSession, measures: Sequence[Measure],
     fields = _rows_digest(field_rows(spark, contract), "field", "fields")
     grain = F.concat_ws("|", F.lit(contract.business_grain or ""),
                         F.lit(",".join(contract.primary_key or ())))
-    return _rows_digest(rows, "id", "measures").crossJoin(fields).select(
+    return attach(_rows_digest(rows, "id", "measures"), fields).select(
         F.sha2(F.concat_ws("|", "measures", "fields", grain), 256).alias("semantic_sha256"))
 
 
 def snapshot(df: DataFrame, measures: Sequence[Measure],
              contract: SchemaContract | None = None) -> DataFrame:
     """One row with every fingerprint of a run; keep it to compare the next run with."""
-    return (content_fingerprint(df).crossJoin(schema_fingerprint(df))
-            .crossJoin(semantic_fingerprint(df.sparkSession, measures, contract))
-            .select("rows", "schema_sha256", "result_sha256", "semantic_sha256"))
+    return attach(content_fingerprint(df), schema_fingerprint(df),
+                  semantic_fingerprint(df.sparkSession, measures, contract)).select(
+        "rows", "schema_sha256", "result_sha256", "semantic_sha256")
 
 
 def row_count_drift(current: DataFrame, baseline: DataFrame, warn_pct: float = 10.0,
@@ -76,8 +77,8 @@ def row_count_drift(current: DataFrame, baseline: DataFrame, warn_pct: float = 1
     """Row count against the baseline run: change_pct and OK, WARN, BLOCKED or UNCHANGED."""
     if not 0 <= warn_pct <= block_pct:
         raise ValueError("thresholds need 0 <= warn <= block")
-    pair = current.select(F.col("rows").alias("current_rows")).crossJoin(
-        baseline.select(F.col("rows").alias("baseline_rows")))
+    pair = attach(current.select(F.col("rows").alias("current_rows")),
+                  baseline.select(F.col("rows").alias("baseline_rows")))
     base, now = F.col("baseline_rows"), F.col("current_rows")
     change = F.when(base > 0, (now / F.when(base > 0, base) - 1) * 100).when(now == 0, 0.0)
     size = F.abs(change)
@@ -93,7 +94,7 @@ def drift(current: DataFrame, baseline: DataFrame, warn_pct: float = 10.0,
           expected_change: bool | None = None) -> DataFrame:
     """(check_name, state, severity): verdict of schema, meaning, row count and content."""
     b = baseline.select(*[F.col(c).alias(f"b_{c}") for c in baseline.columns])
-    pair = current.crossJoin(b)
+    pair = attach(current, b)
 
     def changed(name: str) -> Column:
         return ~F.col(name).eqNullSafe(F.col(f"b_{name}"))
@@ -140,13 +141,14 @@ def drift_status(verdicts: DataFrame) -> DataFrame:
 def stamped(derived: DataFrame, source: DataFrame) -> DataFrame:
     """Attach the content digest of the table a result was derived from."""
     digest = content_fingerprint(source).select(F.col("result_sha256").alias("source_sha256"))
-    return derived.crossJoin(digest)
+    return attach(derived, digest)
 
 
 def stale(derived: DataFrame, source: DataFrame) -> DataFrame:
     """One row per digest found in ``derived``: is it still the digest of ``source``."""
     now = content_fingerprint(source).select(F.col("result_sha256").alias("current_sha256"))
-    return derived.groupBy("source_sha256").agg(F.count(F.lit(1)).alias("rows")).crossJoin(
-        now).withColumn("stale", ~F.col("source_sha256").eqNullSafe(F.col("current_sha256")))
+    found = derived.groupBy("source_sha256").agg(F.count(F.lit(1)).alias("rows"))
+    return attach(found, now).withColumn(
+        "stale", ~F.col("source_sha256").eqNullSafe(F.col("current_sha256")))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from measureloom.functions import cleaning
 from measureloom.functions.labels import slug
+from measureloom.operators.onerow import attach
 
 NUMERIC_SHARE = 0.8     # fixed value: share of readable cells that makes a text column numeric
 
@@ -56,7 +57,7 @@ def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
             aggs.append(F.count(cleaning.number(df, f.name)).alias(f"_p{i}"))
     one = df.agg(*aggs)
     if not approximate:
-        one = one.crossJoin(_distinct_counts(df, fields))
+        one = attach(one, _distinct_counts(df, fields))
     entries = []
     for i, f in enumerate(fields):
         filled, rows = F.col(f"_n{i}"), F.col("_rows")
@@ -196,7 +197,7 @@ def suggested_analyses(roles: DataFrame, coverage: DataFrame | None = None) -> D
         F.coalesce(F.max(F.col("role") == "measure"), F.lit(False)).alias("has_measure"),
         F.max(F.when(F.col("role") == "time", F.col("column"))).alias("time"))
     if coverage is not None:
-        flags = flags.crossJoin(coverage.select("years"))
+        flags = attach(flags, coverage.select("years"))
     else:
         flags = flags.withColumn("years", F.lit(0))
     lead = flags.select(

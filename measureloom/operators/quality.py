@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +20,7 @@ from measureloom.contract import (
     Thresholds, primary_of,
 )
 from measureloom.functions import cleaning
+from measureloom.operators.onerow import attach
 from measureloom.operators.scope import BASE, CURRENT, Lock, side_flags, tag
 
 FINDINGS = "severity string, code string, subject string, value double, threshold double"
@@ -72,22 +74,24 @@ def scope_counts(df: DataFrame, measure: Measure, lock: Lock, time: str | None,
            else F.lit(None).cast("date"))
     rows = df.select(current.alias(CURRENT), base.alias(BASE), value.alias("v"),
                      filled.alias("filled"), day.alias("day"))
+    # At most four groups per calendar day; sides are only unfolded after that.
+    daily = rows.groupBy("day", CURRENT, BASE).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("filled").alias("f"),
+        F.count_if(F.col("filled") & F.col("v").isNull()).alias("bad"),
+        F.count_if(F.col("v") < 0).alias("neg"))
+    inside = F.col(CURRENT) | F.col(BASE)
     sides = F.filter(F.array(
-        F.lit("all"), F.when(F.col(CURRENT) | F.col(BASE), "scope"),
-        F.when(F.col(CURRENT), "current"), F.when(F.col(BASE), "base")), lambda s: s.isNotNull())
-    # Values are pre-aggregated per day, so that distinct days cost no distinct aggregate.
-    daily = (rows.select(F.explode(sides).alias("side"), "v", "filled", "day")
-             .groupBy("side", "day").agg(
-                 F.count(F.lit(1)).alias("n"), F.count_if("filled").alias("f"),
-                 F.count_if(F.col("filled") & F.col("v").isNull()).alias("bad"),
-                 F.count_if(F.col("v") < 0).alias("neg")))
-    per = daily.groupBy("side").agg(
-        F.sum("n").alias("scope_rows"), F.sum("f").alias("filled"),
-        (F.sum("n") - F.sum("f")).alias("blank_rows"), F.sum("bad").alias("parse_errors"),
-        F.sum("neg").alias("negatives"), F.count("day").alias("days"))
-    has_scope = per.agg(F.coalesce(F.max(F.col("side") == "scope"), F.lit(False)).alias("_has"))
-    judged = per.crossJoin(has_scope).where(
-        F.when(F.col("side") == "all", ~F.col("_has")).otherwise(F.lit(True)))
+        F.lit("all"), F.when(inside, "scope"), F.when(F.col(CURRENT), "current"),
+        F.when(F.col(BASE), "base")), lambda s: s.isNotNull())
+    per = (daily.select(F.explode(sides).alias("side"), "day", "n", "f", "bad", "neg")
+           .groupBy("side").agg(
+               F.sum("n").alias("scope_rows"), F.sum("f").alias("filled"),
+               (F.sum("n") - F.sum("f")).alias("blank_rows"),
+               F.sum("bad").alias("parse_errors"), F.sum("neg").alias("negatives"),
+               F.count_distinct("day").alias("days")))
+    # Four rows at most: the whole table stands in for an empty scope.
+    has_scope = F.max(F.col("side") == "scope").over(W.partitionBy())
+    judged = per.withColumn("_has", has_scope).where((F.col("side") != "all") | ~F.col("_has"))
     return judged.withColumn("side", F.when(F.col("side") == "all", "scope").otherwise(
         F.col("side"))).drop("_has")
 
@@ -501,7 +505,7 @@ def baseline_gate(counts: DataFrame, totals: DataFrame, measure: Measure, lock:
                                       F.lit(0)).alias("n"))
     base_total = totals.agg(F.max(F.when(F.col("measure_id") == measure.id, F.col("baseline")))
                             .alias("total"))
-    one = base_rows.crossJoin(base_total)
+    one = attach(base_rows, base_total)
     return _emit(one, [
         _finding(F.col("n") == 0, "warning", "baseline_missing", measure.id, F.col("n")),
         _finding((F.col("n") > 0) & (F.col("total") == 0), "warning", "baseline_zero", measure.id,
@@ -544,7 +548,7 @@ def status(all_findings: DataFrame) -> DataFrame:
 def suppress_when_blocked(result: DataFrame, one_status: DataFrame,
                           columns: Sequence[str]) -> DataFrame:
     """Null the given columns while the status is BLOCKED; rows stay."""
-    gated = result.crossJoin(one_status.select(F.col("status").alias("data_status")))
+    gated = attach(result, one_status.select(F.col("status").alias("data_status")))
     for c in columns:
         gated = gated.withColumn(c, F.when(F.col("data_status") != "BLOCKED", F.col(c)))
     return gated

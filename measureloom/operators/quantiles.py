@@ -20,13 +20,14 @@ _SLICES = 1 << 17        # linear slices of one coarse bucket
 _LIFT = 1100 * _PER_OCTAVE
 
 
-def _bucket(v: Column) -> Column:
+def bucket(v: Column) -> Column:
     """Integer that never decreases when ``v`` increases."""
     size = F.floor(F.least(F.log2(F.abs(v)), F.lit(1024.0)) * _PER_OCTAVE) + _LIFT
     return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0)).cast("int")
 
 
-def _slice(v: Column, low: Column, high: Column) -> Column:
+def slice_of(v: Column, low: Column, high: Column) -> Column:
+    """Linear slice of ``v`` between the ends of its bucket; never decreases with ``v``."""
     width = high - low
     step = F.floor((v - low) / width * _SLICES)
     return F.when((width > 0) & (width < float("inf")), F.least(step, F.lit(_SLICES - 1))
@@ -59,7 +60,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
     pairs = (df.select(*named, *kept, (F.col(value).cast("double") + F.lit(0.0)).alias("_v"))
              .where(F.col("_v").isNotNull())
              .groupBy(*safe, *keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-             .withColumn("_b", _bucket(F.col("_v"))))
+             .withColumn("_b", bucket(F.col("_v"))))
 
     coarse = pairs.groupBy(*safe, "_b").agg(
         F.sum("_c").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
@@ -75,7 +76,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
         *safe, "_b", "_low", "_high", "_ranks", "_total")
 
     sliced = (pairs.join(coarse, [*safe, "_b"])
-              .withColumn("_s", _slice(F.col("_v"), F.col("_low"), F.col("_high")))
+              .withColumn("_s", slice_of(F.col("_v"), F.col("_low"), F.col("_high")))
               .groupBy(*safe, "_b", "_s")
               .agg(F.sum("_c").alias("_n"), F.min("_v").alias("_from"), F.max("_v").alias("_upto"),
                    F.first("_ranks").alias("_ranks"), F.first("_total").alias("_total")))

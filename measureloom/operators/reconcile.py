@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from measureloom.functions.display import parse_shown
+from measureloom.operators.onerow import attach
 
 DEFAULT_TOLERANCE = 1e-9
 
@@ -128,7 +129,7 @@ def series_aligned(series: DataFrame, name: str, at: str = "month") -> DataFrame
     points = series.groupBy(name, at).agg(F.count(F.lit(1)).alias("_n"))
     per = points.groupBy(name).agg(F.count(F.lit(1)).alias("periods"))
     every = points.groupBy(at).agg(F.lit(1)).agg(F.count(F.lit(1)).alias("all_periods"))
-    return per.crossJoin(every).withColumn(
+    return attach(per, every).withColumn(
         "aligned", F.col("periods") == F.col("all_periods"))
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from measureloom.contract import (
@@ -15,8 +16,8 @@ from measureloom.contract import (
 from measureloom.functions import calendar as cal
 from measureloom.functions import cleaning
 from measureloom.functions.labels import favorable
-from measureloom.operators.aggregate import DAY
 from measureloom.operators.compare import measure_attribute
+from measureloom.operators.onerow import attach
 from measureloom.operators.quantiles import exact_quantiles
 from measureloom.operators.scope import CURRENT, Lock, tag
 
@@ -74,8 +75,6 @@ def gather_references(scope_items: Sequence[Reference], declared: Sequence[Refer
 def _role_target(column: str, roles: Roles, measures: Sequence[Measure], target: str | None,
                  aggregation: str, grain: Sequence[str], frequency: str,
                  limits: Thresholds) -> Reference:
-    import re
-
     bound = {"amount": roles.amount, "qty": roles.qty}.get(target or "")
     measure = next((m for m in measures if m.id == target or (bound and m.field == bound)), None)
     reason = None
@@ -110,83 +109,116 @@ def unit_status(specs: DataFrame, measures: Sequence[Measure]) -> DataFrame:
     return specs.withColumn("unit_reason", reason)
 
 
-def field_reference(df: DataFrame, ref: Reference, lock: Lock, time: str | None,
-                    timezone: str | None = None) -> DataFrame:
-    """Resolve one reference column over the current period to a single value.
+_PER_GROUP = ("first_per_group", "unique_per_period")
+_SIMPLE = {"unique": F.min, "auto": F.min, "sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max}
+_RESOLVED = ("id string, field_value double, reason_code string, parse_errors bigint, "
+             "parse_error_pct double")
+
+
+def _declaration_problem(ref: Reference, columns: Sequence[str], time: str | None) -> str | None:
+    """Reason code when a column reference cannot be resolved whatever the data is."""
+    if not ref.field or ref.field not in columns:
+        return "optional_reference_field_missing"
+    if ref.aggregation in _PER_GROUP:
+        if any(g not in columns for g in _grain(ref)):
+            return "reference_grain_missing"
+        if ref.frequency not in cal.FREQUENCIES:
+            return "reference_frequency_invalid"
+        if ref.frequency != "period" and time is None:
+            return "reference_frequency_requires_time"
+    elif ref.aggregation not in (*_SIMPLE, "median"):
+        return "reference_aggregation_invalid"
+    return None
+
+
+def _grain(ref: Reference) -> list[str]:
+    return list(ref.grain) if ref.aggregation == "first_per_group" else []
 
-    One row: id, field_value, reason_code, parse_errors, parse_error_pct.
-    """
-    def failed(reason: str) -> DataFrame:
-        return df.sparkSession.range(1).select(
-            F.lit(ref.id).alias("id"), F.lit(None).cast("double").alias("field_value"),
-            F.lit(reason).alias("reason_code"), F.lit(0).cast("bigint").alias("parse_errors"),
-            F.lit(0.0).alias("parse_error_pct"))
 
-    if not ref.field or ref.field not in df.columns:
-        return failed("optional_reference_field_missing")
-    per_group = ref.aggregation in ("first_per_group", "unique_per_period")
-    grain = list(ref.grain) if ref.aggregation == "first_per_group" else []
-    if per_group and any(g not in df.columns for g in grain):
-        return failed("reference_grain_missing")
-    if per_group and ref.frequency not in cal.FREQUENCIES:
-        return failed("reference_frequency_invalid")
-    if per_group and ref.frequency != "period" and time is None:
-        return failed("reference_frequency_requires_time")
-    tagged = tag(df, lock, time, timezone).where(F.col(CURRENT))
-    keep = [cleaning.member(F.col(f"`{g}`")).alias(g) for g in grain]
-    if time is not None:
-        keep.append(F.to_date(cleaning.timestamp(tagged, time, timezone)).alias(DAY))
-    rows = tagged.select(
-        *keep, F.col(f"`{ref.field}`").isNotNull().alias("filled"),
-        cleaning.number(tagged, ref.field).alias("v"))
-    quality = [F.count_if(F.col("filled")).alias("filled"),
-               F.count_if(F.col("filled") & F.col("v").isNull()).alias("parse_errors")]
-    how = ref.aggregation
-    if per_group:
-        key = cal.period_key(F.col(DAY), ref.frequency) if ref.frequency != "period" else (
-            F.lit(cal.WHOLE_PERIOD))
-        rows = rows.withColumn("_period", key)
-        groups = rows.groupBy("_period", *grain).agg(
-            F.min("v").alias("low"), F.max("v").alias("high"), *quality)
-        one = groups.agg(
-            F.sum("filled").alias("filled"), F.sum("parse_errors").alias("parse_errors"),
-            F.count("low").alias("n"), F.count_if(F.col("low").isNull()).alias("empty"),
-            F.count_if(F.col("low") != F.col("high")).alias("torn"), F.sum("low").alias("value"))
-        reason = (F.when(F.col("n") == 0, "reference_missing")
-                  .when(F.col("empty") > 0, "reference_grain_incomplete")
-                  .when(F.col("torn") > 0, "reference_grain_conflict"))
-    elif how in ("unique", "auto"):
-        one = rows.agg(*quality, F.count("v").alias("n"), F.min("v").alias("value"),
-                       F.max("v").alias("high"))
-        accepted = (F.col("n") == 1) if how == "auto" else (F.col("value") == F.col("high"))
-        reason = F.when(F.col("n") == 0, "reference_missing").when(
+def _resolved(ref: Reference, value: Column, reason: Column, bad: Column, filled: Column) -> Column:
+    share = F.coalesce(bad / F.when(filled > 0, filled) * 100, F.lit(0.0))
+    return F.struct(
+        F.lit(ref.id).alias("id"), F.when(reason.isNull(), value).alias("field_value"),
+        reason.alias("reason_code"), F.coalesce(bad, F.lit(0)).cast("bigint").alias("parse_errors"),
+        share.alias("parse_error_pct"))
+
+
+def _quality(cell: Column, value: Column) -> tuple[Column, Column]:
+    return F.count_if(cell.isNotNull()), F.count_if(cell.isNotNull() & value.isNull())
+
+
+def _simple_values(rows: DataFrame, refs: Sequence[Reference]) -> DataFrame:
+    """All single-value references in one aggregate over the scope."""
+    aggs, entries = [], []
+    for i, ref in enumerate(refs):
+        value, cell = cleaning.number(rows, ref.field), F.col(f"`{ref.field}`")
+        filled, bad = _quality(cell, value)
+        aggs += [filled.alias(f"f{i}"), bad.alias(f"b{i}"), F.count(value).alias(f"n{i}"),
+                 _SIMPLE[ref.aggregation](value).alias(f"v{i}"), F.max(value).alias(f"h{i}")]
+        n, v = F.col(f"n{i}"), F.col(f"v{i}")
+        accepted = {"auto": n == 1, "unique": v == F.col(f"h{i}")}.get(ref.aggregation, F.lit(True))
+        reason = F.when(n == 0, "reference_missing").when(
             ~accepted, "reference_field_requires_single_value_or_explicit_aggregation")
-    elif how in ("sum", "mean", "min", "max"):
-        rule = {"sum": F.sum, "mean": F.avg, "min": F.min, "max": F.max}[how]
-        one = rows.agg(*quality, F.count("v").alias("n"), rule("v").alias("value"))
-        reason = F.when(F.col("n") == 0, "reference_missing")
-    elif how == "median":
-        middle = exact_quantiles(rows, [], "v", {"value": 0.5})
-        one = rows.agg(*quality, F.count("v").alias("n")).join(middle, how="left")
-        reason = F.when(F.col("n") == 0, "reference_missing")
-    else:
-        return failed("reference_aggregation_invalid")
-    bad_pct = F.coalesce(
-        F.col("parse_errors") / F.when(F.col("filled") > 0, F.col("filled")) * 100, F.lit(0.0))
-    return one.withColumn("reason_code", reason).select(
-        F.lit(ref.id).alias("id"),
-        F.when(F.col("reason_code").isNull(), F.col("value")).alias("field_value"),
-        "reason_code", F.coalesce("parse_errors", F.lit(0)).cast("bigint").alias("parse_errors"),
-        bad_pct.alias("parse_error_pct"))
+        entries.append(_resolved(ref, v, reason, F.col(f"b{i}"), F.col(f"f{i}")))
+    return rows.agg(*aggs).select(F.explode(F.array(*entries)).alias("r")).select("r.*")
+
+
+def _median_value(rows: DataFrame, ref: Reference) -> DataFrame:
+    value, cell = cleaning.number(rows, ref.field), F.col(f"`{ref.field}`")
+    filled, bad = _quality(cell, value)
+    counts = rows.agg(filled.alias("f"), bad.alias("b"), F.count(value).alias("n"))
+    middle = exact_quantiles(rows.select(value.alias("v")), [], "v", {"middle": 0.5})
+    reason = F.when(F.col("n") == 0, "reference_missing")
+    return attach(counts, middle).select(
+        _resolved(ref, F.col("middle"), reason, F.col("b"), F.col("f")).alias("r")).select("r.*")
+
+
+def _group_values(rows: DataFrame, ref: Reference, day: Column | None) -> DataFrame:
+    """One value per (period, grain); conflicting or empty groups fail the reference."""
+    value, cell = cleaning.number(rows, ref.field), F.col(f"`{ref.field}`")
+    filled, bad = _quality(cell, value)
+    period = F.lit(cal.WHOLE_PERIOD) if ref.frequency == "period" else cal.period_key(
+        day, ref.frequency)
+    keys = [period.alias("_period"), *[cleaning.member(F.col(f"`{g}`")).alias(g)
+                                       for g in _grain(ref)]]
+    groups = rows.groupBy(*keys).agg(F.min(value).alias("low"), F.max(value).alias("high"),
+                                     filled.alias("f"), bad.alias("b"))
+    one = groups.agg(
+        F.sum("f").alias("f"), F.sum("b").alias("b"), F.count("low").alias("n"),
+        F.count_if(F.col("low").isNull()).alias("empty"),
+        F.count_if(F.col("low") != F.col("high")).alias("torn"), F.sum("low").alias("v"))
+    reason = (F.when(F.col("n") == 0, "reference_missing")
+              .when(F.col("empty") > 0, "reference_grain_incomplete")
+              .when(F.col("torn") > 0, "reference_grain_conflict"))
+    return one.select(_resolved(ref, F.col("v"), reason, F.col("b"), F.col("f")).alias("r")).select(
+        "r.*")
 
 
 def field_references(df: DataFrame, refs: Sequence[Reference], lock: Lock, time: str | None,
-                     timezone: str | None = None) -> DataFrame | None:
-    """Resolved values of all references that read a column."""
+                     timezone: str | None = None) -> DataFrame:
+    """Resolve every reference that reads a column to one value over the current period.
+
+    Columns: id, field_value, reason_code, parse_errors, parse_error_pct. References that are
+    plain aggregates share one scan.
+    """
+    spark = df.sparkSession
     needed = [r for r in refs if r.type != "group" and r.value is None
               and (r.lower is None or r.upper is None)]
-    frames = [field_reference(df, r, lock, time, timezone) for r in needed]
-    return reduce(DataFrame.unionByName, frames) if frames else None
+    problems = {r.id: _declaration_problem(r, df.columns, time) for r in needed}
+    rows = tag(df, lock, time, timezone).where(F.col(CURRENT))
+    day = F.to_date(cleaning.timestamp(rows, time, timezone)) if time is not None else None
+    frames = [spark.createDataFrame(
+        [(i, None, reason, 0, 0.0) for i, reason in problems.items() if reason], _RESOLVED)]
+    usable = [r for r in needed if not problems[r.id]]
+    simple = [r for r in usable if r.aggregation in _SIMPLE]
+    if simple:
+        frames.append(_simple_values(rows, simple))
+    for ref in usable:
+        if ref.aggregation == "median":
+            frames.append(_median_value(rows, ref))
+        elif ref.aggregation in _PER_GROUP:
+            frames.append(_group_values(rows, ref, day))
+    return reduce(DataFrame.unionByName, frames)
 
 
 def evaluate_references(refs: Sequence[Reference], totals: DataFrame, measures: Sequence[Measure],
@@ -255,14 +287,17 @@ def group_references(refs: Sequence[Reference], facts: DataFrame,
     specs = specs.where(F.col("unit_reason").isNull()).select(
         "id", "measure_id", "dimension", "reference_group")
     mine = facts.select("measure_id", "dimension", "name", "current")
-    anchors = specs.join(
-        mine.select("measure_id", F.col("dimension").alias("_d"), F.col("name").alias("_n"),
-                    F.col("current").alias("reference")), "measure_id").where(
-        F.when(F.col("reference_group").isNull(), F.col("_d") == TOTAL)
-        .otherwise((F.col("_d") == F.col("dimension"))
-                   & (F.col("_n") == F.col("reference_group")))).drop("_d", "_n")
+    overall = F.col("reference_group").isNull()
+    wanted = specs.select(
+        "*", F.when(overall, TOTAL).otherwise(F.col("dimension")).alias("_d"),
+        F.when(overall, TOTAL).otherwise(F.col("reference_group")).alias("_n"))
+    # Specifications are declared by hand, and each finds one anchor row: both are safe to broadcast.
+    anchors = mine.select(
+        "measure_id", F.col("dimension").alias("_d"), F.col("name").alias("_n"),
+        F.col("current").alias("reference")).join(
+        F.broadcast(wanted), ["measure_id", "_d", "_n"]).drop("_d", "_n")
     delta = F.col("current") - F.col("reference")
-    return anchors.join(mine, ["measure_id", "dimension"]).select(
+    return mine.join(F.broadcast(anchors), ["measure_id", "dimension"]).select(
         "id", "measure_id", "dimension",
         F.coalesce("reference_group", F.lit("overall")).alias("reference_group"), "name",
         "current", "reference", delta.alias("delta"),

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from measureloom.contract import Scope
 from measureloom.functions import calendar as cal
 from measureloom.functions import cleaning
+from measureloom.operators.onerow import attach
 
 CURRENT, BASE = "in_current", "in_base"
 
@@ -53,7 +54,7 @@ def lock_frame(spark: SparkSession, scope: Scope, last_day: DataFrame | None = N
     named = cal.period_bounds(label)
     one = one.withColumn("inferred", cal.is_placeholder(label))
     if last_day is not None:
-        one = one.crossJoin(last_day.select("last_day"))
+        one = attach(one, last_day.select("last_day"))
         one = one.withColumn("p", F.when(
             F.col("inferred"), cal.inferred_bounds(F.col("last_day"), scope.granularity)
         ).otherwise(named))

@@ -12,7 +12,9 @@ from measureloom.contract import NULL_MEMBER, TOTAL, Measure, Thresholds
 from measureloom.functions.calendar import month_index
 from measureloom.functions.labels import delta_state
 from measureloom.operators.compare import measure_attribute
+from measureloom.operators.onerow import attach, join_by
 from measureloom.operators.ordering import ranked
+from measureloom.operators.quantiles import bucket, slice_of
 
 MEMBER_GROUP = ("measure_id", "dimension")
 
@@ -70,51 +72,67 @@ def _board(rows: DataFrame, order: list[Column], n: int | None) -> DataFrame:
 
 # --- concentration -----------------------------------------------------------------------------
 
-_COARSE = 2048  # buckets per doubling of a value
+def _crossings(level: DataFrame, by: Sequence[str], order: str) -> DataFrame:
+    """Keep the rows in which a wanted share is crossed, largest first within ``by``.
 
-
-def _value_bucket(v: Column) -> Column:
-    return F.when(v > 0, F.floor(F.log2(v) * _COARSE) + 1100 * _COARSE).otherwise(0).cast("int")
+    ``_goals`` holds, per wanted share, the count and the sum of everything larger than the
+    group; kept rows carry them forward including the larger rows of the group.
+    """
+    w = W.partitionBy(*by).orderBy(F.col(order).desc())
+    above = w.rowsBetween(W.unboundedPreceding, -1)
+    run = (level.withColumn("_pn", F.coalesce(F.sum("_n").over(above), F.lit(0)))
+           .withColumn("_ps", F.coalesce(F.sum("_sum").over(above), F.lit(0.0)))
+           .withColumn("_last", F.lead(order).over(w).isNull()))
+    moved = F.transform("_goals", lambda g: F.struct(
+        g["goal"].alias("goal"), g["p"].alias("p"),
+        (g["count"] + F.col("_pn")).alias("count"), (g["sum"] + F.col("_ps")).alias("sum")))
+    crossed = F.filter(moved, lambda g: (g["sum"] / F.col("_total") < g["p"]) & (
+        F.col("_last") | ((g["sum"] + F.col("_sum")) / F.col("_total") >= g["p"])))
+    return run.withColumn("_goals", crossed).where(F.size("_goals") > 0).drop("_pn", "_ps", "_last")
 
 
 def members_to_reach(objects: DataFrame, shares: dict[str, float]) -> DataFrame:
     """How many of the largest objects are needed to reach each share of the sum, exactly.
 
-    Objects have a positive-sum ``value``. Whole buckets of similar size are summed first; only
-    the bucket in which a share is crossed is opened, as (value, count) pairs, so equal values
-    cost one row however many objects carry them.
+    ``objects`` have a ``value``. The same descent as for exact quantiles: sums of logarithmic
+    buckets, of linear slices of the crossed bucket, then of the few values of the crossed slice.
+    Equal values cost one row however many objects carry them, and no step orders more rows than
+    there are buckets or slices.
     """
-    pairs = (objects.select(F.col("value").alias("v")).groupBy("v")
-             .agg(F.count(F.lit(1)).alias("n")).withColumn("b", _value_bucket(F.col("v"))))
-    bands = pairs.groupBy("b").agg(F.sum("n").alias("n"), F.sum(F.col("v") * F.col("n")).alias("s"))
-    # Bands are bounded by the bucket count, not by the number of objects.
-    above = W.orderBy(F.col("b").desc()).rowsBetween(W.unboundedPreceding, -1)
-    bands = bands.select(
-        "b", "s", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n_above"),
-        F.coalesce(F.sum("s").over(above), F.lit(0.0)).alias("s_above"),
-        F.sum("s").over(W.partitionBy()).alias("total"))
-    goals = F.explode(F.array(*[F.struct(F.lit(name).alias("goal"), F.lit(float(p)).alias("p"))
-                                for name, p in shares.items()]))
-    open_bands = (bands.select("*", goals.alias("g")).select(
-        "b", "s", "n_above", "s_above", "total", "g.goal", "g.p")
-        .where((F.col("s_above") / F.col("total") < F.col("p"))
-               & ((F.col("s_above") + F.col("s")) / F.col("total") >= F.col("p"))))
-    inside = pairs.join(open_bands, "b")
-    higher = W.partitionBy("goal").orderBy(F.col("v").desc()).rowsBetween(
-        W.unboundedPreceding, -1)
-    opened = inside.select(
-        "goal", "p", "v", "n", "total",
-        (F.col("n_above") + F.coalesce(F.sum("n").over(higher), F.lit(0))).alias("n_before"),
-        (F.col("s_above") + F.coalesce(F.sum(F.col("v") * F.col("n")).over(higher), F.lit(0.0))
-         ).alias("s_before"))
-    # Cumulated shares below the goal, plus the one that reaches it.
-    gap = F.col("p") * F.col("total") - F.col("s_before")
-    fit = F.ceil(gap / F.when(F.col("v") > 0, F.col("v")) - 1e-9) - 1
-    step = F.greatest(F.lit(0), F.least(F.col("n"), F.coalesce(fit, F.col("n"))))
-    reached = opened.where(gap > 0).withColumn("below", F.col("n_before") + step)
-    wide = [F.max(F.when(F.col("goal") == name, F.col("below") + 1)).cast("bigint").alias(name)
-            for name in shares]
-    return reached.groupBy().agg(*wide)
+    pairs = (objects.select(F.col("value").alias("_v")).where(F.col("_v").isNotNull())
+             .groupBy("_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", bucket(F.col("_v"))))
+    weight = F.sum(F.col("_v") * F.col("_c")).alias("_sum")
+    edges = [F.min("_v").alias("_low"), F.max("_v").alias("_high")]
+    coarse = pairs.groupBy("_b").agg(F.sum("_c").alias("_n"), weight, *edges)
+    goals = F.array(*[F.struct(
+        F.lit(name).alias("goal"), F.lit(float(p)).alias("p"),
+        F.lit(0).cast("bigint").alias("count"), F.lit(0.0).alias("sum"))
+        for name, p in shares.items()])
+    coarse = coarse.withColumn("_total", F.sum("_sum").over(W.partitionBy())).withColumn(
+        "_goals", goals)
+    coarse = _crossings(coarse, [], "_b").select("_b", "_low", "_high", "_goals", "_total")
+    # One bucket and one slice per wanted share are open: a handful of rows.
+    sliced = (pairs.join(F.broadcast(coarse), "_b")
+              .withColumn("_s", slice_of(F.col("_v"), F.col("_low"), F.col("_high")))
+              .groupBy("_b", "_s").agg(
+                  F.sum("_c").alias("_n"), weight, F.min("_v").alias("_from"),
+                  F.max("_v").alias("_upto"), F.first("_goals").alias("_goals"),
+                  F.first("_total").alias("_total")))
+    sliced = _crossings(sliced, ["_b"], "_s").select(
+        "_b", "_s", "_from", "_upto", "_goals", "_total")
+    fine = (pairs.join(F.broadcast(sliced), "_b")
+            .where(F.col("_v").between(F.col("_from"), F.col("_upto")))
+            .select("_b", "_s", "_v", F.col("_c").alias("_n"),
+                    (F.col("_v") * F.col("_c")).alias("_sum"), "_goals", "_total"))
+    hit = _crossings(fine, ["_b", "_s"], "_v").select(
+        "_v", "_n", "_total", F.explode("_goals").alias("g"))
+    # Copies of the crossing value that still stay below the share, plus the one that reaches it.
+    gap = F.col("g.p") * F.col("_total") - F.col("g.sum")
+    below = F.ceil(gap / F.when(F.col("_v") > 0, F.col("_v")) - 1e-9) - 1
+    below = F.greatest(F.lit(0), F.least(F.col("_n"), F.coalesce(below, F.col("_n"))))
+    needed = hit.select("g.goal", (F.col("g.count") + below + 1).cast("bigint").alias("needed"))
+    return needed.groupBy().agg(*[
+        F.max(F.when(F.col("goal") == name, F.col("needed"))).alias(name) for name in shares])
 
 
 def concentration(facts: DataFrame, measure: Measure, dimension: str,
@@ -137,7 +155,7 @@ def concentration(facts: DataFrame, measure: Measure, dimension: str,
         F.sum(F.when(F.col("place") <= 5, F.col("value"))).alias("top5"),
         F.sum("value").alias("top10"))
     reach = members_to_reach(known, {"n50": 0.5, "n80": 0.8})
-    row = sums.crossJoin(total).crossJoin(top).crossJoin(reach)  # one row each
+    row = attach(sums, total, top, reach)
     usable_total = F.when(F.col("total") != 0, F.col("total"))
     coverage = F.col("identified") / usable_total * 100
     identified = F.when(F.col("identified") > 0, F.col("identified"))
@@ -173,7 +191,7 @@ def pareto_curve(objects: DataFrame, name: str = "name", value: str = "value") -
     total = objects.agg(F.sum(value).alias("_total"))
     run = ranked(objects, [], [F.col(value).desc(), F.col(name).asc()],
                  running={"cumulative": value})
-    return run.crossJoin(total).select(
+    return attach(run, total).select(
         name, value, "rank", "cumulative",
         (F.col("cumulative") / F.col("_total") * 100).alias("cumulative_pct"))
 
@@ -209,12 +227,12 @@ def extreme_split(rows: DataFrame, group: Sequence[str], field: str,
         F.max(F.when(F.col("rank") == 2, F.col("size"))).alias("second"),
         F.max(F.when(F.col("rank") == 1, F.col("name"))).alias("lead"))
     counts = valued.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows"))
-    pair = pair.join(counts, group) if group else pair.crossJoin(counts)
+    pair = join_by(pair, counts, group)
     far = (F.col("_rows") >= 3) & (F.col("first") > 0) & (
         (F.col("second") == 0) | (F.col("first") / F.when(F.col("second") > 0, F.col("second"))
                                   >= ratio))
     pair = pair.select(*group, "lead", F.coalesce(far, F.lit(False)).alias("_far"))
-    joined = valued.join(pair, group) if group else valued.crossJoin(pair)
+    joined = join_by(valued, pair, group)
     return joined.withColumn("extreme", F.col("_far") & (F.col("name") == F.col("lead"))).drop(
         "lead", "_far")
 
@@ -277,7 +295,7 @@ def heat_table(matrix: DataFrame) -> DataFrame:
     ends = matrix.agg(F.min("value").alias("_low"), F.max("value").alias("_high"))
     width = F.col("_high") - F.col("_low")
     ratio = F.when(width == 0, 0.5).otherwise((F.col("value") - F.col("_low")) / width)
-    return matrix.crossJoin(ends).withColumn("ratio", ratio).drop("_low", "_high")
+    return attach(matrix, ends).withColumn("ratio", ratio).drop("_low", "_high")
 
 
 def value_domain(values: DataFrame, by: Sequence[str], field: str = "value",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from measureloom.contract import Measure, primary_of
 from measureloom.functions.special import two_sided_p
 from measureloom.operators.compare import measure_attribute, yoy_series
+from measureloom.operators.onerow import join_by
 from measureloom.operators.shape import regular_months
 
 SIGNIFICANCE = 0.05
@@ -42,8 +43,7 @@ def mann_kendall(series: DataFrame, by: Sequence[str], at: str = "month",
 
     score = F.aggregate(F.transform(x, earlier_signs), F.lit(0).cast("bigint"),
                         lambda total, s: total + s)
-    joined = points.join(ties, by) if by else points.crossJoin(ties)
-    scored = joined.select(
+    scored = join_by(points, ties, by).select(
         *by, n.alias("n"), score.alias("_s"),
         ((n * (n - 1) * (2 * n + 5) - F.col("_ties")) / 18).alias("_var"))
     return trend_verdict(scored, by)
@@ -73,16 +73,13 @@ def robust_z(series: DataFrame, by: Sequence[str], value: str = "value") -> Data
     """
     by = list(by)
 
-    def attach(df: DataFrame, stats: DataFrame) -> DataFrame:
-        return df.join(stats, by) if by else df.crossJoin(stats)
-
     centre = series.groupBy(*by).agg(F.median(value).alias("_med"))
-    off = attach(series, centre).withColumn("_off", F.abs(F.col(value) - F.col("_med")))
+    off = join_by(series, centre, by).withColumn("_off", F.abs(F.col(value) - F.col("_med")))
     spread = off.groupBy(*by).agg(F.median("_off").alias("_mad"), F.avg("_off").alias("_aad"))
     gap = F.col(value) - F.col("_med")
     z = (F.when(F.col("_mad") != 0, 0.6745 * gap / F.col("_mad"))
          .when(F.col("_aad") != 0, gap / (1.2533 * F.col("_aad"))).otherwise(0.0))
-    return attach(off, spread).withColumn("robust_z", F.when(F.col(value).isNotNull(), z)).drop(
+    return join_by(off, spread, by).withColumn("robust_z", F.when(F.col(value).isNotNull(), z)).drop(
         "_med", "_off", "_mad", "_aad")
 
 

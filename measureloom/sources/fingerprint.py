@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from measureloom.operators.onerow import attach
+
 _CHUNK = 1 << 20
 CAVEAT = "covers the query text only; compare result fingerprints for changes of the data"
 
@@ -62,7 +64,7 @@ def source_fingerprint(spark: SparkSession, path: str, selector: str | None = No
     import os
 
     files = file_fingerprints(spark, path)
-    both = combined(files).crossJoin(files.agg(F.max("sha256").alias("own")))
+    both = attach(combined(files), files.agg(F.max("sha256").alias("own")))
     return both.select(
         F.lit(os.path.splitext(path)[1].lstrip(".").lower() or "file").alias("kind"),
         F.lit(os.path.basename(path.rstrip("/"))).alias("name"),
