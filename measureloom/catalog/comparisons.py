@@ -13,6 +13,7 @@ from measureloom.operators import aggregate as a
 from measureloom.operators import compare as c
 from measureloom.operators import reconcile as r
 from measureloom.operators.shape import rank_members
+from measureloom.session import cut_lineage
 
 IDS = [m.id for m in CONTRACT]
 FACTS = f"{SALES}, {facts_sql(IDS, DIMS)}"
@@ -25,7 +26,8 @@ def facts(spark, d, measures=CONTRACT, dims=DIMS):
 
 
 def rows(spark, d, measures=CONTRACT, dims=DIMS):
-    return c.member_comparison(facts(spark, d, measures, dims), measures)
+    """Member rows; the facts are read several times, so they are written once first."""
+    return c.member_comparison(cut_lineage(facts(spark, d, measures, dims)), measures)
 
 
 _TOTALS = """t AS (SELECT measure_id, current, baseline, current - baseline AS change_abs,

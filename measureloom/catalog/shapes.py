@@ -14,6 +14,7 @@ from measureloom.operators import aggregate as a
 from measureloom.operators import compare as c
 from measureloom.operators import shape as g
 from measureloom.operators.onerow import attach
+from measureloom.session import cut_lineage
 
 _RANKED = """ranked AS (SELECT *, row_number() OVER (PARTITION BY measure_id, dimension
   ORDER BY in_current DESC, current DESC NULLS LAST, baseline DESC NULLS LAST, name) AS rank
@@ -79,7 +80,7 @@ placed AS (SELECT *, row_number() OVER (ORDER BY v DESC, name) AS place,
 
 
 def customer_facts(spark, d):
-    return facts(spark, d, (REVENUE,), ("customer",))
+    return cut_lineage(facts(spark, d, (REVENUE,), ("customer",)))
 
 
 @query("g04_top_shares", f"""WITH {CUSTOMER_SUMS} SELECT count(*) AS members,

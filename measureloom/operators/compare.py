@@ -58,7 +58,8 @@ def member_comparison(facts: DataFrame, measures: Sequence[Measure]) -> DataFram
 
     The sides were aligned by conditional aggregation, so members of one side only are already
     here. Totals and sign guards are aggregates of the same facts (a few rows per measure and
-    dimension) joined back, never a window over all members.
+    dimension) joined back, never a window over all members. The facts are read three times: hand
+    in a written copy (``cut_lineage``) when they are expensive.
     """
     additive = measure_attribute(measures, "additivity") == "additive"
     current, baseline = F.col("current"), F.col("baseline")

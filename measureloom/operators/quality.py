@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -61,39 +60,33 @@ def pct(part: Column, whole: Column) -> Column:
 
 
 def scope_counts(df: DataFrame, measure: Measure, lock: Lock, time: str | None,
-                 timezone: str | None = None) -> DataFrame:
-    """One row of row-level counters per side of the locked scope.
+                 timezone: str | None = None, judge_all: bool = False) -> DataFrame:
+    """Row-level counters per side of the locked scope.
 
     Columns: side (scope, current, base), scope_rows, filled, blank_rows, parse_errors, negatives,
-    days. An empty scope falls back to the whole table, as the gates need something to judge.
+    days. Only the scope is scanned. With ``judge_all`` the whole table stands in for a scope
+    known to be empty, as the gates need something to judge.
     """
-    current, base = side_flags(df, lock, time, timezone)
-    value = cleaning.row_value(df, measure)
-    filled = cleaning.source_present(measure)
-    day = (F.to_date(cleaning.timestamp(df, time, timezone)) if time
+    rows = (df.withColumn(CURRENT, F.lit(False)).withColumn(BASE, F.lit(False)) if judge_all
+            else tag(df, lock, time, timezone))
+    value = cleaning.row_value(rows, measure)
+    day = (F.to_date(cleaning.timestamp(rows, time, timezone)) if time
            else F.lit(None).cast("date"))
-    rows = df.select(current.alias(CURRENT), base.alias(BASE), value.alias("v"),
-                     filled.alias("filled"), day.alias("day"))
-    # At most four groups per calendar day; sides are only unfolded after that.
-    daily = rows.groupBy("day", CURRENT, BASE).agg(
+    needed = rows.select(CURRENT, BASE, value.alias("v"),
+                         cleaning.source_present(measure).alias("filled"), day.alias("day"))
+    # At most three groups per calendar day; sides are only unfolded after that.
+    daily = needed.groupBy("day", CURRENT, BASE).agg(
         F.count(F.lit(1)).alias("n"), F.count_if("filled").alias("f"),
         F.count_if(F.col("filled") & F.col("v").isNull()).alias("bad"),
         F.count_if(F.col("v") < 0).alias("neg"))
-    inside = F.col(CURRENT) | F.col(BASE)
-    sides = F.filter(F.array(
-        F.lit("all"), F.when(inside, "scope"), F.when(F.col(CURRENT), "current"),
-        F.when(F.col(BASE), "base")), lambda s: s.isNotNull())
-    per = (daily.select(F.explode(sides).alias("side"), "day", "n", "f", "bad", "neg")
-           .groupBy("side").agg(
-               F.sum("n").alias("scope_rows"), F.sum("f").alias("filled"),
-               (F.sum("n") - F.sum("f")).alias("blank_rows"),
-               F.sum("bad").alias("parse_errors"), F.sum("neg").alias("negatives"),
-               F.count_distinct("day").alias("days")))
-    # Four rows at most: the whole table stands in for an empty scope.
-    has_scope = F.max(F.col("side") == "scope").over(W.partitionBy())
-    judged = per.withColumn("_has", has_scope).where((F.col("side") != "all") | ~F.col("_has"))
-    return judged.withColumn("side", F.when(F.col("side") == "all", "scope").otherwise(
-        F.col("side"))).drop("_has")
+    sides = F.filter(F.array(F.lit("scope"), F.when(F.col(CURRENT), "current"),
+                             F.when(F.col(BASE), "base")), lambda s: s.isNotNull())
+    return (daily.select(F.explode(sides).alias("side"), "day", "n", "f", "bad", "neg")
+            .groupBy("side").agg(
+                F.sum("n").alias("scope_rows"), F.sum("f").alias("filled"),
+                (F.sum("n") - F.sum("f")).alias("blank_rows"),
+                F.sum("bad").alias("parse_errors"), F.sum("neg").alias("negatives"),
+                F.count_distinct("day").alias("days")))
 
 
 def measure_quality(counts: DataFrame) -> DataFrame:

@@ -139,7 +139,8 @@ def concentration(facts: DataFrame, measure: Measure, dimension: str,
                   thresholds: Thresholds | None = None) -> DataFrame:
     """One row: identified members, coverage, top shares, members to 50 % and 80 %, status.
 
-    ``facts`` are member facts of the object dimension. Blank and null objects are unidentified.
+    ``facts`` are member facts of the object dimension, read several times: hand in a written copy
+    (``cut_lineage``) when they are expensive. Blank and null objects are unidentified.
     """
     limits = thresholds or Thresholds()
     mine = facts.where(F.col("measure_id") == measure.id)
