@@ -86,8 +86,9 @@ def _crossings(level: DataFrame, by: Sequence[str], order: str) -> DataFrame:
     moved = F.transform("_goals", lambda g: F.struct(
         g["goal"].alias("goal"), g["p"].alias("p"),
         (g["count"] + F.col("_pn")).alias("count"), (g["sum"] + F.col("_ps")).alias("sum")))
-    crossed = F.filter(moved, lambda g: (g["sum"] / F.col("_total") < g["p"]) & (
-        F.col("_last") | ((g["sum"] + F.col("_sum")) / F.col("_total") >= g["p"])))
+    total = F.nullif(F.col("_total"), F.lit(0.0))
+    crossed = F.filter(moved, lambda g: (g["sum"] / total < g["p"]) & (
+        F.col("_last") | ((g["sum"] + F.col("_sum")) / total >= g["p"])))
     return run.withColumn("_goals", crossed).where(F.size("_goals") > 0).drop("_pn", "_ps", "_last")
 
 
@@ -194,7 +195,7 @@ def pareto_curve(objects: DataFrame, name: str = "name", value: str = "value") -
                  running={"cumulative": value})
     return attach(run, total).select(
         name, value, "rank", "cumulative",
-        (F.col("cumulative") / F.col("_total") * 100).alias("cumulative_pct"))
+        (F.col("cumulative") / F.nullif(F.col("_total"), F.lit(0.0)) * 100).alias("cumulative_pct"))
 
 
 # --- row shapes --------------------------------------------------------------------------------
