@@ -23,6 +23,8 @@ from measureloom.operators.onerow import attach
 from measureloom.operators.scope import BASE, CURRENT, Lock, side_flags, tag
 
 FINDINGS = "severity string, code string, subject string, value double, threshold double"
+AXIS_QUALITY = ("measure_id string, candidate_rows bigint, usable_rows bigint, coverage_pct double, "
+                "bad_numerators bigint, bad_denominators bigint, reason_code string, status string")
 # Placeholder texts that do not count as a declared grain.
 _GRAIN_PLACEHOLDERS = ("填写业务粒度", "待填写", "TODO")
 
@@ -279,7 +281,7 @@ def axis_quality(df: DataFrame, measures: Sequence[Measure], lock: Lock, time: s
         aggs += [c.cast("bigint").alias(n) for c, n in zip(counts, names)]
         structs.append((m, names))
     if not structs:
-        return df.sparkSession.createDataFrame([], "measure_id string, status string")
+        return df.sparkSession.createDataFrame([], AXIS_QUALITY)
     one = rows.agg(*aggs)
     entries = []
     for m, (candidate, usable, top, bottom) in structs:

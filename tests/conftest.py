@@ -11,8 +11,11 @@ from measureloom.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, "4g")
+    session = local_session(8, "6g")
     session.conf.set("spark.sql.shuffle.partitions", "4")
+    # Tables here have a handful of rows: compiling code would cost more than running it.
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
     yield session
 
 
