@@ -79,12 +79,12 @@ _NUMBER_WORDS = ("一二三四", "1234")
 _CANONICAL = r"^(\d{4})(?:-(\d{1,2}))?(?:([QHWX])(\d{1,2}))?$"
 _RANGE = r"^(\d{4}-\d{1,2}-\d{1,2})(?:\.\.|~|至)(\d{4}-\d{1,2}-\d{1,2})$"
 # Fixed value: a label that matches this was never filled in.
-_PLACEHOLDER = r"(?i)^(|auto|latest|最新|自动)$|填写|示例|待填|yyyy"
+PLACEHOLDER = r"(?i)^(|auto|latest|最新|自动)$|填写|示例|待填|yyyy"
 
 
 def is_placeholder(label: Column) -> Column:
     """True for an empty or template label, which asks for the latest year to date."""
-    return F.coalesce(F.trim(label).rlike(_PLACEHOLDER), F.lit(True))
+    return F.coalesce(F.trim(label).rlike(PLACEHOLDER), F.lit(True))
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -110,11 +111,9 @@ def resolve(df: DataFrame, scope: Scope, time: str | None) -> Lock:
         far = dt.date(9999, 12, 31)
         return Lock("snapshot", "snapshot", dt.date(1, 1, 1), far, far, None, None, "none",
                     "snapshot")
-    spark = df.sparkSession
-    open_period = not (scope.period or "").strip() or spark.range(1).select(
-        cal.is_placeholder(F.lit(scope.period))).head()[0]
+    open_period = re.search(cal.PLACEHOLDER, (scope.period or "").strip()) is not None
     known = last_day(df, time, scope.timezone) if open_period else None
-    row = lock_frame(spark, scope, known).head()
+    row = lock_frame(df.sparkSession, scope, known).head()
     if row["start"] is None:
         raise ValueError(f"period {scope.period!r} cannot be resolved")
     end = row["end"] or row["requested_end"]

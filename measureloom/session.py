@@ -24,6 +24,7 @@ def local_session(threads: int | str = 8, memory: str = "8g") -> SparkSession:
         SparkSession.builder.master(f"local[{threads}]").appName("measureloom")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(threads)))
     for key, value in SETTINGS.items():
