@@ -159,11 +159,12 @@ def _by_role(rows: DataFrame, dims: Sequence[str], measure: Measure) -> DataFram
     keyed = (roles(rows).select("period_role", F.explode(F.array(*members)).alias("d"), *needed)
              .select("period_role", "d.dimension", "d.name", *needed))
     keys = ["period_role", "dimension", "name"]
-    seen = keyed.groupBy(*keys).agg(F.lit(True).alias("_seen")) if (
-        measure.aggregation == "median" or measure.time_aggregation) else None
     value = aggregate(keyed, keys, measure)
-    if seen is not None:
-        value = seen.join(value, keys, "left").drop("_seen")
+    two_axis = measure.time_aggregation and DAY in rows.columns
+    if (measure.within_day if two_axis else measure.aggregation) == "median":
+        # Quantiles leave out members without any readable value; they still are members.
+        present = keyed.groupBy(*keys).agg(F.lit(True).alias("_seen"))
+        value = present.join(value, keys, "left").drop("_seen")
     is_current = F.col("period_role") == "current"
     return (value.groupBy("dimension", "name").agg(
                 F.max(F.when(is_current, F.col("value"))).alias("current"),
@@ -229,12 +230,10 @@ def distribution(df: DataFrame, measures: Sequence[Measure], lock: Lock, time: s
     tidy = rows.select(*by, F.explode(pieces).alias("m")).select(*by, "m.*").where(
         F.col("value").isNotNull())
     keys = [*by, "measure_id"]
-    simple = tidy.groupBy(*keys).agg(
-        F.count("value").alias("count"), F.min("value").alias("min"),
-        F.max("value").alias("max"), F.avg("value").alias("mean"))
-    quartiles = exact_quantiles(tidy, keys, "value", {"p25": 0.25, "median": 0.5, "p75": 0.75})
-    return simple.join(quartiles, keys).select(
-        *keys, "count", "min", "p25", "median", "p75", "max", "mean")
+    summary = exact_quantiles(
+        tidy, keys, "value", {"min": 0.0, "p25": 0.25, "median": 0.5, "p75": 0.75, "max": 1.0},
+        summary=True)
+    return summary.select(*keys, "count", "min", "p25", "median", "p75", "max", "mean")
 
 
 def monthly_series(df: DataFrame, measures: Sequence[Measure], time: str,

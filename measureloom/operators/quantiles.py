@@ -50,11 +50,12 @@ def _hits(counted: DataFrame, by: Sequence[str], order: str) -> DataFrame:
     return run.withColumn("_ranks", moved).where(F.size("_ranks") > 0).drop("_to")
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
-                    probs: dict[str, float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
+                    summary: bool = False) -> DataFrame:
     """Interpolated quantiles of ``value`` per key; one output column per name in ``probs``.
 
-    Null values are ignored, keys without any value are absent.
+    Null values are ignored, keys without any value are absent. ``summary`` adds ``count`` and
+    ``mean`` from the same scan.
     """
     keys = list(keys)
     safe = [f"_k{i}" for i in range(len(keys))] or ["_k0"]
@@ -67,8 +68,11 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
              .withColumn("_b", bucket(F.col("_v"))))
 
     coarse = pairs.groupBy(*safe, "_b").agg(
-        F.sum("_c").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
-    coarse = coarse.withColumn("_total", F.sum("_n").over(W.partitionBy(*safe)))
+        F.sum("_c").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"),
+        F.sum(F.col("_v") * F.col("_c")).alias("_sum"))
+    whole = W.partitionBy(*safe)
+    coarse = coarse.withColumn("_total", F.sum("_n").over(whole)).withColumn(
+        "_mean", F.sum("_sum").over(whole) / F.col("_total"))
     ends = []
     for p in probs.values():
         at = (F.col("_total") - 1) * F.lit(float(p))
@@ -77,21 +81,23 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
         F.array_distinct(F.array(*ends)),
         lambda r: F.struct(r.alias("rank"), r.alias("left"))))
     coarse = _hits(coarse, safe, "_b").select(
-        *safe, "_b", "_low", "_high", "_ranks", "_total")
+        *safe, "_b", "_low", "_high", "_ranks", "_total", "_mean")
 
     sliced = (pairs.join(coarse, [*safe, "_b"])
               .withColumn("_s", slice_of(F.col("_v"), F.col("_low"), F.col("_high")))
               .groupBy(*safe, "_b", "_s")
               .agg(F.sum("_c").alias("_n"), F.min("_v").alias("_from"), F.max("_v").alias("_upto"),
-                   F.first("_ranks").alias("_ranks"), F.first("_total").alias("_total")))
+                   F.first("_ranks").alias("_ranks"), F.first("_total").alias("_total"),
+                   F.first("_mean").alias("_mean")))
     sliced = _hits(sliced, [*safe, "_b"], "_s").select(
-        *safe, "_b", "_s", "_from", "_upto", "_ranks", "_total")
+        *safe, "_b", "_s", "_from", "_upto", "_ranks", "_total", "_mean")
 
     fine = (pairs.join(sliced, [*safe, "_b"])
             .where(F.col("_v").between(F.col("_from"), F.col("_upto")))
-            .select(*safe, *keys, "_b", "_s", F.col("_c").alias("_n"), "_v", "_ranks", "_total"))
+            .select(*safe, *keys, "_b", "_s", F.col("_c").alias("_n"), "_v", "_ranks", "_total",
+                    "_mean"))
     found = _hits(fine, [*safe, "_b", "_s"], "_v").select(
-        *safe, *keys, "_v", "_total", F.explode("_ranks.rank").alias("_rank"))
+        *safe, *keys, "_v", "_total", "_mean", F.explode("_ranks.rank").alias("_rank"))
 
     out = []
     for name, p in probs.items():
@@ -100,5 +106,6 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
         high = F.max(F.when(F.col("_rank") == F.ceil(at), F.col("_v")))
         part = F.first(at - F.floor(at))
         out.append((low + (high - low) * part).alias(name))
-    result = found.groupBy(*safe, *keys).agg(*out)
-    return result.select(*keys, *probs)
+    extra = {"count": F.first("_total"), "mean": F.first("_mean")} if summary else {}
+    result = found.groupBy(*safe, *keys).agg(*out, *[c.alias(n) for n, c in extra.items()])
+    return result.select(*keys, *probs, *extra)

@@ -105,15 +105,20 @@ def last_day(df: DataFrame, time: str, timezone: str | None = None) -> DataFrame
     return df.agg(F.to_date(F.max(cleaning.timestamp(df, time, timezone))).alias("last_day"))
 
 
+def lock_row(df: DataFrame, scope: Scope, time: str) -> DataFrame:
+    """The lock of a scope on a table; its last day is only looked up for an open period."""
+    open_period = re.search(cal.PLACEHOLDER, (scope.period or "").strip()) is not None
+    known = last_day(df, time, scope.timezone) if open_period else None
+    return lock_frame(df.sparkSession, scope, known)
+
+
 def resolve(df: DataFrame, scope: Scope, time: str | None) -> Lock:
     """The lock as literals. Reads the data only to infer an open period; collects one row."""
     if scope.mode == "snapshot" or time is None:
         far = dt.date(9999, 12, 31)
         return Lock("snapshot", "snapshot", dt.date(1, 1, 1), far, far, None, None, "none",
                     "snapshot")
-    open_period = re.search(cal.PLACEHOLDER, (scope.period or "").strip()) is not None
-    known = last_day(df, time, scope.timezone) if open_period else None
-    row = lock_frame(df.sparkSession, scope, known).head()
+    row = lock_row(df, scope, time).head()
     if row["start"] is None:
         raise ValueError(f"period {scope.period!r} cannot be resolved")
     end = row["end"] or row["requested_end"]

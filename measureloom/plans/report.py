@@ -91,8 +91,7 @@ def build_report(df: DataFrame, contract: Contract, baseline: DataFrame | None =
         found.append(quality.findings(
             spark, [("error", "period_without_time_column", str(roles.time), None, None)]))
     if period:
-        known = scope.last_day(df, time, timezone)
-        lock_row = scope.lock_frame(spark, contract.scope, known)
+        lock_row = scope.lock_row(df, contract.scope, time)
         found += [quality.time_gates(df, time, timezone, limits),
                   quality.cutoff_gate(lock_row, contract.scope.allow_inferred_period)]
     if contract.schema is not None:
@@ -102,15 +101,14 @@ def build_report(df: DataFrame, contract: Contract, baseline: DataFrame | None =
     if roles.id in df.columns:
         found.append(quality.repeated_ids(df, roles.id))
 
-    scoped_time = time if period else None
     empty_scope = period and scope.tag(df, lock, time, timezone).isEmpty()
-    counts = cut_lineage(quality.scope_counts(df, primary, lock, scoped_time, timezone,
+    counts = cut_lineage(quality.scope_counts(df, primary, lock, time, timezone,
                                               judge_all=empty_scope))
     found += [quality.measure_gates(counts, primary, limits),
               quality.duplicate_gate(
-                  quality.duplicate_rows(df, primary, lock, scoped_time, timezone), limits),
+                  quality.duplicate_rows(df, primary, lock, time, timezone), limits),
               quality.axis_gate(
-                  quality.axis_quality(df, measures, lock, scoped_time, timezone), measures)]
+                  quality.axis_quality(df, measures, lock, time, timezone), measures)]
     if period:
         found.append(quality.empty_current(counts))
     if contract.expected_observations and period:
@@ -119,7 +117,7 @@ def build_report(df: DataFrame, contract: Contract, baseline: DataFrame | None =
 
     dims = [d for d in dict.fromkeys(
         [*roles.dimensions, roles.product, roles.customer]) if d in df.columns]
-    facts = cut_lineage(aggregate.member_facts(df, measures, dims, lock, scoped_time, timezone))
+    facts = cut_lineage(aggregate.member_facts(df, measures, dims, lock, time, timezone))
     raw_totals = compare.total_comparison(facts, measures)
     if period:
         found.append(quality.baseline_gate(counts, raw_totals, primary, lock))
@@ -155,7 +153,7 @@ def build_report(df: DataFrame, contract: Contract, baseline: DataFrame | None =
     late.append(quality.findings(
         spark, [("error", "reference_id_repeated", i, None, None) for i in sorted(repeated)]))
     refs = list({r.id: r for r in reversed(refs)}.values())[::-1]
-    fields = references.field_references(df, refs, lock, scoped_time, timezone)
+    fields = references.field_references(df, refs, lock, time, timezone)
     records = references.evaluate_references(refs, totals, measures, fields)
     late.append(records.where(F.col("status") == "BLOCKED").select(
         F.lit("warning").alias("severity"), F.lit("reference_blocked").alias("code"),
@@ -178,7 +176,7 @@ def build_report(df: DataFrame, contract: Contract, baseline: DataFrame | None =
         concentration = shape.concentration(open_facts, primary, roles.customer, limits)
     return Report(
         contract, measures, lock, findings, quality.status(findings), facts, totals, rows,
-        aggregate.distribution(df, measures, lock, scoped_time, timezone), records,
+        aggregate.distribution(df, measures, lock, time, timezone), records,
         references.group_references(refs, open_facts, measures),
         stats.method_applicability(declared, series, pvm, measures, not period),
         lock_row, series, matrix, pvm, concentration, snapshot, drift)
