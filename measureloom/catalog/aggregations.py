@@ -134,7 +134,7 @@ _MIXED = (REVENUE, AVG_PRICE, MEDIAN_PRICE, MIN_PRICE, MAX_PRICE, LINES, PRICE_P
        f"WITH {SALES}, {facts_sql([m.id for m in _MIXED], ('region', 'segment'))} {_FACTS}")
 def e11_every(spark, d):
     df = sales(spark, d)
-    return a.member_facts(df, _MIXED, ("region", "segment"), lock_of(df), TIME)
+    return a.member_facts(df, _MIXED, ("region", "segment"), lock_of(df), TIME, write_once=True)
 
 
 @query("e12_distribution", f"""WITH {SALES}, v AS (

@@ -20,6 +20,7 @@ from measureloom.functions import cleaning
 from measureloom.operators.onerow import attach
 from measureloom.operators.quantiles import exact_quantiles
 from measureloom.operators.scope import BASE, CURRENT, Lock, roles, tag
+from measureloom.session import cut_lineage
 
 COMBINABLE = ("sum", "mean", "weighted_mean", "min", "max", "count", "ratio")
 DAY = "_day"
@@ -184,20 +185,28 @@ def scoped_rows(df: DataFrame, measures: Sequence[Measure], dims: Sequence[str],
 
 
 def member_facts(df: DataFrame, measures: Sequence[Measure], dims: Sequence[str], lock: Lock,
-                 time: str | None, timezone: str | None = None) -> DataFrame:
+                 time: str | None, timezone: str | None = None,
+                 write_once: bool = False) -> DataFrame:
     """(measure_id, dimension, name, current, baseline, in_current, in_base) for every member.
 
     The grand total is the member ``(total)`` of dimension ``(total)``. Null members are a group.
+    With ``write_once`` the projected rows of the scope are written before more than one plan
+    reads them, which pays when ``df`` is an expensive join.
     """
     has_day = time is not None
     light = [m for m in measures if _single_pass(m, has_day)]
     heavy = [m for m in measures if not _single_pass(m, has_day)]
-    parts = []
-    if light:
-        rows = scoped_rows(df, light, dims, lock, time, timezone).drop(DAY)
-        parts.append(_sided(rows, dims, light))
-    for m in heavy:
-        parts.append(_by_role(scoped_rows(df, [m], dims, lock, time, timezone), dims, m))
+    written = None
+    if write_once and len(heavy) + bool(light) > 1:
+        written = cut_lineage(scoped_rows(df, measures, dims, lock, time, timezone))
+
+    def rows_of(chosen: Sequence[Measure]) -> DataFrame:
+        if written is not None:
+            return written
+        return scoped_rows(df, chosen, dims, lock, time, timezone)
+
+    parts = [_sided(rows_of(light).drop(DAY), dims, light)] if light else []
+    parts += [_by_role(rows_of([m]), dims, m) for m in heavy]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -117,7 +117,8 @@ def build_report(df: DataFrame, contract: Contract, baseline: DataFrame | None =
 
     dims = [d for d in dict.fromkeys(
         [*roles.dimensions, roles.product, roles.customer]) if d in df.columns]
-    facts = cut_lineage(aggregate.member_facts(df, measures, dims, lock, time, timezone))
+    facts = cut_lineage(aggregate.member_facts(
+        df, measures, dims, lock, time, timezone, write_once=True))
     raw_totals = compare.total_comparison(facts, measures)
     if period:
         found.append(quality.baseline_gate(counts, raw_totals, primary, lock))
