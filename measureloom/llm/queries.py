@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, secrets
+from . import decontaminate, jaccard_join, mixing, secrets, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,18 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         secrets.of_kind(F.col("spans"), "entropy").alias("n_entropy"),
         F.sha2(secrets.joined(F.col("spans"), base_only=True), 256).alias("base_sha256"),
         secrets.joined(F.col("spans")).alias("spans"))
+
+
+@query
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn to 98 % of the highest entropy of sources, at most four passes over any."""
+    drawn = mixing.mix(table(spark, sf_dir, "documents"), target_entropy=0.98, max_repeats=4.0)
+    return drawn.select("doc_id", "source", "n_tokens", "epoch", "block", "place")
+
+
+@query
+def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by the chain fitted on the labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", "p_insult", "p_contempt", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))
