@@ -32,6 +32,8 @@ LONGEST_WORD = 40
 #: Beginnings of words, in characters, that are features beside the words: toxic stems take endings.
 STEMS = (4, 5, 6, 7, 8)
 FOLDS = 3
+#: Probability of the last category from which a text is toxic.
+THRESHOLD = 0.4
 
 # Seed words that split the toxic rows into the first categories of the chain.
 INSULTS = ("clown", "fool", "idiot", "imbecile", "jerk", "loser", "moron", "scum", "trash", "vermin")
@@ -205,7 +207,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
         run, ", ".join([f"id {kind}", *[f"{c} double" for c in names[1:]]])).withColumnRenamed("id", id_col)
 
 
-def keep_clean(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+def keep_clean(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents, all columns as they were, whose last category stays below the threshold."""
     words = chain.words
     at = docs.columns.index(text_col)
