@@ -34,6 +34,10 @@ LOCAL_FREQUENT, FREQUENT = 4, 24
 RANKED = 150_000
 #: Members from which a list is handled by leaders instead of all its pairs.
 LONG_LIST = 40
+#: Bins of the histogram of hashes that bounds the intersection of two sets from above.
+BINS = 32
+#: Members of one leader that are verified in one group.
+STAR = 256
 #: Postings in one range of shingles, the unit of a reducing task.
 RANGE = 1_500_000
 #: Sizes the boundary may reach: subsets of larger sets are too many to enumerate.
@@ -74,6 +78,19 @@ def set_id(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes())).view(np.int64))
 
 
+def histogram_of(shingles: np.ndarray) -> bytes:
+    """Counts of the hashes by bin, at most 255 each; 255 stands for any larger count."""
+    counts = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def _possible(x: np.ndarray, y: np.ndarray, na, nb, percent: int) -> np.ndarray:
+    """Whether histograms leave room for the overlap a link needs; a full bin leaves all room."""
+    low = np.minimum(x, y)
+    bound = low.sum(1, dtype=np.int64)
+    return (low == 255).any(1) | ((100 + percent) * bound >= percent * (na + nb))
+
+
 def _texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
@@ -143,9 +160,9 @@ def postings(docs: DataFrame, text_col: str, width: int, percent: int, light: in
                 if n <= light:
                     keys = [_subset_key(c, a, b) for a, b, k in plans[n] if k <= n
                             for c in itertools.combinations(s.tolist(), k)]
-                    sure.add(np.array(keys, np.uint64), sid, n)
+                    sure.add(np.array(keys, np.uint64), sid, n, b"")
                 if n >= least_listed:
-                    listed.add(_ordered(s, frequent, counts)[:n - smallest(n, percent) + 1], sid, n)
+                    listed.add(_ordered(s, frequent, counts)[:n - smallest(n, percent) + 1], sid, n, histogram_of(s))
                 for packer, flag in ((listed, False), (sure, True)):
                     if packer.held > RANGE:
                         yield from packer.flush(flag)
@@ -155,7 +172,7 @@ def postings(docs: DataFrame, text_col: str, width: int, percent: int, light: in
             yield from packer.flush(flag)
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(
-        run, "range int, sure boolean, tokens binary, who binary, place binary, sids binary, sizes binary")
+        run, "range int, sure boolean, tokens binary, who binary, place binary, sids binary, sizes binary, bins binary")
 
 
 def _subset_key(members: tuple[int, ...], a: int, b: int) -> int:
@@ -181,13 +198,14 @@ class _Packer:
         self.clear()
 
     def clear(self) -> None:
-        self.tokens, self.lengths, self.sids, self.sizes, self.held = [], [], [], [], 0
+        self.tokens, self.lengths, self.sids, self.sizes, self.bins, self.held = [], [], [], [], [], 0
 
-    def add(self, tokens: np.ndarray, sid: int, n: int) -> None:
+    def add(self, tokens: np.ndarray, sid: int, n: int, bins: bytes) -> None:
         self.tokens.append(tokens)
         self.lengths.append(len(tokens))
         self.sids.append(sid)
         self.sizes.append(n)
+        self.bins.append(bins)
         self.held += len(tokens)
 
     def flush(self, sure: bool) -> Iterator[pa.RecordBatch]:
@@ -197,6 +215,7 @@ class _Packer:
         who = np.repeat(np.arange(len(lengths), dtype=np.uint32), lengths)
         place = (np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.uint32)
         sids, sizes = np.array(self.sids, np.int64), np.array(self.sizes, np.uint32)
+        bins = np.frombuffer(b"".join(self.bins), np.uint8).reshape(len(sids), -1)
         self.clear()
         part = (mix(tokens) % np.uint64(self.ranges)).astype(np.int32)
         order = np.argsort(part, kind="stable")
@@ -208,71 +227,90 @@ class _Packer:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r], pa.int32()), pa.array([sure])] + [
                         pa.array([x.tobytes()], pa.binary()) for x in (
-                            tokens[rows], local.astype(np.uint32), place[rows], sids[used], sizes[used])],
-                    ["range", "sure", "tokens", "who", "place", "sids", "sizes"])
+                            tokens[rows], local.astype(np.uint32), place[rows], sids[used], sizes[used], bins[used])],
+                    ["range", "sure", "tokens", "who", "place", "sids", "sizes", "bins"])
 
 
-PAIRS = "kind int, token bigint, a bigint, b bigint, n bigint, place bigint"
+PAIRS = "kind int, token bigint, a bigint, b bigint, n bigint, place bigint, bins binary"
 
 
 def _candidates(percent: int, light: int):
     """Of one range: proven links (kind 0), pairs to verify (kind 1), members of long lists (kind 2)."""
 
     def run(table: pa.Table) -> pa.Table:
-        out: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        links, pairs, lists = [], [], []
         for sure in (True, False):
             rows = [r for r in table.to_pylist() if r["sure"] == sure]
             if not rows:
                 continue
             known = [np.frombuffer(r["sids"], np.int64) for r in rows]
             base = np.cumsum([0] + [len(k) for k in known])
-            sids, dense = np.unique(np.concatenate(known), return_inverse=True)
-            sizes = np.empty(len(sids), np.int64)
-            sizes[dense] = np.concatenate([np.frombuffer(r["sizes"], np.uint32) for r in rows])
+            sids, first, dense = np.unique(np.concatenate(known), return_index=True, return_inverse=True)
+            sizes = np.concatenate([np.frombuffer(r["sizes"], np.uint32) for r in rows])[first].astype(np.int64)
             tokens = np.concatenate([np.frombuffer(r["tokens"], np.uint64) for r in rows])
             who = dense[np.concatenate([np.frombuffer(r["who"], np.uint32) + b
                                         for r, b in zip(rows, base[:-1], strict=True)])]
             place = np.concatenate([np.frombuffer(r["place"], np.uint32) for r in rows]).astype(np.int64)
+            bins = None if sure else np.concatenate(
+                [np.frombuffer(r["bins"], np.uint8).reshape(-1, BINS) for r in rows])[first]
             del rows
             tokens, who, place, starts = _lists(tokens, who, place)
-            lengths = np.diff(starts)
-            none = np.zeros(0, np.int64)
             if sure:
                 for at, end in itertools.pairwise(starts.tolist()):
                     w = who[at:end]
                     n = sizes[w]
                     # A subset for two sizes proves links between them only, one for equal sizes among all.
                     if n.min() < n.max() or int(tokens[at]) & 1:
-                        out.append((0, none, np.full(len(w) - 1, sids[w[0]]), sids[w[1:]], none, none))
+                        links.append(np.stack([np.full(len(w) - 1, sids[w[0]]), sids[w[1:]]], 1))
                 continue
+
+            def keep(left, right, who=who, place=place, sizes=sizes, bins=bins, sids=sids) -> None:
+                a, b = who[left], who[right]
+                good = np.maximum(sizes[a], sizes[b]) > light
+                good &= _viable(sizes[a], place[left], sizes[b], place[right], percent)
+                a, b = a[good], b[good]
+                good = _possible(bins[a], bins[b], sizes[a], sizes[b], percent)
+                pairs.append(np.stack([sids[a[good]], sids[b[good]]], 1))
+
+            lengths = np.diff(starts)
             short = lengths <= LONG_LIST
             for m in np.unique(lengths[short]).tolist():
                 at = starts[:-1][short & (lengths == m)]
                 i, j = np.triu_indices(m, 1)
-                step = max(1, 2_000_000 // len(i))
+                step = max(1, 500_000 // len(i))
                 for k in range(0, len(at), step):
-                    left = (at[k:k + step, None] + i).ravel()
-                    right = (at[k:k + step, None] + j).ravel()
-                    good = _viable(sizes[who[left]], place[left], sizes[who[right]], place[right], percent)
-                    good &= np.maximum(sizes[who[left]], sizes[who[right]]) > light
-                    out.append((1, none, sids[who[left[good]]], sids[who[right[good]]], none, none))
+                    keep((at[k:k + step, None] + i).ravel(), (at[k:k + step, None] + j).ravel())
             for k in np.flatnonzero(~short).tolist():
                 span = np.arange(starts[k], starts[k + 1])
                 span = span[np.argsort(sizes[who[span]], kind="stable")]
-                n, p = sizes[who[span]], place[span]
-                lead = 0
+                n, lead = sizes[who[span]], 0
                 while lead < len(span):
                     end = int(np.searchsorted(n, n[lead] * 100 // percent, side="right"))
-                    band = np.arange(lead + 1, end)
-                    good = band[_viable(n[lead], p[lead], n[band], p[band], percent) & (n[band] > light)]
-                    out.append((1, none, np.full(len(good), sids[who[span[lead]]]), sids[who[span[good]]], none, none))
+                    keep(np.full(end - lead - 1, span[lead]), span[lead + 1:end])
                     lead = end
-                out.append((2, np.full(len(span), tokens[starts[k]].view(np.int64)), sids[who[span]], none, n, p))
-        return _packed(out)
+                lists.append((np.full(len(span), tokens[starts[k]].view(np.int64)), sids[who[span]], n, place[span],
+                              bins[who[span]]))
+        return _packed(links, pairs, lists)
 
     return run
 
 
+def _packed(links, pairs, lists) -> pa.Table:
+    out = []
+    for kind, found in enumerate((links, pairs)):
+        both = np.sort(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=1)
+        both = both[np.lexsort((both[:, 1], both[:, 0]))]
+        both = both[np.r_[True, (both[1:] != both[:-1]).any(1)]] if len(both) else both
+        n, none = len(both), pa.nulls(len(both), pa.int64())
+        out.append([pa.array(np.full(n, kind, np.int32)), none, pa.array(both[:, 0]), pa.array(both[:, 1]), none, none,
+                    pa.nulls(n, pa.binary())])
+    for token, a, n, place, bins in lists:
+        out.append([pa.array(np.full(len(a), 2, np.int32)), pa.array(token), pa.array(a), pa.nulls(len(a), pa.int64()),
+                    pa.array(n), pa.array(place), pa.array([b.tobytes() for b in bins], pa.binary())])
+    names = [c.split()[0] for c in PAIRS.split(", ")]
+    return pa.concat_tables([pa.table(dict(zip(names, c, strict=True))) for c in out])
+
+
 def _lists(tokens, who, place):
     """Entries of tokens held by two sets or more, by token; the bounds of the lists."""
     order = np.argsort(tokens, kind="stable")
@@ -298,61 +336,61 @@ def _viable(na, pa_, nb, pb, percent: int):
     return fits & ((100 + percent) * np.minimum(na - pa_, nb - pb) >= percent * (na + nb))
 
 
-def _packed(parts) -> pa.Table:
-    kinds, tokens, a, b, n, place = [], [], [], [], [], []
-    pairs: dict[int, list] = {0: [], 1: []}
-    for kind, t, x, y, size, p in parts:
-        if kind == 2:
-            kinds.append(np.full(len(x), 2, np.int32))
-            tokens.append(t), a.append(x), b.append(np.zeros(len(x), np.int64)), n.append(size), place.append(p)
-        elif len(x):
-            pairs[kind].append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
-    for kind, found in pairs.items():
-        if found:
-            both = np.concatenate(found)
-            both = both[np.lexsort((both[:, 1], both[:, 0]))]
-            both = both[np.r_[True, (both[1:] != both[:-1]).any(1)]]
-            zero = np.zeros(len(both), np.int64)
-            kinds.append(np.full(len(both), kind, np.int32))
-            tokens.append(zero), a.append(both[:, 0]), b.append(both[:, 1]), n.append(zero), place.append(zero)
-    cat = lambda x, t: np.concatenate([np.zeros(0, t), *x]).astype(t)
-    return pa.table({"kind": cat(kinds, np.int32), "token": cat(tokens, np.int64), "a": cat(a, np.int64),
-                     "b": cat(b, np.int64), "n": cat(n, np.int64), "place": cat(place, np.int64)})
-
-
-def sets_of(docs: DataFrame, sids: DataFrame, members: DataFrame, id_col: str, text_col: str,
-            width: int) -> DataFrame:
-    """(sid, shingles) of the wanted sets, read from one document each."""
-    wanted = members.join(sids, "sid", "left_semi").groupBy("sid").agg(F.min("id").alias("id"))
-    wanted = reliable(wanted.select(F.col("id").alias("_wanted")).distinct())
-    few = wanted.count() <= BROADCAST_ROWS
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    chosen = chosen.join(F.broadcast(wanted) if few else wanted,
-                         F.col("id").eqNullSafe(F.col("_wanted")), "left_semi")
+def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, id_col: str, text_col: str,
+             width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of sets whose similarity is high enough.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+    Each pair is checked in the group of its first set, the leader, which many-paired leaders have
+    several of. Sets are read from one document each, and travel once per group that needs them.
+    """
+    spans = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
+    led = pairs.join(spans, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
+    roles = led.select(F.col("b").alias("sid"), F.col("a").alias("lead"), "salt").unionAll(
+        led.select(F.col("a").alias("sid"), F.col("a").alias("lead"), "salt").distinct())
+    known = members.join(roles.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("id").alias("_wanted"))
+    roles = reliable(roles.join(known, "sid").select("sid", "lead", "salt", "_wanted"))
+    few = roles.count() <= BROADCAST_ROWS
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(
+        F.broadcast(roles) if few else roles, F.col("id").eqNullSafe(F.col("_wanted"))).select(
+        "text", "sid", "lead", "salt")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, text, s, own = WordHashes(), None, None, None
         for batch in batches:
-            found = [shingle_set(t, hashes, width) for t in _texts(batch.column(0))]
-            found = [s for s in found if len(s)]
-            ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
-            flat = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([set_id(s) for s in found], pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["sid", "shingles"])
+            rows, raw = [], []
+            wanted = batch.column(1).to_pylist()
+            for k, t in enumerate(_texts(batch.column(0))):
+                if s is None or t != text:
+                    text, s = t, shingle_set(t, hashes, width)
+                    own = set_id(s)
+                if own == wanted[k]:  # a repeated id may have brought another text
+                    rows.append(k)
+                    raw.append(s.tobytes())
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in (1, 2, 3)], pa.array(raw, pa.binary())],
+                                             ["sid", "lead", "salt", "shingles"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leader, place = None, None
+        for batch in batches:
+            a, b = [], []
+            for sid, lead, salt, raw in zip(*[c.to_pylist() for c in batch.columns[:4]], strict=True):
+                s = np.frombuffer(raw, np.uint64)
+                if sid == lead:
+                    leader, place = s, (lead, salt)
+                    continue
+                if place != (lead, salt):
+                    raise RuntimeError("a group has no leader")
+                at = np.minimum(np.searchsorted(leader, s), len(leader) - 1)
+                same = int((leader[at] == s).sum())
+                if same * (100 + percent) >= percent * (len(leader) + len(s)):
+                    a.append(lead)
+                    b.append(sid)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return chosen.select("text").mapInArrow(run, "sid bigint, shingles array<bigint>")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, id_col: str, text_col: str,
-             width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of sets whose similarity is high enough."""
-    sids = pairs.select(F.col("a").alias("sid")).unionAll(pairs.select(F.col("b").alias("sid"))).distinct()
-    sets = sets_of(docs, sids, members, id_col, text_col, width)
-    both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("_x")), "a").join(
-        sets.select(F.col("sid").alias("b"), F.col("shingles").alias("_y")), "b")
-    same = F.size(F.array_intersect("_x", "_y"))
-    return both.where(same * (100 + percent) >= percent * (F.size("_x") + F.size("_y"))).select("a", "b").distinct()
+    found = chosen.mapInArrow(sets, "sid bigint, lead bigint, salt int, shingles binary")
+    found = found.repartition("lead", "salt").sortWithinPartitions("lead", "salt", F.col("sid") != F.col("lead"))
+    return found.mapInArrow(check, "a bigint, b bigint").distinct()
 
 
 def apart(lists: DataFrame, roots: DataFrame, percent: int, light: int) -> DataFrame:
@@ -360,19 +398,27 @@ def apart(lists: DataFrame, roots: DataFrame, percent: int, light: int) -> DataF
     now = lists.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").withColumn(
         "root", F.coalesce("root", "a"))
     mixed = now.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    open_ = reliable(now.join(mixed.select("token"), "token", "left_semi").select("token", "a", "n", "place", "root"))
+    open_ = reliable(now.join(mixed.select("token"), "token", "left_semi").select(
+        "token", "a", "n", "place", "root", "bins"))
     # Members of the largest component of a list need no comparison among themselves: the others meet them.
     sizes = open_.groupBy("token", "root").count()
     main = sizes.groupBy("token").agg(F.max_by("root", "count").alias("main"))
-    tagged = open_.join(main, "token")
-    left = tagged.where("root != main").drop("main")
-    right = open_.select("token", *[F.col(c).alias(f"{c}_2") for c in ("a", "n", "place", "root")])
+    left = open_.join(main, "token").where("root != main").drop("main")
+    right = open_.select("token", *[F.col(c).alias(f"{c}_2") for c in ("a", "n", "place", "root", "bins")])
     fits = 100 * F.least("n", "n_2") >= percent * F.greatest("n", "n_2")
     reach = (100 + percent) * F.least(F.col("n") - F.col("place"), F.col("n_2") - F.col("place_2")) \
         >= percent * (F.col("n") + F.col("n_2"))
-    return left.join(right, "token").where(
-        (F.col("root") != F.col("root_2")) & fits & reach & (F.greatest("n", "n_2") > light)).select(
-        F.least("a", "a_2").alias("a"), F.greatest("a", "a_2").alias("b")).distinct()
+    both = left.join(right, "token").where(
+        (F.col("root") != F.col("root_2")) & fits & reach & (F.greatest("n", "n_2") > light))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in (4, 5))
+            good = _possible(x, y, batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(good))
+
+    return both.select(F.least("a", "a_2").alias("a"), F.greatest("a", "a_2").alias("b"), "n", "n_2", "bins", "bins_2"
+                       ).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
@@ -400,19 +446,33 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     packed = postings(docs, text_col, width, percent, light, ranges, ranked)
     found = reliable(packed.repartition(ranges, "range").groupBy("range").applyInArrow(
         _candidates(percent, light), PAIRS))
-    sure = found.where("kind = 0").select("a", "b")
+    proven = found.where("kind = 0").select("a", "b")
     pairs = reliable(found.where("kind = 1").select("a", "b").distinct())
-    links = reliable(verified(pairs, docs, members, id_col, text_col, width, percent).unionAll(sure))
+    lists = found.where("kind = 2").select("token", "a", "n", "place", "bins")
+
+    def check(some: DataFrame) -> DataFrame:
+        return verified(some, docs, members, id_col, text_col, width, percent)
+
+    # First one pair for each set: groups of copies join by as many comparisons as they have members.
+    one = reliable(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    links = reliable(check(one).unionAll(proven))
     roots = components(links)
-    lists = found.where("kind = 2").select("token", "a", "n", "place")
-    if not lists.isEmpty():
-        rest = reliable(apart(lists, roots, percent, light).join(pairs, ["a", "b"], "left_anti"))
-        if not rest.isEmpty():
-            more = verified(rest, docs, members, id_col, text_col, width, percent)
-            roots = components(links.unionAll(more))
+    # Then what is still apart: other pairs, and members of long lists that their leaders did not link.
+    rest = between(pairs, roots).unionAll(apart(lists, roots, percent, light)).distinct().join(one, ["a", "b"], "left_anti")
+    rest = reliable(rest)
+    if not rest.isEmpty():
+        roots = components(links.unionAll(check(rest)))
     return _ids(members, roots).withColumnRenamed("id", id_col)
 
 
+def between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs whose ends are in different components."""
+    left = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+    right = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    return pairs.join(left, "a", "left").join(right, "b", "left").where(
+        F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
 def _ids(members: DataFrame, roots: DataFrame) -> DataFrame:
     rooted = members.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn(
         "root", F.coalesce("root", "sid"))
