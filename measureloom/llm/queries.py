@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, html_text, jaccard_join, mixing, secrets, toxicity
+from . import decontaminate, embedding_dedup, html_text, jaccard_join, mixing, secrets, suffix_tree, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,9 @@ LEFT JOIN (SELECT a AS vec_id, min(b) AS m FROM reach GROUP BY a) USING (vec_id)
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by the suffix tree learned from the rows that are not held out."""
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
