@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, html_text, jaccard_join, mixing, secrets, suffix_tree, toxicity
+from . import decontaminate, embedding_dedup, html_text, jaccard_join, mixing, pseudonyms, quality_knn, secrets, suffix_tree, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,23 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every document by the suffix tree learned from the rows that are not held out."""
     return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
+#: A key for the supplied tables; a user of the operator passes a secret one.
+DEMONSTRATION_KEY = b"key of the supplied tables"
+
+
+@query
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced within their formats."""
+    found = pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), DEMONSTRATION_KEY)
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *map(count, pseudonyms.KINDS), "text", F.transform("spans", lambda s: F.concat_ws(
+        ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))).alias("spans"))
+
+
+@query
+def op9_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by the votes of labelled neighbours that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return quality_knn.score(docs, quality_knn.learn(docs, table(spark, sf_dir, "labels")))
