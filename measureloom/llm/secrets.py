@@ -59,14 +59,14 @@ def entropy_spans(text: str, threshold: float) -> list[tuple[int, int]]:
     counts: dict[str, int] = {}
     total, spans, full = 0.0, [], math.log2(WINDOW)
     for i, c in enumerate(text):
-        n = counts.get(c, 0)
-        counts[c] = n + 1
-        total += _LOGS[n + 1] - _LOGS[n]
         if i >= WINDOW:
             gone = text[i - WINDOW]
             n = counts[gone]
             counts[gone] = n - 1
             total += _LOGS[n - 1] - _LOGS[n]
+        n = counts.get(c, 0)
+        counts[c] = n + 1
+        total += _LOGS[n + 1] - _LOGS[n]
         if i >= WINDOW - 1 and full - total / WINDOW >= threshold:
             start = i - WINDOW + 1
             if spans and start <= spans[-1][1]:
