@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import reliable
+from .common import written
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -18,7 +18,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     is a skewed join key that adaptive execution splits. Null ends and loops are dropped; repeated
     links count once; no links give no rows.
     """
-    links = reliable(links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where(
+    links = written(links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where(
         "a < b").distinct())
     mapping, step = None, 0
     while mapping is None or not links.isEmpty():
@@ -29,13 +29,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
         ends = links.select(F.col("a").alias("v"), F.least(ranked("a"), ranked("b")).alias("r")).unionAll(
             links.select(F.col("b").alias("v"), F.least(ranked("a"), ranked("b")).alias("r")))
-        low = reliable(ends.groupBy("v").agg(F.min("r").alias("r")).select("v", F.col("r.u").alias("m")))
+        step_of = written(ends.groupBy("v").agg(F.min("r").alias("r")).select("v", F.col("r.u").alias("m")))
+        # Two steps at once: to where the neighbour itself moves.
+        onward = step_of.select(F.col("v").alias("m"), F.col("m").alias("next"))
+        low = written(step_of.join(onward, "m").select("v", F.col("next").alias("m")))
         moved = low.select(F.col("v").alias("root"), "m")
-        mapping = reliable(low.select(F.col("v").alias("node"), F.col("m").alias("root")) if mapping is None
+        mapping = written(low.select(F.col("v").alias("node"), F.col("m").alias("root")) if mapping is None
                            else mapping.join(moved, "root", "left").select(
                                "node", F.coalesce("m", "root").alias("root")))
         left = low.select(F.col("v").alias("a"), F.col("m").alias("ma"))
         right = low.select(F.col("v").alias("b"), F.col("m").alias("mb"))
-        links = reliable(links.join(left, "a").join(right, "b").select(
+        links = written(links.join(left, "a").join(right, "b").select(
             F.least("ma", "mb").alias("a"), F.greatest("ma", "mb").alias("b")).where("a < b").distinct())
     return mapping
