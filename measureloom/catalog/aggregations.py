@@ -205,3 +205,23 @@ SELECT m.month, {r4('sum(revenue)')} AS value, count(o_orderdate) = 0 AS missing
 FROM m LEFT JOIN sales ON date_trunc('month', o_orderdate) = m.month GROUP BY m.month""")
 def e15(spark, d):
     return a.window_trend(sales(spark, d), REVENUE, TIME, "2000-06-15", "2001-12-31")
+
+
+@query("e11_reserved_names", f"""WITH {SALES}, {facts_sql(['revenue', 'median_price', 'price_points'],
+  ['region', 'segment', 'flag'])}
+SELECT measure_id, CASE dimension WHEN 'region' THEN 'name' WHEN 'segment' THEN 'dimension'
+  WHEN 'flag' THEN 'in_current' ELSE dimension END AS dimension, name, {r4('current')} AS current,
+  {r4('baseline')} AS baseline, in_current, in_base FROM facts""")
+def e11_reserved_names(spark, d):
+    """Dimensions named like result columns."""
+    df = sales(spark, d).withColumnsRenamed({"region": "name", "segment": "dimension", "flag": "in_current"})
+    return a.member_facts(df, (REVENUE, MEDIAN_PRICE, PRICE_POINTS), ("name", "dimension", "in_current"),
+                          lock_of(df), TIME)
+
+
+@query("e13_reserved_names", f"""WITH {SALES} SELECT 'revenue' AS measure_id, segment AS member_value,
+  CAST(date_trunc('month', o_orderdate) AS DATE)::VARCHAR AS month, {r4('sum(revenue)')} AS value
+FROM sales GROUP BY ALL""")
+def e13_reserved_names(spark, d):
+    df = sales(spark, d).withColumnRenamed("segment", "value")
+    return a.monthly_series(df, [REVENUE], TIME, by=["value"])

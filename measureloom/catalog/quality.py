@@ -211,13 +211,6 @@ _SCHEMA = SchemaContract(
     })
 
 
-@query("j12_missing_fields", " UNION ALL ".join(
-    _finding(f"'{s}'", "declared_field_missing", f"'{f}'") + " FROM (SELECT count(*) AS n FROM orders) WHERE n > 0"
-    for s, f in (("warning", "note"), ("error", "branch"))))
-def j12(spark, d):
-    return q.missing_fields(_dirty(spark, d), _SCHEMA)
-
-
 @query("j13_type_drift", f"WITH {_DIRTY}, v AS (SELECT count(*) FILTER (WHERE NOT blank AND NOT bad)"
        " / count(*) FILTER (WHERE NOT blank) AS ratio FROM dirty) "
        + _finding("'error'", "type_drift", "'price'", "ratio", "0.95") + " FROM v WHERE ratio < 0.95"
@@ -357,25 +350,3 @@ def j21_suppressed(spark, d):
         "name", "current")
     status = q.status(q.measure_gates(_counts(spark, d), PRICE))
     return q.suppress_when_blocked(shown, status, ["current"])
-
-
-@query("j22_contract_conflicts", "WITH n AS (SELECT count(*) AS n FROM lineitem) " + " UNION ALL ".join(
-    _finding("'error'", code, f"'{subject}'") + " FROM n WHERE n > 0" for code, subject in (
-        ("declared_unit_differs", "revenue"), ("declared_aggregation_differs", "quantity"),
-        ("ratio_input_undeclared", "return_pct.returned"),
-        ("amount_and_quantity_same_column", "revenue"), ("primary_key_undeclared", "schema"))))
-def j22(spark, d):
-    kinds = {f.name: f.dataType.typeName() for f in sales(spark, d).schema.fields}
-    contract = SchemaContract(business_grain="one row per line", fields={
-        "revenue": FieldSpec(type="number" if kinds["revenue"] == "double" else None, unit="USD"),
-        "quantity": FieldSpec(type="number", unit="count", aggregation="mean")})
-    return q.contract_conflicts(spark, contract, CONTRACT, Roles(amount="revenue", qty="revenue"))
-
-
-@query("j23_missing_roles", "WITH n AS (SELECT count(*) AS n FROM lineitem) " + " UNION ALL ".join(
-    _finding("'warning'", "role_column_missing", f"'{s}'") + " FROM n WHERE n > 0"
-    for s in ("customer=buyer", "dimension=channel")))
-def j23(spark, d):
-    roles = Roles(time=TIME, dimensions=("region", "channel"), customer="buyer", product="product")
-    return q.missing_roles(sales(spark, d), roles)
-

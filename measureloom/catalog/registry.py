@@ -22,7 +22,8 @@ NUDGE = 1e-9
 # Dates are shown as ISO text, because engines hand them over in different classes.
 _WINDOW = ("start", "end", "base_start", "base_end")
 DATE_COLUMNS = {
-    "a01": ("first_day", "last_day"), "b05": ("first_day", "last_day"),
+    "a01_csv_scan": ("first_day", "last_day"),
+    "a01_csv_declared": ("first_day", "last_day"), "b05": ("first_day", "last_day"),
     "c02": ("first_day", "last_day"), "c06": ("start", "end"), "c15_comparison": ("start",),
     "d02": _WINDOW, "d03": _WINDOW, "d04": _WINDOW, "d09": ("start", "requested_end"),
     "d10": (*_WINDOW, "requested_end"), "e13_monthly": ("month",), "e15": ("month",),
@@ -81,6 +82,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if shared:
         return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return os.path.join(tempfile.mkdtemp(prefix="spark-"), name)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from measureloom.catalog.registry import (
@@ -13,7 +15,7 @@ from measureloom.functions import cleaning, display, labels
 from measureloom.operators.aggregate import member_facts
 from measureloom.operators.compare import member_comparison
 from measureloom.operators.onerow import attach
-from measureloom.operators.scope import lock_frame
+from measureloom.operators.scope import lock_frame, within
 
 
 @query("c01_number_coercion", f"""SELECT o_orderpriority, count(*) AS rows,
@@ -61,6 +63,58 @@ def timestamp_coercion(spark, d):
         F.min(day).alias("first_day"), F.max(day).alias("last_day"))
 
 
+@query("c01_awkward_numbers", f"""SELECT o_orderpriority, count(*) AS rows,
+  count(*) FILTER (WHERE o_orderpriority <> '5-LOW') AS parsed,
+  {r4("sum(CASE o_orderpriority WHEN '3-MEDIUM' THEN -o_totalprice WHEN '5-LOW' THEN NULL ELSE o_totalprice END)")} AS total
+FROM orders GROUP BY o_orderpriority""")
+def awkward_numbers(spark, d):
+    shown = F.format_number("o_totalprice", 2)
+    wrap = lambda before, after: F.concat(F.lit(before), shown, F.lit(after))
+    text = (F.when(F.col("o_orderpriority") == "1-URGENT", wrap("¥ ", "\t"))
+            .when(F.col("o_orderpriority") == "2-HIGH", wrap("\u3000￥\u00a0", "\u2003"))
+            .when(F.col("o_orderpriority") == "3-MEDIUM", wrap(" (¥", ") "))
+            .when(F.col("o_orderpriority") == "4-NOT SPECIFIED", wrap("\n+", "\r"))
+            .otherwise(wrap("1 ", "")))  # a blank inside is no number
+    typed = table(spark, d, "orders").select("o_orderpriority", text.alias("amount"))
+    value = cleaning.number(typed, "amount")
+    return typed.groupBy("o_orderpriority").agg(
+        F.count(F.lit(1)).alias("rows"), F.count(value).alias("parsed"), F.sum(value).alias("total"))
+
+
+@query("c02_mixed_forms", """SELECT o_orderpriority, o_orderstatus, count(*) AS rows, count(*) AS parsed,
+  CAST(min(o_orderdate) AS DATE) AS first_day, CAST(max(o_orderdate) AS DATE) AS last_day
+FROM orders GROUP BY ALL""")
+def mixed_forms(spark, d):
+    def fmt(pattern):
+        return F.date_format("o_orderdate", pattern)
+
+    low = F.when(F.col("o_orderstatus") == "F", fmt("d-MMM-yyyy")).when(
+        F.col("o_orderstatus") == "O", fmt("MM-dd-yyyy")).otherwise(fmt("d MMMM yyyy"))
+    text = (F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(fmt("yyyy/M/d"), F.lit(" 10:05 PM")))
+            .when(F.col("o_orderpriority") == "2-HIGH", fmt("M/d/yyyy"))
+            .when(F.col("o_orderpriority") == "3-MEDIUM", F.concat(fmt("MMMM d, yyyy"), F.lit("\u00a0")))
+            .when(F.col("o_orderpriority") == "4-NOT SPECIFIED", F.concat(fmt("yyyy-MM-dd"), F.lit(" 9:30 AM")))
+            .otherwise(low))
+    typed = table(spark, d, "orders").select("o_orderpriority", "o_orderstatus", text.alias("at"))
+    day = F.to_date(cleaning.timestamp(typed, "at", "Asia/Shanghai"))
+    return typed.groupBy("o_orderpriority", "o_orderstatus").agg(
+        F.count(F.lit(1)).alias("rows"), F.count(day).alias("parsed"),
+        F.min(day).alias("first_day"), F.max(day).alias("last_day"))
+
+
+@query("c02_instants", """WITH e AS (SELECT event_type, CAST(ts AS TIMESTAMP) + INTERVAL 8 HOUR AS moment FROM events)
+SELECT event_type, CAST(min(moment) AS DATE) AS first_day, CAST(max(moment) AS DATE) AS last_day, count(*) FILTER (
+  WHERE moment >= TIMESTAMP '2024-01-15' AND moment < TIMESTAMP '2024-01-22') AS in_week FROM e GROUP BY event_type""")
+def instants(spark, d):
+    # The stored times, taken as instants of UTC, in the days and weeks of Shanghai.
+    events = table(spark, d, "events").select("event_type", F.convert_timezone(
+        F.lit("UTC"), F.current_timezone(), F.col("ts").cast("timestamp_ntz")).cast("timestamp").alias("ts"))
+    day = F.to_date(cleaning.timestamp(events, "ts", "Asia/Shanghai"))
+    week = within(events, "ts", dt.date(2024, 1, 15), dt.date(2024, 1, 21), "Asia/Shanghai")
+    return events.groupBy("event_type").agg(
+        F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.count_if(week).alias("in_week"))
+
+
 @query("c03_storage_scale", f"""SELECT l_returnflag, {r4('sum(l_discount * 100)')} AS points,
   {r4('max(l_discount * 100)')} AS highest FROM lineitem GROUP BY l_returnflag""")
 def storage_scale(spark, d):
@@ -277,20 +331,3 @@ def comparison_labels(spark, d):
                      ("year", "year"), ("custom", "other"))])
 
 
-@query("c15_locked_labels", """SELECT '1999H1' AS baseline, '2000H1' AS current, count(*) AS orders
-FROM orders WHERE o_orderdate BETWEEN DATE '1999-01-01' AND DATE '1999-06-30'
-   OR o_orderdate BETWEEN DATE '2000-01-01' AND DATE '2000-06-30'""")
-def locked_labels(spark, d):
-    orders = table(spark, d, "orders")
-    lock = lock_of(orders)
-    n = orders.where(
-        F.col("o_orderdate").between(F.lit(lock.start), F.lit(lock.end))
-        | F.col("o_orderdate").between(F.lit(lock.base_start), F.lit(lock.base_end))).agg(
-        F.count(F.lit(1)).alias("orders"))
-    frame = lock_frame(spark, H1)
-    return attach(frame.select(
-        cal.period_display(F.col("base_start"), F.col("granularity")).alias("baseline"),
-        F.coalesce("label", cal.period_display(F.col("start"), F.col("granularity")))
-        .alias("current")), n)
-
-

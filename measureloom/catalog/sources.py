@@ -47,6 +47,46 @@ def csv_declared(spark, d):
     return _by_status(read_csv(spark, folder, contract=declared))
 
 
+def _quoted_totals(spark, d, name, note):
+    """Orders written as lines of text, by no CSV writer, in files that begin with a header each."""
+    folder = scratch(spark, name)
+    orders = table(spark, d, "orders")
+    marked = F.concat(F.lit('"'), F.replace(note, F.lit('"'), F.lit('""')), F.lit('"'))
+    lines = orders.select(F.concat_ws(",", "o_orderkey", marked, F.col("o_totalprice").cast("decimal(18,2)"),
+                                      "o_orderstatus").alias("value"))
+    header = spark.range(1).select(F.lit('key,"a note; with, marks",total,status').alias("value"))
+    header.unionAll(lines).coalesce(1).write.text(folder)
+    return read_csv(spark, folder).groupBy("status").agg(
+        F.count(F.lit(1)).alias("orders"), F.sum("total").alias("total"),
+        F.min("a note; with, marks").alias("first_note"))
+
+
+@query("a01_csv_quoted", f"""SELECT o_orderstatus AS status, count(*) AS orders,
+  {r4('sum(o_totalprice)')} AS total, min(o_orderpriority || ' "' || o_orderstatus || '", Ltd; x') AS first_note
+FROM orders GROUP BY o_orderstatus""")
+def csv_quoted(spark, d):
+    return _quoted_totals(spark, d, "quoted.csv", F.concat(
+        "o_orderpriority", F.lit(' "'), "o_orderstatus", F.lit('", Ltd; x')))
+
+
+@query("a01_csv_multiline", f"""SELECT o_orderstatus AS status, count(*) AS orders,
+  {r4('sum(o_totalprice)')} AS total, min(o_orderpriority || chr(10) || '"' || o_orderstatus || '"') AS first_note
+FROM orders GROUP BY o_orderstatus""")
+def csv_multiline(spark, d):
+    return _quoted_totals(spark, d, "multiline.csv", F.concat(
+        "o_orderpriority", F.lit('\n"'), "o_orderstatus", F.lit('"')))
+
+
+@query("a01_csv_no_header", f"""SELECT o_orderstatus AS status, count(*) AS orders,
+  {r4('sum(o_totalprice)')} AS total, min(o_orderkey) AS first_key FROM orders GROUP BY o_orderstatus""")
+def csv_no_header(spark, d):
+    folder = scratch(spark, "plain.csv")
+    table(spark, d, "orders").select(F.concat_ws(
+        ",", "o_orderkey", F.col("o_totalprice").cast("decimal(18,2)"), "o_orderstatus").alias("value")).write.text(folder)
+    return read_csv(spark, folder).groupBy(F.col("column2").alias("status")).agg(
+        F.count(F.lit(1)).alias("orders"), F.sum("column1").alias("total"), F.min("column0").alias("first_key"))
+
+
 @query("a02_parquet_scan", f"""SELECT o_orderpriority, count(*) AS orders,
   {r4('sum(o_totalprice)')} AS total FROM orders
 WHERE o_orderdate >= DATE '2000-01-01' AND o_orderdate < DATE '2000-07-01'

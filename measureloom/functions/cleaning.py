@@ -13,17 +13,26 @@ from measureloom.contract import NULL_MEMBER, Measure
 NUMBER_NOISE = r"[,¥￥]"
 TEXT_FORMATS = (
     "yyyy/M/d", "yyyy/M/d H:m", "yyyy/M/d H:m:s", "yyyy.M.d", "yyyy年M月d日", "yyyy-M-d",
-    "yyyyMMdd", "M/d/yyyy", "M/d/yyyy H:m", "M/d/yyyy H:m:s", "d-MMM-yyyy", "MMM d, yyyy",
-    "yyyy/M", "yyyy年M月",
+    "yyyy-M-d H:m", "yyyy-M-d h:m a", "yyyy-M-d h:m:s a", "yyyy/M/d h:m a", "yyyy/M/d h:m:s a",
+    "yyyyMMdd", "M/d/yyyy", "M/d/yyyy H:m", "M/d/yyyy H:m:s", "M/d/yyyy h:m a",
+    "M/d/yyyy h:m:s a", "M-d-yyyy", "M/d/yy", "d/M/yyyy", "d-M-yyyy", "d-MMM-yyyy",
+    "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "yyyy/M", "yyyy年M月",
 )
-OFFSET_PATTERN = r"(?i)(Z|[+-]\d{2}:?\d{2})$"
+# An offset stands after a time of day only: in 5-Jan-2025 or 01-12-2025 the end is a year.
+OFFSET_PATTERN = r"(?i)\d:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})$"
+BLANK = r"[\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 _PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
+def stripped(c: Column) -> Column:
+    """Text without white space, of any script, at its ends."""
+    return F.regexp_replace(c, f"^{BLANK}|{BLANK}$", "")
+
+
 def text_number(c: Column) -> Column:
     """Text to double: trim, drop commas and currency signs, ``(x)`` is ``-x``, else null."""
-    bare = F.regexp_replace(F.trim(c), NUMBER_NOISE, "")
-    signed = F.regexp_replace(bare, r"^\((.*)\)$", "-$1")
+    bare = F.regexp_replace(stripped(c), NUMBER_NOISE, "")
+    signed = stripped(F.regexp_replace(bare, r"^\((.*)\)$", "-$1"))
     return F.when(signed.rlike(_PLAIN_NUMBER), signed.try_cast("double"))
 
 
@@ -46,7 +55,7 @@ def number(df: DataFrame, name: str) -> Column:
 def has_offset(df: DataFrame, name: str) -> Column:
     """True where a text timestamp carries a UTC offset."""
     if isinstance(df.schema[name].dataType, T.StringType):
-        return F.coalesce(F.trim(F.col(f"`{name}`")).rlike(OFFSET_PATTERN), F.lit(False))
+        return F.coalesce(stripped(F.col(f"`{name}`")).rlike(OFFSET_PATTERN), F.lit(False))
     return F.lit(False)
 
 
@@ -54,20 +63,24 @@ def timestamp(df: DataFrame, name: str, timezone: str | None = None) -> Column:
     """Column ``name`` as business wall-clock time; unparsable text is null.
 
     Text with an offset is moved to ``timezone`` (UTC when none is declared); text without one is
-    taken as business time already.
+    taken as business time already. Stored instants are moved to ``timezone`` when one is declared;
+    dates and timestamps without zone are business time already.
     """
     c = F.col(f"`{name}`")
     kind = df.schema[name].dataType
+    if isinstance(kind, T.TimestampType) and timezone:
+        return F.convert_timezone(
+            F.current_timezone(), F.lit(timezone), c.cast("timestamp_ntz")).cast("timestamp")
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return c.cast("timestamp")
-    text = F.trim(c.cast("string"))
+    text = stripped(c.cast("string"))
     parsed = [text.try_cast("timestamp")]
     parsed += [F.try_to_timestamp(text, F.lit(fmt)) for fmt in TEXT_FORMATS]
     instant = F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2").try_cast("timestamp")
     moved = F.convert_timezone(
         None, F.lit(timezone or "UTC"), instant.cast("timestamp_ntz")
     ).cast("timestamp")
-    return F.when(text.rlike(OFFSET_PATTERN), moved).otherwise(F.coalesce(*parsed))
+    return F.coalesce(F.when(text.rlike(OFFSET_PATTERN), moved), *parsed)
 
 
 def row_value(df: DataFrame, measure: Measure) -> Column:

@@ -19,13 +19,27 @@ from measureloom.functions import calendar as cal
 from measureloom.functions import cleaning
 from measureloom.operators.onerow import attach
 from measureloom.operators.quantiles import exact_quantiles
-from measureloom.operators.scope import BASE, CURRENT, Lock, roles, tag
+from measureloom.operators.scope import BASE, CURRENT, Lock, in_scope, roles, side_flags
 from measureloom.session import cut_lineage
 
 COMBINABLE = ("sum", "mean", "weighted_mean", "min", "max", "count", "ratio")
 DAY = "_day"
 
 
+def _private(dims: Sequence[str]) -> list[str]:
+    """Column names of dimensions inside a plan, where no input or result column can clash."""
+    return [f"_dim{k}" for k in range(len(dims))]
+
+
+def _public(by: Sequence[str], taken: Sequence[str]) -> list[str]:
+    """Names under which members come out: their own, unless a result column has it."""
+    return [f"member_{d}" if d in taken else d for d in by]
+
+
+def _members(by: Sequence[str]) -> list[Column]:
+    return [cleaning.member(F.col(f"`{d}`")).alias(p) for d, p in zip(by, _private(by), strict=True)]
+
+
 def _cols(measure: Measure) -> dict[str, str]:
     return {part: f"_{part}_{measure.id}" for part in ("value", "weight", "top", "bottom")}
 
@@ -130,14 +144,15 @@ def _sided(rows: DataFrame, dims: Sequence[str], measures: Sequence[Measure]) ->
     present = [F.count_if(F.col(CURRENT)).alias("_nc"), F.count_if(F.col(BASE)).alias("_nb")]
     tidy = [F.struct(F.lit(m.id).alias("measure_id"), F.col(f"c_{m.id}").alias("current"),
                      F.col(f"b_{m.id}").alias("baseline")) for m in measures]
+    keys = _private(dims)
     if dims:
         name, which = F.lit(TOTAL), F.lit(TOTAL)
-        for d in dims:
-            grouped = F.grouping(F.col(f"`{d}`")) == 0
-            name = F.when(grouped, F.col(f"`{d}`")).otherwise(name)
-            which = F.when(grouped, F.lit(d)).otherwise(which)
-        sets = [[F.col(f"`{d}`")] for d in dims] + [[]]
-        grouped = rows.groupingSets(sets, *[F.col(f"`{d}`") for d in dims]).agg(
+        for d, k in zip(dims, keys, strict=True):
+            own = F.grouping(F.col(k)) == 0
+            name = F.when(own, F.col(k)).otherwise(name)
+            which = F.when(own, F.lit(d)).otherwise(which)
+        sets = [[F.col(k)] for k in keys] + [[]]
+        grouped = rows.groupingSets(sets, *[F.col(k) for k in keys]).agg(
             which.alias("dimension"), name.alias("name"), *values, *present)
     else:
         grouped = rows.agg(*values, *present).select(
@@ -152,7 +167,8 @@ def _sided(rows: DataFrame, dims: Sequence[str], measures: Sequence[Measure]) ->
 
 def _by_role(rows: DataFrame, dims: Sequence[str], measure: Measure) -> DataFrame:
     """Same result for one measure that needs its own plan: sides and dimensions as keys."""
-    members = [F.struct(F.lit(d).alias("dimension"), F.col(f"`{d}`").alias("name")) for d in dims]
+    members = [F.struct(F.lit(d).alias("dimension"), F.col(k).alias("name"))
+               for d, k in zip(dims, _private(dims), strict=True)]
     members.append(F.struct(F.lit(TOTAL).alias("dimension"), F.lit(TOTAL).alias("name")))
     needed = [c for c in _cols(measure).values() if c in rows.columns]
     if DAY in rows.columns:
@@ -178,10 +194,14 @@ def _by_role(rows: DataFrame, dims: Sequence[str], measure: Measure) -> DataFram
 def scoped_rows(df: DataFrame, measures: Sequence[Measure], dims: Sequence[str], lock: Lock,
                 time: str | None, timezone: str | None = None,
                 extra: Sequence[str | Column] = ()) -> DataFrame:
-    """Rows of the locked scope, tagged and projected: members, day, numeric inputs."""
-    tagged = tag(df, lock, time, timezone)
-    keep = [cleaning.member(F.col(f"`{d}`")).alias(d) for d in dims]
-    return prepare(tagged, measures, [*keep, *extra, CURRENT, BASE], time, timezone)
+    """Rows of the locked scope, tagged and projected: members, day, numeric inputs.
+
+    Members are in ``_dim0``, ``_dim1`` and so on, so that a dimension may have any name.
+    """
+    current, base = side_flags(df, lock, time, timezone)
+    flags = [current.alias(CURRENT), base.alias(BASE)]
+    return prepare(in_scope(df, lock, time, timezone), measures,
+                   [*_members(dims), *extra, *flags], time, timezone)
 
 
 def member_facts(df: DataFrame, measures: Sequence[Measure], dims: Sequence[str], lock: Lock,
@@ -213,21 +233,21 @@ def member_facts(df: DataFrame, measures: Sequence[Measure], dims: Sequence[str]
 def grouped(df: DataFrame, measures: Sequence[Measure], by: Sequence[str], time: str | None = None,
             timezone: str | None = None) -> DataFrame:
     """Declared aggregates of several measures per key over all rows, one column per measure."""
-    by = list(by)
-    keep = [cleaning.member(F.col(f"`{d}`")).alias(d) for d in by]
+    by, keys = list(by), _private(by)
     light = [m for m in measures if _single_pass(m, time is not None)]
     heavy = [m for m in measures if m not in light]
     parts = []
     if light:
-        rows = prepare(df, light, keep)
-        parts.append(rows.groupBy(*by).agg(*[combine(m, m.aggregation).alias(m.id) for m in light]))
+        rows = prepare(df, light, _members(by))
+        parts.append(rows.groupBy(*keys).agg(*[combine(m, m.aggregation).alias(m.id) for m in light]))
     for m in heavy:
-        rows = prepare(df, [m], keep, time if m.time_aggregation else None, timezone)
-        parts.append(aggregate(rows, by, m).withColumnRenamed("value", m.id))
+        rows = prepare(df, [m], _members(by), time if m.time_aggregation else None, timezone)
+        parts.append(aggregate(rows, keys, m).withColumnRenamed("value", m.id))
     if not by:
         return attach(*parts)
-    joined = reduce(lambda a, b: a.join(b, by, "full"), parts)
-    return joined.select(*by, *[m.id for m in measures])
+    joined = reduce(lambda a, b: a.join(b, keys, "full"), parts)
+    ids = [m.id for m in measures]
+    return joined.select(*[F.col(k).alias(n) for k, n in zip(keys, _public(by, ids), strict=True)], *ids)
 
 
 def distribution(df: DataFrame, measures: Sequence[Measure], lock: Lock, time: str | None,
@@ -236,26 +256,32 @@ def distribution(df: DataFrame, measures: Sequence[Measure], lock: Lock, time: s
     rows = scoped_rows(df, measures, list(by), lock, time, timezone).where(F.col(CURRENT))
     pieces = F.array(*[F.struct(F.lit(m.id).alias("measure_id"),
                                 F.col(_cols(m)["value"]).alias("value")) for m in measures])
-    tidy = rows.select(*by, F.explode(pieces).alias("m")).select(*by, "m.*").where(
+    dims = _private(by)
+    tidy = rows.select(*dims, F.explode(pieces).alias("m")).select(*dims, "m.*").where(
         F.col("value").isNotNull())
-    keys = [*by, "measure_id"]
+    keys = [*dims, "measure_id"]
     summary = exact_quantiles(
         tidy, keys, "value", {"min": 0.0, "p25": 0.25, "median": 0.5, "p75": 0.75, "max": 1.0},
         summary=True)
-    return summary.select(*keys, "count", "min", "p25", "median", "p75", "max", "mean")
+    out = ["measure_id", "count", "min", "p25", "median", "p75", "max", "mean"]
+    shown = [F.col(k).alias(n) for k, n in zip(dims, _public(by, out), strict=True)]
+    return summary.select(*shown, *out)
 
 
 def monthly_series(df: DataFrame, measures: Sequence[Measure], time: str,
                    timezone: str | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """(measure_id, month, value) over all valid dates; months without a value are absent."""
-    by = list(by)
-    keep = [cleaning.member(F.col(f"`{d}`")).alias(d) for d in by]
+    """(measure_id, month, value) over all valid dates; months without a value are absent.
+
+    Members come out under their own names; one named like a result column, say value, comes out as
+    ``member_value``.
+    """
+    dims = _private(by)
 
     def monthly(chosen: Sequence[Measure]) -> DataFrame:
-        rows = prepare(df, chosen, keep, time, timezone).where(F.col(DAY).isNotNull())
+        rows = prepare(df, chosen, _members(by), time, timezone).where(F.col(DAY).isNotNull())
         return rows.withColumn("month", F.to_date(F.trunc(F.col(DAY), "month")))
 
-    keys = [*by, "month"]
+    keys = [*dims, "month"]
     parts = []
     light = [m for m in measures if _single_pass(m, True)]
     if light:
@@ -268,16 +294,19 @@ def monthly_series(df: DataFrame, measures: Sequence[Measure], time: str,
         if m not in light:
             parts.append(aggregate(monthly([m]), keys, m).withColumn("measure_id", F.lit(m.id)))
     series = reduce(DataFrame.unionByName, parts)
-    return series.where(F.col("value").isNotNull()).select("measure_id", *by, "month", "value")
+    shown = [F.col(k).alias(n) for k, n in zip(
+        dims, _public(by, ("measure_id", "month", "value")), strict=True)]
+    return series.where(F.col("value").isNotNull()).select("measure_id", *shown, "month", "value")
 
 
 def period_series(df: DataFrame, measure: Measure, time: str, frequency: str,
                   timezone: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Declared aggregate per calendar period of any supported frequency."""
-    keep = [cleaning.member(F.col(f"`{d}`")).alias(d) for d in by]
-    rows = prepare(df, [measure], keep, time, timezone).where(F.col(DAY).isNotNull())
+    dims = _private(by)
+    rows = prepare(df, [measure], _members(by), time, timezone).where(F.col(DAY).isNotNull())
     rows = rows.withColumn("period", cal.period_key(F.col(DAY), frequency))
-    return aggregate(rows, [*by, "period"], measure)
+    shown = [F.col(k).alias(n) for k, n in zip(dims, _public(by, ("period", "value")), strict=True)]
+    return aggregate(rows, [*dims, "period"], measure).select(*shown, "period", "value")
 
 
 def year_month_matrix(df: DataFrame, measure: Measure, lock: Lock, time: str,

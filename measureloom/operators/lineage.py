@@ -75,18 +75,24 @@ def snapshot(df: DataFrame, measures: Sequence[Measure],
 def row_count_drift(current: DataFrame, baseline: DataFrame, warn_pct: float = 10.0,
                     block_pct: float = 30.0) -> DataFrame:
     """Row count against the baseline run: change_pct and OK, WARN, BLOCKED or UNCHANGED."""
+    return compare_counts(attach(current.select(F.col("rows").alias("current_rows")),
+                                 baseline.select(F.col("rows").alias("baseline_rows"))),
+                          warn_pct, block_pct)
+
+
+def compare_counts(pairs: DataFrame, warn_pct: float = 10.0, block_pct: float = 30.0,
+                   keep: Sequence[str] = ()) -> DataFrame:
+    """The same for every row of a table of ``baseline_rows`` and ``current_rows``."""
     if not 0 <= warn_pct <= block_pct:
         raise ValueError("thresholds need 0 <= warn <= block")
-    pair = attach(current.select(F.col("rows").alias("current_rows")),
-                  baseline.select(F.col("rows").alias("baseline_rows")))
     base, now = F.col("baseline_rows"), F.col("current_rows")
     change = F.when(base > 0, (now / F.when(base > 0, base) - 1) * 100).when(now == 0, 0.0)
     size = F.abs(change)
     verdict = (F.when(base.isNull(), "BLOCKED")
                .when((base == 0) & (now == 0), "UNCHANGED").when(base == 0, "BLOCKED")
                .when(size > block_pct, "BLOCKED").when(size > warn_pct, "WARN").otherwise("OK"))
-    return pair.select("baseline_rows", "current_rows", change.alias("change_pct"),
-                       verdict.alias("status"))
+    return pairs.select(*keep, "baseline_rows", "current_rows", change.alias("change_pct"),
+                        verdict.alias("status"))
 
 
 def drift(current: DataFrame, baseline: DataFrame, warn_pct: float = 10.0,

@@ -16,7 +16,7 @@ NUMERIC_SHARE = 0.8     # fixed value: share of readable cells that makes a text
 # Name patterns of the roles and of measure semantics.
 TIME = r"(?i)日期|时间|date|time|年月|ym|month|年份|year"
 AMOUNT = r"(?i)金额|销售额|营收|收入|amount|revenue|sales|gmv|cost|成本|费用"
-QUANTITY = (r"(?i)数量|台数|件数|销量|人数|人次|工单数|缺陷数|qty|quantity|units?|count|headcount"
+QUANTITY = (r"(?i)数量|台数|件数|销量|人数|人次|工单数|缺陷数|qty|quantity|units|count|headcount"
             r"|tickets?")
 PRICE = r"(?i)单价|均价|价格|price"
 RATE = r"(?i)率|占比|比例|百分比|rate|ratio|percent|pct|%|满意度"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 from dataclasses import dataclass
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -140,8 +141,13 @@ def within(df: DataFrame, time: str, start: dt.date, end: dt.date,
     if not isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         c = F.to_date(cleaning.timestamp(df, time, timezone))
         return c.between(F.lit(start), F.lit(end))
-    after = F.lit(end + dt.timedelta(days=1)).cast(kind)
-    return (c >= F.lit(start).cast(kind)) & (c < after)
+    after = end + dt.timedelta(days=1)
+    if isinstance(kind, T.TimestampType) and timezone:
+        # The midnights of the business zone as instants: still a plain range for the scan.
+        low, high = (F.lit(dt.datetime(d.year, d.month, d.day, tzinfo=ZoneInfo(timezone)))
+                     for d in (start, after))
+        return (c >= low) & (c < high)
+    return (c >= F.lit(start).cast(kind)) & (c < F.lit(after).cast(kind))
 
 
 def side_flags(df: DataFrame, lock: Lock, time: str | None,
@@ -160,14 +166,21 @@ def tag(df: DataFrame, lock: Lock, time: str | None, timezone: str | None = None
         only_scope: bool = True) -> DataFrame:
     """Add ``in_current`` and ``in_base``; by default keep only rows in one of them."""
     current, base = side_flags(df, lock, time, timezone)
-    if only_scope and lock.mode != "snapshot":
-        wanted = within(df, time, lock.start, lock.end, timezone)
-        if lock.has_base:
-            wanted = wanted | within(df, time, lock.base_start, lock.base_end, timezone)
-        df = df.where(wanted)
+    if only_scope:
+        df = in_scope(df, lock, time, timezone)
     return df.withColumn(CURRENT, current).withColumn(BASE, base)
 
 
+def in_scope(df: DataFrame, lock: Lock, time: str | None, timezone: str | None = None) -> DataFrame:
+    """Rows of the current period or the baseline."""
+    if lock.mode == "snapshot" or time is None:
+        return df
+    wanted = within(df, time, lock.start, lock.end, timezone)
+    if lock.has_base:
+        wanted = wanted | within(df, time, lock.base_start, lock.base_end, timezone)
+    return df.where(wanted)
+
+
 def roles(df: DataFrame) -> DataFrame:
     """One row per (row, side): column ``period_role``; rows in both windows appear twice."""
     sides = F.array(F.when(F.col(CURRENT), F.lit("current")), F.when(F.col(BASE), F.lit("base")))

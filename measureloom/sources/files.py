@@ -2,27 +2,59 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import os
+import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from measureloom.contract import NUMERIC_FIELD_TYPES, TIME_FIELD_TYPES, SchemaContract
+from measureloom.functions.cleaning import has_offset
 
 _SEPARATORS = (",", "\t", ";", "|")
 _SQLITE, _DUCKDB = (".sqlite", ".sqlite3", ".db"), (".duckdb", ".ddb")
 _EXCEL, _TEXT, _PARQUET = (".xlsx", ".xlsm", ".xls"), (".csv", ".tsv", ".txt"), (".parquet", ".pq")
 
 
-def header_line(spark: SparkSession, path: str) -> str:
-    """First line of a text source; reads one row."""
-    row = spark.read.text(path).head()
-    return row[0] if row else ""
+#: Lines looked at to learn the form of a text source.
+SAMPLE_LINES = 500
+_NUMBER_OR_DAY = re.compile(r"[+-]?(\d[\d,]*\.?\d*|\.\d+)([eE][+-]?\d+)?%?|\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}.*")
+
+
+def sample_lines(spark: SparkSession, path: str, n: int = SAMPLE_LINES) -> list[str]:
+    """First lines of a text source."""
+    return [r[0] for r in spark.read.text(path).limit(n).collect()]
+
+
+def outside_quotes(text: str) -> str:
+    """The text without its quoted parts; a doubled quote stays inside."""
+    return re.sub(r'"(?:[^"]|"")*(?:"|$)', "", text)
 
 
 def sniff_separator(line: str) -> str:
-    """The candidate separator the header line uses most."""
-    return max(_SEPARATORS, key=lambda s: (line.count(s), -_SEPARATORS.index(s)))
+    """The candidate separator the header line uses most, outside quotes."""
+    bare = outside_quotes(line)
+    return max(_SEPARATORS, key=lambda s: (bare.count(s), -_SEPARATORS.index(s)))
+
+
+def first_record(lines: list[str], sep: str) -> list[str]:
+    """Cells of the first record, which may span lines."""
+    return next(csv.reader(io.StringIO("\n".join(lines)), delimiter=sep), [])
+
+
+def breaks_in_quotes(lines: list[str]) -> bool:
+    """Whether a quoted cell of the sample goes on in the next line."""
+    return any(line.count('"') % 2 for line in lines)
+
+
+def has_header(lines: list[str], sep: str) -> bool:
+    """A header has no cell that reads as a number or a day, no blank and no repeated cell."""
+    cells = [c.strip() for c in first_record(lines, sep)]
+    return (bool(cells) and all(cells) and len(set(cells)) == len(cells)
+            and not any(_NUMBER_OR_DAY.fullmatch(c) for c in cells))
 
 
 def declared_schema(names: list[str], contract: SchemaContract) -> T.StructType:
@@ -36,21 +68,47 @@ def declared_schema(names: list[str], contract: SchemaContract) -> T.StructType:
 
 
 def read_csv(spark: SparkSession, path: str, sep: str | None = None,
-             contract: SchemaContract | None = None, as_text: bool = False) -> DataFrame:
-    """CSV, TSV or TXT with a header. The separator is taken from the header line when not given.
-
-    Types are inferred unless a contract declares fields (no extra pass over the data then) or
-    ``as_text`` keeps every cell for the cleaning functions.
+             contract: SchemaContract | None = None, as_text: bool = False,
+             header: bool | None = None, multiline: bool | None = None) -> DataFrame:
+    """CSV, TSV or TXT; quotes are doubled inside quoted cells.
+
+    Separator, header and quoted line breaks are taken from the first lines when not given; a break
+    that only occurs later needs ``multiline=True``, which keeps a file in one task. Columns of a
+    source without header are column0, column1 and so on. Types are inferred unless a contract
+    declares fields or ``as_text`` keeps every cell for the cleaning functions. Times without an
+    offset are read without a zone: they are business time.
     """
-    line = header_line(spark, path)
-    sep = sep or sniff_separator(line)
-    reader = spark.read.option("header", True).option("sep", sep).option("multiLine", False)
+    lines = sample_lines(spark, path)
+    sep = sep or sniff_separator(lines[0] if lines else "")
+    header = (not lines or has_header(lines, sep)) if header is None else header
+    multiline = breaks_in_quotes(lines) if multiline is None else multiline
+
+    def reader(**more) -> DataFrameReader:
+        return spark.read.options(header=header, sep=sep, quote='"', escape='"',
+                                  multiLine=multiline, **more)
+
+    def named(df: DataFrame) -> DataFrame:
+        return df if header else df.toDF(*[f"column{k}" for k in range(len(df.columns))])
+
+    text = named(reader(inferSchema=False).csv(path))
     if as_text:
-        return reader.option("inferSchema", False).csv(path)
+        return text
     if contract and contract.fields:
-        names = reader.option("inferSchema", False).csv(path).columns
-        return reader.schema(declared_schema(names, contract)).csv(path)
-    return reader.option("inferSchema", True).csv(path)
+        schema = declared_schema(text.columns, contract)
+    else:
+        schema = named(reader(inferSchema=True).csv(path)).schema
+    return reader().schema(_without_zone(text, schema)).csv(path)
+
+
+def _without_zone(text: DataFrame, schema: T.StructType) -> T.StructType:
+    """The schema with times that never carry an offset as times without zone."""
+    times = [f.name for f in schema.fields if isinstance(f.dataType, T.TimestampType)]
+    if not times:
+        return schema
+    found = text.agg(*[F.bool_or(has_offset(text, c)).alias(f"c{k}") for k, c in enumerate(times)]).head()
+    plain = {c for k, c in enumerate(times) if not found[f"c{k}"]}
+    return T.StructType([T.StructField(f.name, T.TimestampNTZType() if f.name in plain else f.dataType)
+                         for f in schema.fields])
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

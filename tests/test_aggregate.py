@@ -20,14 +20,14 @@ def values(facts, dimension):
 
 
 def test_ending_inventory(make):
-    df = make("date date, facility string, on_hand int", [
-        (D(2025, 3, 1), "A", 10), (D(2025, 3, 1), "B", 20),
-        (D(2025, 3, 31), "A", 8), (D(2025, 3, 31), "B", 25)])
-    m = Measure("on_hand", "on_hand", "sum", additivity="semi_additive", time_aggregation="ending")
-    lock = s.resolve(df, Scope(period="2025-03", data_as_of="2025-03-31"), "date")
-    facts = a.member_facts(df, [m], ["facility"], lock, "date")
-    assert values(facts, TOTAL) == {TOTAL: 33.0}
-    assert values(facts, "facility") == {"A": 8.0, "B": 25.0}
+    df = make("date date, depot string, barrels int", [
+        (D(2022, 6, 4), "quay", 31), (D(2022, 6, 4), "mill", 7), (D(2022, 6, 18), "mill", 3),
+        (D(2022, 6, 29), "quay", 12), (D(2022, 6, 29), "mill", 16)])
+    m = Measure("barrels", "barrels", "sum", additivity="semi_additive", time_aggregation="ending")
+    lock = s.resolve(df, Scope(period="2022-06", data_as_of="2022-06-30"), "date")
+    facts = a.member_facts(df, [m], ["depot"], lock, "date")
+    assert values(facts, TOTAL) == {TOTAL: 28.0}
+    assert values(facts, "depot") == {"quay": 12.0, "mill": 16.0}
 
 
 def test_members_without_the_last_day_report_their_own(make):
@@ -41,16 +41,31 @@ def test_members_without_the_last_day_report_their_own(make):
 
 
 def test_ratio_and_fraction_scale(make):
-    df = make("stage string, defects int, inspected int, response_rate double", [
-        ("A", 2, 100, 0.5), ("B", 9, 300, 0.7)])
-    ratio = Measure("defect_rate", None, "ratio", "percent", "lower_is_better", "non_additive",
-                    "defect_rate", numerator_field="defects", denominator_field="inspected",
+    df = make("line string, broken int, made int, filled double", [
+        ("north", 3, 40, 0.2), ("south", 5, 60, 0.6), ("west", 0, 100, 0.7)])
+    ratio = Measure("broken_rate", None, "ratio", "percent", "lower_is_better", "non_additive",
+                    "defect_rate", numerator_field="broken", denominator_field="made",
                     storage_scale="fraction")
-    mean = Measure("response_rate", "response_rate", "mean", "percent", "higher_is_better",
+    mean = Measure("filled", "filled", "mean", "percent", "higher_is_better",
                    "non_additive", "percentage", storage_scale="fraction")
-    facts = a.member_facts(df, [ratio, mean], ["stage"], s.resolve(df, SNAPSHOT, None), None)
+    facts = a.member_facts(df, [ratio, mean], ["line"], s.resolve(df, SNAPSHOT, None), None)
     got = {r["measure_id"]: r["current"] for r in facts.where(F.col("name") == TOTAL).collect()}
-    assert got == {"defect_rate": pytest.approx(2.75), "response_rate": pytest.approx(60.0)}
+    assert got == {"broken_rate": pytest.approx(4.0), "filled": pytest.approx(50.0)}
+
+
+def test_dimensions_named_like_result_columns(make):
+    df = make("d date, name string, dimension string, in_current string, value string, v double", [
+        (D(2025, 1, 2), "a", "p", "x", "m", 2.0), (D(2025, 1, 9), "b", "p", "y", "m", 4.0),
+        (D(2025, 2, 1), "a", "q", "y", "n", 8.0)])
+    lock = s.resolve(df, Scope(period="2025Q1", data_as_of="2025-03-31"), "d")
+    for how in ("sum", "median", "distinct_count"):
+        facts = a.member_facts(df, [Measure("t", "v", how)], ["name", "dimension", "in_current"], lock, "d")
+        got = {(r["dimension"], r["name"]): r["current"] for r in facts.collect()}
+        wanted = {"sum": 10.0, "median": 5.0, "distinct_count": 2.0}[how]
+        assert got[("name", "a")] == wanted and len(got) == 7
+        series = a.monthly_series(df, [Measure("t", "v", how)], "d", by=["value"])
+        assert series.columns == ["measure_id", "member_value", "month", "value"]
+        assert {(r[1], r[2].month) for r in series.collect()} == {("m", 1), ("n", 2)}
 
 
 def test_null_members_counts_and_blank_sides(make):

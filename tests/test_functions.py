@@ -9,7 +9,7 @@ from measureloom.functions.special import two_sided_p
 
 
 @pytest.mark.parametrize("text, value", [
-    ("(1,234.5)", -1234.5), ("¥ 1", None), ("¥1,000", 1000.0), ("￥2", 2.0), (" 3 ", 3.0),
+    ("(1,234.5)", -1234.5), ("¥ 1", 1.0), ("¥1,000", 1000.0), ("￥2", 2.0), (" 3 ", 3.0),
     ("n/a", None), ("", None), (None, None), ("1e3", 1000.0), ("10d", None), ("nan", None),
     ("-5", -5.0), ("(-5)", None), (".5", 0.5),
 ])
@@ -111,3 +111,43 @@ def test_p_value_is_exact_to_four_places(spark):
     worst = max(abs(r[1] - math.erfc(r[0] / math.sqrt(2)))
                 for r in df.select("z", two_sided_p(F.col("z"))).collect())
     assert worst < 1e-6
+
+
+@pytest.mark.parametrize("text, wanted", [
+    ("5-Jan-2025", "2025-01-05 00:00:00"), ("01-12-2025", "2025-01-12 00:00:00"), ("12/31/25", "2025-12-31 00:00:00"),
+    ("5 January 2025", "2025-01-05 00:00:00"), ("2025/1/5 10:00 PM", "2025-01-05 22:00:00"),
+    ("31/12/2025", "2025-12-31 00:00:00"), ("\u3000Jan 5, 2025\u00a0", "2025-01-05 00:00:00"),
+    ("2025-01-31T20:00:00Z", "2025-02-01 04:00:00"), ("2025-01-31 20:00:00 -0500", "2025-02-01 09:00:00"), ("soon", None)])
+def test_mixed_time_forms(make, text, wanted):
+    df = make("t string", [(text,)])
+    got = df.select(cleaning.timestamp(df, "t", "Asia/Shanghai").cast("string")).head()[0]
+    assert got == wanted
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_instants_go_to_the_business_zone_and_filters_to_the_scan(spark, tmp_path, zone):
+    from measureloom.operators.scope import within
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        at = [dt.datetime(2025, 1, 31, h, tzinfo=dt.timezone.utc) for h in (15, 16, 20)]
+        spark.createDataFrame([(t,) for t in at], "t timestamp").write.parquet(str(tmp_path / "t"))
+        df = spark.read.parquet(str(tmp_path / "t"))
+        days = df.select(F.to_date(cleaning.timestamp(df, "t", "Asia/Shanghai")).cast("string")).collect()
+        assert sorted(r[0] for r in days) == ["2025-01-31", "2025-02-01", "2025-02-01"]
+        month = df.where(within(df, "t", dt.date(2025, 2, 1), dt.date(2025, 2, 28), "Asia/Shanghai"))
+        assert month.count() == 2
+        assert "PushedFilters: [IsNotNull(t), GreaterThanOrEqual(t" in month._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_unit_names_are_no_quantities(make):
+    from measureloom.operators.profiling import column_profile, infer_measures, infer_roles
+
+    df = make("unit_revenue double, business_unit string, units double", [(1.5, "a", 2.0), (2.5, "b", 3.0)])
+    roles = {r["column"]: r["role"] for r in infer_roles(column_profile(df)).collect()}
+    assert roles["unit_revenue"] == roles["units"] == "measure" and roles["business_unit"] != "measure"
+    kinds = {r["field"]: r["semantic_type"] for r in infer_measures(infer_roles(column_profile(df))).collect()}
+    assert kinds == {"unit_revenue": "amount", "units": "quantity"}

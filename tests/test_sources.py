@@ -145,3 +145,20 @@ def test_sinks(spark, make, tmp_path):
 def test_unknown_source(spark):
     with pytest.raises(ValueError, match="not supported"):
         load(spark, "x.pdf")
+
+
+def test_csv_as_people_have_it(spark, tmp_path):
+    awkward = tmp_path / "a.csv"
+    awkward.write_text('"name; full","said",amount\n"Acme ""East"", Ltd","he said ""hi, there""",5\n"two\nlines",x,6\n')
+    df = read_csv(spark, str(awkward))
+    assert df.columns == ["name; full", "said", "amount"]
+    assert {tuple(r) for r in df.collect()} == {('Acme "East", Ltd', 'he said "hi, there"', 5), ("two\nlines", "x", 6)}
+    plain = tmp_path / "b.csv"
+    plain.write_text("1,2.5,2025-01-01\n2,3.5,2025-01-02\n")
+    df = read_csv(spark, str(plain))
+    assert df.columns == ["column0", "column1", "column2"] and df.count() == 2
+    assert read_csv(spark, str(plain), header=True).count() == 1
+    times = tmp_path / "c.csv"
+    times.write_text("a,b\n2025-01-31 20:00:00,2025-01-31T20:00:00Z\n")
+    df = read_csv(spark, str(times))
+    assert dict(df.dtypes) == {"a": "timestamp_ntz", "b": "timestamp"} and df.head()["a"].hour == 20
