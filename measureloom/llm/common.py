@@ -44,14 +44,14 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a table in the shared folder.
+def written(df: DataFrame, files: int | None = None) -> DataFrame:
+    """Cut the lineage with a table in the shared folder, of so many files at most if given.
 
     For loops: a checkpoint keeps what the optimizer inferred about its columns, which a loop doubles
     in every round until planning takes minutes; a table starts afresh.
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if files is None else df.coalesce(files)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

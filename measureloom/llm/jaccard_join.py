@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, WordHashes, mix, reliable, shingle_set
@@ -36,8 +36,8 @@ RANKED = 150_000
 LONG_LIST = 40
 #: Bins of the histogram of hashes that bounds the intersection of two sets from above.
 BINS = 32
-#: Members of one leader that are verified in one group.
-STAR = 256
+#: Members of one leader that are verified in one group, and sets in a block of a long list.
+STAR, BLOCK = 256, 512
 #: Postings in one range of shingles, the unit of a reducing task.
 RANGE = 1_500_000
 #: Sizes the boundary may reach: subsets of larger sets are too many to enumerate.
@@ -128,7 +128,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()),
                  pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
-            if held > 4_000_000:
+            if held > 2_000_000:
                 yield frequent()
                 pool, held = [], 0
         if pool:
@@ -164,7 +164,7 @@ def postings(docs: DataFrame, text_col: str, width: int, percent: int, light: in
                 if n >= least_listed:
                     listed.add(_ordered(s, frequent, counts)[:n - smallest(n, percent) + 1], sid, n, histogram_of(s))
                 for packer, flag in ((listed, False), (sure, True)):
-                    if packer.held > RANGE:
+                    if packer.held > RANGE // 2:
                         yield from packer.flush(flag)
             if len(seen) > 500_000:
                 seen.clear()
@@ -336,39 +336,49 @@ def _viable(na, pa_, nb, pb, percent: int):
     return fits & ((100 + percent) * np.minimum(na - pa_, nb - pb) >= percent * (na + nb))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, id_col: str, text_col: str,
-             width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of sets whose similarity is high enough.
-
-    Each pair is checked in the group of its first set, the leader, which many-paired leaders have
-    several of. Sets are read from one document each, and travel once per group that needs them.
-    """
-    spans = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
-    led = pairs.join(spans, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
-    roles = led.select(F.col("b").alias("sid"), F.col("a").alias("lead"), "salt").unionAll(
-        led.select(F.col("a").alias("sid"), F.col("a").alias("lead"), "salt").distinct())
-    known = members.join(roles.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("id").alias("_wanted"))
-    roles = reliable(roles.join(known, "sid").select("sid", "lead", "salt", "_wanted"))
+def sets_for(roles: DataFrame, docs: DataFrame, members: DataFrame, id_col: str, text_col: str,
+             width: int) -> DataFrame:
+    """(sid, keys, shingles): every role (sid, keys) with its set, read from one document each."""
+    known = members.join(roles.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(
+        F.min("id").alias("_wanted"))
+    kind = roles.schema["keys"].dataType.simpleString()
+    roles = reliable(roles.join(known, "sid").groupBy("sid", "_wanted").agg(F.collect_list("keys").alias("keys")))
     few = roles.count() <= BROADCAST_ROWS
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(
-        F.broadcast(roles) if few else roles, F.col("id").eqNullSafe(F.col("_wanted"))).select(
-        "text", "sid", "lead", "salt")
+        F.broadcast(roles) if few else roles, F.col("id").eqNullSafe(F.col("_wanted"))).select("text", "sid", "keys")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, text, s, own = WordHashes(), None, None, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for batch in batches:
             rows, raw = [], []
             wanted = batch.column(1).to_pylist()
             for k, t in enumerate(_texts(batch.column(0))):
-                if s is None or t != text:
-                    text, s = t, shingle_set(t, hashes, width)
-                    own = set_id(s)
-                if own == wanted[k]:  # a repeated id may have brought another text
+                s = shingle_set(t, hashes, width)
+                if len(s) and set_id(s) == wanted[k]:  # a repeated id may have brought another text
                     rows.append(k)
                     raw.append(s.tobytes())
             at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in (1, 2, 3)], pa.array(raw, pa.binary())],
-                                             ["sid", "lead", "salt", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(1).take(at), batch.column(2).take(at), pa.array(raw, pa.binary())],
+                                             ["sid", "keys", "shingles"])
+
+    found = chosen.mapInArrow(run, f"sid bigint, keys array<{kind}>, shingles binary")
+    return found.select("sid", F.explode("keys").alias("keys"), "shingles")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, id_col: str, text_col: str,
+             width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of sets whose similarity is high enough.
+
+    Each pair is checked in the group of its first set, the leader, which many-paired leaders have
+    several of. Sets are read from one document each, and travel once per group that needs them.
+    """
+    spans = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts"))
+    led = pairs.join(spans, "a").select("a", "b", F.struct(F.col("a").alias("lead"), F.pmod(
+        F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")).alias("keys"))
+    roles = led.select(F.col("b").alias("sid"), "keys").unionAll(
+        led.select(F.col("a").alias("sid"), "keys").distinct())
+    found = sets_for(roles, docs, members, id_col, text_col, width).select(
+        "sid", F.col("keys.lead").alias("lead"), F.col("keys.salt").alias("salt"), "shingles")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leader, place = None, None
@@ -388,37 +398,104 @@ def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, id_col: str,
                     b.append(sid)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    found = chosen.mapInArrow(sets, "sid bigint, lead bigint, salt int, shingles binary")
     found = found.repartition("lead", "salt").sortWithinPartitions("lead", "salt", F.col("sid") != F.col("lead"))
     return found.mapInArrow(check, "a bigint, b bigint").distinct()
 
 
-def apart(lists: DataFrame, roots: DataFrame, percent: int, light: int) -> DataFrame:
-    """Viable pairs in long lists between members of different components so far."""
+def still_open(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """(main, sid, root, n, bins) of long lists that hold several components so far.
+
+    Lists are put together by their largest component, their main one: the lists of a group of near
+    copies, of which there are as many as shared shingles, become one. All pairs of a list are pairs
+    of its group.
+    """
     now = lists.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").withColumn(
         "root", F.coalesce("root", "a"))
-    mixed = now.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-    open_ = reliable(now.join(mixed.select("token"), "token", "left_semi").select(
-        "token", "a", "n", "place", "root", "bins"))
-    # Members of the largest component of a list need no comparison among themselves: the others meet them.
-    sizes = open_.groupBy("token", "root").count()
-    main = sizes.groupBy("token").agg(F.max_by("root", "count").alias("main"))
-    left = open_.join(main, "token").where("root != main").drop("main")
-    right = open_.select("token", *[F.col(c).alias(f"{c}_2") for c in ("a", "n", "place", "root", "bins")])
-    fits = 100 * F.least("n", "n_2") >= percent * F.greatest("n", "n_2")
-    reach = (100 + percent) * F.least(F.col("n") - F.col("place"), F.col("n_2") - F.col("place_2")) \
-        >= percent * (F.col("n") + F.col("n_2"))
-    both = left.join(right, "token").where(
-        (F.col("root") != F.col("root_2")) & fits & reach & (F.greatest("n", "n_2") > light))
+    sizes = now.groupBy("token", "root").count()
+    main = sizes.groupBy("token").agg(F.max(F.struct("count", "root")).alias("top"), F.count("*").alias("parts")).where(
+        "parts > 1").select("token", F.col("top.root").alias("main"))
+    return now.join(main, "token").groupBy("main", F.col("a").alias("sid")).agg(
+        *[F.first(c).alias(c) for c in ("root", "n", "bins")])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in (4, 5))
-            good = _possible(x, y, batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent)
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(good))
 
-    return both.select(F.least("a", "a_2").alias("a"), F.greatest("a", "a_2").alias("b"), "n", "n_2", "bins", "bins_2"
-                       ).mapInArrow(run, "a bigint, b bigint").distinct()
+def in_blocks(rows: DataFrame, left: Column, right: Column, keep: list[str]) -> DataFrame:
+    """Rows dealt to pairs of blocks: left members of one block meet right members of another.
+
+    Adds ``keys``: main, block of the left side, block of the right side, and which sides the row is on.
+    """
+    sides = rows.withColumn("l", left).withColumn("r", right).where("l or r")
+    blocks = sides.groupBy("main").agg(
+        F.ceil(F.count_if("l") / BLOCK).cast("int").alias("ls"), F.ceil(F.count_if("r") / BLOCK).cast("int").alias("rs"))
+    dealt = sides.join(blocks.where("ls > 0 and rs > 0"), "main").withColumn("h", F.xxhash64("sid"))
+    cell = "named_struct('main', main, 'i', {i}, 'j', {j}, 'left', {s})"
+    mine = {"i": "cast(pmod(h, ls) as int)", "j": "cast(pmod(h, rs) as int)"}
+    as_left = F.expr(f"if(l, transform(sequence(0, rs - 1), x -> {cell.format(i=mine['i'], j='x', s='true')}), array())")
+    as_right = F.expr(f"if(r, transform(sequence(0, ls - 1), x -> {cell.format(i='x', j=mine['j'], s='false')}), array())")
+    return dealt.select(*keep, F.explode(F.concat(as_left, as_right)).alias("keys"))
+
+
+def promising(rows: DataFrame, percent: int, light: int) -> DataFrame:
+    """(main, sid, root, l, r): members with a partner of another component that sizes and histograms allow."""
+
+    def run(table: pa.Table) -> pa.Table:
+        left = table.column("left").to_numpy(zero_copy_only=False)
+        sid, root, n = (table.column(c).to_numpy() for c in ("sid", "root", "n"))
+        bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
+        a, b = np.flatnonzero(left), np.flatnonzero(~left)
+        found_a, found_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        for k, x in enumerate(a):
+            good = np.flatnonzero((root[b] != root[x]) & (np.maximum(n[b], n[x]) > light)
+                                  & (100 * np.minimum(n[b], n[x]) >= percent * np.maximum(n[b], n[x])))
+            good = good[_possible(bins[b[good]], bins[x][None], n[b[good]], n[x], percent)]
+            found_a[k] = len(good) > 0
+            found_b[good] = True
+        at = np.r_[a[found_a], b[found_b]]
+        is_left = np.r_[np.ones(int(found_a.sum()), bool), np.zeros(int(found_b.sum()), bool)]
+        main = table.column("main").to_numpy()
+        return pa.table({"main": main[at], "sid": sid[at], "root": root[at], "l": is_left, "r": ~is_left})
+
+    dealt = in_blocks(rows, F.col("root") != F.col("main"), F.lit(True), ["sid", "root", "n", "bins"])
+    dealt = dealt.select("keys.*", "sid", "root", "n", "bins")
+    found = dealt.groupBy("main", "i", "j").applyInArrow(run, "main bigint, sid bigint, root bigint, l boolean, r boolean")
+    return found.groupBy("main", "sid", "root").agg(F.bool_or("l").alias("l"), F.bool_or("r").alias("r"))
+
+
+def linked_in_blocks(rows: DataFrame, docs: DataFrame, members: DataFrame, id_col: str, text_col: str,
+                     width: int, percent: int) -> DataFrame:
+    """Links between different components of one group, found by scanning inverted lists block by block.
+
+    Each left set gives one link at most for every component it reaches in a block.
+    """
+    roles = in_blocks(rows, F.col("l"), F.col("r"), ["sid", "root"]).select(
+        "sid", F.col("keys").withField("root", F.col("root")).alias("keys"))
+    sets = sets_for(roles, docs, members, id_col, text_col, width).select("keys.*", "sid", "shingles")
+
+    def run(table: pa.Table) -> pa.Table:
+        left = table.column("left").to_numpy(zero_copy_only=False)
+        sid, root = table.column("sid").to_numpy(), table.column("root").to_numpy()
+        found = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        size = np.array([len(x) for x in found])
+        a, b = np.flatnonzero(left), np.flatnonzero(~left)
+        out_a, out_b = [], []
+        if len(a) and len(b):
+            tokens = np.concatenate([found[k] for k in b])
+            who = np.repeat(np.arange(len(b)), size[b])
+            order = np.argsort(tokens, kind="stable")
+            tokens, who = tokens[order], who[order]
+            for x in a:
+                lo = np.searchsorted(tokens, found[x])
+                hi = np.searchsorted(tokens, found[x], side="right")
+                count = hi - lo
+                at = np.repeat(lo - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+                same = np.bincount(who[at], minlength=len(b))
+                good = b[((100 + percent) * same >= percent * (size[b] + size[x])) & (root[b] != root[x])]
+                good = good[np.unique(root[good], return_index=True)[1]]
+                out_a.append(np.full(len(good), sid[x]))
+                out_b.append(sid[good])
+        cat = lambda v: np.concatenate([np.zeros(0, np.int64), *v]).astype(np.int64)
+        return pa.table({"a": cat(out_a), "b": cat(out_b)})
+
+    return sets.groupBy("main", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
@@ -457,11 +534,15 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     one = reliable(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     links = reliable(check(one).unionAll(proven))
     roots = components(links)
-    # Then what is still apart: other pairs, and members of long lists that their leaders did not link.
-    rest = between(pairs, roots).unionAll(apart(lists, roots, percent, light)).distinct().join(one, ["a", "b"], "left_anti")
-    rest = reliable(rest)
+    # Then other pairs whose ends are still apart, and long lists that hold several components.
+    rest = reliable(between(pairs, roots).join(one, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        roots = components(links.unionAll(check(rest)))
+        links = reliable(links.unionAll(check(rest)))
+        roots = components(links)
+    apart = reliable(promising(still_open(lists, roots), percent, light))
+    if not apart.isEmpty():
+        more = linked_in_blocks(apart, docs, members, id_col, text_col, width, percent)
+        roots = components(links.unionAll(more))
     return _ids(members, roots).withColumnRenamed("id", id_col)
 
 

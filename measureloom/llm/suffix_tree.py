@@ -157,7 +157,7 @@ def gather(rows: DataFrame, ranges: int) -> DataFrame:
                 if entries > RANGE:
                     yield from packed(held)
                     held, entries = [], 0
-                if places > 3_000_000:
+                if places > 1_500_000:
                     yield from sequences(pool)
                     pool, places = [], 0
         if held:
