@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from measureloom.contract import Scope
+from measureloom.contract import COMPARISONS, Scope
 from measureloom.functions import calendar as cal
-from measureloom.functions import cleaning
+from measureloom.functions import cleaning, dates
 from measureloom.operators.onerow import attach
 
 CURRENT, BASE = "in_current", "in_base"
@@ -108,17 +108,43 @@ def last_day(df: DataFrame, time: str, timezone: str | None = None) -> DataFrame
 
 def lock_row(df: DataFrame, scope: Scope, time: str) -> DataFrame:
     """The lock of a scope on a table; its last day is only looked up for an open period."""
-    open_period = re.search(cal.PLACEHOLDER, (scope.period or "").strip()) is not None
-    known = last_day(df, time, scope.timezone) if open_period else None
+    known = last_day(df, time, scope.timezone) if _open_period(scope) else None
     return lock_frame(df.sparkSession, scope, known)
 
 
+def _open_period(scope: Scope) -> bool:
+    return re.search(cal.PLACEHOLDER, (scope.period or "").strip()) is not None
+
+
+def declared_lock(scope: Scope) -> Lock:
+    """The lock of a declared period, from its label and cutoffs alone: no job runs."""
+    found = dates.period(scope.period)
+    if found is None:
+        raise ValueError(f"period {scope.period!r} cannot be resolved")
+    start, requested_end, granularity, label = found
+    if COMPARISONS[scope.comparison] == "custom" and scope.baseline_period is None:
+        raise ValueError("a custom comparison needs a baseline period")
+    custom = dates.period(scope.baseline_period) if scope.baseline_period is not None else None
+    base = dates.baseline(scope.comparison, start, requested_end, granularity, custom)
+    as_of = dates.strict_day(scope.data_as_of)
+    end = min(requested_end, as_of) if as_of else requested_end
+    base_start, base_end = base or (None, None)
+    if base and scope.comparison_type == "year_over_year" and end < requested_end:
+        base_end = min(base_end, dates.add_months(end, -12))
+    elif base and scope.comparison_type == "same_stage_previous_period":
+        base_end = min(base_end, base_start + (end - start))
+    return Lock(label, granularity, start, end, requested_end, base_start, base_end,
+                scope.comparison_type)
+
+
 def resolve(df: DataFrame, scope: Scope, time: str | None) -> Lock:
-    """The lock as literals. Reads the data only to infer an open period; collects one row."""
+    """The lock as literals. A job runs only to infer an open period, and collects one row."""
     if scope.mode == "snapshot" or time is None:
         far = dt.date(9999, 12, 31)
         return Lock("snapshot", "snapshot", dt.date(1, 1, 1), far, far, None, None, "none",
                     "snapshot")
+    if not _open_period(scope):
+        return declared_lock(scope)
     row = lock_row(df, scope, time).head()
     if row["start"] is None:
         raise ValueError(f"period {scope.period!r} cannot be resolved")

@@ -116,3 +116,41 @@ def test_period_keys(spark, make):
     assert got.asDict() == {"period": "locked-period", "xun": "2024-12-X3", "week": "2025-W01",
                             "month": "2024-12", "quarter": "2024Q4", "half": "2024-H2",
                             "year": "2024"}
+
+
+def test_plain_dates_agree_with_the_column_form(spark):
+    from measureloom.functions import dates
+
+    labels = [f"{y}{t}" for y in (2015, 2020, 2024, 2025) for t in (
+        "", "Q1", "q4", "Q5", "Q0", "H1", "-H2", "H3", "W1", "W53", "-W54", "W0", "-2", "-12", "-13", "年7月", "年三季度", "-02下旬",
+        "-06-X1", "-06X4", "年9月2旬", "全年", "上半年", "-1-15至2026-03-02", "-1-15~2010-03-02", "-02-30..2026-01-01", " Q 2", "x")]
+    rows = spark.createDataFrame([(t,) for t in labels], "t string").select("t", cal.period_bounds(F.col("t")).alias("p"))
+    for r in rows.collect():
+        p = r["p"]
+        assert dates.period(r["t"]) == (p and (p["start"], p["end"], p["granularity"], p["label"])), r["t"]
+    kinds = ("yoy", "mom", "qoq", "wow", "previous_calendar_period", "previous_complete_period", "period_over_period",
+             "previous_equal_window", "same_stage", "custom", "none")
+    kinds = [k for k in kinds if k in cal.COMPARISONS]
+    known = [p for t in labels if (p := dates.period(t))]
+    custom = dates.period("2019Q2")
+    df = spark.createDataFrame([p[:3] for p in known], "a date, b date, g string")
+    struct = cal.period_bounds(F.lit("2019Q2"))
+    got = df.select("a", "b", "g", *[cal.baseline_window(k, F.col("a"), F.col("b"), F.col("g"), struct).alias(k) for k in kinds])
+    for r in got.collect():
+        for k in kinds:
+            assert dates.baseline(k, r["a"], r["b"], r["g"], custom) == (r[k] and tuple(r[k])), (r, k)
+
+
+@pytest.mark.parametrize("scope", [
+    Scope(period="2024H1", comparison="yoy", data_as_of="2024-02-29", comparison_as_of="2023-02-28"),
+    Scope(period="2023-07", comparison="same_stage", data_as_of="2023-07-11", comparison_as_of="2023-06-11"),
+    Scope(period="2023Q3", comparison="qoq", data_as_of="2023-12-31", comparison_as_of="2023-06-30"),
+    Scope(period="2023", comparison="custom", baseline_period="2019-03-01..2019-04-02", data_as_of="2023-12-31"),
+    Scope(period="2023-W05", comparison="mom", data_as_of="bad"),
+])
+def test_declared_locks_need_no_job(spark, scope):
+    row = s.lock_frame(spark, scope).head()
+    lock = s.declared_lock(scope)
+    assert (lock.label, lock.granularity, lock.start, lock.end, lock.requested_end, lock.base_start, lock.base_end) == (
+        row["label"], row["granularity"], row["start"], row["end"] or row["requested_end"], row["requested_end"],
+        row["base_start"], row["base_end"])
