@@ -150,6 +150,11 @@ def suggested_analyses(spark, d):
                                 p.time_coverage(orders, "order_date"))
 
 
-@query("b07_sample_values")
+_SAMPLED = ("p_brand", "p_type", "p_size", "p_name")
+
+
+@query("b07_sample_values", " UNION ".join(
+    f"SELECT '{c}' AS \"column\", {end}({c}::VARCHAR) AS sample FROM part"
+    for c in _SAMPLED for end in ("min", "max")))
 def sample_values(spark, d):
-    return p.sample_values(table(spark, d, "region"))
+    return p.sample_values(table(spark, d, "part").select(*_SAMPLED))

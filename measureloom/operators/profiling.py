@@ -212,11 +212,18 @@ def suggested_analyses(roles: DataFrame, coverage: DataFrame | None = None) -> D
 
 
 def sample_values(df: DataFrame, n: int = 2) -> DataFrame:
-    """First filled values of every column; only for callers that asked to see data."""
-    frames = None
-    for f in df.schema.fields:
-        c = F.col(f"`{f.name}`").cast("string")
-        part = df.where(c.isNotNull()).limit(n).select(F.lit(f.name).alias("column"),
-                                                       c.alias("sample"))
-        frames = part if frames is None else frames.unionByName(part)
-    return frames
+    """One or two filled values of every column, the smallest and the largest as text.
+
+    All columns are sampled in one aggregate, and the choice does not depend on the order of rows.
+    Only for callers that asked to see data.
+    """
+    if n not in (1, 2):
+        raise ValueError("one or two samples a column")
+    fields = [f.name for f in df.schema.fields]
+    text = [F.col(f"`{name}`").cast("string") for name in fields]
+    ends = df.agg(*[F.min(t).alias(f"lo{k}") for k, t in enumerate(text)],
+                  *[F.max(t).alias(f"hi{k}") for k, t in enumerate(text)])
+    cells = [F.struct(F.lit(name).alias("column"), F.array_distinct(
+        F.array(*[f"{end}{k}" for end in ("lo", "hi")[:n]])).alias("samples")) for k, name in enumerate(fields)]
+    return ends.select(F.explode(F.array(*cells)).alias("c")).select(
+        "c.column", F.explode("c.samples").alias("sample")).where(F.col("sample").isNotNull())

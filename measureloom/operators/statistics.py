@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from measureloom.contract import Measure, primary_of
 from measureloom.functions.special import two_sided_p
 from measureloom.operators.compare import measure_attribute, yoy_series
-from measureloom.operators.onerow import join_by
+from measureloom.operators.onerow import attach, join_by
 from measureloom.operators.shape import regular_months
 
 SIGNIFICANCE = 0.05
@@ -227,11 +227,11 @@ def method_applicability(rows: DataFrame, series: DataFrame | None, pvm: DataFra
         parts.append(spark.createDataFrame(
             [("mk_trend", primary, "SKIPPED", "snapshot_has_no_time_series")], lines.schema))
     else:
-        # A left join from the one-row primary keeps the verdict when the series is empty.
-        check = regular_months(series, ["measure_id"]).select("measure_id", "regular")
+        # At most one row of the primary series is attached; without any the verdict stays.
+        check = regular_months(series, ["measure_id"]).where(F.col("measure_id") == primary).select("regular")
+        one = attach(spark.range(1).select(F.lit(primary).alias("measure_id")), check)
         ok = F.coalesce(F.col("regular"), F.lit(False))
-        parts.append(spark.range(1).select(F.lit(primary).alias("measure_id")).join(
-            check, "measure_id", "left").select(
+        parts.append(one.select(
             F.lit("mk_trend").alias("method"), "measure_id",
             F.when(ok, "ELIGIBLE").otherwise("SKIPPED").alias("status"),
             F.when(ok, "regular_month_series_n_gte_4")
