@@ -73,8 +73,14 @@ _VALUES = ["current", "baseline"]
 def build_report(df: DataFrame, contract: Contract, baseline: DataFrame | None = None,
                  fingerprint: bool = False, expected_change: bool | None = None,
                  allow_schema_change: bool = False,
-                 allow_semantic_change: bool = False) -> Report:
-    """Run the whole contract. ``baseline`` is the snapshot row of an earlier run, if any."""
+                 allow_semantic_change: bool = False, write_once: bool = False) -> Report:
+    """Run the whole contract. ``baseline`` is the snapshot row of an earlier run, if any.
+
+    A report reads its input about ten times. With ``write_once`` the input is written to the
+    checkpoint folder first and read from there, which pays when it is more than a plain scan.
+    """
+    if write_once:
+        df = cut_lineage(df)
     spark, roles, limits = df.sparkSession, contract.roles, contract.thresholds
     time = roles.time if roles.time in df.columns else None
     timezone = contract.scope.timezone
