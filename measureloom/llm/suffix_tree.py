@@ -32,8 +32,8 @@ SHARE = 3e-6
 #: Local count from which a task reports a sequence of words.
 LOCAL = 4
 DISCOUNT = 0.5
-#: Entries of one range of words, the unit of a reducing task.
-RANGE = 2_500_000
+#: Entries of one range of words, the unit of a reducing task; entries or places a task holds at once.
+RANGE, HELD = 1_600_000, 1_000_000
 END = b"\n"
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
@@ -154,10 +154,10 @@ def gather(rows: DataFrame, ranges: int) -> DataFrame:
                 if len(flat):
                     pool.append((grams(flat, place, DEPTH), place))
                 places += len(flat)
-                if entries > RANGE:
+                if entries > HELD:
                     yield from packed(held)
                     held, entries = [], 0
-                if places > 1_500_000:
+                if places > HELD:
                     yield from sequences(pool)
                     pool, places = [], 0
         if held:
