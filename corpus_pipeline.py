@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from measureloom.llm import decontaminate, jaccard_join, mixing, secrets, toxicity
-from measureloom.llm.common import small_enough, table
+from measureloom.llm.common import reliable, small_enough, table
 
 #: The fitted chain and the links of documents have no SQL; tests compare with plain code instead.
 ORACLE_SQL = None
@@ -21,10 +21,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by shingles, the one with the smallest id stays; documents without words stay."""
-    found = jaccard_join.link(docs)
+    """Of documents linked by shingles, the one with the smallest id stays.
+
+    Documents without words, and without an id, stay; of rows that repeat id and text one stays.
+    """
+    found = reliable(jaccard_join.link(docs))
     gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(small_enough(gone.distinct()), F.col("doc_id") == F.col("_gone"), "left_anti")
+    kept = docs.join(small_enough(gone.distinct()), F.col("doc_id") == F.col("_gone"), "left_anti")
+    twice = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
+    if twice.isEmpty():
+        return kept
+    twice = small_enough(reliable(twice))
+    alone = kept.join(twice, F.col("doc_id") == F.col("_twice"), "left_anti")
+    again = kept.join(twice, F.col("doc_id") == F.col("_twice"), "left_semi").withColumn("_text", F.xxhash64("text"))
+    return alone.unionByName(again.dropDuplicates(["doc_id", "_text"]).drop("_text"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
