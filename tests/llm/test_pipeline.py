@@ -59,6 +59,40 @@ def test_stages_in_order(spark, tmp_path):
         before = now
 
 
+def awkward(spark, folder, texts, ids):
+    """A folder of tables with few or no rows, and the documents in it."""
+    rows = [(i, t, None, None, None) for i, t in zip(ids, texts, strict=True)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(None, None)], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+def test_stages_take_awkward_rows(spark, tmp_path):
+    """Nulls in every column, empty texts, repeated rows and null ids pass; only linked documents go."""
+    folder = str(tmp_path)
+    texts = [None, "", "a b c", "a b c", "a b c", "x" * 50_000, "token=abcdef1"]
+    docs = awkward(spark, folder, texts, [0, 1, 2, 2, 3, None, 5])
+    sizes = []
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        docs = stage(spark, docs, folder)
+        docs.write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+        sizes.append(docs.count())
+    assert sizes == [5, 5, 5, 5]  # one of the three equal texts stays; texts without tokens come with their block
+    assert {r["text"] for r in docs.collect()} == {None, "", "a b c", "x" * 50_000, "[SECRET]"}
+
+
+def test_stages_take_no_rows(spark, tmp_path):
+    folder = str(tmp_path)
+    docs = awkward(spark, folder, [], [])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        assert out.count() == 0
+        docs = out if name == "mixing" else out.select(docs.columns)
+
+
 def test_entry_works_without_the_subpackage(tmp_path):
     """A copy of the repository without the subpackage and the pipeline still lists the other queries."""
     import subprocess
