@@ -22,16 +22,22 @@ def inferred_format(path: Column, unit: Column) -> Column:
         .otherwise("decimal"))
 
 
+MOST_DECIMALS = 12
+
+
 def grouped_fixed(value: Column, precision: Column) -> Column:
-    """Thousands separators and a fixed number of decimals (0 to 6), halves away from zero."""
+    """Thousands separators and a fixed number of decimals (0 to 12), halves away from zero.
+
+    More decimals than that are an error, as a double does not carry them.
+    """
     size = F.abs(value)
     halves_exact = size * 1024 == F.floor(size * 1024)
 
     def shown(digits: int) -> Column:
         return F.format_number(F.when(halves_exact, F.round(size, digits)).otherwise(size), digits)
 
-    text = shown(6)
-    for digits in range(6):
+    text = F.raise_error(F.concat(F.lit("precision not between 0 and 12: "), precision.cast("string"))).cast("string")
+    for digits in range(MOST_DECIMALS, -1, -1):
         text = F.when(precision == digits, shown(digits)).otherwise(text)
     return F.concat(F.when(value < 0, "-").otherwise(""), text)
 

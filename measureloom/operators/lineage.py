@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,9 +51,8 @@ def _hashable(field: T.StructField) -> Column:
 def semantic_fingerprint(spark: SparkSession, measures: Sequence[Measure],
                          contract: SchemaContract | None = None) -> DataFrame:
     """One row: semantic_sha256 over everything that changes the meaning of a number."""
-    names = ("id", "field", "semantic_type", "aggregation", "unit", "direction", "additivity",
-             "within_day", "time_aggregation", "storage_scale", "numerator_field",
-             "denominator_field", "weight_field", "min_weight_coverage_pct", "primary", "required")
+    shown_only = {"label", "target_field", "benchmark", "dimension_aggregation"}
+    names = sorted({f.name for f in dataclasses.fields(Measure)} - shown_only | {"within_day"})
     rows = spark.createDataFrame(
         [tuple(None if getattr(m, n) is None else str(getattr(m, n)) for n in names)
          for m in measures], T.StructType([T.StructField(n, T.StringType()) for n in names]))

@@ -69,7 +69,14 @@ class _Reader(DataSourceReader):
     def _bounds(self, file: str) -> tuple[int | None, int | None]:
         raise NotImplementedError
 
+    def _columns(self, file: str) -> list[str]:
+        raise NotImplementedError
+
     def partitions(self):
+        names = {f.name for f in self.schema.fields}
+        for file in self.files[1:]:
+            if more := sorted(set(self._columns(file)) - names):
+                raise ValueError(f"{os.path.basename(file)} has columns that the first file lacks: {more}")
         return [r for file in self.files for r in ranges(file, *self._bounds(file), self.parts)]
 
 
@@ -113,6 +120,13 @@ def _sqlite_type(declared: str):
 
 
 class SQLiteReader(_Reader):
+    def _columns(self, file):
+        con = _sqlite(file)
+        try:
+            return [r[1] for r in con.execute(f"PRAGMA table_info({quoted(self.table)})")]
+        finally:
+            con.close()
+
     def _bounds(self, file):
         con = _sqlite(file)
         try:
@@ -192,6 +206,13 @@ def _duckdb(path: str):
 
 
 class DuckDBReader(_Reader):
+    def _columns(self, file):
+        con = _duckdb(file)
+        try:
+            return [r[0] for r in con.execute(f"DESCRIBE SELECT * FROM {quoted(self.table)}").fetchall()]
+        finally:
+            con.close()
+
     def _bounds(self, file):
         con = _duckdb(file)
         try:

@@ -49,8 +49,10 @@ class ExcelReader(DataSourceReader):
         pd = _pandas()
         frame = pd.read_excel(partition.workbook, sheet_name=partition.sheet)
         frame.columns = [str(c) for c in frame.columns]
-        for row in frame.reindex(columns=[f.name for f in self.schema.fields]).itertuples(
-                index=False, name=None):
+        names = [f.name for f in self.schema.fields]
+        if more := sorted(set(frame.columns) - set(names)):
+            raise ValueError(f"{os.path.basename(partition.workbook)} has columns that the first workbook lacks: {more}")
+        for row in frame.reindex(columns=names).itertuples(index=False, name=None):
             yield tuple(_cell(f.dataType, v, pd) for f, v in zip(self.schema.fields, row))
 
 

@@ -162,3 +162,15 @@ def test_csv_as_people_have_it(spark, tmp_path):
     times.write_text("a,b\n2025-01-31 20:00:00,2025-01-31T20:00:00Z\n")
     df = read_csv(spark, str(times))
     assert dict(df.dtypes) == {"a": "timestamp_ntz", "b": "timestamp"} and df.head()["a"].hour == 20
+
+
+def test_a_later_file_with_more_columns_is_an_error(spark, tmp_path):
+    import sqlite3
+
+    for name, columns in (("a.db", "k integer"), ("b.db", "k integer, extra text")):
+        con = sqlite3.connect(tmp_path / name)
+        con.execute(f"CREATE TABLE t ({columns})")
+        con.commit()
+        con.close()
+    with pytest.raises(Exception, match="extra"):
+        read_sqlite(spark, str(tmp_path), "t").collect()
