@@ -36,6 +36,8 @@ RANKED = 150_000
 LONG_LIST = 40
 #: Bins of the histogram of hashes that bounds the intersection of two sets from above.
 BINS = 32
+#: Bins of the finer histogram of large sets, and the size from which sets have one.
+WIDE, WIDE_FROM = 256, 300
 #: Members of one leader that are verified in one group, and sets in a block of a long list.
 STAR, BLOCK = 256, 512
 #: Postings in one range of shingles, the unit of a reducing task.
@@ -78,9 +80,9 @@ def set_id(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes())).view(np.int64))
 
 
-def histogram_of(shingles: np.ndarray) -> bytes:
+def histogram_of(shingles: np.ndarray, bins: int = BINS) -> bytes:
     """Counts of the hashes by bin, at most 255 each; 255 stands for any larger count."""
-    counts = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS)
+    counts = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % bins, minlength=bins)
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
@@ -96,7 +98,7 @@ def _texts(column: pa.Array) -> list[bytes | None]:
 
 
 def describe(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Rows of two kinds: (id, n, sid) per document row, and (token, count) of locally frequent shingles."""
+    """Rows of two kinds: (id, n, sid, wide) per document row, and (token, count) of locally frequent shingles."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,16 +109,17 @@ def describe(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
             keep = counts >= LOCAL_FREQUENT
             n = int(keep.sum())
             return pa.RecordBatch.from_arrays(
-                [pa.nulls(n, schema), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
+                [pa.nulls(n, schema), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()),
                  pa.array(tokens[keep].view(np.int64)), pa.array(counts[keep].astype(np.int64))], names)
 
         for batch in batches:
             schema = batch.schema.field(0).type
-            sizes, sids = [], []
+            sizes, sids, wide = [], [], []
             for text in _texts(batch.column(1)):
                 s = shingle_set(text, hashes, width)
                 sid = set_id(s) if len(s) else None
                 sizes.append(len(s))
+                wide.append(histogram_of(s, WIDE) if len(s) >= WIDE_FROM else None)
                 sids.append(sid)
                 if sid is not None and sid not in seen:
                     seen.add(sid)
@@ -126,7 +129,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
                 seen.clear()
             n = len(sizes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()),
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), pa.array(wide, pa.binary()),
                  pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
             if held > 2_000_000:
                 yield frequent()
@@ -134,9 +137,9 @@ def describe(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
         if pool:
             yield frequent()
 
-    names = ["id", "n", "sid", "token", "count"]
+    names = ["id", "n", "sid", "wide", "token", "count"]
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"id {kind}, n bigint, sid bigint, token bigint, count bigint")
+        run, f"id {kind}, n bigint, sid bigint, wide binary, token bigint, count bigint")
 
 
 def postings(docs: DataFrame, text_col: str, width: int, percent: int, light: int, ranges: int,
@@ -402,8 +405,8 @@ def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, id_col: str,
     return found.mapInArrow(check, "a bigint, b bigint").distinct()
 
 
-def still_open(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """(main, sid, root, n, bins) of long lists that hold several components so far.
+def still_open(lists: DataFrame, roots: DataFrame, wide: DataFrame) -> DataFrame:
+    """(main, sid, root, n, bins, wide) of long lists that hold several components so far.
 
     Lists are put together by their largest component, their main one: the lists of a group of near
     copies, of which there are as many as shared shingles, become one. All pairs of a list are pairs
@@ -414,8 +417,9 @@ def still_open(lists: DataFrame, roots: DataFrame) -> DataFrame:
     sizes = now.groupBy("token", "root").count()
     main = sizes.groupBy("token").agg(F.max(F.struct("count", "root")).alias("top"), F.count("*").alias("parts")).where(
         "parts > 1").select("token", F.col("top.root").alias("main"))
-    return now.join(main, "token").groupBy("main", F.col("a").alias("sid")).agg(
+    open_ = now.join(main, "token").groupBy("main", F.col("a").alias("sid")).agg(
         *[F.first(c).alias(c) for c in ("root", "n", "bins")])
+    return open_.join(wide, "sid", "left")
 
 
 def in_blocks(rows: DataFrame, left: Column, right: Column, keep: list[str]) -> DataFrame:
@@ -441,12 +445,17 @@ def promising(rows: DataFrame, percent: int, light: int) -> DataFrame:
         left = table.column("left").to_numpy(zero_copy_only=False)
         sid, root, n = (table.column(c).to_numpy() for c in ("sid", "root", "n"))
         bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
+        finer = table.column("wide").to_pylist()
+        large = np.array([w is not None for w in finer], bool)
+        finer = np.frombuffer(b"".join(w or bytes(WIDE) for w in finer), np.uint8).reshape(-1, WIDE)
         a, b = np.flatnonzero(left), np.flatnonzero(~left)
         found_a, found_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
         for k, x in enumerate(a):
             good = np.flatnonzero((root[b] != root[x]) & (np.maximum(n[b], n[x]) > light)
                                   & (100 * np.minimum(n[b], n[x]) >= percent * np.maximum(n[b], n[x])))
             good = good[_possible(bins[b[good]], bins[x][None], n[b[good]], n[x], percent)]
+            if large[x]:
+                good = good[~large[b[good]] | _possible(finer[b[good]], finer[x][None], n[b[good]], n[x], percent)]
             found_a[k] = len(good) > 0
             found_b[good] = True
         at = np.r_[a[found_a], b[found_b]]
@@ -454,8 +463,8 @@ def promising(rows: DataFrame, percent: int, light: int) -> DataFrame:
         main = table.column("main").to_numpy()
         return pa.table({"main": main[at], "sid": sid[at], "root": root[at], "l": is_left, "r": ~is_left})
 
-    dealt = in_blocks(rows, F.col("root") != F.col("main"), F.lit(True), ["sid", "root", "n", "bins"])
-    dealt = dealt.select("keys.*", "sid", "root", "n", "bins")
+    dealt = in_blocks(rows, F.col("root") != F.col("main"), F.lit(True), ["sid", "root", "n", "bins", "wide"])
+    dealt = dealt.select("keys.*", "sid", "root", "n", "bins", "wide")
     found = dealt.groupBy("main", "i", "j").applyInArrow(run, "main bigint, sid bigint, root bigint, l boolean, r boolean")
     return found.groupBy("main", "sid", "root").agg(F.bool_or("l").alias("l"), F.bool_or("r").alias("r"))
 
@@ -510,6 +519,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     spark = docs.sparkSession
     described = reliable(describe(docs, id_col, text_col, width))
     members = described.where("count is null").select("id", "n", "sid")
+    wide = described.where("wide is not null").groupBy("sid").agg(F.first("wide").alias("wide"))
     top = described.where("count is not null").groupBy("token").agg(F.sum("count").alias("count")).where(
         F.col("count") >= FREQUENT).orderBy(F.desc("count"), "token").limit(RANKED).toArrow()
     tokens = top["token"].to_numpy().view(np.uint64)
@@ -539,7 +549,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     if not rest.isEmpty():
         links = reliable(links.unionAll(check(rest)))
         roots = components(links)
-    apart = reliable(promising(still_open(lists, roots), percent, light))
+    apart = reliable(promising(still_open(lists, roots, wide), percent, light))
     if not apart.isEmpty():
         more = linked_in_blocks(apart, docs, members, id_col, text_col, width, percent)
         roots = components(links.unionAll(more))

@@ -65,7 +65,10 @@ def test_against_all_pairs(docs, seed):
     assert run(docs, texts) == expected(texts, range(len(texts)))
 
 
-def test_long_lists_are_joined_by_leaders_and_stay_exact(docs, monkeypatch):
+@pytest.mark.parametrize("wide", [20, 300])
+def test_long_lists_are_joined_by_leaders_and_stay_exact(docs, monkeypatch, wide):
+    monkeypatch.setattr(jj, "WIDE_FROM", wide)
+    monkeypatch.setattr(jj, "BLOCK", 16)
     monkeypatch.setattr(jj, "LONG_LIST", 5)
     monkeypatch.setattr(jj, "STAR", 4)
     rng = random.Random(3)
