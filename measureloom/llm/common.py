@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +57,13 @@ def written(df: DataFrame, files: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that their Python values do not all exist at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
@@ -73,7 +82,7 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
 class WordHashes(dict):
     """63-bit hash of each word seen, emptied when it grows beyond its bound."""
 
-    LIMIT = 400_000
+    LIMIT = 120_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

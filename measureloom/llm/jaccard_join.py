@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, WordHashes, mix, reliable, shingle_set
+from .common import BROADCAST_ROWS, WordHashes, mix, reliable, shingle_set, small
 from .components import components
 
 #: Local count from which a shingle is reported as frequent, and total count from which it is ranked.
@@ -41,7 +41,7 @@ WIDE, WIDE_FROM = 256, 300
 #: Members of one leader that are verified in one group, and sets in a block of a long list.
 STAR, BLOCK = 256, 512
 #: Postings in one range of shingles, the unit of a reducing task.
-RANGE = 1_500_000
+RANGE = 800_000
 #: Sizes the boundary may reach: subsets of larger sets are too many to enumerate.
 LARGEST_LIGHT = 12
 #: Cost of one inverted-list entry relative to one enumerated subset.
@@ -112,7 +112,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
                 [pa.nulls(n, schema), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()),
                  pa.array(tokens[keep].view(np.int64)), pa.array(counts[keep].astype(np.int64))], names)
 
-        for batch in batches:
+        for batch in small(batches):
             schema = batch.schema.field(0).type
             sizes, sids, wide = [], [], []
             for text in _texts(batch.column(1)):
@@ -131,7 +131,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), pa.array(wide, pa.binary()),
                  pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
-            if held > 2_000_000:
+            if held > 1_000_000:
                 yield frequent()
                 pool, held = [], 0
         if pool:
@@ -153,7 +153,7 @@ def postings(docs: DataFrame, text_col: str, width: int, percent: int, light: in
         plans = {n: subset_plan(n, percent, light) for n in range(1, light + 1)}
         listed, sure = _Packer(ranges), _Packer(ranges)
 
-        for batch in batches:
+        for batch in small(batches):
             for text in _texts(batch.column(0)):
                 s = shingle_set(text, hashes, width)
                 n = len(s)
@@ -280,7 +280,7 @@ def _candidates(percent: int, light: int):
             for m in np.unique(lengths[short]).tolist():
                 at = starts[:-1][short & (lengths == m)]
                 i, j = np.triu_indices(m, 1)
-                step = max(1, 500_000 // len(i))
+                step = max(1, 150_000 // len(i))
                 for k in range(0, len(at), step):
                     keep((at[k:k + step, None] + i).ravel(), (at[k:k + step, None] + j).ravel())
             for k in np.flatnonzero(~short).tolist():
@@ -352,7 +352,7 @@ def sets_for(roles: DataFrame, docs: DataFrame, members: DataFrame, id_col: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for batch in batches:
+        for batch in small(batches):
             rows, raw = [], []
             wanted = batch.column(1).to_pylist()
             for k, t in enumerate(_texts(batch.column(0))):
@@ -385,7 +385,7 @@ def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, id_col: str,
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leader, place = None, None
-        for batch in batches:
+        for batch in small(batches):
             a, b = [], []
             for sid, lead, salt, raw in zip(*[c.to_pylist() for c in batch.columns[:4]], strict=True):
                 s = np.frombuffer(raw, np.uint64)

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small
+
 ROUNDS = 10
 KINDS = ("email", "ip", "iban", "card", "phone", "ssn", "date")
 
@@ -228,7 +230,7 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("pseudonym", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(1).to_pylist()
             found = [find(t, key, back) if t else [] for t in texts]
             new = [replaced(t, f) if f else t for t, f in zip(texts, found, strict=True)]

@@ -42,7 +42,7 @@ def shape_of(word: str) -> str:
 class Shapes(dict):
     """Hashed shape of each word seen, emptied when it grows beyond its bound."""
 
-    LIMIT = 400_000
+    LIMIT = 100_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.LIMIT:

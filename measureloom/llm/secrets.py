@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small
+
 # The patterns of the base kinds and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
                     re.IGNORECASE | re.ASCII)
@@ -100,7 +102,7 @@ def find(text: str) -> list[tuple[int, str, int]]:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         spans = [[{"kind": k, "start": a, "end": b} for a, k, b in find(t)] if t else []
                  for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(SPAN))], ["id", "spans"])
@@ -127,7 +129,7 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", leng
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index(text_col)
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(at).to_pylist()
             new = [masked(t, mask) if t else t for t in texts]
             columns = list(batch.columns)

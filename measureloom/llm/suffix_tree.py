@@ -33,7 +33,7 @@ SHARE = 3e-6
 LOCAL = 4
 DISCOUNT = 0.5
 #: Entries of one range of words, the unit of a reducing task; entries or places a task holds at once.
-RANGE, HELD = 1_600_000, 1_000_000
+RANGE, HELD = 1_200_000, 700_000
 END = b"\n"
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
@@ -76,7 +76,7 @@ def _binary(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-def _chunks(batch: pa.RecordBatch, size: int = 2000) -> Iterator[pa.RecordBatch]:
+def _chunks(batch: pa.RecordBatch, size: int = 1000) -> Iterator[pa.RecordBatch]:
     for k in range(0, batch.num_rows, size):
         yield batch.slice(k, size)
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix, reliable, shingle_set
+from .common import WordHashes, mix, reliable, shingle_set, small
 from .logistic import Sparse, fit, sigmoid
 
 WORD = re.compile(rb"[a-z\x80-\xff]+")
@@ -76,7 +76,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words and four minima of hashed shingles, which agree for near copies."""
     hashes = WordHashes()
     salts = mix(np.arange(1, 5, dtype=np.uint64))
-    for batch in batches:
+    for batch in small(batches):
         words, minima = [], []
         for text in batch.column(1).to_pylist():
             words.append(sorted(w.decode("utf-8", "replace") for w in words_of(text) if len(w) <= LONGEST_WORD))
@@ -165,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 class Index(dict):
     """Indices of the features that each word seen has, emptied when it grows beyond its bound."""
 
-    LIMIT = 300_000
+    LIMIT = 100_000
 
     def __init__(self, features: Sequence[str]):
         super().__init__()
@@ -198,7 +198,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(words)
-        for batch in batches:
+        for batch in small(batches):
             p = chain.predict(_rows(batch.column(1).to_pylist(), index))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in p.T]], names)
 
@@ -214,7 +214,7 @@ def keep_clean(docs: DataFrame, chain: Chain, text_col: str = "text", threshold:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(words)
-        for batch in batches:
+        for batch in small(batches):
             p = chain.predict(_rows(batch.column(at).to_pylist(), index))
             yield batch.filter(pa.array(p[:, -1] < threshold))
 
