@@ -29,8 +29,8 @@ from .common import WordHashes, mix, reliable
 DEPTH = 3
 #: Least share of the training tokens for a context with its next symbol: at most 1 / SHARE of each length.
 SHARE = 3e-6
-#: Local count from which a task reports a sequence of words.
-LOCAL = 4
+#: Least count of a sequence in all training texts, wherever its occurrences lie.
+LEAST = 4
 DISCOUNT = 0.5
 #: Entries of one range of words, the unit of a reducing task; entries or places a task holds at once.
 RANGE, HELD = 1_200_000, 700_000
@@ -81,7 +81,7 @@ def _chunks(batch: pa.RecordBatch, size: int = 1000) -> Iterator[pa.RecordBatch]
         yield batch.slice(k, size)
 
 
-CELLS = ("a", "b", "c", "d", "e", "f")
+CELLS = ("a", "b", "c", "d", "e")
 GATHERED = "part int, words boolean, " + ", ".join(f"{c} binary" for c in CELLS)
 
 
@@ -101,7 +101,7 @@ def _by_part(values: np.ndarray, ranges: int) -> Iterator[tuple[int, np.ndarray]
 
 
 def gather(rows: DataFrame, ranges: int) -> DataFrame:
-    """Packed words of documents, and sequences that are frequent within a task, by range of hashes.
+    """Packed words of documents, and all pairs of words with their local counts, by range of hashes.
 
     ``rows``: key, text, held. One pass over the corpus yields both.
     """
@@ -116,27 +116,10 @@ def gather(rows: DataFrame, ranges: int) -> DataFrame:
             used, local = np.unique(who[at], return_inverse=True)
             yield _cells(r, True, (words[at], local.astype(np.uint32), times[at], keys[used], out[used]))
 
-    def sequences(pool: list) -> Iterator[pa.RecordBatch]:
-        for size in range(1, DEPTH + 2):
-            cut = [p[1] >= size - 1 for p in pool]
-            g = np.concatenate([p[0][size - 1][c] for p, c in zip(pool, cut, strict=True)])
-            ordered = np.sort(g)
-            new = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(g) else np.zeros(0, np.int64)
-            counts = np.diff(np.r_[new, len(g)])
-            values, counts = ordered[new][counts >= LOCAL], counts[counts >= LOCAL]
-            at, position = Lookup(values).find(g)
-            first = np.zeros(len(values), np.int64)
-            first[position] = at
-            pick = lambda xs: np.concatenate(xs)[first]
-            if size > 1:
-                context = pick([np.r_[np.uint64(0), p[0][size - 2][:-1]][c] for p, c in zip(pool, cut, strict=True)])
-                shorter = pick([p[0][size - 2][c] for p, c in zip(pool, cut, strict=True)])
-            else:
-                context = shorter = np.zeros(len(values), np.uint64)
-            last = pick([p[0][0][c] for p, c in zip(pool, cut, strict=True)])
-            sizes = np.full(len(values), size, np.int32)
-            for r, rows_ in _by_part(values, ranges):
-                yield _cells(r, False, [x[rows_] for x in (values, context, shorter, last, sizes, counts.astype(np.int64))])
+    def pairs(pool: list) -> Iterator[pa.RecordBatch]:
+        values, counts = np.unique(np.concatenate(pool), return_counts=True)
+        for r, at in _by_part(values, ranges):
+            yield _cells(r, False, (values[at], counts[at].astype(np.uint32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -151,29 +134,30 @@ def gather(rows: DataFrame, ranges: int) -> DataFrame:
                     entries += len(values)
                 learn = ~np.repeat(out, lengths)
                 flat, place = flat[learn], place[learn]
-                if len(flat):
-                    pool.append((grams(flat, place, DEPTH), place))
+                if (place > 0).any():
+                    pool.append(grams(flat, place, 1)[1][place > 0])
                 places += len(flat)
                 if entries > HELD:
                     yield from packed(held)
                     held, entries = [], 0
-                if places > HELD:
-                    yield from sequences(pool)
+                if pool and places > HELD:
+                    yield from pairs(pool)
                     pool, places = [], 0
         if held:
             yield from packed(held)
         if pool:
-            yield from sequences(pool)
+            yield from pairs(pool)
 
     return rows.mapInArrow(run, GATHERED)
 
 
 SUMS = ("key bigint, gram bigint, logs double, halves double, known bigint, all bigint, vocabulary bigint, once bigint, "
-        "tokens bigint, context bigint, shorter bigint, next bigint, size int, count bigint")
+        "tokens bigint, size int, count bigint")
 
 
 def _sums(table: pa.Table) -> pa.Table:
-    """Of one range: sums over the words of each document (key), counts of the range, and sequences (gram)."""
+    """Of one range: sums over the words of each document (key), counts of the range, and words and pairs (gram) with
+    the least count or more. A range has all occurrences of what falls into it, so counts are those of the corpus."""
     names, kinds = zip(*[c.split() for c in SUMS.split(", ")], strict=True)
     kinds = [{"bigint": pa.int64(), "double": pa.float64(), "int": pa.int32()}[k] for k in kinds]
 
@@ -185,12 +169,15 @@ def _sums(table: pa.Table) -> pa.Table:
     read = lambda some, cell, kind: [np.frombuffer(r[cell], kind) for r in some]
     found = [r for r in rows if not r["words"]]
     if found:
-        gram, context, shorter, last = (np.concatenate(read(found, c, np.uint64)) for c in "abcd")
-        size, count = np.concatenate(read(found, "e", np.int32)), np.concatenate(read(found, "f", np.int64))
-        values, first, inverse = np.unique(gram, return_index=True, return_inverse=True)
-        out.append(piece(len(values), gram=values.view(np.int64), context=context[first].view(np.int64),
-                         shorter=shorter[first].view(np.int64), next=last[first].view(np.int64), size=size[first],
-                         count=np.bincount(inverse, weights=count, minlength=len(values)).astype(np.int64)))
+        gram, count = np.concatenate(read(found, "a", np.uint64)), np.concatenate(read(found, "b", np.uint32))
+        del found
+        order = np.argsort(gram, kind="stable")
+        gram, count = gram[order], count[order].astype(np.int64)
+        new = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+        gram, count = gram[new], np.add.reduceat(count, new)
+        often = count >= LEAST
+        out.append(piece(int(often.sum()), gram=gram[often].view(np.int64), count=count[often],
+                         size=np.full(int(often.sum()), 2)))
     found = [r for r in rows if r["words"]]
     del rows
     if found:
@@ -214,6 +201,9 @@ def _sums(table: pa.Table) -> pa.Table:
                          all=total(times).astype(np.int64)))
         out.append(piece(1, vocabulary=[int((counts > 0).sum())], once=[int((counts == 1).sum())],
                          tokens=[int(counts.sum())]))
+        often = counts >= LEAST
+        out.append(piece(int(often.sum()), gram=mix(words[new][often] + _STEP[0]).view(np.int64), count=counts[often],
+                         size=np.full(int(often.sum()), 1)))
     return pa.concat_tables(out)
 
 
@@ -237,23 +227,83 @@ class Lookup:
         return at[good], position[good]
 
 
-def recount(rows: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """Exact training counts (gram, count) of the wanted sequences."""
-    shared = rows.sparkSession.sparkContext.broadcast(np.sort(wanted))
+@dataclass(frozen=True)
+class Bits:
+    """A set of hashes as a bit map of bounded size: never misses a member, and passes some others."""
+
+    size: int
+    words: np.ndarray
+
+    MOST = 27
+
+    @classmethod
+    def of(cls, hashes: DataFrame, column: str = "gram") -> Bits:
+        """The map of a column; only its bits travel to the driver, 16 MB at most."""
+        size = min(cls.MOST, max(12, (16 * hashes.count()).bit_length()))
+        bit = F.shiftrightunsigned(F.col(column), 64 - size)
+        found = hashes.groupBy(F.shiftright(bit, 6).alias("at")).agg(
+            F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned({column}, {64 - size}) & 63 as int)))").alias("bits")).toArrow()
+        words = np.zeros(1 << (size - 6), np.uint64)
+        words[found["at"].to_numpy()] = found["bits"].to_numpy().astype(np.int64).view(np.uint64)
+        return cls(size, words)
+
+    def has(self, g: np.ndarray) -> np.ndarray:
+        bit = g >> np.uint64(64 - self.size)
+        return (self.words[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+FOUND = "gram bigint, context bigint, shorter bigint, next bigint, size int, count bigint"
+
+
+def sequences(rows: DataFrame, often: DataFrame) -> DataFrame:
+    """All sequences of the least count or more in training: gram, context, shorter, next, size, count.
+
+    ``often``: words and pairs (gram, size, count) of that count. Longer sequences are only made where
+    every pair in them is in the bit map of these, which no sequence of that count fails; each is summed
+    over the corpus before its count is tested.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(Bits.of(often.where("size = 2")))
+    names = [c.split()[0] for c in FOUND.split(", ")]
+
+    def made(pool: list) -> Iterator[pa.RecordBatch]:
+        for size in range(2, DEPTH + 2):
+            columns = [np.concatenate([p[size - 2][k] for p in pool]) for k in range(4)]
+            values, first, counts = np.unique(columns[0], return_index=True, return_counts=True)
+            for at in range(0, len(values), 50_000):
+                cut = slice(at, at + 50_000)
+                hashes = [pa.array(c[first[cut]].view(np.int64)) for c in columns]
+                n = len(hashes[0])
+                yield pa.RecordBatch.from_arrays([*hashes, pa.array(np.full(n, size, np.int32)), pa.array(counts[cut])], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, hashes = Lookup(shared.value), WordHashes()
-        counts = np.zeros(len(shared.value), np.int64)
+        bits, hashes, pool, places = shared.value, WordHashes(), [], 0
         for batch in batches:
             for part in _chunks(batch):
                 flat, place, _ = _places(_binary(part.column(0)), hashes)
-                for g in grams(flat, place, DEPTH):
-                    counts += np.bincount(lookup.find(g[g != 0])[1], minlength=len(counts))
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(shared.value[some].view(np.int64)), pa.array(counts[some])], ["gram", "count"])
+                g = grams(flat, place, DEPTH)
+                fine = bits.has(g[1]) & (place > 0)
+                whole, found = fine.copy(), []
+                for size in range(2, DEPTH + 2):
+                    if size > 2:
+                        # The pair before the last ones must be frequent too.
+                        whole[size - 2:] &= fine[:len(fine) - size + 2]
+                        whole &= place >= size - 1
+                    at = np.flatnonzero(whole)
+                    found.append((g[size - 1][at], g[size - 2][at - 1], g[size - 2][at], g[0][at]))
+                pool.append(found)
+                places += len(flat)
+                if places > HELD:
+                    yield from made(pool)
+                    pool, places = [], 0
+        if pool:
+            yield from made(pool)
 
-    return rows.where(~F.col("held")).select("text").mapInArrow(run, "gram bigint, count bigint").groupBy("gram").agg(
-        F.sum("count").alias("count"))
+    longer = rows.where(~F.col("held")).select("text").mapInArrow(run, FOUND).groupBy("gram").agg(
+        *[F.first(c).alias(c) for c in ("context", "shorter", "next", "size")], F.sum("count").alias("count")).where(
+        F.col("count") >= LEAST)
+    none = F.lit(0).cast("long")
+    return often.where("size = 1").select("gram", none.alias("context"), none.alias("shorter"), none.alias("next"), "size",
+                                          "count").unionByName(longer.select(*names))
 
 
 @dataclass(frozen=True)
@@ -363,22 +413,20 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         "key", F.xxhash64(F.col(id_col), F.col("text"))).withColumn("held", held_out(F.col(id_col)))
     rows = rows.select("key", "text", "held", id_col)
     letters = rows.select(F.sum(F.length("text"))).first()[0] or 0
-    ranges = max(12, round(letters / 11 / RANGE))
+    ranges = max(12, round(letters / 6 / RANGE))
     packed = gather(rows.select("key", "text", "held"), ranges).repartition(ranges, "part")
     one = ("logs", "halves", "known", "all", "vocabulary", "once", "tokens", "count")
     sums = reliable(packed.groupBy("part").applyInArrow(_sums, SUMS).groupBy("key", "gram").agg(
-        *[F.sum(c).alias(c) for c in one], *[F.first(c).alias(c) for c in ("context", "shorter", "next", "size")]))
+        *[F.sum(c).alias(c) for c in one], F.first("size").alias("size")))
     totals = sums.where("key is null and gram is null").first()
     size, tokens, once = (totals[c] or 0 for c in ("vocabulary", "tokens", "once")) if totals else (0, 0, 0)
     unseen = min(0.5, max(once, 0.5) / tokens) if tokens else 1.0
-    table = sums.where(F.col("gram").isNotNull() & (F.col("count") >= max(LOCAL, SHARE * tokens))).select(
-        "gram", "context", "shorter", "next", "size").toArrow()
-    sequences = {c: table[c].to_numpy().astype(np.int64).view(np.uint64) for c in ("gram", "context", "shorter", "next")}
-    sequences["size"] = table["size"].to_numpy()
-    wanted = np.unique(np.concatenate([sequences[c] for c in ("gram", "context", "next")]))
-    counted = recount(rows, wanted[wanted != 0]).toArrow()
-    counts = dict(zip(counted["gram"].to_numpy().view(np.uint64).tolist(), counted["count"].to_pylist(), strict=True))
-    tree = grow(sequences, counts, max(tokens, 1), unseen)
+    found = sequences(rows, sums.where("gram is not null").select("gram", "size", "count"))
+    table = found.where(F.col("count") >= SHARE * tokens).toArrow()
+    found = {c: table[c].to_numpy().astype(np.int64).view(np.uint64) for c in ("gram", "context", "shorter", "next")}
+    found["size"] = table["size"].to_numpy()
+    counts = dict(zip(found["gram"].tolist(), table["count"].to_pylist(), strict=True))
+    tree = grow(found, counts, max(tokens, 1), unseen)
     adjusted = adjustments(rows, tree, id_col)
     per = sums.where("key is not null").select("key", "logs", "halves", "known", "all")
     # Equal rows share their sums: each gets its part.

@@ -102,3 +102,22 @@ def test_repeated_rows_empty_and_clashing(spark, docs):
     assert st.score(docs([])).count() == 0
     df = spark.createDataFrame([(1, "a a", 2, 3, 4)], "doc_id bigint, text string, key int, held int, gain int")
     assert [r["n_tokens"] for r in st.score(df).collect()] == [3]
+
+
+def test_sequences_are_counted_over_all_partitions(spark, docs):
+    """A passage that no partition sees twice counts as often as it occurs in all."""
+    rng = random.Random(9)
+    texts = [" ".join([f"x{rng.random()}", "one", "even", "longer", "passage", f"y{rng.random()}"]) for _ in range(24)]
+    taught = [t for i, t in enumerate(texts) if not held(i)]
+    exact = Counter(w[k:k + n] for n in (2, 3, 4) for w in [tuple(t.split()) + ("</s>",) for t in taught]
+                    for k in range(len(w) - n + 1))
+    exact = sorted(c for c in exact.values() if c >= st.LEAST)
+    results = []
+    for parts in (1, 24):
+        df = docs(texts).repartitionByRange(parts, "doc_id")
+        results.append({r["doc_id"]: (r["states"], round(r["score"], 9)) for r in st.score(df).collect()})
+    assert results[0] == results[1] and results[1][0][0] == 3
+    rows = df.selectExpr("doc_id as key", "text", "crc32(cast(doc_id as string)) % 5 = 1 as held")
+    sums = st.gather(rows, 5).groupBy("part").applyInArrow(st._sums, st.SUMS).where("gram is not null")
+    found = st.sequences(rows, sums.select("gram", "size", "count")).where("size > 1").collect()
+    assert exact and sorted(r["count"] for r in found) == exact
