@@ -9,8 +9,10 @@ symbols are left to the shorter state, discounted so that the probabilities stil
 A text is scored by the longest state that its last words match, symbol by symbol.
 
 The root needs the count of every word and never leaves the executors: words of documents and their
-counts meet in ranges of hashes. The deeper states are few, as contexts below a fixed share of all
-tokens are not considered, and travel to every task.
+counts meet in ranges of hashes. Sequences count from a fixed number of occurrences, so the tree grows
+with the corpus: it is a table, grown length by length with joins. What a state changes is written as
+one weight for each sequence, and a text is scored by the sum of the weights of its sequences. The most
+frequent ones travel to every task; the places of all others meet their weights by hash.
 """
 
 from __future__ import annotations
@@ -27,10 +29,10 @@ from pyspark.sql import functions as F
 from .common import WordHashes, mix, reliable
 
 DEPTH = 3
-#: Least share of the training tokens for a context with its next symbol: at most 1 / SHARE of each length.
-SHARE = 3e-6
 #: Least count of a sequence in all training texts, wherever its occurrences lie.
 LEAST = 4
+#: Weights of sequences that travel to every task at most, the most frequent ones; the others are joined.
+HOT = 500_000
 DISCOUNT = 0.5
 #: Entries of one range of words, the unit of a reducing task; entries or places a task holds at once.
 RANGE, HELD = 1_200_000, 700_000
@@ -318,7 +320,7 @@ class Tree:
 
 
 def grow(sequences: dict[str, np.ndarray], counts: dict[int, int], tokens: int, unseen: float) -> Tree:
-    """Retain contexts by divergence from their longest shorter state."""
+    """Retain contexts by divergence from their longest shorter state: ``weights`` in memory, to compare with."""
     price = 0.5 * math.log(max(tokens, 2))
     ratio: dict[int, float] = {}     # sequence -> natural log of p(word | context) / p(word | root)
     discount: dict[int, float] = {}  # context -> natural log of what is left to the shorter state
@@ -370,27 +372,76 @@ def grow(sequences: dict[str, np.ndarray], counts: dict[int, int], tokens: int,
     return Tree(tuple(c for c, _ in states), tuple(d for _, d in states), tuple(s for s, _ in longer), tuple(r for _, r in longer))
 
 
-def adjustments(rows: DataFrame, tree: Tree, id_col: str) -> DataFrame:
-    """(id, key, held, n_tokens, gain): how the states beyond the root change the score of each text."""
-    shared = rows.sparkSession.sparkContext.broadcast(tree)
+def weights(found: DataFrame, tokens: int, unseen: float) -> tuple[DataFrame, int]:
+    """What each sequence of a text adds to its log10 score (gram, weight, count), and the number of states.
+
+    A context that is a state adds its discount wherever it occurs, as some symbol follows; a sequence
+    that it stores adds what its probability differs from the discounted one of the shorter state.
+    Every shorter form of a sequence is in ``found`` too, as it occurs no less often.
+    """
+    price = 0.5 * math.log(max(tokens, 2))
+    words = found.where("size = 1").select(F.col("gram").alias("next"), F.col("count").alias("times"))
+    value, parts, states = None, [], 0
+    for depth in range(1, DEPTH + 1):
+        rows = found.where(F.col("size") == depth + 1).select("gram", "context", "shorter", "next", F.col("count").alias("n"))
+        totals = found.where(F.col("size") == depth).select(F.col("gram").alias("context"), F.col("count").alias("total"))
+        rows = rows.join(totals, "context").join(words, "next")
+        rows = rows.withColumn("below", F.lit(0.0)) if value is None else rows.join(
+            value.select(F.col("gram").alias("shorter"), F.col("value").alias("below")), "shorter")
+        p = F.greatest(F.col("n") - DISCOUNT, F.lit(0.01)) / F.col("total")
+        base = F.log(F.lit(1 - unseen) * F.col("times") / F.lit(float(max(tokens, 1))))
+        rows = reliable(rows.select("gram", "context", "n", "total", "below", F.log(p).alias("p"), base.alias("base")))
+        before = F.col("below") + F.col("base")
+        kept = rows.groupBy("context").agg(
+            F.count("*").alias("k"), F.first("total").alias("total"), F.sum("n").alias("sum_n"),
+            (1 - F.sum(F.exp("p"))).alias("rest"), (1 - F.sum(F.exp(before))).alias("rest_before"),
+            F.sum(F.col("n") * (F.col("p") - before)).alias("gain")).where("rest > 0 and rest_before > 1e-9").withColumn(
+            "discount", F.log(F.col("rest") / F.col("rest_before"))).where(
+            F.col("gain") + (F.col("total") - F.col("sum_n")) * F.col("discount") >= price * (F.col("k") + 1))
+        kept = reliable(kept.select("context", "total", "discount"))
+        states += kept.count()
+        value = reliable(rows.join(kept.select("context", "discount"), "context", "left").select(
+            "gram", "n", "discount", "below",
+            F.when(F.col("discount").isNull(), F.col("below")).otherwise(F.col("p") - F.col("base")).alias("value")))
+        parts += [kept.select(F.col("context").alias("gram"), F.col("discount").alias("weight"), F.col("total").alias("count")),
+                  value.where("discount is not null").select(
+                      "gram", (F.col("value") - F.col("below") - F.col("discount")).alias("weight"), F.col("n").alias("count"))]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionAll(part)
+    return reliable(every.groupBy("gram").agg(
+        (F.sum("weight") / math.log(10)).alias("weight"), F.max("count").alias("count"))), states
+
+
+def hot_count(weighed: DataFrame) -> int:
+    """A power of two: the least one for which at most HOT sequences occur so often."""
+    level = F.floor(F.log2("count")).cast("int").alias("level")
+    room, cut = HOT, 0
+    for r in sorted(weighed.groupBy(level).count().collect(), reverse=True):
+        room -= r["count"]
+        if room < 0:
+            cut = r["level"] + 1
+            break
+    return 1 << cut
+
+
+def adjustments(rows: DataFrame, hot: DataFrame, id_col: str) -> DataFrame:
+    """(id, key, held, n_tokens, gain): the sum of the hot weights of each text."""
+    table = hot.toArrow()
+    values, order = np.unique(table["gram"].to_numpy().astype(np.int64).view(np.uint64), return_index=True)
+    shared = rows.sparkSession.sparkContext.broadcast((values, table["weight"].to_numpy().astype(float)[order]))
     kind = rows.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, hashes = shared.value, WordHashes()
-        contexts, sequences = [Lookup(c) for c in t.contexts], [Lookup(s) for s in t.sequences]
+        lookup, weight, hashes = Lookup(shared.value[0]), shared.value[1], WordHashes()
         for batch in batches:
             for part in _chunks(batch):
                 flat, place, lengths = _places(_binary(part.column(1)), hashes)
-                g = grams(flat, place, DEPTH)
                 gain = np.zeros(len(flat))
-                for depth in range(1, DEPTH + 1):
-                    # The context of a place is the sequence that ends before it.
-                    at, position = contexts[depth - 1].find(np.r_[np.uint64(0), g[depth - 1][:-1]] if len(flat) else flat)
-                    real = place[at] >= depth
-                    at, position = at[real], position[real]
-                    gain[at] += t.discounts[depth - 1][position]
-                    stored, position = sequences[depth - 1].find(g[depth][at])
-                    gain[at[stored]] = t.ratios[depth - 1][position]
+                for k, g in enumerate(grams(flat, place, DEPTH)):
+                    at, position = lookup.find(g)
+                    real = place[at] >= k
+                    gain[at[real]] += weight[position[real]]
                 ends = np.cumsum(lengths) - lengths
                 sums = np.add.reduceat(gain, ends) if len(lengths) else np.zeros(0)
                 yield pa.RecordBatch.from_arrays(
@@ -401,6 +452,25 @@ def adjustments(rows: DataFrame, tree: Tree, id_col: str) -> DataFrame:
         run, f"id {kind}, key bigint, held boolean, n_tokens bigint, gain double")
 
 
+def cold_sums(rows: DataFrame, cold: DataFrame) -> DataFrame:
+    """(key, cold): the sum of all other weights over the rows of a key. Places meet weights by hash."""
+    shared = rows.sparkSession.sparkContext.broadcast(Bits.of(cold))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, hashes = shared.value, WordHashes()
+        for batch in batches:
+            for part in _chunks(batch, 200):
+                flat, place, lengths = _places(_binary(part.column(1)), hashes)
+                keys = np.repeat(np.array(part.column(0).to_pylist(), np.int64), lengths)
+                for k, g in enumerate(grams(flat, place, DEPTH)):
+                    at = np.flatnonzero(bits.has(g) & (place >= k))
+                    for cut in np.split(at, range(50_000, len(at), 50_000)):
+                        yield pa.RecordBatch.from_arrays([pa.array(keys[cut]), pa.array(g[cut].view(np.int64))], ["key", "gram"])
+
+    return rows.select("key", "text").mapInArrow(run, "key bigint, gram bigint").join(cold, "gram").groupBy("key").agg(
+        F.sum("weight").alias("cold"))
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document row: id, held_out, n_tokens, n_known, train_tokens, base_score, score, states.
 
@@ -421,14 +491,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     totals = sums.where("key is null and gram is null").first()
     size, tokens, once = (totals[c] or 0 for c in ("vocabulary", "tokens", "once")) if totals else (0, 0, 0)
     unseen = min(0.5, max(once, 0.5) / tokens) if tokens else 1.0
-    found = sequences(rows, sums.where("gram is not null").select("gram", "size", "count"))
-    table = found.where(F.col("count") >= SHARE * tokens).toArrow()
-    found = {c: table[c].to_numpy().astype(np.int64).view(np.uint64) for c in ("gram", "context", "shorter", "next")}
-    found["size"] = table["size"].to_numpy()
-    counts = dict(zip(found["gram"].tolist(), table["count"].to_pylist(), strict=True))
-    tree = grow(found, counts, max(tokens, 1), unseen)
-    adjusted = adjustments(rows, tree, id_col)
+    found = reliable(sequences(rows, sums.where("gram is not null").select("gram", "size", "count")))
+    weighed, states = weights(found, tokens, unseen)
+    cut = hot_count(weighed)
+    adjusted = adjustments(rows, weighed.where(F.col("count") >= cut), id_col)
     per = sums.where("key is not null").select("key", "logs", "halves", "known", "all")
+    cold = weighed.where(F.col("count") < cut).select("gram", "weight")
+    per = per.withColumn("cold", F.lit(0.0)) if cold.isEmpty() else per.join(cold_sums(rows, cold), "key", "left")
     # Equal rows share their sums: each gets its part.
     part = F.col("n_tokens") / F.col("all")
     known = F.round(F.col("known") * part).cast("long")
@@ -437,5 +506,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", known.alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("halves") * part - F.col("n_tokens") * math.log10(tokens + 0.5 * (size + 1))).alias("base_score"),
-        (F.col("logs") * part + known * seen + (F.col("n_tokens") - known) * math.log10(unseen) + F.col("gain")).alias("score"),
-        F.lit(int(sum(len(c) for c in tree.contexts))).alias("states"))
+        (F.col("logs") * part + known * seen + (F.col("n_tokens") - known) * math.log10(unseen) + F.col("gain")
+         + F.coalesce("cold", F.lit(0.0)) * part).alias("score"),
+        F.lit(states).cast("int").alias("states"))

@@ -121,3 +121,59 @@ def test_sequences_are_counted_over_all_partitions(spark, docs):
     sums = st.gather(rows, 5).groupBy("part").applyInArrow(st._sums, st.SUMS).where("gram is not null")
     found = st.sequences(rows, sums.select("gram", "size", "count")).where("size > 1").collect()
     assert exact and sorted(r["count"] for r in found) == exact
+
+
+def test_the_table_of_weights_is_the_tree(spark, docs):
+    """The distributed tree scores texts as the tree in memory does, place by place."""
+    texts = corpus(300) + ["a b c d a b c d", "d b c e d b c e"] * 20
+    df = docs(texts).repartition(5)
+    rows = df.selectExpr("doc_id as key", "text", "doc_id", "crc32(cast(doc_id as string)) % 5 = 1 as held")
+    sums = st.gather(rows.select("key", "text", "held"), 5).groupBy("part").applyInArrow(st._sums, st.SUMS).where("gram is not null")
+    found = st.reliable(st.sequences(rows, sums.select("gram", "size", "count")))
+    tokens, unseen = 9000, 0.01
+    table = found.toArrow()
+    seq = {c: table[c].to_numpy().astype(np.int64).view(np.uint64) for c in ("gram", "context", "shorter", "next")}
+    seq["size"] = table["size"].to_numpy()
+    tree = st.grow(seq, dict(zip(seq["gram"].tolist(), table["count"].to_pylist(), strict=True)), tokens, unseen)
+    weighed, states = st.weights(found, tokens, unseen)
+    assert states == sum(len(c) for c in tree.contexts) and all(len(c) for c in tree.contexts[:2])
+    contexts, longer = [st.Lookup(c) for c in tree.contexts], [st.Lookup(s) for s in tree.sequences]
+    got = {r["key"]: r["gain"] for r in st.adjustments(rows, weighed, "doc_id").collect()}
+    for i, t in enumerate(texts):
+        flat, place, _ = st._places([(t or "").encode()], st.WordHashes())
+        g = st.grams(flat, place, st.DEPTH)
+        gain = 0.0
+        for x in range(len(flat)):
+            value = 0.0
+            for depth in range(1, min(x, st.DEPTH) + 1):
+                at, k = contexts[depth - 1].find(g[depth - 1][x - 1:x])
+                if len(at):
+                    value += tree.discounts[depth - 1][k[0]]
+                    at, k = longer[depth - 1].find(g[depth][x:x + 1])
+                    value = tree.ratios[depth - 1][k[0]] if len(at) else value
+            gain += value
+        assert math.isclose(got[i], gain, rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_joined_weights_score_as_those_sent_to_tasks(spark, docs, monkeypatch):
+    texts = corpus() + ["Once upon A time there was one"] * 2
+    df = docs(texts, ids=[*range(len(texts) - 1), len(texts) - 2])
+    results = []
+    for hot in (st.HOT, 5, 0):
+        monkeypatch.setattr(st, "HOT", hot)
+        results.append(sorted((r["doc_id"], round(r["score"], 8), r["states"]) for r in st.score(df).collect()))
+    assert results[0] == results[1] == results[2]
+
+
+def test_states_do_not_depend_on_the_size_of_the_corpus(docs):
+    """Eight occurrences pay for a state beside three million other words as they do beside few."""
+    passage = [i for i in range(40) if not held(i)][:8]
+    for filler in (50, 100_000):
+        texts = ["pad " * filler + ("rare bird" if i in passage else "pad") for i in range(40)]
+        rows = {r["doc_id"]: r for r in st.score(docs(texts)).collect()}
+        assert rows[0]["states"] >= 1
+        plain = next(i for i in range(40) if i not in passage and not held(i))
+        assert rows[passage[0]]["train_tokens"] > 30 * filler
+        # "bird" is nearly certain after "rare"; what is left is the price of "rare" itself.
+        lost = rows[plain]["score"] - rows[passage[0]]["score"]
+        assert lost < 1.2 * math.log10(rows[0]["train_tokens"] / 8)
