@@ -2,7 +2,10 @@
 
 Every pass draws random hyperplanes, writes the side of each as one bit of a key, and orders all
 vectors of a label by that key; vectors at a small angle share long beginnings and come to lie close.
-Each vector is compared with a bounded window of its successors. Verified pairs of all passes are
+Each vector is compared with a bounded window of its successors. The window covers all vectors that
+share so many first bits with a vector, which bounds how likely a link of it is missed in all passes.
+Vectors for which that is not unlikely lie in crowds, and are compared with all others in crowds of
+their label, blocks against blocks; the number of passes grows with the largest label. Verified pairs of all passes are
 united into components; the direct links of a vector are then counted exactly within its component,
 in blocks of bounded size. All passes are one shuffle: a range partitioning by pass, label and key, in
 which even equal keys may be split, with the edges of partitions compared in a second step.
@@ -13,6 +16,7 @@ vector costs nothing.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +29,9 @@ from .common import reliable
 from .components import components
 
 PASSES, WINDOW, BITS = 12, 24, 48
+#: Passes are made until a vector of an even label misses a link at the threshold with EVEN at most, and
+#: MOST_PASSES at most; a vector that may miss one with more than MISS is compared in blocks of CROWD.
+EVEN, MISS, MOST_PASSES, CROWD = 1e-7, 1e-5, 48, 1024
 #: Rows of a range partition in the passes, and vectors of a block in counting.
 ROWS, BLOCK = 20_000, 256
 
@@ -90,6 +97,12 @@ def _compared(group: np.ndarray, vid: np.ndarray, vec: np.ndarray, window: int,
         b.append(at + step)
     a = np.concatenate([np.zeros(0, np.int64), *a])
     b = np.concatenate([np.zeros(0, np.int64), *b])
+    return _forest(vid, a, b)
+
+
+def _forest(vid: np.ndarray, a: np.ndarray, b: np.ndarray):
+    """Edges of a spanning forest of pairs of positions."""
+    n = len(vid)
     root = np.arange(n)
     while len(a):
         low = np.minimum(root[a], root[b])
@@ -121,11 +134,50 @@ def _links_of(table: pa.Table, window: int, threshold: float):
         yield _compared(group[at], vid[at], _unit([raw[i] for i in at]), window, threshold)
 
 
-EDGES = "edge int, late int, pass int, label string, size int, key bigint, vid bigint, vec binary, a bigint, b bigint"
+EDGES = "edge int, late int, pass int, label string, size int, key bigint, vid bigint, vec binary, a bigint, b bigint, miss double"
+
+
+def same_side(threshold: float) -> float:
+    """Chance that a random hyperplane has two vectors at the threshold on one side."""
+    return 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+
+
+_STEPS = np.linspace(0, 8, 4001)
+_TAIL = np.array([math.erfc(z / math.sqrt(2)) / 2 for z in _STEPS])
+
+
+def _staying(vec: np.ndarray, planes: np.ndarray, threshold: float) -> np.ndarray:
+    """Log of the chance that a vector at the threshold, in any direction, shares the first 0 to BITS bits.
+
+    The distance to each plane counts: planes that split a crowd run through it, and part its links too.
+    """
+    near = np.abs(vec @ planes)
+    beside = np.sqrt(np.maximum((planes * planes).sum(0) - near * near, 1e-30))
+    slope = threshold / math.sqrt(max(1e-12, 1 - threshold * threshold)) * math.sqrt(max(1, vec.shape[1] - 1))
+    part = np.interp(np.maximum(slope, 0.0) * near / beside, _STEPS, _TAIL)
+    return np.concatenate([np.zeros((len(vec), 1)), np.cumsum(np.log1p(-part), axis=1)], axis=1).astype(np.float32)
+
+
+def _misses(group: np.ndarray, key: np.ndarray, staying: np.ndarray, window: int) -> np.ndarray:
+    """Log of the chance that the pass misses a link at the threshold, for each row of a sorted partition.
+
+    A vector finds all that share more first bits with it than the first row beyond its window does.
+    Rows whose group may go on beyond the partition count as missing.
+    """
+    n = len(key)
+    name, bits = np.unique(group, return_inverse=True)[1], np.zeros(n, np.int64)
+    for far in (np.arange(n) + window + 1, np.arange(n) - window - 1):
+        inside = np.clip(far, 0, n - 1)
+        # frexp has the length of a number below 2 ** 53, thus where keys begin to differ.
+        shared = BITS - np.frexp((key ^ key[inside]).astype(float))[1]
+        shared = np.where(name == name[inside], np.where(inside == far, shared + 1, BITS + 1), 0)
+        bits = np.maximum(bits, shared)
+    found = np.where(bits > BITS, 0.0, np.exp(staying[np.arange(n), np.minimum(bits, BITS)].astype(float)))
+    return np.log(np.maximum(1 - found, 1e-30))
 
 
-def _windows(window: int, threshold: float):
-    """Within one partition: edges, and the rows at its two ends for the step across partitions."""
+def _windows(window: int, threshold: float, passes: int, seed: int):
+    """Within one partition: edges, the rows at its two ends for the step across partitions, and what it may miss."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -136,11 +188,24 @@ def _windows(window: int, threshold: float):
             n = table.num_rows
             whole = pa.table({"edge": pa.array(np.full(n, edge, np.int32)), "late": pa.array(np.full(n, late, np.int32)),
                               **{c: table.column(c) for c in table.column_names},
-                              "a": pa.nulls(n, pa.int64()), "b": pa.nulls(n, pa.int64())})
+                              "a": pa.nulls(n, pa.int64()), "b": pa.nulls(n, pa.int64()), "miss": pa.nulls(n, pa.float64())})
             yield from whole.combine_chunks().to_batches()
 
+        names, seen, planes = [c.split()[0] for c in EDGES.split(", ")], [], {}
+
+        def chances(table: pa.Table) -> np.ndarray:
+            out, raw = np.zeros((table.num_rows, BITS + 1), np.float32), table.column("vec").to_pylist()
+            which = np.stack([table.column("pass").to_numpy(), table.column("size").to_numpy()], 1)
+            for p, d in np.unique(which, axis=0).tolist():
+                if d not in planes:
+                    planes[d] = np.random.default_rng([seed, d]).standard_normal((d, passes * BITS))
+                at = np.flatnonzero((which == (p, d)).all(1))
+                out[at] = _staying(_unit([raw[i] for i in at]), planes[d][:, p * BITS:(p + 1) * BITS], threshold)
+            return out
+
         for batch in batches:
             now = pa.Table.from_batches([batch])
+            seen.append((_groups(now), now.column("key").to_numpy(), now.column("vid").to_numpy(), chances(now)))
             if first is None:
                 first = now.slice(0, window)
                 yield from rows(first, here, 1)
@@ -154,10 +219,17 @@ def _windows(window: int, threshold: float):
                 yield pa.RecordBatch.from_arrays(
                     [pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()),
                      pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()),
-                     pa.array(a), pa.array(b)], [c.split()[0] for c in EDGES.split(", ")])
+                     pa.array(a), pa.array(b), pa.nulls(n, pa.float64())], names)
             tail = joined.slice(max(0, joined.num_rows - window))
         if tail is not None:
             yield from rows(tail, here + 1, 0)
+        if seen:
+            group, key, vid, staying = (np.concatenate(x) for x in zip(*seen, strict=True))
+            n, miss = len(vid), _misses(group, key, staying, window)
+            none = [pa.nulls(n, k) for k in (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int64())]
+            yield pa.RecordBatch.from_arrays(
+                [*none, pa.array(vid), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(miss)],
+                names)
 
     return run
 
@@ -172,6 +244,36 @@ def _across(window: int, threshold: float):
     return run
 
 
+def _crowds(threshold: float):
+    """Edges of a spanning forest of all pairs within one block, or between two."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side, vid = table.column("side").to_numpy(), table.column("vid").to_numpy()
+        vec = _unit(table.column("vec").to_pylist())
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        a, b = np.nonzero(vec[left] @ vec[right].T >= threshold)
+        a, b = left[a], right[b]
+        a, b = _forest(vid, a[a != b], b[a != b])
+        return pa.table({"a": a, "b": b})
+
+    return run
+
+
+def crowded(single: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """Edges (a, b) among the vectors that the passes may have missed links of, by exact comparison."""
+    dense = reliable(found.where("miss is not null").groupBy("vid").agg(F.sum("miss").alias("miss")).where(
+        F.col("miss") > math.log(MISS)).select("vid").join(single, "vid").select(
+        "vid", "label", F.length("vec").alias("size"), "vec"))
+    sizes = dense.groupBy("label", "size").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("blocks"))
+    own = dense.join(F.broadcast(sizes) if sizes.count() <= 10_000 else sizes, ["label", "size"]).withColumn(
+        "own", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int")).withColumn(
+        "other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return own.select("label", "size", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                      F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1)
+                      .alias("side"), "vid", "vec").groupBy("label", "size", "i", "j").applyInArrow(
+        _crowds(threshold), "a bigint, b bigint")
+
+
 def _counted(threshold: float):
     """Weighted direct links of each vector with the vectors of its component in two blocks."""
 
@@ -216,15 +318,20 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         _valid, f"id {kind}, label string, vid bigint, vec binary"))
     single = reliable(rows.where("vid is not null").groupBy("vid").agg(
         F.first("label").alias("label"), F.first("vec").alias("vec"), F.count("*").alias("weight")))
+    largest = single.groupBy("label", F.length("vec")).count().agg(F.max("count")).first()[0] or 0
+    chance = same_side(threshold) ** max(0.0, math.log2(max(largest, 1) / window) + 1)
+    if largest > window and chance < 1:
+        passes = max(passes, min(MOST_PASSES, math.ceil(math.log(EVEN) / math.log1p(-chance)) if chance > 0 else MOST_PASSES))
     parts = max(1, -(-single.count() * passes // ROWS))
     keyed = single.select("vid", "label", "vec").mapInArrow(
         _keys(passes, seed), "pass int, label string, size int, key bigint, vid bigint, vec binary")
     order = ["pass", "label", "size", "key", "vid"]
     found = reliable(keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(
-        _windows(window, threshold), EDGES))
-    borders = found.where("edge is not null").drop("a", "b").groupBy("edge").applyInArrow(
+        _windows(window, threshold, passes, seed), EDGES))
+    borders = found.where("edge is not null").drop("a", "b", "miss").groupBy("edge").applyInArrow(
         _across(window, threshold), "a bigint, b bigint")
-    roots = components(found.where("edge is null").select("a", "b").unionAll(borders))
+    roots = components(found.where("a is not null").select("a", "b").unionAll(borders).unionAll(
+        crowded(single, found, threshold)))
     sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
     members = reliable(roots.join(sizes, "root").join(single, F.col("node") == F.col("vid")).select(
         "vid", "root", "weight", "vec", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))

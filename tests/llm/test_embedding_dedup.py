@@ -3,6 +3,8 @@
 import math
 import random
 
+import numpy as np
+
 from measureloom.llm import embedding_dedup as ed
 
 
@@ -68,3 +70,23 @@ def test_clashing_columns_and_null_ids(spark):
     df = spark.createDataFrame([(None, [1.0, 2.0], 1, 7), (None, [1.0, 2.0], 1, 8)],
                                "vec_id bigint, embedding array<float>, label int, vid int")
     assert [tuple(r) for r in ed.near_duplicates(df).collect()] == [(None, 1, None, True)] * 2
+
+
+def cloud(n, seed=4, dims=64):
+    """Vectors at mutual cosines of 0.95, and a partner at 0.982 for every tenth."""
+    rng = np.random.default_rng(seed)
+    unit = lambda x: x / np.sqrt((x * x).sum(-1, keepdims=True))
+    x = unit(unit(rng.standard_normal(dims)) + math.sqrt(1 / 0.95 - 1) * unit(rng.standard_normal((n, dims))))
+    some = x[::10]
+    side = rng.standard_normal(some.shape)
+    side = unit(side - (side * some).sum(1, keepdims=True) * some)
+    return np.concatenate([x, 0.982 * some + math.sqrt(1 - 0.982**2) * side])
+
+
+def test_links_within_a_crowd_below_the_threshold(spark, monkeypatch):
+    x = cloud(2000)
+    near = (x @ x.T >= 0.98).sum(1) - 1
+    assert (near > 0).sum() >= 400
+    monkeypatch.setattr(ed, "CROWD", 512, raising=False)
+    got = run(spark, [(i, v, 1) for i, v in enumerate(x.tolist())])
+    assert [r[1] for r in got] == near.tolist()
