@@ -50,6 +50,12 @@ def breaks_in_quotes(lines: list[str]) -> bool:
     return any(line.count('"') % 2 for line in lines)
 
 
+def breaks_anywhere(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted cell of any line of any file goes on in the next line; ends at the first one found."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
 def has_header(lines: list[str], sep: str) -> bool:
     """A header has no cell that reads as a number or a day, no blank and no repeated cell."""
     cells = [c.strip() for c in first_record(lines, sep)]
@@ -72,8 +78,8 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None,
              header: bool | None = None, multiline: bool | None = None) -> DataFrame:
     """CSV, TSV or TXT; quotes are doubled inside quoted cells.
 
-    Separator, header and quoted line breaks are taken from the first lines when not given; a break
-    that only occurs later needs ``multiline=True``, which keeps a file in one task. Columns of a
+    Separator and header are taken from the first lines when not given, quoted line breaks from all
+    lines of all files; a source that has one keeps each file in one task. Columns of a
     source without header are column0, column1 and so on. Types are inferred unless a contract
     declares fields or ``as_text`` keeps every cell for the cleaning functions. Times without an
     offset are read without a zone: they are business time.
@@ -81,7 +87,7 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None,
     lines = sample_lines(spark, path)
     sep = sep or sniff_separator(lines[0] if lines else "")
     header = (not lines or has_header(lines, sep)) if header is None else header
-    multiline = breaks_in_quotes(lines) if multiline is None else multiline
+    multiline = breaks_in_quotes(lines) or breaks_anywhere(spark, path) if multiline is None else multiline
 
     def reader(**more) -> DataFrameReader:
         return spark.read.options(header=header, sep=sep, quote='"', escape='"',

@@ -174,3 +174,15 @@ def test_a_later_file_with_more_columns_is_an_error(spark, tmp_path):
         con.close()
     with pytest.raises(Exception, match="extra"):
         read_sqlite(spark, str(tmp_path), "t").collect()
+
+
+def test_quoted_breaks_after_the_sample(spark, tmp_path):
+    plain = "".join(f"{i},n{i}\n" for i in range(700))
+    (tmp_path / "late.csv").write_text("id,note\n" + plain + '700,"two\nlines"\n')
+    assert read_csv(spark, str(tmp_path / "late.csv")).selectExpr("count(*)", "count(id)", "sum(id)").head()[:] == (701, 701, 245350)
+    folder = tmp_path / "files.csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text("id,note\n" + plain)
+    (folder / "b.csv").write_text('id,note\n700,"two\nlines"\n')
+    df = read_csv(spark, str(folder))
+    assert df.count() == 701 and df.where("id = 700").head()["note"] == "two\nlines"
