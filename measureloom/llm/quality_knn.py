@@ -31,7 +31,7 @@ THRESHOLD = 0.3
 def shape_of(word: str) -> str:
     """Classes of the characters of a word, runs made one: capitals, letters, digits, marks as they are."""
     out = []
-    for c in word[:64]:
+    for c in word:
         k = ("A" if c.isupper() else "a") if c.isalpha() else "0" if c.isdigit() else c
         if not out or out[-1] != k:
             out.append(k)
@@ -40,14 +40,16 @@ def shape_of(word: str) -> str:
 
 
 class Shapes(dict):
-    """Hashed shape of each word seen, emptied when it grows beyond its bound."""
+    """Hashed shape of each word seen, emptied when it grows beyond its bound; long words are not kept."""
 
-    LIMIT = 100_000
+    LIMIT, LONG = 100_000, 64
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.LIMIT:
             self.clear()
-        found = self[word] = zlib.crc32(shape_of(word).encode("utf-8", "replace")) & 0x7FFFFFFF
+        found = zlib.crc32(shape_of(word).encode("utf-8", "replace")) & 0x7FFFFFFF
+        if len(word) <= self.LONG:
+            self[word] = found
         return found
 
 

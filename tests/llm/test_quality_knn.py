@@ -71,3 +71,11 @@ def test_empty_null_and_clashing(spark, docs):
     assert qk.score(docs([]), space).count() == 0
     df = spark.createDataFrame([(None, "x y", 2, 3)], "doc_id bigint, text string, score int, held_out int")
     assert qk.score(df, space).count() == 1
+
+
+def test_long_words_count_to_their_end():
+    from measureloom.llm.quality_knn import Shapes, shape_of, terms
+
+    plain, marked = "x" * 200, "x" * 100 + "7-" * 50
+    assert shape_of(plain) == "al" and shape_of(marked) == "a" + "0-" * 50 + "l"
+    assert (terms(plain, Shapes()) != terms(marked, Shapes())).any()
