@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, html_text, jaccard_join, mixing, pseudonyms, quality_knn, secrets, suffix_tree, toxicity
+from . import (decontaminate, embedding_dedup, html_text, jaccard_join, mixing, pseudonyms, quality_knn, secrets, sharding,
+               suffix_tree, toxicity)
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +168,50 @@ def op9_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by the votes of labelled neighbours that are not held out."""
     docs = table(spark, sf_dir, "documents")
     return quality_knn.score(docs, quality_knn.learn(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 16 shards, by a keyed permutation of row numbers in the order of ids."""
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    placed = sharding.assign(rows, ["doc_id", "size", "text_crc32"], shards=16, seed=2024)
+    return placed.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+ORACLES["op13_sharding"] = r"""
+WITH RECURSIVE b AS (
+  SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size, list_transform(
+    regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda p: CAST('0x' || p AS BIGINT)) AS x
+  FROM documents),
+-- CRC-32, four bits at a time
+c AS (
+  SELECT doc_id, size, xor(list_reduce(x, lambda c, v: xor(xor(c >> 4, CAST([0, 498536548, 997073096, 651767980,
+    1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920,
+    2262029012, 2685067896, 3183342108][(xor(c, v) & 15) + 1] AS BIGINT)) >> 4, CAST([0, 498536548, 997073096,
+    651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804,
+    2607071920, 2262029012, 2685067896, 3183342108][(xor(xor(c >> 4, CAST([0, 498536548, 997073096, 651767980,
+    1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920,
+    2262029012, 2685067896, 3183342108][(xor(c, v) & 15) + 1] AS BIGINT)), v >> 4) & 15) + 1] AS BIGINT)),
+    CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) AS text_crc32
+  FROM b),
+r AS (
+  SELECT doc_id, size, text_crc32, CAST(row_number() OVER (
+    ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS BIGINT) AS n FROM c),
+t AS (
+  SELECT CAST(count(*) AS BIGINT) AS total, CAST(greatest(1, (length(bin(greatest(count(*) - 1, 0))) + 1) // 2) AS INTEGER) AS half
+  FROM r),
+-- one round of the network a step; after six rounds a number beyond the last row goes round again
+walk(n, k, a, b, total, half) AS (
+  SELECT n, 0, n >> half, n & ((CAST(1 AS BIGINT) << half) - 1), total, half FROM r, t
+  UNION ALL
+  SELECT n, k % 6 + 1, b, xor(a, (((xor(m >> 16, m >> 33) & 2147483647) * 2246822507) >> 17)
+    & ((CAST(1 AS BIGINT) << half) - 1)), total, half
+  FROM (SELECT *, (xor(b, [180183940, 279522799, 378861658, 478200517, 577539376, 676878235][k % 6 + 1]) & 2147483647) * 2654435761 AS m FROM walk
+        WHERE NOT (k = 6 AND (a << half) + b < total))),
+p AS (SELECT n, (a << half) + b AS v FROM walk WHERE k = 6 AND (a << half) + b < total)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(v % 16 AS INTEGER) AS shard, v // 16 AS slot,
+  CAST(NULL AS INTEGER) AS grown_shard
+FROM r JOIN p USING (n)
+"""
