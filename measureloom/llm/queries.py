@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, embedding_dedup, html_text, jaccard_join, mixing, pseudonyms, quality_knn, secrets, sharding,
-               suffix_tree, toxicity)
-from .common import table
+from . import (conversation_repair, decontaminate, embedding_dedup, html_text, jaccard_join, mixing, prefix_trie,
+               pseudonyms, quality_knn, secrets, sharding, suffix_tree, toxicity)
+from .common import reliable, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -215,3 +215,71 @@ SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(v % 16 AS INTEGER) AS shard
   CAST(NULL AS INTEGER) AS grown_shard
 FROM r JOIN p USING (n)
 """
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trie of all conversations that begin as the first of their hundred."""
+    rows, convs = prefix_trie.crossed(table(spark, sf_dir, "conversations"))
+    nodes, ends = prefix_trie.build(rows, convs)
+    digests = prefix_trie.end_digests(ends)
+    return nodes.join(digests, ["depth", "n1", "n2"], "left").select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+        F.coalesce("sha", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256"))
+
+
+ORACLES["op12_prefix_trie"] = r"""
+WITH c AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+-- CRC-32 of the decimal, a bit at a time
+h AS (
+  SELECT c, xor(list_reduce(list_transform(range(1, 8 * length(CAST(c AS VARCHAR)) + 1), lambda i:
+      CAST((ascii(substr(CAST(c AS VARCHAR), CAST((i - 1) // 8 + 1 AS BIGINT), 1)) >> CAST((i - 1) % 8 AS INTEGER)) & 1 AS BIGINT)),
+    lambda s, b: xor(s >> 1, CAST(3988292384 * (xor(s, b) & 1) AS BIGINT)), CAST(4294967295 AS BIGINT)),
+    CAST(4294967295 AS BIGINT)) % 6 AS h
+  FROM c),
+t AS (
+  SELECT conv_id AS c, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS turn,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+led AS (SELECT h.c, t.p, t.turn FROM h JOIN t ON t.c = h.c - h.c % 100 AND t.p <= h),
+own AS (SELECT t.c, 1000000 + t.p AS p, t.turn FROM t JOIN h USING (c) WHERE t.p > h),
+r AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY p) AS p, turn FROM (SELECT * FROM led UNION ALL SELECT * FROM own)),
+lists AS (SELECT c, list(turn ORDER BY p) AS turns FROM r GROUP BY c),
+s AS (SELECT c, coalesce(turns, []) AS turns FROM c LEFT JOIN lists USING (c)),
+members AS (SELECT c, d, turns[1:d] AS prefix, len(turns) = d AS ends FROM (SELECT c, turns, unnest(range(0, len(turns) + 1)) AS d FROM s)),
+groups AS (
+  SELECT d, prefix, min(c) AS conv_id, count(*) AS n_convs, list(c) AS all_members,
+    coalesce(string_agg(CASE WHEN ends THEN CAST(c AS VARCHAR) END, ',' ORDER BY c), '') AS ends
+  FROM members GROUP BY d, prefix),
+nodes AS (
+  SELECT g.*, p.conv_id AS parent, CASE WHEN g.d > 0 THEN (g.n_convs - 1) * length(g.prefix[g.d].text) ELSE 0 END AS own
+  FROM groups g LEFT JOIN groups p ON p.d = g.d - 1 AND p.prefix = g.prefix[1:g.d - 1]),
+children AS (SELECT d - 1 AS d, parent AS conv_id, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1, 2),
+full_nodes AS (
+  SELECT n.d, n.conv_id, n.parent, n.n_convs, coalesce(k.n_children, 0) AS n_children, n.own, n.ends, n.all_members
+  FROM nodes n LEFT JOIN children k ON k.d = n.d AND k.conv_id = n.conv_id),
+below AS (
+  SELECT v.d, v.conv_id, count(*) FILTER (w.n_children = 0) AS n_leaves, sum(w.own) AS saved
+  FROM (SELECT d, conv_id, unnest(all_members) AS m FROM full_nodes) v
+  JOIN full_nodes w ON w.conv_id = v.m AND w.d >= v.d GROUP BY v.d, v.conv_id)
+SELECT f.conv_id, f.d AS depth, f.parent AS parent_conv_id, f.n_convs, f.n_children, b.n_leaves,
+  CAST(b.saved AS BIGINT) AS saved_tokens, sha256(f.ends) AS ends_sha256
+FROM full_nodes f JOIN below b ON b.d = f.d AND b.conv_id = f.conv_id
+"""
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of all conversations, after the damage of the contract."""
+    conversations = table(spark, sf_dir, "conversations")
+    rows = conversation_repair.damaged(conversations)
+    found = reliable(conversation_repair.diagnose(rows))
+    digests = conversation_repair.fingerprints(conversation_repair.repair(rows, found)).withColumnRenamed("conv", "_conv")
+    ids = conversations.select("conv_id").distinct()
+    whole = ids.join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left").join(
+        digests, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return whole.select("conv_id", *map(zero, ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")),
+                        F.coalesce("audit", F.lit("")).alias("audit"),
+                        F.coalesce("sha", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
