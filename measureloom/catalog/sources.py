@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from measureloom.catalog.registry import (
@@ -47,6 +48,13 @@ def csv_declared(spark, d):
     return _by_status(read_csv(spark, folder, contract=declared))
 
 
+def _under_header(batches):
+    """The lines of one file, under a header."""
+    yield pa.RecordBatch.from_pydict({"value": ['key,"a note; with, marks",total,status']})
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays(batch.columns, names=["value"])
+
+
 def _quoted_totals(spark, d, name, note):
     """Orders written as lines of text, by no CSV writer, in files that begin with a header each."""
     folder = scratch(spark, name)
@@ -54,8 +62,7 @@ def _quoted_totals(spark, d, name, note):
     marked = F.concat(F.lit('"'), F.replace(note, F.lit('"'), F.lit('""')), F.lit('"'))
     lines = orders.select(F.concat_ws(",", "o_orderkey", marked, F.col("o_totalprice").cast("decimal(18,2)"),
                                       "o_orderstatus").alias("value"))
-    header = spark.range(1).select(F.lit('key,"a note; with, marks",total,status').alias("value"))
-    header.unionAll(lines).coalesce(1).write.text(folder)
+    lines.repartition(4).mapInArrow(_under_header, "value string").write.text(folder)
     return read_csv(spark, folder).groupBy("status").agg(
         F.count(F.lit(1)).alias("orders"), F.sum("total").alias("total"),
         F.min("a note; with, marks").alias("first_note"))

@@ -186,3 +186,65 @@ def test_quoted_breaks_after_the_sample(spark, tmp_path):
     (folder / "b.csv").write_text('id,note\n700,"two\nlines"\n')
     df = read_csv(spark, str(folder))
     assert df.count() == 701 and df.where("id = 700").head()["note"] == "two\nlines"
+
+
+def split_up(spark, size):
+    """Byte ranges of so many bytes."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_quoted_breaks_are_read_by_many_tasks(spark, tmp_path, seed):
+    """Random cells against the standard parser, in byte ranges far smaller than some cells."""
+    import csv
+    import random
+
+    rng = random.Random(seed)
+    parts = ['"', '""', "\n", "a", "é", ",", "\n\n", 'x"y', "long " * 30, "\n" * 40]
+    rows = [[str(i), "".join(rng.choice(parts) for _ in range(rng.randrange(6))), rng.choice(["", "z", '5" pipe', 'q\n"q"'])] for i in range(120)]
+    folder = tmp_path / "t.csv"
+    folder.mkdir()
+    for k in range(2):
+        with open(folder / f"{k}.csv", "w", newline="") as f:
+            out = csv.writer(f, lineterminator="\r\n" if seed % 2 else "\n")
+            out.writerow(["id", "note\nof", "more"])
+            out.writerows(rows[k::2])
+    try:
+        split_up(spark, "64")
+        df = read_csv(spark, str(folder))
+        assert df.columns == ["id", "note\nof", "more"] and df.dtypes[0][1] == "int"
+        got = {r[0]: (r[1] or "", r[2] or "") for r in df.collect()}
+        tasks = spark.read.text(str(folder), lineSep="\n").rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert tasks > 20
+    assert got == {int(a): (b, c) for a, b, c in rows}
+
+
+def test_where_a_line_ends():
+    from measureloom.sources.records import ends_inside
+
+    for line, out, inn in [("a,b", False, True), ('"a', True, False), ('a"b', False, False), ('5" pipe,"x', True, True),
+                           ('"a""', True, False), ('a""b', False, True), ('"a","b', True, True), ("", False, True),
+                           ('x",y', False, False), ('x","y', True, True), ('"a"b","c', True, True)]:
+        assert (ends_inside(line, False, ","), ends_inside(line, True, ",")) == (out, inn), line
+
+
+def test_a_quote_inside_a_cell_keeps_the_source_in_lines(spark, tmp_path):
+    path = tmp_path / "inch.csv"
+    path.write_text('id,what\n1,5" pipe\n2,"a, ""b"""\n')
+    df = read_csv(spark, str(path))
+    assert [tuple(r) for r in df.orderBy("id").collect()] == [(1, '5" pipe'), (2, 'a, "b"')]
+    assert "text" not in df._jdf.queryExecution().toString().lower().split("filescan")[1].split(" ")[1]
+
+
+def test_types_of_a_text_source(spark, tmp_path):
+    path = tmp_path / "types.csv"
+    path.write_text("i,l,big,d,day,t,z,b,s,none\n1,5000000000,123456789012345678901,1.5,2025-01-01,2025-01-01 10:00:00,"
+                    "2025-01-01T10:00:00Z,true,x,\n-2,3,4,1e3,2025-02-01,2025-01-02,2025-01-01T10:00:00+01:00,False,7,\n")
+    df = read_csv(spark, str(path))
+    assert [t for _, t in df.dtypes] == ["int", "bigint", "decimal(21,0)", "double", "date", "timestamp_ntz", "timestamp", "boolean",
+                                         "string", "string"]
+    assert df.where("i is null or l is null or big is null or d is null or day is null or t is null or z is null or b is null").count() == 0
