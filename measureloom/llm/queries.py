@@ -283,3 +283,81 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("conv_id", *map(zero, ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")),
                         F.coalesce("audit", F.lit("")).alias("audit"),
                         F.coalesce("sha", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+ORACLES["op11_conversation_repair"] = r"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name
+  FROM conversations),
+-- CRC-32 of the name, a bit at a time
+h AS (
+  SELECT *, xor(list_reduce(list_transform(range(1, 8 * length(name) + 1), lambda i:
+      CAST((ascii(substr(name, CAST((i - 1) // 8 + 1 AS BIGINT), 1)) >> CAST((i - 1) % 8 AS INTEGER)) & 1 AS BIGINT)),
+    lambda s, b: xor(s >> 1, CAST(3988292384 * (xor(s, b) & 1) AS BIGINT)), CAST(4294967295 AS BIGINT)),
+    CAST(4294967295 AS BIGINT)) % 20 AS kind
+  FROM k),
+d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+  FROM h WHERE kind <> 0),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+    md5(length(role) || ':' || role || text)) AS p FROM d),
+f AS (
+  SELECT *, substr(role, 1, 1) AS initial, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY p) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+    lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY p) AS before
+  FROM o),
+l AS (
+  SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 'x' WHEN initial NOT IN ('s', 'u', 'a') THEN 'o'
+    ELSE initial END AS role_letter FROM f),
+c AS (
+  SELECT conv_id, string_agg(CASE WHEN fault = 'truncated' THEN upper(role_letter) ELSE role_letter END, '' ORDER BY p) AS sig,
+    coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM l GROUP BY conv_id),
+-- cheapest way on from the end, for each state of the grammar: nothing yet, after s, after u, after a
+best(sig, i, b0, b1, b2, b3) AS (
+  SELECT sig, length(sig), {'c': 0, 'a': ''}, {'c': 10, 'a': 'II'}, {'c': 5, 'a': 'I'}, {'c': 0, 'a': ''}
+  FROM (SELECT DISTINCT sig FROM c)
+  UNION ALL
+  SELECT sig, i - 1, list_sort([r0, {'c': n2.c + 5, 'a': 'I' || n2.a}])[1], list_sort([r1, {'c': n2.c + 5, 'a': 'I' || n2.a}])[1], n2, n3
+  FROM (
+    SELECT *, list_sort([r2, {'c': r3.c + 5, 'a': 'I' || r3.a}])[1] AS n2,
+      list_sort([r3, {'c': r2.c + 5, 'a': 'I' || r2.a}])[1] AS n3
+    FROM (
+      SELECT sig, i,
+        list_sort([{'c': b0.c + 2, 'a': 'D' || b0.a}, {'c': b2.c + 1 + late, 'a': 'R' || b2.a},
+          {'c': b1.c + late + CASE WHEN r = 's' THEN 0 ELSE 1000000 END, 'a': 'K' || b1.a},
+          {'c': b2.c + late + CASE WHEN r = 'u' THEN 0 ELSE 1000000 END, 'a': 'K' || b2.a}])[1] AS r0,
+        list_sort([{'c': b1.c + 2, 'a': 'D' || b1.a}, {'c': b2.c + 1 + late, 'a': 'R' || b2.a},
+          {'c': b2.c + late + CASE WHEN r = 'u' THEN 0 ELSE 1000000 END, 'a': 'K' || b2.a}])[1] AS r1,
+        list_sort([{'c': b2.c + 2, 'a': 'D' || b2.a}, {'c': b3.c + 1 + late, 'a': 'R' || b3.a},
+          {'c': b3.c + late + CASE WHEN r = 'a' THEN 0 ELSE 1000000 END, 'a': 'K' || b3.a}])[1] AS r2,
+        list_sort([{'c': b3.c + 2, 'a': 'D' || b3.a}, {'c': b2.c + 1 + late, 'a': 'R' || b2.a},
+          {'c': b2.c + late + CASE WHEN r = 'u' THEN 0 ELSE 1000000 END, 'a': 'K' || b2.a}])[1] AS r3
+      FROM (SELECT *, lower(sig[i]) AS r, CASE WHEN sig[i] = 'x' THEN 1000000 WHEN sig[i] = upper(sig[i]) THEN 5 ELSE 0 END AS late
+            FROM best WHERE i > 0)))),
+a AS (SELECT c.*, b0.c AS cost, b0.a AS audit FROM c JOIN best ON best.sig = c.sig AND i = 0),
+e AS (
+  SELECT conv_id, nr, audit[nr] AS edit, len(list_filter(string_split(audit[1:nr], ''), lambda x: x <> 'I')) AS p,
+    len(list_filter(string_split(audit[1:nr], ''), lambda x: x <> 'D')) AS place
+  FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS nr FROM a)),
+j AS (
+  SELECT e.*, l.role, l.text, max(CASE WHEN place = 1 AND edit = 'K' AND role_letter = 's' THEN 1 ELSE 0 END)
+    OVER (PARTITION BY e.conv_id) AS shift
+  FROM e LEFT JOIN l ON l.conv_id IS NOT DISTINCT FROM e.conv_id AND l.p = e.p AND edit <> 'I' WHERE edit <> 'D'),
+s AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - shift) % 2 = 1 THEN 'user' ELSE 'assistant' END
+    || ':' || coalesce(text, ''), chr(10) ORDER BY nr)) AS sha
+  FROM j GROUP BY conv_id)
+SELECT n.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+  coalesce(audit, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) n LEFT JOIN a ON a.conv_id IS NOT DISTINCT FROM n.conv_id
+LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM n.conv_id
+"""
