@@ -1,9 +1,10 @@
 """Aggregate measures by dimension members, over time, and over both axes.
 
 ``member_facts`` is the central plan: one scan, one shuffle, all dimensions and the total through
-grouping sets, both period sides through conditional aggregates. Measures whose aggregate cannot be
-combined from partial sums (exact median, distinct count, two-axis measures) get a plan of their
-own and are joined by ``unionByName``.
+grouping sets, both period sides through conditional aggregates. Measures that need more than sums
+(exact medians, distinct counts, two-axis measures) share it: a row also counts under a mark of the
+measure and a key, its value's bucket or its day. A second scan serves all distinct counts and all
+medians that the buckets leave open.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from measureloom.contract import TOTAL, Measure
 from measureloom.functions import calendar as cal
 from measureloom.functions import cleaning
 from measureloom.operators.onerow import attach
+from measureloom.operators import quantiles as q
 from measureloom.operators.quantiles import exact_quantiles
 from measureloom.operators.scope import BASE, CURRENT, Lock, in_scope, roles, side_flags
 from measureloom.session import cut_lineage
@@ -204,20 +206,152 @@ def scoped_rows(df: DataFrame, measures: Sequence[Measure], dims: Sequence[str],
                    [*_members(dims), *extra, *flags], time, timezone)
 
 
+def _kind(measure: Measure, has_day: bool) -> str:
+    """How a measure is computed: sums, days, median, distinct, or own (two axes that are not sums)."""
+    if measure.time_aggregation and has_day:
+        return "days" if measure.within_day in COMBINABLE else "own"
+    return {"median": "median", "distinct_count": "distinct"}.get(measure.aggregation, "sums")
+
+
+_VALUE, _MARK = "_v", "_mark"
+_AT = ["dimension", "name"]
+
+
+def _exploded(rows: DataFrame, dims: Sequence[str], marks: Sequence[Column]) -> DataFrame:
+    """Every row once per member it belongs to, the total included, and per mark (mark, key, v)."""
+    members = [F.struct(F.lit(d).alias("dimension"), F.col(k).alias("name"))
+               for d, k in zip(dims, _private(dims), strict=True)]
+    members.append(F.struct(F.lit(TOTAL).alias("dimension"), F.lit(TOTAL).alias("name")))
+    flat = rows.withColumn("_d", F.explode(F.array(*members))).withColumn("_m", F.explode(F.array(*marks)))
+    return flat.select(*[c for c in rows.columns if c not in _private(dims)], "_d.dimension", "_d.name",
+                       F.col("_m.mark").alias(_MARK), F.col("_m.key").alias("_key"), F.col("_m.v").alias(_VALUE))
+
+
+def _mark(i: int, key: Column | None, value: Column | None) -> Column:
+    null = F.lit(None)
+    return F.struct(F.lit(i).alias("mark"), (null if key is None else key).cast("double").alias("key"),
+                    (null if value is None else value).cast("double").alias("v"))
+
+
+def _value_of(measure: Measure) -> Column:
+    # Adding zero makes one value of the two zeros.
+    return F.col(_cols(measure)["value"]) + F.lit(0.0)
+
+
+def _sides(counters: DataFrame, **columns: tuple[Column, Column]) -> DataFrame:
+    """Rows per side, c and b, from pairs of columns."""
+    sides = [F.struct(F.lit(side).alias("_side"), *[pair[k].alias(n) for n, pair in columns.items()])
+             for k, side in enumerate("cb")]
+    kept = [c for c in (*_AT, _MARK, "_key", "_b", _VALUE) if c in counters.columns and c not in columns]
+    return counters.select(*kept, F.explode(F.array(*sides)).alias("_e")).select(*kept, "_e.*")
+
+
+def _shared(rows: DataFrame, dims: Sequence[str], measures: Sequence[Measure], has_day: bool) -> DataFrame:
+    """Facts of measures of any kind but own, from two scans of the rows at most."""
+    marks = {i: m for i, m in enumerate(measures, 1) if _kind(m, has_day) in ("days", "median")}
+    sums = [m for m in measures if _kind(m, has_day) == "sums"]
+    entries = [_mark(0, None, None)]
+    for i, m in marks.items():
+        entries.append(_mark(i, F.unix_date(DAY), None) if _kind(m, has_day) == "days"
+                       else _mark(i, q.bucket(_value_of(m)), _value_of(m)))
+    values, v = [], F.col(_VALUE)
+    for m, how, mark in [*((m, m.aggregation, 0) for m in sums),
+                         *((m, m.within_day, i) for i, m in marks.items() if _kind(m, has_day) == "days")]:
+        for side, flag in (("c", CURRENT), ("b", BASE)):
+            values.append(combine(m, how, F.col(flag) & (F.col(_MARK) == mark)).alias(f"{side}_{m.id}"))
+    for side, flag in (("c", CURRENT), ("b", BASE)):
+        mine = F.when(F.col(flag), v)
+        values += [F.count_if(F.col(flag)).alias(f"_n{side}"), F.count(mine).alias(f"_v{side}"),
+                   F.min(mine).alias(f"_low{side}"), F.max(mine).alias(f"_high{side}")]
+    counters = cut_lineage(_exploded(rows, dims, entries).groupBy(*_AT, _MARK, "_key").agg(*values))
+    seen = counters.where(F.col(_MARK) == 0).select(
+        *_AT, (F.col("_nc") > 0).alias("in_current"), (F.col("_nb") > 0).alias("in_base")).where("in_current or in_base")
+    parts = []
+    if sums:
+        tidy = [F.struct(F.lit(m.id).alias("measure_id"), F.col(f"c_{m.id}").alias("current"),
+                         F.col(f"b_{m.id}").alias("baseline")) for m in sums]
+        parts.append(counters.where((F.col(_MARK) == 0) & ((F.col("_nc") > 0) | (F.col("_nb") > 0))).select(
+            *_AT, (F.col("_nc") > 0).alias("in_current"), (F.col("_nb") > 0).alias("in_base"),
+            F.explode(F.array(*tidy)).alias("m")).select("m.measure_id", *_AT, "m.current", "m.baseline", "in_current", "in_base"))
+    for i, m in marks.items():
+        if _kind(m, has_day) == "days":
+            daily = _sides(counters.where((F.col(_MARK) == i) & F.col("_key").isNotNull()),
+                           value=(F.col(f"c_{m.id}"), F.col(f"b_{m.id}")), _n=(F.col("_nc"), F.col("_nb")))
+            daily = daily.where("_n > 0").withColumnRenamed("_key", DAY)
+            parts.append(_both_sides(across_days(daily, ["_side", *_AT], m.time_aggregation), m))
+    parts += _second_scan(rows, dims, measures, marks, counters, seen, has_day)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _both_sides(values: DataFrame, measure: Measure, seen: DataFrame | None = None) -> DataFrame:
+    """Facts of one measure from (_side, dimension, name, value); members without value by ``seen``."""
+    side = F.col("_side") == "c"
+    wide = values.groupBy(*_AT).agg(
+        F.max(F.when(side, F.col("value"))).alias("current"), F.max(F.when(~side, F.col("value"))).alias("baseline"),
+        F.max(side).alias("in_current"), F.max(~side).alias("in_base"))
+    if seen is not None:
+        wide = seen.join(wide.drop("in_current", "in_base"), _AT, "left")
+    return wide.select(F.lit(measure.id).alias("measure_id"), *_AT, "current", "baseline", "in_current", "in_base")
+
+
+def _second_scan(rows: DataFrame, dims: Sequence[str], measures: Sequence[Measure], marks: dict[int, Measure],
+                 counters: DataFrame, seen: DataFrame, has_day: bool) -> list[DataFrame]:
+    """Facts of medians and distinct counts; the rows are read if there are any of the latter or open ranks."""
+    medians = {i: m for i, m in marks.items() if _kind(m, has_day) == "median"}
+    distinct = {i: m for i, m in enumerate(measures, 1) if _kind(m, has_day) == "distinct"}
+    by, found, hits, few, is_open = ["_side", *_AT, _MARK], None, None, None, False
+    if medians:
+        mine = counters.where(F.col(_MARK).isin(list(medians)) & F.col("_key").isNotNull())
+        mine = _sides(mine.withColumn("_b", F.col("_key").cast("int")), _n=(F.col("_vc"), F.col("_vb")),
+                      _low=(F.col("_lowc"), F.col("_lowb")), _high=(F.col("_highc"), F.col("_highb"))).where("_n > 0")
+        hits = cut_lineage(q.located(mine.drop("_key"), by, [0.5]))
+        found = q.known_values(hits, by)
+        is_open = not hits.where(F.size("_ranks") > 0).isEmpty()
+    if distinct or is_open:
+        read = [_mark(i, q.bucket(_value_of(m)), _value_of(m)) for i, m in medians.items() if is_open]
+        read += [_mark(i, F.lit(0), _value_of(m)) for i, m in distinct.items()]
+        flat = _exploded(rows, dims, read).where(F.col(_VALUE).isNotNull()).withColumn("_b", F.col("_key").cast("int"))
+        if is_open:
+            few = q.sent(hits, [*_AT, _MARK])
+        if few is not None:
+            flat = flat.join(few.withColumn("_hit", F.lit(True)), [*_AT, _MARK, "_b"], "left").where(
+                F.col("_hit") | F.col(_MARK).isin(list(distinct)))
+        pairs = cut_lineage(flat.groupBy(*_AT, _MARK, "_b", _VALUE).agg(
+            F.count_if(F.col(CURRENT)).alias("_nc"), F.count_if(F.col(BASE)).alias("_nb")))
+        if is_open:
+            sided = _sides(pairs.where(F.col(_MARK).isin(list(medians))), _c=(F.col("_nc"), F.col("_nb"))).where("_c > 0")
+            found = found.unionByName(q.open_values(sided, by, hits))
+        counts = pairs.groupBy(*_AT, _MARK).agg(F.count_if(F.col("_nc") > 0).cast("double").alias("_dc"),
+                                                F.count_if(F.col("_nb") > 0).cast("double").alias("_db"))
+    parts = []
+    if medians:
+        middle = q.interpolated(found, by, {"value": 0.5})
+        parts += [_both_sides(middle.where(F.col(_MARK) == i), m, seen) for i, m in medians.items()]
+    for i, m in distinct.items():
+        known = seen.join(counts.where(F.col(_MARK) == i), _AT, "left")
+        parts.append(known.select(
+            F.lit(m.id).alias("measure_id"), *_AT, F.when(F.col("in_current"), F.coalesce("_dc", F.lit(0.0))).alias("current"),
+            F.when(F.col("in_base"), F.coalesce("_db", F.lit(0.0))).alias("baseline"), "in_current", "in_base"))
+    return parts
+
+
 def member_facts(df: DataFrame, measures: Sequence[Measure], dims: Sequence[str], lock: Lock,
                  time: str | None, timezone: str | None = None,
                  write_once: bool = False) -> DataFrame:
     """(measure_id, dimension, name, current, baseline, in_current, in_base) for every member.
 
     The grand total is the member ``(total)`` of dimension ``(total)``. Null members are a group.
-    With ``write_once`` the projected rows of the scope are written before more than one plan
-    reads them, which pays when ``df`` is an expensive join.
+    Plain sums are one lazy plan. With medians, distinct counts or two-axis measures the counters of
+    the first scan are made when this is called, and a second scan follows only for what they leave
+    open; ``write_once`` writes the projected rows in between, which pays when ``df`` is an expensive
+    join.
     """
     has_day = time is not None
-    light = [m for m in measures if _single_pass(m, has_day)]
-    heavy = [m for m in measures if not _single_pass(m, has_day)]
+    shared = [m for m in measures if _kind(m, has_day) != "own"]
+    own = [m for m in measures if _kind(m, has_day) == "own"]
+    only_sums = all(_kind(m, has_day) == "sums" for m in shared)
     written = None
-    if write_once and len(heavy) + bool(light) > 1:
+    if write_once and (own or not only_sums):
         written = cut_lineage(scoped_rows(df, measures, dims, lock, time, timezone))
 
     def rows_of(chosen: Sequence[Measure]) -> DataFrame:
@@ -225,8 +359,11 @@ def member_facts(df: DataFrame, measures: Sequence[Measure], dims: Sequence[str]
             return written
         return scoped_rows(df, chosen, dims, lock, time, timezone)
 
-    parts = [_sided(rows_of(light).drop(DAY), dims, light)] if light else []
-    parts += [_by_role(rows_of([m]), dims, m) for m in heavy]
+    parts = []
+    if shared:
+        parts.append(_sided(rows_of(shared).drop(DAY), dims, shared) if only_sums
+                     else _shared(rows_of(shared), dims, shared, has_day))
+    parts += [_by_role(rows_of([m]), dims, m) for m in own]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -181,3 +181,69 @@ def test_window_trend_marks_missing_months(make):
     rows = a.window_trend(df, Measure("v", "v"), "d", "2025-01-01", "2025-03-31")
     got = [(str(r[0]), r[1], r[2]) for r in rows.orderBy("month").collect()]
     assert got == [("2025-01-01", 1.0, False), ("2025-02-01", None, True), ("2025-03-01", 3.0, False)]
+
+
+def rows_read(spark, action):
+    """Rows that scans of files gave while the action ran."""
+    def stages():
+        gateway = spark.sparkContext._gateway
+        store = spark.sparkContext._jsc.sc().statusStore()
+        found = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        return {(s.stageId(), s.attemptId()): s.inputRecords()
+                for s in gateway.jvm.scala.jdk.javaapi.CollectionConverters.asJava(found)}
+
+    before = stages()
+    action()
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_all_kinds_of_measures_from_two_scans(spark, tmp_path, monkeypatch, few):
+    from measureloom.operators import quantiles as q
+
+    if not few:
+        monkeypatch.setattr(q, "MAX_SENT", 0)
+    rng = random.Random(8)
+    rows = [(D(2024 + rng.randrange(2), 1, 1 + rng.randrange(9)), rng.choice(["n", "s", None]), rng.choice([None, rng.uniform(-9, 9), 2.0]))
+            for _ in range(800)] + [(D(2025, 1, 3), "blank", None), (D(2024, 1, 3), "gone", 4.0)]
+    path = str(tmp_path / "t.parquet")
+    spark.createDataFrame(rows, "d date, k string, v double").write.parquet(path)
+    df = spark.read.parquet(path)
+    kinds = {"sum": sum, "median": statistics.median, "distinct_count": lambda v: float(len(set(v))), "max": max}
+    measures = [Measure(k, "v", k) for k in kinds] + [
+        Measure("level", "v", "sum", additivity="semi_additive", time_aggregation="ending"),
+        Measure("middle2", "v", "median")]
+    lock = s.resolve(df, Scope(period="2025-01", comparison="yoy", data_as_of="2025-01-31", comparison_as_of="2024-01-31"), "d")
+    got = {}
+
+    def run():
+        for r in a.member_facts(df, measures, ["k"], lock, "d").collect():
+            got[r["measure_id"], r["dimension"], r["name"]] = r
+
+    assert rows_read(spark, run) <= 2 * len(rows)
+    members = {("k", k or "(空值)"): [r for r in rows if r[1] == k] for k in ("n", "s", None, "blank", "gone")} | {(TOTAL, TOTAL): rows}
+    assert len(got) == len(measures) * len(members)
+    for (dimension, name), mine in members.items():
+        for side, year in (("current", 2025), ("baseline", 2024)):
+            there = [r for r in mine if r[0].year == year]
+            v = [r[2] for r in there if r[2] is not None]
+            for kind, plain in kinds.items():
+                want = None if not there else plain(v) if v or kind == "distinct_count" else None
+                row = got[kind, dimension, name]
+                assert row[side] == (pytest.approx(want) if want is not None else None), (kind, name, side)
+                assert row["in_current" if side == "current" else "in_base"] == bool(there)
+            assert got["middle2", dimension, name][side] == got["median", dimension, name][side]
+            days = sorted({r[0] for r in there if r[2] is not None})
+            want = sum(r[2] for r in there if r[0] == days[-1] and r[2] is not None) if days else None
+            assert got["level", dimension, name][side] == (pytest.approx(want) if want is not None else None)
+
+
+def test_quantiles_move_counters_and_not_values(spark, tmp_path):
+    path = str(tmp_path / "v.parquet")
+    spark.range(20_000).selectExpr("cast(id % 97 as double) v").write.parquet(path)
+    df = spark.read.parquet(path)
+    # Whole numbers below the buckets of an octave are settled by one scan.
+    assert rows_read(spark, lambda: exact_quantiles(df, [], "v", {"m": 0.5}).collect()) == 20_000
+    spark.range(20_000).selectExpr("id / 7 as v").write.parquet(path + "2")
+    df = spark.read.parquet(path + "2")
+    assert rows_read(spark, lambda: exact_quantiles(df, [], "v", {"m": 0.5}).collect()) == 40_000
