@@ -16,10 +16,11 @@ from measureloom.contract import (
 from measureloom.functions import calendar as cal
 from measureloom.functions import cleaning
 from measureloom.functions.labels import favorable
+from measureloom.operators import quantiles as q
 from measureloom.operators.compare import measure_attribute
 from measureloom.operators.onerow import attach
-from measureloom.operators.quantiles import exact_quantiles
 from measureloom.operators.scope import CURRENT, Lock, tag
+from measureloom.session import cut_lineage
 
 SPEC_SCHEMA = (
     "id string, type string, measure_id string, unit string, value double, lower double, "
@@ -143,63 +144,90 @@ def _resolved(ref: Reference, value: Column, reason: Column, bad: Column, filled
         share.alias("parse_error_pct"))
 
 
-def _quality(cell: Column, value: Column) -> tuple[Column, Column]:
-    return F.count_if(cell.isNotNull()), F.count_if(cell.isNotNull() & value.isNull())
+def _shared_values(rows: DataFrame, refs: Sequence[Reference], day: Column | None) -> DataFrame:
+    """All references from one aggregate of the rows; medians that its buckets leave open from a second.
 
-
-def _simple_values(rows: DataFrame, refs: Sequence[Reference]) -> DataFrame:
-    """All single-value references in one aggregate over the scope."""
-    aggs, entries = [], []
-    for i, ref in enumerate(refs):
-        value, cell = cleaning.number(rows, ref.field), F.col(f"`{ref.field}`")
-        filled, bad = _quality(cell, value)
-        aggs += [filled.alias(f"f{i}"), bad.alias(f"b{i}"), F.count(value).alias(f"n{i}"),
-                 _SIMPLE[ref.aggregation](value).alias(f"v{i}"), F.max(value).alias(f"h{i}")]
-        n, v = F.col(f"n{i}"), F.col(f"v{i}")
-        accepted = {"auto": n == 1, "unique": v == F.col(f"h{i}")}.get(ref.aggregation, F.lit(True))
+    Every row counts once for all plain aggregates (mark 0), and once for each reference that needs
+    groups of its own: the period and grain of a deduplicated one, the bucket of the value of a median.
+    """
+    fields = {f: k for k, f in enumerate(dict.fromkeys(r.field for r in refs))}
+    simple = [r for r in refs if r.aggregation in _SIMPLE]
+    marks = {i: r for i, r in enumerate(refs, 1) if r.aggregation not in _SIMPLE}
+    keys = {}
+    for i, ref in marks.items():
+        if ref.aggregation == "median":
+            keys[i] = None
+            continue
+        period = F.lit(cal.WHOLE_PERIOD) if ref.frequency == "period" else cal.period_key(day, ref.frequency)
+        keys[i] = F.array(period, *[cleaning.member(F.col(f"`{g}`")) for g in _grain(ref)])
+    flat = rows.select(
+        *[cleaning.number(rows, f).alias(f"_f{k}") for f, k in fields.items()],
+        *[F.col(f"`{f}`").isNotNull().alias(f"_p{k}") for f, k in fields.items()],
+        *[key.alias(f"_key{i}") for i, key in keys.items() if key is not None])
+
+    def entry(i: int, field: str | None, key: Column) -> Column:
+        value, there = (F.lit(None), F.lit(False)) if field is None else (F.col(f"_f{fields[field]}"), F.col(f"_p{fields[field]}"))
+        return F.struct(F.lit(i).alias("mark"), key.cast("array<string>").alias("key"), value.cast("double").alias("v"),
+                        there.alias("there"))
+
+    def bucket_key(i: int) -> Column:
+        return F.array(q.bucket(F.col(f"_f{fields[marks[i].field]}") + F.lit(0.0)).cast("string"))
+
+    entries = [entry(0, None, F.array())] + [
+        entry(i, r.field, F.col(f"_key{i}") if keys[i] is not None else bucket_key(i)) for i, r in marks.items()]
+    apart = flat.withColumn("_m", F.explode(F.array(*entries)))
+    aggs = []
+    for j, r in enumerate(simple):
+        first = F.col("_m.mark") == 0
+        value, there = F.when(first, F.col(f"_f{fields[r.field]}")), first & F.col(f"_p{fields[r.field]}")
+        aggs += [F.count_if(there).alias(f"f{j}"), F.count_if(there & value.isNull()).alias(f"b{j}"), F.count(value).alias(f"n{j}"),
+                 _SIMPLE[r.aggregation](value).alias(f"v{j}"), F.max(value).alias(f"h{j}")]
+    v, there = F.col("_m.v"), F.col("_m.there")
+    counters = cut_lineage(apart.groupBy(F.col("_m.mark").alias("_mark"), F.col("_m.key").alias("_key")).agg(
+        *aggs, F.count_if(there).alias("f"), F.count_if(there & v.isNull()).alias("b"), F.count(v).alias("_n"),
+        F.min(v).alias("_low"), F.max(v).alias("_high")))
+
+    def of(i: int, c: str | Column) -> Column:
+        return F.when(F.col("_mark") == i, F.col(c) if isinstance(c, str) else c)
+
+    whole = [F.max(of(0, f"{c}{j}")).alias(f"{c}{j}") for j in range(len(simple)) for c in "fbnvh"]
+    for i, r in marks.items():
+        low, high = F.col("_low"), F.col("_high")
+        whole += [F.sum(of(i, "f")).alias(f"f_{i}"), F.sum(of(i, "b")).alias(f"b_{i}"), F.sum(of(i, "_n")).alias(f"n_{i}"),
+                  F.count_if((F.col("_mark") == i) & low.isNull()).alias(f"empty_{i}"),
+                  F.count_if((F.col("_mark") == i) & (low != high)).alias(f"torn_{i}"), F.sum(of(i, low)).alias(f"v_{i}")]
+    one = counters.agg(*whole)
+    medians = [i for i in marks if keys[i] is None]
+    if medians:
+        buckets = counters.where(F.col("_mark").isin(medians) & (F.col("_n") > 0)).select(
+            "_mark", F.col("_key")[0].cast("int").alias("_b"), "_n", "_low", "_high")
+        values = apart.where(F.col("_m.mark").isin(medians) & v.isNotNull()).select(
+            F.col("_m.mark").alias("_mark"), F.col("_m.key")[0].cast("int").alias("_b"), (v + F.lit(0.0)).alias("_v"))
+        middle = q.values_at(buckets, values, ["_mark"], {"middle": 0.5})
+        one = attach(one, middle.agg(*[F.max(of(i, "middle")).alias(f"middle_{i}") for i in medians]))
+
+    resolved = []
+    for j, r in enumerate(simple):
+        n, value = F.coalesce(f"n{j}", F.lit(0)), F.col(f"v{j}")
+        accepted = {"auto": n == 1, "unique": value == F.col(f"h{j}")}.get(r.aggregation, F.lit(True))
         reason = F.when(n == 0, "reference_missing").when(
             ~accepted, "reference_field_requires_single_value_or_explicit_aggregation")
-        entries.append(_resolved(ref, v, reason, F.col(f"b{i}"), F.col(f"f{i}")))
-    return rows.agg(*aggs).select(F.explode(F.array(*entries)).alias("r")).select("r.*")
-
-
-def _median_value(rows: DataFrame, ref: Reference) -> DataFrame:
-    value, cell = cleaning.number(rows, ref.field), F.col(f"`{ref.field}`")
-    filled, bad = _quality(cell, value)
-    counts = rows.agg(filled.alias("f"), bad.alias("b"), F.count(value).alias("n"))
-    middle = exact_quantiles(rows.select(value.alias("v")), [], "v", {"middle": 0.5})
-    reason = F.when(F.col("n") == 0, "reference_missing")
-    return attach(counts, middle).select(
-        _resolved(ref, F.col("middle"), reason, F.col("b"), F.col("f")).alias("r")).select("r.*")
-
-
-def _group_values(rows: DataFrame, ref: Reference, day: Column | None) -> DataFrame:
-    """One value per (period, grain); conflicting or empty groups fail the reference."""
-    value, cell = cleaning.number(rows, ref.field), F.col(f"`{ref.field}`")
-    filled, bad = _quality(cell, value)
-    period = F.lit(cal.WHOLE_PERIOD) if ref.frequency == "period" else cal.period_key(
-        day, ref.frequency)
-    keys = [period.alias("_period"), *[cleaning.member(F.col(f"`{g}`")).alias(g)
-                                       for g in _grain(ref)]]
-    groups = rows.groupBy(*keys).agg(F.min(value).alias("low"), F.max(value).alias("high"),
-                                     filled.alias("f"), bad.alias("b"))
-    one = groups.agg(
-        F.sum("f").alias("f"), F.sum("b").alias("b"), F.count("low").alias("n"),
-        F.count_if(F.col("low").isNull()).alias("empty"),
-        F.count_if(F.col("low") != F.col("high")).alias("torn"), F.sum("low").alias("v"))
-    reason = (F.when(F.col("n") == 0, "reference_missing")
-              .when(F.col("empty") > 0, "reference_grain_incomplete")
-              .when(F.col("torn") > 0, "reference_grain_conflict"))
-    return one.select(_resolved(ref, F.col("v"), reason, F.col("b"), F.col("f")).alias("r")).select(
-        "r.*")
+        resolved.append(_resolved(r, value, reason, F.col(f"b{j}"), F.col(f"f{j}")))
+    for i, r in marks.items():
+        reason = F.when(F.coalesce(f"n_{i}", F.lit(0)) == 0, "reference_missing")
+        if keys[i] is not None:
+            reason = reason.when(F.col(f"empty_{i}") > 0, "reference_grain_incomplete").when(
+                F.col(f"torn_{i}") > 0, "reference_grain_conflict")
+        resolved.append(_resolved(r, F.col(f"v_{i}" if keys[i] is not None else f"middle_{i}"), reason, F.col(f"b_{i}"), F.col(f"f_{i}")))
+    return one.select(F.explode(F.array(*resolved)).alias("r")).select("r.*")
 
 
 def field_references(df: DataFrame, refs: Sequence[Reference], lock: Lock, time: str | None,
                      timezone: str | None = None) -> DataFrame:
     """Resolve every reference that reads a column to one value over the current period.
 
-    Columns: id, field_value, reason_code, parse_errors, parse_error_pct. References that are
-    plain aggregates share one scan.
+    Columns: id, field_value, reason_code, parse_errors, parse_error_pct. All references share one
+    scan, whose counters are made when this is called; medians may take a second.
     """
     spark = df.sparkSession
     needed = [r for r in refs if r.type != "group" and r.value is None
@@ -210,14 +238,8 @@ def field_references(df: DataFrame, refs: Sequence[Reference], lock: Lock, time:
     frames = [spark.createDataFrame(
         [(i, None, reason, 0, 0.0) for i, reason in problems.items() if reason], _RESOLVED)]
     usable = [r for r in needed if not problems[r.id]]
-    simple = [r for r in usable if r.aggregation in _SIMPLE]
-    if simple:
-        frames.append(_simple_values(rows, simple))
-    for ref in usable:
-        if ref.aggregation == "median":
-            frames.append(_median_value(rows, ref))
-        elif ref.aggregation in _PER_GROUP:
-            frames.append(_group_values(rows, ref, day))
+    if usable:
+        frames.append(_shared_values(rows, usable, day))
     return reduce(DataFrame.unionByName, frames)
 
 
