@@ -183,15 +183,49 @@ def inline_sql_sets(spark, d):
           SELECT c_nationkey FROM src_customer INTERSECT SELECT s_nationkey FROM src_supplier)""")
 
 
-@query("a07_source_fingerprint")
+_RANGE, _FANOUT = 4096, 64
+
+
+def _order_files(spark, d) -> str:
+    """The orders in sixteen text files, each in the order of its keys."""
+    folder = scratch(spark, "orders.txt")
+    lines = table(spark, d, "orders").select(
+        (F.col("o_orderkey") % 16).alias("part"), "o_orderkey",
+        F.concat_ws(",", "o_orderkey", "o_custkey", "o_orderstatus").alias("value"))
+    lines.repartition("part").sortWithinPartitions("part", "o_orderkey").select("part", "value").write.partitionBy(
+        "part").text(folder)
+    return folder
+
+
+def _joined(source: str, up: str) -> str:
+    return f"""{up} AS (SELECT part, bytes, nr // 64 AS nr, CASE WHEN count(*) = 1 THEN max(sha)
+  ELSE sha256(string_agg(sha, '' ORDER BY nr)) END AS sha FROM {source} GROUP BY part, bytes, nr // 64)"""
+
+
+# Ranges of 4,096 bytes are hashed, then up to 64 digests at a time; three levels are more than enough.
+_FILE_DIGESTS = f"""content AS (SELECT o_orderkey % 16 AS part, string_agg(
+    o_orderkey || ',' || o_custkey || ',' || o_orderstatus || chr(10), '' ORDER BY o_orderkey) AS text
+  FROM orders GROUP BY o_orderkey % 16),
+leaves AS (SELECT part, bytes, nr, sha256(substr(text, CAST(nr * 4096 + 1 AS BIGINT), 4096)) AS sha FROM (
+  SELECT part, text, CAST(length(text) AS BIGINT) AS bytes, unnest(range((length(text) + 4095) // 4096)) AS nr
+  FROM content)),
+{_joined('leaves', 'up1')}, {_joined('up1', 'up2')}, {_joined('up2', 'up3')}"""
+
+
+@query("a07_source_fingerprint", f"""WITH {_FILE_DIGESTS},
+parts AS (SELECT substr(sha, 1, 3) AS p, sha256(string_agg(sha, '' ORDER BY sha)) AS d, count(*) AS n,
+  sum(bytes) AS b FROM up3 GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS files, CAST(sum(b) AS BIGINT) AS bytes, sha256(string_agg(d, '' ORDER BY p)) AS sha256,
+  'source_file_snapshot' AS fingerprint_scope FROM parts""")
 def source_digest(spark, d):
-    return fingerprint.source_fingerprint(spark, f"{d}/lineitem.parquet", "lineitem")
+    return fingerprint.source_fingerprint(spark, _order_files(spark, d), None, _RANGE, _FANOUT).select(
+        "files", "bytes", "sha256", "fingerprint_scope")
 
 
-@query("a07_file_fingerprints")
+@query("a07_file_fingerprints", f"WITH {_FILE_DIGESTS} SELECT part, bytes, sha AS sha256 FROM up3")
 def file_digests(spark, d):
-    return fingerprint.file_fingerprints(spark, d).select(
-        F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "sha256")
+    return fingerprint.file_fingerprints(spark, _order_files(spark, d), _RANGE, _FANOUT).select(
+        F.regexp_extract("path", r"part=(\d+)/", 1).cast("long").alias("part"), "bytes", "sha256")
 
 
 @query("a08_metrics_sink", f"""WITH {SALES}, {facts_sql(list(m.id for m in CONTRACT), DIMS)}

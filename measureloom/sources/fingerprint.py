@@ -12,39 +12,60 @@ from pyspark.sql import functions as F
 from measureloom.operators.onerow import attach
 
 _CHUNK = 1 << 20
+#: Bytes of a file that one task reads at once, and digests that are joined into one.
+RANGE_BYTES, FANOUT = 64 << 20, 1024
 CAVEAT = "covers the query text only; compare result fingerprints for changes of the data"
 
 
-def _hash_files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Stream every file through SHA-256 in fixed-size chunks."""
-    from urllib.parse import unquote
+def _hash_ranges(size: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Stream every byte range through SHA-256 in small chunks."""
+        from urllib.parse import unquote
 
-    from pyarrow import fs
+        from pyarrow import fs
 
-    for frame in frames:
-        digests = []
-        for uri in frame["path"]:
-            plain = unquote(uri[len("file:"):]) if uri.startswith("file:") else None
-            system, path = ((fs.LocalFileSystem(), plain) if plain
-                            else fs.FileSystem.from_uri(uri))
-            digest = hashlib.sha256()
-            with system.open_input_stream(path) as stream:
-                while chunk := stream.read(_CHUNK):
-                    digest.update(chunk)
-            digests.append(digest.hexdigest())
-        yield pd.DataFrame({"path": frame["path"], "bytes": frame["length"], "sha256": digests})
+        for frame in frames:
+            digests = []
+            for uri, nr in zip(frame["path"], frame["nr"], strict=True):
+                plain = unquote(uri[len("file:"):]) if uri.startswith("file:") else None
+                system, path = ((fs.LocalFileSystem(), plain) if plain else fs.FileSystem.from_uri(uri))
+                digest, left = hashlib.sha256(), size
+                with system.open_input_file(path) as stream:
+                    stream.seek(int(nr) * size)
+                    while left and (chunk := stream.read(min(_CHUNK, left))):
+                        digest.update(chunk)
+                        left -= len(chunk)
+                digests.append(digest.hexdigest())
+            yield frame.assign(sha256=digests)
 
+    return run
 
-def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
+
+def file_fingerprints(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES, fanout: int = FANOUT) -> DataFrame:
     """(path, bytes, sha256) of every file under a path.
 
-    File names come from the binary-file listing without its content column, so no file is ever
-    held in memory as a whole and files of any size work; each file is hashed by one task.
+    File names come from the binary-file listing without its content column, which leaves out empty
+    files. A file of one range has
+    the plain SHA-256 of its bytes. A longer one has a tree digest: ranges of ``range_bytes`` are
+    hashed by tasks of their own, and the hex digests of ``fanout`` neighbours are joined and hashed,
+    a level at a time, until one is left; a group of one keeps its digest. Digests of one size of
+    range and fan-out can be compared.
     """
     listing = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-               .select("path", "length"))
-    spread = listing.repartition("path")
-    return spread.mapInPandas(_hash_files, "path string, bytes bigint, sha256 string")
+               .select("path", F.col("length").alias("bytes")))
+    ranges = listing.withColumn("nr", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.floor(F.greatest(F.col("bytes") - 1, F.lit(0)) / range_bytes))))
+    nodes = ranges.repartition("path", "nr").mapInPandas(
+        _hash_ranges(range_bytes), "path string, bytes bigint, nr bigint, sha256 string")
+    longest = listing.agg(F.max("bytes")).head()[0] or 0
+    left = max(1, -(-longest // range_bytes))
+    while left > 1:
+        joined = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("nr", "sha256"))), lambda s: s["sha256"]))
+        nodes = nodes.groupBy("path", "bytes", F.floor(F.col("nr") / fanout).alias("up")).agg(
+            F.when(F.count(F.lit(1)) == 1, F.max("sha256")).otherwise(F.sha2(joined, 256)).alias("sha256")
+        ).withColumnRenamed("up", "nr")
+        left = -(-left // fanout)
+    return nodes.select("path", "bytes", "sha256")
 
 
 def combined(files: DataFrame) -> DataFrame:
@@ -59,11 +80,12 @@ def combined(files: DataFrame) -> DataFrame:
         .alias("sha256"))
 
 
-def source_fingerprint(spark: SparkSession, path: str, selector: str | None = None) -> DataFrame:
+def source_fingerprint(spark: SparkSession, path: str, selector: str | None = None,
+                       range_bytes: int = RANGE_BYTES, fanout: int = FANOUT) -> DataFrame:
     """One row: kind, name, files, bytes, sha256, scope; a single file keeps its own digest."""
     import os
 
-    files = file_fingerprints(spark, path)
+    files = file_fingerprints(spark, path, range_bytes, fanout)
     both = attach(combined(files), files.agg(F.max("sha256").alias("own")))
     return both.select(
         F.lit(os.path.splitext(path)[1].lstrip(".").lower() or "file").alias("kind"),

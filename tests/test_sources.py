@@ -248,3 +248,25 @@ def test_types_of_a_text_source(spark, tmp_path):
     assert [t for _, t in df.dtypes] == ["int", "bigint", "decimal(21,0)", "double", "date", "timestamp_ntz", "timestamp", "boolean",
                                          "string", "string"]
     assert df.where("i is null or l is null or big is null or d is null or day is null or t is null or z is null or b is null").count() == 0
+
+
+def test_long_files_are_hashed_by_many_tasks(spark, tmp_path):
+    """The tree digest of ranges, level by level, against plain code."""
+    def tree(data, size, fanout):
+        level = [hashlib.sha256(data[i:i + size]).hexdigest() for i in range(0, max(1, len(data)), size)]
+        while len(level) > 1:
+            groups = [level[i:i + fanout] for i in range(0, len(level), fanout)]
+            level = [g[0] if len(g) == 1 else hashlib.sha256("".join(g).encode()).hexdigest() for g in groups]
+        return level[0]
+
+    files = {"empty": b"", "short": b"abc", "even": bytes(range(256)) * 4, "long one": b"x\xff" * 5000 + b"end"}
+    folder = tmp_path / "a b"
+    folder.mkdir()
+    for name, data in files.items():
+        (folder / name).write_bytes(data)
+    found = file_fingerprints(spark, str(folder), range_bytes=64, fanout=3)
+    got = {r["path"].rsplit("/", 1)[-1].replace("%20", " "): (r["bytes"], r["sha256"]) for r in found.collect()}
+    files.pop("empty")
+    assert got == {n: (len(data), tree(data, 64, 3)) for n, data in files.items()}
+    whole = {r["sha256"] for r in file_fingerprints(spark, str(folder)).collect()}
+    assert whole == {hashlib.sha256(data).hexdigest() for data in files.values()}
