@@ -21,7 +21,8 @@ TEXT_FORMATS = (
 # An offset stands after a time of day only: in 5-Jan-2025 or 01-12-2025 the end is a year.
 OFFSET_PATTERN = r"(?i)\d:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})$"
 BLANK = r"[\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
-_PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+_PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z"
+_PERHAPS_NUMBER = r"^[0-9+\-.eE,¥￥()" + BLANK[1:-2] + r"]+\z"
 
 
 def stripped(c: Column) -> Column:
@@ -30,10 +31,14 @@ def stripped(c: Column) -> Column:
 
 
 def text_number(c: Column) -> Column:
-    """Text to double: trim, drop commas and currency signs, ``(x)`` is ``-x``, else null."""
+    """Text to double: trim, drop commas and currency signs, ``(x)`` is ``-x``, else null.
+
+    Plain numbers are read at once, and texts with a character that no number has are given up at it.
+    """
     bare = F.regexp_replace(stripped(c), NUMBER_NOISE, "")
     signed = stripped(F.regexp_replace(bare, r"^\((.*)\)$", "-$1"))
-    return F.when(signed.rlike(_PLAIN_NUMBER), signed.try_cast("double"))
+    return F.when(c.rlike(_PLAIN_NUMBER), c.try_cast("double")).when(
+        c.rlike(_PERHAPS_NUMBER), F.when(signed.rlike(_PLAIN_NUMBER), signed.try_cast("double")))
 
 
 def finite(c: Column) -> Column:

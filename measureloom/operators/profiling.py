@@ -45,19 +45,7 @@ def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     """
     fields = [f for f in df.schema.fields
               if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    for i, f in enumerate(fields):
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = cleaning.finite(c)
-        aggs.append(F.count(c).alias(f"_n{i}"))
-        if approximate:
-            aggs.append(F.approx_count_distinct(c).alias(f"_d{i}"))
-        if isinstance(f.dataType, T.StringType):
-            aggs.append(F.count(cleaning.number(df, f.name)).alias(f"_p{i}"))
-    one = df.agg(*aggs)
-    if not approximate:
-        one = attach(one, _distinct_counts(df, fields))
+    one = _sketched(df, fields) if approximate else _counted(df, fields)
     entries = []
     for i, f in enumerate(fields):
         filled, rows = F.col(f"_n{i}"), F.col("_rows")
@@ -76,18 +64,53 @@ def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     return one.select(F.explode(F.array(*entries)).alias("c")).select("c.*")
 
 
-def _distinct_counts(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
-    """Exact distinct counts of all columns as one row.
+def _cell(field: T.StructField) -> Column:
+    c = F.col(f"`{field.name}`")
+    return cleaning.finite(c) if isinstance(field.dataType, (T.DoubleType, T.FloatType)) else c
 
-    Cells are unpivoted to (column, value) and deduplicated by grouping, so a column of any
-    cardinality and any hot value is spread over all tasks.
+
+def _sketched(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
+    """Counts of rows, filled cells, cells that read as numbers and, roughly, distinct cells, as one row."""
+    aggs = [F.count(F.lit(1)).alias("_rows")]
+    for i, f in enumerate(fields):
+        aggs += [F.count(_cell(f)).alias(f"_n{i}"), F.approx_count_distinct(_cell(f)).alias(f"_d{i}")]
+        if isinstance(f.dataType, T.StringType):
+            aggs.append(F.count(cleaning.number(df, f.name)).alias(f"_p{i}"))
+    return df.agg(*aggs)
+
+
+def _is_wide(kind: T.DataType) -> bool:
+    return not isinstance(kind, (T.IntegralType, T.FractionalType, T.BooleanType, T.DateType, T.TimestampType,
+                                 T.TimestampNTZType)) or isinstance(kind, T.DecimalType) and kind.precision > 18
+
+
+def _counted(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
+    """The same counts, all exact, from one scan.
+
+    Cells are reduced, where they are read, to (column, digest) with a count, so a column of any
+    cardinality and any hot value is spread over all tasks and no text is shuffled. The 64-bit digest
+    of a value of up to eight bytes is one to one; longer values take two digests.
     """
-    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{f.name}`").cast("string").alias("v"))
-                      for i, f in enumerate(fields)])
-    tidy = df.select(F.explode(cells).alias("c")).select("c.i", "c.v").where(
-        F.col("v").isNotNull() & (F.col("v") != "NaN"))
-    seen = tidy.groupBy("i", "v").agg(F.lit(1).alias("_one"))
-    return seen.agg(*[F.count_if(F.col("i") == i).alias(f"_d{i}") for i in range(len(fields))])
+    cells = []
+    for i, f in enumerate(fields):
+        c = _cell(f)
+        second = F.xxhash64(F.lit(1), c) if _is_wide(f.dataType) else F.lit(0).cast("long")
+        reads = cleaning.number(df, f.name).isNotNull() if isinstance(f.dataType, T.StringType) else F.lit(False)
+        cells.append(F.struct(F.lit(i).alias("i"), F.when(c.isNotNull(), F.xxhash64(c)).alias("h"),
+                              F.when(c.isNotNull(), second).alias("g"), reads.alias("reads")))
+    # A projection of its own, so that every cell is looked at once.
+    apart = df.select(*[c.alias(f"_c{i}") for i, c in enumerate(cells)])
+    every = F.array(*[F.col(f"_c{i}") for i in range(len(fields))])
+    values = apart.select(F.explode(every).alias("c")).groupBy("c.i", "c.h", "c.g").agg(
+        F.count(F.lit(1)).alias("n"), F.max("c.reads").alias("reads"))
+    there = F.col("h").isNotNull()
+    columns = values.groupBy("i").agg(
+        F.sum("n").alias("rows"), F.sum(F.when(there, F.col("n"))).alias("n"), F.count_if(there).alias("d"),
+        F.sum(F.when(F.col("reads"), F.col("n"))).alias("p"))
+    # One row per column of the table, as a map.
+    one = columns.agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("rows", "n", "d", "p")))).alias("m"))
+    return one.select(F.coalesce(F.col("m")[0]["rows"], F.lit(0)).alias("_rows"), *[
+        F.coalesce(F.col("m")[i][k], F.lit(0)).alias(f"_{k}{i}") for i in range(len(fields)) for k in "ndp"])
 
 
 def infer_roles(profile: DataFrame) -> DataFrame:
