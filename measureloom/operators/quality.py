@@ -373,18 +373,24 @@ def type_drift(df: DataFrame, contract: SchemaContract) -> DataFrame:
 
 
 def observed_units(df: DataFrame, measures: Sequence[Measure]) -> DataFrame:
-    """Unit columns that hold anything but the declared unit; ``value`` is the distinct count."""
-    frames = []
-    for m in measures:
-        if not m.unit_field:
-            continue
-        unit = F.trim(F.col(f"`{m.unit_field}`").cast("string"))
-        seen = df.select(unit.alias("u")).where(F.col("u") != "").groupBy("u").agg(F.lit(1))
-        one = seen.agg(F.count(F.lit(1)).alias("n"),
-                       F.coalesce(F.every(F.col("u") == m.unit), F.lit(False)).alias("same"))
-        frames.append(_emit(one, [_finding(~((F.col("n") == 1) & F.col("same")), "error",
-                                           "unit_drift", m.id, F.col("n"), 1.0)]))
-    return union(frames) if frames else no_findings(df.sparkSession)
+    """Unit columns that hold anything but the declared unit; ``value`` is the distinct count.
+
+    All unit columns are looked at in one scan, which leaves one row per measure and unit.
+    """
+    checked = [m for m in measures if m.unit_field]
+    if not checked:
+        return no_findings(df.sparkSession)
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.trim(F.col(f"`{m.unit_field}`").cast("string")).alias("u"))
+                      for i, m in enumerate(checked)])
+    seen = df.select(F.explode(cells).alias("c")).where(F.col("c.u") != "").groupBy(
+        F.col("c.i").alias("i"), F.col("c.u").alias("u")).agg(F.lit(1).alias("_one"))
+    aggs, rules = [], []
+    for i, m in enumerate(checked):
+        mine = F.col("i") == i
+        aggs += [F.count_if(mine).alias(f"n{i}"),
+                 F.coalesce(F.every(F.when(mine, F.col("u") == m.unit)), F.lit(False)).alias(f"same{i}")]
+        rules.append(_finding(~((F.col(f"n{i}") == 1) & F.col(f"same{i}")), "error", "unit_drift", m.id, F.col(f"n{i}"), 1.0))
+    return _emit(seen.agg(*aggs), rules)
 
 
 def key_duplicates(df: DataFrame, contract: SchemaContract) -> DataFrame:
