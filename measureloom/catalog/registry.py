@@ -24,7 +24,7 @@ _WINDOW = ("start", "end", "base_start", "base_end")
 DATE_COLUMNS = {
     "a01_csv_scan": ("first_day", "last_day"),
     "a01_csv_declared": ("first_day", "last_day"), "b05": ("first_day", "last_day"),
-    "c02": ("first_day", "last_day"), "c06": ("start", "end"), "c15_comparison": ("start",),
+    "c02_unread": (), "c02": ("first_day", "last_day"), "c06": ("start", "end"), "c15_comparison": ("start",),
     "d02": _WINDOW, "d03": _WINDOW, "d04": _WINDOW, "d09": ("start", "requested_end"),
     "d10": (*_WINDOW, "requested_end"), "e13_monthly": ("month",), "e15": ("month",),
     "f08": ("month",), "g11": ("month",), "g13": ("month",), "g16": ("month",),

@@ -11,7 +11,7 @@ from measureloom.catalog.registry import (
     query, r4, rows_sql, sales, table,
 )
 from measureloom.functions import calendar as cal
-from measureloom.functions import cleaning, display, labels
+from measureloom.functions import cleaning, display, labels, timeforms
 from measureloom.operators.aggregate import member_facts
 from measureloom.operators.compare import member_comparison
 from measureloom.operators.onerow import attach
@@ -102,6 +102,37 @@ def mixed_forms(spark, d):
         F.min(day).alias("first_day"), F.max(day).alias("last_day"))
 
 
+# Forms of no fixed list: weekdays and ordinals, packed times, years of two digits, quarters.
+@query("c02_free_forms", """SELECT o_orderpriority, count(*) AS rows, count(*) FILTER (WHERE o_orderpriority <> '5-LOW') AS parsed,
+  CAST(min(CASE o_orderpriority WHEN '5-LOW' THEN NULL WHEN '4-NOT SPECIFIED' THEN date_trunc('quarter', o_orderdate)
+    ELSE o_orderdate END) AS DATE) AS first_day, CAST(max(CASE o_orderpriority WHEN '5-LOW' THEN NULL
+    WHEN '4-NOT SPECIFIED' THEN date_trunc('quarter', o_orderdate) ELSE o_orderdate END) AS DATE) AS last_day,
+  max(CASE o_orderpriority WHEN '2-HIGH' THEN 15 WHEN '1-URGENT' THEN 22 WHEN '5-LOW' THEN NULL ELSE 0 END) AS hour
+FROM orders GROUP BY o_orderpriority""")
+def free_forms(spark, d):
+    fmt = lambda pattern: F.date_format("o_orderdate", pattern)
+    priority = F.col("o_orderpriority")
+    text = (F.when(priority == "1-URGENT", F.concat(fmt("EEEE, d"), F.lit("th of "), fmt("MMMM yyyy"), F.lit(" at 10 p.m.")))
+            .when(priority == "2-HIGH", F.concat(fmt("yyyyMMdd"), F.lit("1530")))
+            .when(priority == "3-MEDIUM", fmt("d-MMM-yy"))
+            .when(priority == "4-NOT SPECIFIED", F.concat(F.year("o_orderdate").cast("string"), F.lit("Q"), F.quarter("o_orderdate").cast("string")))
+            .otherwise(F.concat(fmt("d"), F.lit(" days"))))
+    typed = table(spark, d, "orders").select("o_orderpriority", text.alias("at"))
+    moment = cleaning.timestamp(typed, "at")
+    return typed.groupBy("o_orderpriority").agg(
+        F.count(F.lit(1)).alias("rows"), F.count(moment).alias("parsed"), F.min(F.to_date(moment)).alias("first_day"),
+        F.max(F.to_date(moment)).alias("last_day"), F.max(F.hour(moment)).alias("hour"))
+
+
+@query("c02_unread_forms", """SELECT CASE WHEN o_orderpriority = '5-LOW' THEN repeat('9', length(CAST(day(o_orderdate) AS VARCHAR))) || ' aaaa'
+    ELSE '9999-99-99' END AS form, count(*) AS rows, count(*) FILTER (WHERE o_orderpriority = '5-LOW') AS unread
+FROM orders GROUP BY 1""")
+def unread_forms(spark, d):
+    text = F.when(F.col("o_orderpriority") == "5-LOW", F.concat(F.date_format("o_orderdate", "d"), F.lit(" days"))).otherwise(
+        F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return timeforms.forms(table(spark, d, "orders").select(text.alias("at")), "at")
+
+
 @query("c02_instants", """WITH e AS (SELECT event_type, CAST(ts AS TIMESTAMP) + INTERVAL 8 HOUR AS moment FROM events)
 SELECT event_type, CAST(min(moment) AS DATE) AS first_day, CAST(max(moment) AS DATE) AS last_day, count(*) FILTER (
   WHERE moment >= TIMESTAMP '2024-01-15' AND moment < TIMESTAMP '2024-01-22') AS in_week FROM e GROUP BY event_type""")

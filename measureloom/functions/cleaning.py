@@ -7,17 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from measureloom.contract import NULL_MEMBER, Measure
+from measureloom.functions import timeforms
 
-# Characters dropped from text numbers, and the textual timestamp formats tried in
-# order after the ISO forms.
+# Characters dropped from text numbers.
 NUMBER_NOISE = r"[,¥￥]"
-TEXT_FORMATS = (
-    "yyyy/M/d", "yyyy/M/d H:m", "yyyy/M/d H:m:s", "yyyy.M.d", "yyyy年M月d日", "yyyy-M-d",
-    "yyyy-M-d H:m", "yyyy-M-d h:m a", "yyyy-M-d h:m:s a", "yyyy/M/d h:m a", "yyyy/M/d h:m:s a",
-    "yyyyMMdd", "M/d/yyyy", "M/d/yyyy H:m", "M/d/yyyy H:m:s", "M/d/yyyy h:m a",
-    "M/d/yyyy h:m:s a", "M-d-yyyy", "M/d/yy", "d/M/yyyy", "d-M-yyyy", "d-MMM-yyyy",
-    "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "yyyy/M", "yyyy年M月",
-)
 # An offset stands after a time of day only: in 5-Jan-2025 or 01-12-2025 the end is a year.
 OFFSET_PATTERN = r"(?i)\d:\d{2}(:\d{2}(\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})$"
 BLANK = r"[\s\x1c-\x1f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
@@ -78,14 +71,7 @@ def timestamp(df: DataFrame, name: str, timezone: str | None = None) -> Column:
             F.current_timezone(), F.lit(timezone), c.cast("timestamp_ntz")).cast("timestamp")
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         return c.cast("timestamp")
-    text = stripped(c.cast("string"))
-    parsed = [text.try_cast("timestamp")]
-    parsed += [F.try_to_timestamp(text, F.lit(fmt)) for fmt in TEXT_FORMATS]
-    instant = F.regexp_replace(text, r"([+-]\d{2})(\d{2})$", "$1:$2").try_cast("timestamp")
-    moved = F.convert_timezone(
-        None, F.lit(timezone or "UTC"), instant.cast("timestamp_ntz")
-    ).cast("timestamp")
-    return F.coalesce(F.when(text.rlike(OFFSET_PATTERN), moved), *parsed)
+    return timeforms.moment(stripped(c.cast("string")), timezone)
 
 
 def row_value(df: DataFrame, measure: Measure) -> Column:

@@ -151,3 +151,46 @@ def test_unit_names_are_no_quantities(make):
     assert roles["unit_revenue"] == roles["units"] == "measure" and roles["business_unit"] != "measure"
     kinds = {r["field"]: r["semantic_type"] for r in infer_measures(infer_roles(column_profile(df))).collect()}
     assert kinds == {"unit_revenue": "amount", "units": "quantity"}
+
+
+def test_times_in_any_form(spark):
+    """Against the reader of mixed forms of a data frame library, which knows neither CJK days nor Q1 2025."""
+    import pandas as pd
+
+    from measureloom.functions import timeforms
+
+    forms = """2025-01-05|2025-1-5 9:05|2025/1/5|2025/01/05 23:59:59|2025.1.5|20250105|202501051230|20250105123045|1/5/2025
+13/5/2025|1/5/25|31/12/99|5-Jan-2025|5 Jan 2025|Jan 5, 2025|January 5 2025 3:04 PM|Sunday, 5 January 2025|Jan 2025|2025 Jan 5
+2025-Jan-05|05-JAN-25|5th of January 2025|1/2025|2025/1|2025-01|2025|2025Q3|2025-01-05T10:00:00.123456|1/5/2025 12:00 AM
+1/5/2025 12:30 pm|1/5/2025 13:30 pm|2025-02-30|n/a 5|hello|12.5|2025-13-01|day 5|1/5/2025 10 PM|2025-01-05 10:00:61|3.4.2021
+31.12.2021|May 3, 2024|3 may 2024 10:05:06.5|2024-W05|99-01-31|Sept 4 2020|5/6|2025-1-5 9:5:3|Feb 30 2024|29 Feb 2024""".replace("\n", "|").split("|")
+    df = spark.createDataFrame(list(enumerate(forms)), "i int, f string")
+    got = dict(df.select("i", timeforms.moment(F.col("f")).cast("timestamp_ntz")).collect())
+
+    def wanted(form):
+        try:
+            found = pd.to_datetime([form], format="mixed")[0]
+        except (ValueError, OverflowError):
+            return None
+        return None if found is pd.NaT else found.to_pydatetime()
+
+    assert {f: got[i] for i, f in enumerate(forms)} == {f: wanted(f) for f in forms}
+    more = spark.createDataFrame([("2025年1月5日",), ("Q3 2025",), (None,), ("",)], "f string")
+    assert [str(r[0]) for r in more.select(timeforms.moment(F.col("f"))).collect()] == [
+        "2025-01-05 00:00:00", "2025-07-01 00:00:00", "None", "None"]
+
+
+def test_offsets_of_any_form(spark):
+    from measureloom.functions import timeforms
+
+    cases = ["2025-01-05T20:00:00Z", "2025-01-05 20:00:00+0100", "5 Jan 2025 20:00 -05:00", "2025-01-05 20:00 +08:00", "01-12-2025"]
+    df = spark.createDataFrame([(c,) for c in cases], "f string")
+    assert [str(r[0]) for r in df.select(timeforms.moment(F.col("f"), "Asia/Shanghai")).collect()] == [
+        "2025-01-06 04:00:00", "2025-01-06 03:00:00", "2025-01-06 09:00:00", "2025-01-05 20:00:00", "2025-01-12 00:00:00"]
+
+
+def test_forms_that_are_not_read_are_counted(spark):
+    from measureloom.functions import timeforms
+
+    df = spark.createDataFrame([("2025-01-05",), ("day 5",), ("day 6",), (None,)], "f string")
+    assert sorted(tuple(r) for r in timeforms.forms(df, "f").collect()) == [("9999-99-99", 1, 0), ("aaa 9", 2, 2)]
