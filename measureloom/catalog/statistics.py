@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from measureloom.catalog.comparisons import MONTHLY, ROWS, YOY, bridge, monthly, rows
 from measureloom.catalog.registry import (
-    CONTRACT, DIRECTION, RETURNS, REVENUE, SALES, TIME, lock_of, query, r4, sales,
+    CONTRACT, DIMS, DIRECTION, RETURNS, REVENUE, SALES, TIME, lock_of, query, r4, sales,
 )
 from measureloom.catalog.shapes import CUSTOMER_SUMS, customer_facts
-from measureloom.contract import Thresholds
+from measureloom.contract import TOTAL, Thresholds
 from measureloom.functions.special import two_sided_p
 from measureloom.operators import aggregate as a
 from measureloom.operators import compare as c
@@ -245,10 +245,13 @@ UNION ALL SELECT 'concentration_policy', 'customer', NULL FROM facts, (SELECT 10
       ORDER BY v DESC LIMIT 5)) / (SELECT sum(revenue) FROM scoped WHERE cur) AS top5) q
 WHERE dimension = '(total)' AND measure_id = 'revenue' AND top5 >= 1""")
 def h13(spark, d):
-    scan = s.dimension_scan(rows(spark, d), CONTRACT)
-    yoy = c.yoy_series(monthly(spark, d, by=()), ["measure_id"])
+    df = sales(spark, d)
+    facts, series = a.facts_and_series(df, CONTRACT, (*DIMS, "customer"), lock_of(df), TIME)
+    scan = s.dimension_scan(c.member_comparison(facts.where("dimension <> 'customer'"), CONTRACT), CONTRACT)
+    yoy = c.yoy_series(series.where(F.col("measure_id") == REVENUE.id), ["measure_id"])
     readings = s.trend_reading(s.mann_kendall(yoy, ["measure_id"]), CONTRACT)
-    top5 = s.top5_level(g.concentration(customer_facts(spark, d), REVENUE, "customer"), 0.5, 1)
+    buyers = facts.where((F.col("measure_id") == REVENUE.id) & F.col("dimension").isin("customer", TOTAL))
+    top5 = s.top5_level(g.concentration(buyers, REVENUE, "customer"), 0.5, 1)
     return s.problem_list(scan, readings, CONTRACT, top5).orderBy(*s.problem_order())
 
 
@@ -271,6 +274,7 @@ HAVING count(DISTINCT date_trunc('month', o_orderdate))
 UNION ALL SELECT 'pvm', 'revenue', 'OK', NULL FROM scoped
 HAVING sum(quantity) FILTER (WHERE cur) > 0 AND sum(quantity) FILTER (WHERE base) > 0""")
 def h14(spark, d):
-    series = monthly(spark, d, by=())
-    return s.method_applicability(rows(spark, d), series, bridge(spark, d, by=()), CONTRACT)
-
+    df = sales(spark, d)
+    facts, series = a.facts_and_series(df, CONTRACT, DIMS, lock_of(df), TIME)
+    rows = c.member_comparison(facts, CONTRACT)
+    return s.method_applicability(rows, series.where(F.col("measure_id") == REVENUE.id), bridge(spark, d, by=()), CONTRACT)

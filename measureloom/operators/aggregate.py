@@ -436,6 +436,44 @@ def monthly_series(df: DataFrame, measures: Sequence[Measure], time: str,
     return series.where(F.col("value").isNotNull()).select("measure_id", *shown, "month", "value")
 
 
+def facts_and_series(df: DataFrame, measures: Sequence[Measure], dims: Sequence[str], lock: Lock, time: str,
+                     timezone: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``member_facts`` of the locked scope and ``monthly_series`` of all dates, from one scan.
+
+    The months are one more grouping set next to the dimensions and the total. Its partial results
+    are written once when this is called. Measures that are not plain sums follow by plans of their own.
+    """
+    light = [m for m in measures if _kind(m, True) == "sums"]
+    heavy = [m for m in measures if m not in light]
+    facts, series = [], []
+    if light:
+        flags = [c.alias(n) for c, n in zip(side_flags(df, lock, time, timezone), (CURRENT, BASE), strict=True)]
+        rows = prepare(df, light, [*_members(dims), *flags], time, timezone).withColumn(
+            "_month", F.to_date(F.trunc(F.col(DAY), "month")))
+        values = [combine(m, m.aggregation, guard).alias(f"{side}_{m.id}") for m in light
+                  for side, guard in (("c", F.col(CURRENT)), ("b", F.col(BASE)), ("a", None))]
+        keys, name, which = _private(dims), F.lit(TOTAL), F.lit(TOTAL)
+        for d, k in zip(dims, keys, strict=True):
+            own = F.grouping(F.col(k)) == 0
+            name, which = F.when(own, F.col(k)).otherwise(name), F.when(own, F.lit(d)).otherwise(which)
+        sets = [[F.col(k)] for k in (*keys, "_month")] + [[]]
+        grouped = cut_lineage(rows.groupingSets(sets, *[F.col(k) for k in (*keys, "_month")]).agg(
+            which.alias("dimension"), name.alias("name"), (F.grouping(F.col("_month")) == 0).alias("_monthly"), *values,
+            (F.count_if(F.col(CURRENT)) > 0).alias("in_current"), (F.count_if(F.col(BASE)) > 0).alias("in_base")
+        ).drop(*keys))
+        tidy = F.explode(F.array(*[F.struct(
+            F.lit(m.id).alias("measure_id"), F.col(f"c_{m.id}").alias("current"), F.col(f"b_{m.id}").alias("baseline"),
+            F.col(f"a_{m.id}").alias("value")) for m in light])).alias("m")
+        facts.append(grouped.where("not _monthly and (in_current or in_base)").select(
+            *_AT, "in_current", "in_base", tidy).select("m.measure_id", *_AT, "m.current", "m.baseline", "in_current", "in_base"))
+        series.append(grouped.where("_monthly and _month is not null").select(F.col("_month").alias("month"), tidy).select(
+            "m.measure_id", "month", "m.value").where("value is not null"))
+    if heavy:
+        facts.append(member_facts(df, heavy, dims, lock, time, timezone))
+        series.append(monthly_series(df, heavy, time, timezone))
+    return reduce(DataFrame.unionByName, facts), reduce(DataFrame.unionByName, series)
+
+
 def period_series(df: DataFrame, measure: Measure, time: str, frequency: str,
                   timezone: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Declared aggregate per calendar period of any supported frequency."""

@@ -76,7 +76,7 @@ def build_report(df: DataFrame, contract: Contract, baseline: DataFrame | None =
                  allow_semantic_change: bool = False, write_once: bool = False) -> Report:
     """Run the whole contract. ``baseline`` is the snapshot row of an earlier run, if any.
 
-    A report reads its input about ten times. With ``write_once`` the input is written to the
+    A report reads its input about nine times. With ``write_once`` the input is written to the
     checkpoint folder first and read from there, which pays when it is more than a plain scan.
     """
     if write_once:
@@ -123,8 +123,12 @@ def build_report(df: DataFrame, contract: Contract, baseline: DataFrame | None =
 
     dims = [d for d in dict.fromkeys(
         [*roles.dimensions, roles.product, roles.customer]) if d in df.columns]
-    facts = cut_lineage(aggregate.member_facts(
-        df, measures, dims, lock, time, timezone, write_once=True))
+    series = None
+    if period:
+        facts, series = aggregate.facts_and_series(df, measures, dims, lock, time, timezone)
+        facts = cut_lineage(facts)
+    else:
+        facts = cut_lineage(aggregate.member_facts(df, measures, dims, lock, time, timezone, write_once=True))
     raw_totals = compare.total_comparison(facts, measures)
     if period:
         found.append(quality.baseline_gate(counts, raw_totals, primary, lock))
@@ -168,9 +172,8 @@ def build_report(df: DataFrame, contract: Contract, baseline: DataFrame | None =
         F.lit(None).cast("double").alias("value"), F.lit(None).cast("double").alias("threshold")))
     findings = quality.union([early, *late])
 
-    series = matrix = pvm = concentration = None
+    matrix = pvm = concentration = None
     if period:
-        series = aggregate.monthly_series(df, measures, time, timezone)
         if lock.comparison_type == "year_over_year":
             matrix = aggregate.year_month_matrix(df, primary, lock, time, timezone)
         volume = next((m for m in measures if m.semantic_type == "quantity"
