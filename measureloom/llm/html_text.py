@@ -4,8 +4,11 @@ Every node of the page gets a density: characters per tag, adjusted for how many
 links, against the link share of the whole body. The densities of its children add up to the density
 sum of a node, and the subtree with the largest sum holds the article. The smallest density on the
 path from it up to the body is the threshold for further parts: nodes at or above it are searched in
-the same way. Navigation, notices, forms and the like are taken out of the tree before, by element,
-role and naming; what the tree then selects is widened to the article element around it.
+the same way. Navigation, notices, forms and the like are taken out of the tree before, by element, role
+and naming; a name only hints, and yields where its element holds most of the page's text and no article
+element lies beside it. Where the
+subtree of the largest sum lies in an article element, the chosen parts are widened to those elements.
+Every step takes time in proportion to the page.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -51,34 +55,43 @@ OUTSIDE_NAMES = frozenset(
     "pagination paywall popup popups promo promos promotion promotions recommended recommendations related "
     "replies respond share shares sharebar sharing sidebar sidebars signup skyscraper social sponsor sponsored "
     "sponsors subscribe subscription subscriptions taboola toolbar topbar widget widgets".split())
-HEADER = frozenset("header page-header site-header".split())
+#: Names that do not yield: comments may well be longer than the article, and nothing else has these names.
+FIRM_NAMES = frozenset("ad ads adsense advert adverts advertisement advertisements advertising comment comments commentlist "
+                       "disqus outbrain replies respond skyscraper sponsor sponsored sponsors taboola".split())
+#: Share of the page's text that an element with a telling name has to hold to be kept, and the share
+#: of its text in links that it must not reach.
+MOST, LINKED = 2 / 3, 1 / 3
 CONTAINERS = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "outside", "chars", "tags", "link_chars", "link_tags", "density", "total",
-                 "in_article", "in_header")
+    __slots__ = ("tag", "parent", "children", "outside", "hinted", "chars", "tags", "link_chars", "link_tags", "density",
+                 "total", "best", "container", "articles", "in_header", "in_link")
 
     def __init__(self, tag: str, parent: Node | None):
         self.tag, self.parent, self.children = tag, parent, []
         self.outside = parent is not None and parent.outside
-        self.in_article = tag in CONTAINERS or (parent is not None and parent.in_article)
+        self.hinted = False
+        self.container = self if tag in CONTAINERS else parent.container if parent is not None else None
         self.in_header = parent is not None and parent.in_header
+        self.in_link = tag == "a" or (parent is not None and parent.in_link)
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
+        self.articles = 0
+        self.best = self
 
 
 def _is_outside(node: Node, attrs: str) -> bool:
-    """Whether an element, by itself, is beside the article."""
+    """Whether an element, by itself, is beside the article; a telling name is noted as a hint."""
     tag = node.tag
     if tag in ("html", "body") or tag in CONTAINERS:
         return False
     if tag in OUTSIDE:
         return True
     if tag == "header":
-        if not node.in_article:
+        if node.container is None:
             return True
         node.in_header = True
     if not attrs or "=" not in attrs:
@@ -89,8 +102,10 @@ def _is_outside(node: Node, attrs: str) -> bool:
             return True
         if name in ("class", "id"):
             words = {w.lower() for w in NAME.findall(value)}
-            if words & OUTSIDE_NAMES or ("header" in words and not node.in_article and tag not in HEADINGS):
+            if words & FIRM_NAMES:
                 return True
+            if words & OUTSIDE_NAMES or ("header" in words and node.container is None and tag not in HEADINGS):
+                node.hinted = True
     return False
 
 
@@ -100,6 +115,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, Node, str]]]:
     nodes, texts, stack = [root], [], [root]
     at, n = 0, len(page)
     blocks = [root]  # the block node of every open element
+    opened = Counter()  # how many elements of a tag are open
 
     def text(raw: str) -> None:
         if raw and not stack[-1].outside:
@@ -119,17 +135,15 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, Node, str]]]:
         if m["end"]:
             if tag in ("body", "html"):
                 continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:], blocks[k:]
-                    break
+            if opened[tag]:
+                _close(stack, blocks, opened, {tag}, set())
             continue
         if tag == "html":
             continue
         if tag in BLOCK:
-            _close(stack, blocks, {"p"}, {"button", "table", "object"})
+            _close(stack, blocks, opened, {"p"}, {"button", "table", "object"})
         if tag in ENDS:
-            _close(stack, blocks, *ENDS[tag])
+            _close(stack, blocks, opened, *ENDS[tag])
         if tag == "body":
             continue
         node = Node(tag, stack[-1])
@@ -149,29 +163,33 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, Node, str]]]:
             at = end.end() if end else n
             continue
         stack.append(node)
+        opened[tag] += 1
         blocks.append(node if tag in BLOCK else blocks[-1])
     return nodes, texts
 
 
-def _close(stack: list[Node], blocks: list[Node], ended: set[str], within: set[str]) -> None:
+def _close(stack: list[Node], blocks: list[Node], opened: Counter, ended: set[str], within: set[str]) -> None:
+    """End the innermost open element of the tags, unless one of the containers is nearer."""
+    if not any(opened[t] for t in ended):
+        return
     for k in range(len(stack) - 1, 0, -1):
         if stack[k].tag in ended:
+            for node in stack[k:]:
+                opened[node.tag] -= 1
             del stack[k:], blocks[k:]
             return
         if stack[k].tag in within:
             return
 
 
-def measure(nodes: list[Node], texts: list[tuple[Node, Node, str]]) -> None:
-    """Characters, tags, densities and density sums of every node."""
+def _summed(nodes: list[Node], texts: list[tuple[Node, Node, str]]) -> None:
+    """Characters and tags of every subtree, and how many of both belong to links."""
+    for node in nodes:
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
     for node, _, raw in texts:
         size = len("".join(raw.split()))
         node.chars += size
-        up = node
-        while up is not None and up.tag != "a":
-            up = up.parent
-        if up is not None:
-            node.link_chars += size
+        node.link_chars += size if node.in_link else 0
     for node in reversed(nodes):
         up = node.parent
         if up is not None and not node.outside:
@@ -179,33 +197,58 @@ def measure(nodes: list[Node], texts: list[tuple[Node, Node, str]]) -> None:
             up.tags += node.tags + 1
             up.link_chars += node.link_chars
             up.link_tags += node.link_tags + (node.tag == "a")
+
+
+def settle(nodes: list[Node], texts: list[tuple[Node, Node, str]]) -> list[tuple[Node, Node, str]]:
+    """Follow the hints of names.
+
+    Their elements are outside, unless they hold most of the page's text, little of it in links, and no
+    article element with text lies beside them.
+    """
+    _summed(nodes, texts)
+    whole = nodes[0].chars
+    hinted = any(node.hinted and not node.outside for node in nodes)
+    if not hinted:
+        return texts
+    for node in reversed(nodes):
+        outermost = node.container is node and (node.parent is None or node.parent.container is None)
+        if outermost and node.chars and not node.outside:
+            node.articles = 1
+        if node.parent is not None:
+            node.parent.articles += node.articles
+    for node in nodes:
+        if node.parent is not None and node.parent.outside:
+            node.outside = True
+        elif node.hinted:
+            beside = nodes[0].articles - node.articles - (node.container is not None and node.container is not node)
+            node.outside = node.chars < MOST * whole or node.link_chars > LINKED * node.chars or beside > 0
+    texts = [t for t in texts if not t[0].outside]
+    _summed(nodes, texts)
+    return texts
+
+
+def measure(nodes: list[Node]) -> None:
+    """Densities and density sums of every node, and the node of the largest sum in every subtree."""
     body = nodes[0]
     share = body.link_chars / body.chars if body.chars else 0.0
     for node in reversed(nodes):
-        if node.outside or not node.chars:
-            continue
-        c, t = node.chars, node.tags or 1
-        lc, lt = node.link_chars or 1, node.link_tags or 1
-        base = math.log(c / ((c - node.link_chars) or 1) * node.link_chars + share * c + math.e)
-        node.density = c / t * math.log(max(c / lc * t / lt, 1.0)) / math.log(max(base, 1.0001))
-        if node.parent is not None:
-            node.parent.total += node.density
-
-
-def _best(node: Node) -> Node:
-    """The node of the largest density sum in a subtree; the first of equals."""
-    best, todo = node, [node]
-    while todo:
-        x = todo.pop()
-        if x.total > best.total:
-            best = x
-        todo += [c for c in reversed(x.children) if not c.outside]
-    return best
+        if not node.outside and node.chars:
+            c, t = node.chars, node.tags or 1
+            lc, lt = node.link_chars or 1, node.link_tags or 1
+            base = math.log(c / ((c - node.link_chars) or 1) * node.link_chars + share * c + math.e)
+            node.density = c / t * math.log(max(c / lc * t / lt, 1.0)) / math.log(max(base, 1.0001))
+            if node.parent is not None:
+                node.parent.total += node.density
+    for node in reversed(nodes):
+        # Children come first here; the first of equal sums in page order wins.
+        for child in node.children:
+            if not child.outside and child.best.total > node.best.total:
+                node.best = child.best
 
 
 def select(body: Node) -> list[Node]:
     """Roots of the chosen subtrees: the best one, and further parts at or above the path's threshold."""
-    target = _best(body)
+    target = body.best
     threshold, up = target.density, target
     while up is not body and up is not None:
         threshold = min(threshold, up.density)
@@ -215,16 +258,11 @@ def select(body: Node) -> list[Node]:
         x = todo.pop()
         if not x.chars or (x is not body and x.density < threshold):
             continue
-        chosen.append(_best(x) if x.children else x)
+        chosen.append(x.best)
         todo += [c for c in x.children if not c.outside]
-    widest = []
-    for x in chosen:
-        up = x
-        while up is not None and up.tag not in CONTAINERS:
-            up = up.parent
-        widest.append(up or x)
-    articles = [x for x in widest if x.tag in CONTAINERS]
-    return articles or widest
+    if target.container is None:
+        return [x.container or x for x in chosen]
+    return [x.container for x in chosen if x.container is not None]
 
 
 def main_text(page: str | None) -> str:
@@ -232,7 +270,8 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     nodes, texts = parse(page)
-    measure(nodes, texts)
+    texts = settle(nodes, texts)
+    measure(nodes)
     roots = {id(x) for x in select(nodes[0])}
     inside = {}
     for node in nodes:
