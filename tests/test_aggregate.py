@@ -247,3 +247,26 @@ def test_quantiles_move_counters_and_not_values(spark, tmp_path):
     spark.range(20_000).selectExpr("id / 7 as v").write.parquet(path + "2")
     df = spark.read.parquet(path + "2")
     assert rows_read(spark, lambda: exact_quantiles(df, [], "v", {"m": 0.5}).collect()) == 40_000
+
+
+def test_facts_and_series_from_one_scan(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(D(2024 + rng.randrange(2), rng.randrange(1, 13), 5), rng.choice(["n", "s", None]), rng.choice([None, rng.uniform(-9, 9)]))
+            for _ in range(400)] + [(None, "n", 5.0)]
+    path = str(tmp_path / "t.parquet")
+    spark.createDataFrame(rows, "d date, k string, v double").write.parquet(path)
+    df = spark.read.parquet(path)
+    lock = s.resolve(df, Scope(period="2025Q1", comparison="yoy", data_as_of="2025-03-31", comparison_as_of="2024-03-31"), "d")
+    for measures in ([Measure("v", "v"), Measure("m", "v", "mean")], [Measure("v", "v"), Measure("mid", "v", "median")]):
+        found = []
+        read = rows_read(spark, lambda measures=measures, found=found: found.extend(
+            sorted(map(str, f.select(sorted(f.columns)).collect())) for f in a.facts_and_series(df, measures, ["k"], lock, "d")))
+        if all(m.aggregation != "median" for m in measures):
+            assert read == len(rows)
+        plain = (a.member_facts(df, measures, ["k"], lock, "d"), a.monthly_series(df, measures, "d"))
+        assert [len(mine) for mine in found] == [wanted.count() for wanted in plain]
+    facts, series = a.facts_and_series(df, [Measure("v", "v")], ["k"], lock, "d")
+    total = facts.where(F.col("dimension") == TOTAL).head()
+    assert total["current"] == pytest.approx(sum(r[2] for r in rows if r[0] and r[0].year == 2025 and r[0].month <= 3 and r[2] is not None))
+    for r in series.collect():
+        assert r["value"] == pytest.approx(sum(x[2] for x in rows if x[0] and x[0].replace(day=1) == r["month"] and x[2] is not None))

@@ -194,3 +194,17 @@ def test_forms_that_are_not_read_are_counted(spark):
 
     df = spark.createDataFrame([("2025-01-05",), ("day 5",), ("day 6",), (None,)], "f string")
     assert sorted(tuple(r) for r in timeforms.forms(df, "f").collect()) == [("9999-99-99", 1, 0), ("aaa 9", 2, 2)]
+
+
+def test_exact_distinct_counts_of_awkward_columns(spark):
+    from decimal import Decimal
+
+    from measureloom.operators.profiling import column_profile
+
+    rows = [(0.0, "a", Decimal("1.5"), True, None, "1,000"), (-0.0, "A", Decimal("1.5"), True, None, "n/a"),
+            (float("nan"), "a ", Decimal("2"), False, None, "(3)"), (1.0, "", None, None, None, "¥ 7"), (1.0, None, None, None, None, "8")]
+    df = spark.createDataFrame(rows, "v double, t string, d decimal(30,2), b boolean, n string, money string")
+    got = {r["column"]: (r["rows"], r["null_pct"], r["distinct_count"], r["numeric"]) for r in column_profile(df).collect()}
+    assert got == {"v": (5, 20.0, 2, True), "t": (5, 20.0, 4, False), "d": (5, 40.0, 2, True), "b": (5, 40.0, 2, False),
+                   "n": (5, 100.0, 0, False), "money": (5, 0.0, 5, False)}
+    assert column_profile(df.limit(0)).where("rows = 0 and distinct_count = 0").count() == 6
