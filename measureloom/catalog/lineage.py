@@ -17,13 +17,13 @@ _CONTRACT = SchemaContract("one row per order line", (), {
     "revenue": FieldSpec(required=True, type="number", unit="currency", aggregation="sum")})
 
 
-# Doubles are written by every engine in its own way, decimals by all alike.
-_EXACT = {c: "decimal(18,4)" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")}
+# Doubles are written by every engine in its own way, whole ten-thousandths by all alike.
+_EXACT = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 _LINE_CELLS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *_EXACT, "l_returnflag", "l_linestatus", "l_shipdate")
 
 
 def _cell_sql(column: str) -> str:
-    text = f"CAST({f'CAST({column} AS {_EXACT[column]})' if column in _EXACT else column} AS VARCHAR)"
+    text = f"CAST({f'CAST(floor({column} * 10000 + 0.5) AS BIGINT)' if column in _EXACT else column} AS VARCHAR)"
     return f"coalesce(length({text}) || ':' || {text}, '-')" if column in ("l_returnflag", "l_linestatus") else f"coalesce({text}, '-')"
 
 
@@ -33,7 +33,7 @@ SELECT count(*) AS rows, sha256(concat_ws('|', count(*), sum((a >> 40) & 1048575
   sum(a & 1048575), sum((b >> 40) & 1048575), sum((b >> 20) & 1048575), sum(b & 1048575))) AS result_sha256 FROM h""")
 def k02(spark, d):
     return k.content_fingerprint(table(spark, d, "lineitem").select(
-        *[F.col(c).cast(_EXACT[c]) if c in _EXACT else F.col(c) for c in _LINE_CELLS]))
+        *[F.floor(F.col(c) * 10000 + 0.5).cast("bigint").alias(c) if c in _EXACT else F.col(c) for c in _LINE_CELLS]))
 
 
 @query("k02_order_free", """SELECT count(*) AS rows, true AS same_when_reordered,

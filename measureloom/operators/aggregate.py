@@ -306,14 +306,13 @@ def _second_scan(rows: DataFrame, dims: Sequence[str], measures: Sequence[Measur
                       _low=(F.col("_lowc"), F.col("_lowb")), _high=(F.col("_highc"), F.col("_highb"))).where("_n > 0")
         hits = cut_lineage(q.located(mine.drop("_key"), by, [0.5]))
         found = q.known_values(hits, by)
-        is_open = not hits.where(F.size("_ranks") > 0).isEmpty()
+        count, few = q.sent(hits, [*_AT, _MARK])
+        is_open = count > 0
     if distinct or is_open:
         read = [_mark(i, q.bucket(_value_of(m)), _value_of(m)) for i, m in medians.items() if is_open]
         read += [_mark(i, F.lit(0), _value_of(m)) for i, m in distinct.items()]
         flat = _exploded(rows, dims, read).where(F.col(_VALUE).isNotNull()).withColumn("_b", F.col("_key").cast("int"))
-        if is_open:
-            few = q.sent(hits, [*_AT, _MARK])
-        if few is not None:
+        if is_open and few is not None:
             flat = flat.join(few.withColumn("_hit", F.lit(True)), [*_AT, _MARK, "_b"], "left").where(
                 F.col("_hit") | F.col(_MARK).isin(list(distinct)))
         pairs = cut_lineage(flat.groupBy(*_AT, _MARK, "_b", _VALUE).agg(

@@ -42,7 +42,8 @@ def content_fingerprint(df: DataFrame) -> DataFrame:
     cells = [_cell_text(f) for f in df.schema.fields]
     digest = F.md5(F.concat_ws("|", *cells))
     half = lambda at: F.conv(F.substring("d", at, 15), 16, 10).cast("bigint")
-    halves = df.select(digest.alias("d")).select(half(1).alias("a"), half(16).alias("b"))
+    # The generator keeps the digest from being worked out anew for every word.
+    halves = df.select(F.explode(F.array(digest)).alias("d")).select(half(1).alias("a"), half(16).alias("b"))
     mask = F.lit((1 << _WORD_BITS) - 1)
     words = [F.coalesce(F.sum(F.shiftright(c, shift).bitwiseAND(mask)), F.lit(0)).alias(f"{c}{shift}")
              for c in "ab" for shift in (40, 20, 0)]

@@ -86,10 +86,11 @@ def located(counters: DataFrame, by: Sequence[str], probs: Sequence[float]) -> D
 MAX_SENT = 200_000
 
 
-def sent(hits: DataFrame, by: Sequence[str]) -> DataFrame | None:
-    """The open buckets (by, _b) marked for broadcast, or nothing if they are more than MAX_SENT."""
+def sent(hits: DataFrame, by: Sequence[str]) -> tuple[int, DataFrame | None]:
+    """How many buckets are open, and the buckets (by, _b) marked for broadcast if MAX_SENT at most."""
     wanted = hits.where(F.size("_ranks") > 0).select(*by, "_b").distinct()
-    return F.broadcast(wanted) if wanted.count() <= MAX_SENT else None
+    count = wanted.count()
+    return count, F.broadcast(wanted) if count <= MAX_SENT else None
 
 
 def open_values(pairs: DataFrame, by: Sequence[str], hits: DataFrame) -> DataFrame:
@@ -134,8 +135,8 @@ def values_at(counters: DataFrame, rows: DataFrame, by: Sequence[str], probs: di
     """
     hits = cut_lineage(located(counters, by, list(probs.values())))
     found = known_values(hits, by)
-    if not hits.where(F.size("_ranks") > 0).isEmpty():
-        few = sent(hits, by)
+    count, few = sent(hits, by)
+    if count:
         rows = rows if few is None else rows.join(few, [*by, "_b"], "left_semi")
         pairs = rows.groupBy(*by, "_b", "_v").agg(F.count(F.lit(1)).alias("_c"))
         found = found.unionByName(open_values(pairs, by, hits))
