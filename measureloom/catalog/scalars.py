@@ -12,6 +12,7 @@ from measureloom.catalog.registry import (
 )
 from measureloom.functions import calendar as cal
 from measureloom.functions import cleaning, display, labels, timeforms
+from measureloom.functions.sums import steady_sum
 from measureloom.operators.aggregate import member_facts
 from measureloom.operators.compare import member_comparison
 from measureloom.operators.onerow import attach
@@ -310,8 +311,8 @@ SELECT o_custkey, CASE WHEN v < 0 THEN '-' ELSE '' END || CASE
   ELSE format('{:,.0f}', floor(abs(v) + 0.5)) END AS shown FROM b""")
 def format_magnitude(spark, d):
     orders = table(spark, d, "orders")
-    per = orders.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("v"))
-    whole = orders.agg(F.sum("o_totalprice").alias("t")).select(F.explode(F.array(
+    per = orders.groupBy("o_custkey").agg(steady_sum(F.col("o_totalprice")).alias("v"))
+    whole = orders.agg(steady_sum(F.col("o_totalprice")).alias("t")).select(F.explode(F.array(
         F.struct(F.lit(-1).cast("bigint").alias("o_custkey"), F.col("t").alias("v")),
         F.struct(F.lit(-2).cast("bigint").alias("o_custkey"), (-F.col("t") / 1000).alias("v")))
     ).alias("s")).select("s.*")

@@ -56,18 +56,22 @@ def format_metric(value: Column, fmt: Column, precision: Column | None = None) -
 
 
 def format_magnitude(value: Column) -> Column:
-    """Amounts in 亿 from 1e8, in 万 from 1e4 (no decimals from 1e7), plain below."""
+    """Amounts in 亿 from 1e8, in 万 from 1e4 (no decimals from 1e7), plain below.
+
+    亿 shows the stored double as it is, so 1.15, stored a little below, becomes 1.1; an exact half
+    goes to the even digit. Elsewhere halves go away from zero.
+    """
     size = F.abs(value)
     shown = (
-        F.when(size >= 1e8, F.concat(_fixed1(size / 1e8), F.lit("亿")))
+        F.when(size >= 1e8, F.concat(_bare(F.format_number(size / 1e8, 1)), F.lit("亿")))
         .when(size >= 1e7, F.concat(F.format_number(F.floor(size / 1e4 + 0.5), 0), F.lit("万")))
-        .when(size >= 1e4, F.concat(_fixed1(size / 1e4), F.lit("万")))
+        .when(size >= 1e4, F.concat(_bare(F.format_number(F.round(size / 1e4, 1), 1)), F.lit("万")))
         .otherwise(F.format_number(F.floor(size + 0.5), 0)))
     return F.when(value.isNotNull(), F.concat(F.when(value < 0, "-").otherwise(""), shown))
 
 
-def _fixed1(c: Column) -> Column:
-    return F.regexp_replace(F.format_number(F.round(c, 1), 1), ",", "")
+def _bare(shown: Column) -> Column:
+    return F.replace(shown, F.lit(","), F.lit(""))
 
 
 def parse_shown(text: Column) -> Column:

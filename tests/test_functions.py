@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from measureloom.functions import cleaning, display, labels
 from measureloom.functions.special import two_sided_p
+from measureloom.functions.sums import steady_sum
 
 
 @pytest.mark.parametrize("text, value", [
@@ -208,3 +209,37 @@ def test_exact_distinct_counts_of_awkward_columns(spark):
     assert got == {"v": (5, 20.0, 2, True), "t": (5, 20.0, 4, False), "d": (5, 40.0, 2, True), "b": (5, 40.0, 2, False),
                    "n": (5, 100.0, 0, False), "money": (5, 0.0, 5, False)}
     assert column_profile(df.limit(0)).where("rows = 0 and distinct_count = 0").count() == 6
+
+
+@pytest.mark.parametrize("value, shown", [(1.15e8, "1.1亿"), (-1.25e8, "-1.2亿"), (1.35e8, "1.4亿")])
+def test_magnitude_shows_the_stored_double_from_a_hundred_million(make, value, shown):
+    df = make("v double", [(value,)])
+    assert df.select(display.format_magnitude(F.col("v"))).head()[0] == shown
+
+
+PRICES = [2088.66, 2602.81, 2119.23, 1935.79, 261.26, 323.55, 2168.7]
+
+
+def test_sums_of_equal_values_are_equal(make):
+    df = make("k string, v double", [("a", v) for v in PRICES] + [("b", v) for v in sorted(PRICES)]).coalesce(1)
+    got = {r["k"]: r for r in df.groupBy("k").agg(steady_sum(F.col("v")).alias("s"), F.sum("v").alias("p")).collect()}
+    assert got["a"]["s"] == got["b"]["s"] == 11500.0 != got["a"]["p"]
+
+
+@pytest.mark.parametrize("values, total", [
+    ([None, None], None), ([], None), ([None, 2.5], 2.5), ([1e-300, 2e-300], 3e-300), ([1e300, -1e300, 1.0], 1.0),
+    ([0.1 + 0.2], 0.1 + 0.2), ([-12345.678900000001], -12345.678900000001), ([float("inf"), 1.0], math.inf),
+    ([2.0 ** 53, 0.25], 2.0 ** 53), ([0.00005, 0.49995], 0.5),
+])
+def test_steady_sums_of_any_size(make, values, total):
+    got = make("v double", [(v,) for v in values]).agg(steady_sum(F.col("v"))).head()[0]
+    assert got == (None if total is None else pytest.approx(total, rel=1e-15))
+
+
+def test_magnitudes_of_exact_halves_in_any_order(spark, make, tmp_path):
+    from measureloom.catalog import QUERIES
+
+    rows = [(1, v) for v in PRICES] + [(2, v) for v in sorted(PRICES)]
+    make("o_custkey bigint, o_totalprice double", rows).coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r["o_custkey"]: r["shown"] for r in QUERIES["c12_format_magnitude"](spark, str(tmp_path)).collect()}
+    assert got[1] == got[2] == "1.2万"
