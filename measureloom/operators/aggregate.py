@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from measureloom.contract import TOTAL, Measure
 from measureloom.functions import calendar as cal
 from measureloom.functions import cleaning
+from measureloom.functions.sums import steady_sum
 from measureloom.operators.onerow import attach
 from measureloom.operators import quantiles as q
 from measureloom.operators.quantiles import exact_quantiles
@@ -72,9 +73,9 @@ def combine(measure: Measure, how: str, guard: Column | None = None) -> Column:
         return F.when(reduce(lambda a, b: a & b, tests), value) if tests else value
 
     if how == "sum":
-        return F.sum(only(n["value"]))
+        return steady_sum(only(n["value"]))
     if how == "mean":
-        return F.avg(only(n["value"]))
+        return steady_sum(only(n["value"])) / F.count(only(n["value"]))
     if how == "min":
         return F.min(only(n["value"]))
     if how == "max":
@@ -84,11 +85,11 @@ def combine(measure: Measure, how: str, guard: Column | None = None) -> Column:
         return F.when(seen > 0, F.count(only(n["value"])).cast("double"))
     if how == "weighted_mean":
         usable = n["value"].isNotNull() & (n["weight"] > 0)
-        return (F.sum(only(n["value"] * n["weight"], usable))
-                / F.sum(only(n["weight"], usable)))
+        return (steady_sum(only(n["value"] * n["weight"], usable))
+                / steady_sum(only(n["weight"], usable)))
     if how == "ratio":
         usable = n["top"].isNotNull() & (n["bottom"] > 0)
-        value = F.sum(only(n["top"], usable)) / F.sum(only(n["bottom"], usable))
+        value = steady_sum(only(n["top"], usable)) / steady_sum(only(n["bottom"], usable))
         return value * 100 if measure.unit == "percent" else value
     raise ValueError(f"{how!r} is not combined from partial aggregates")
 
@@ -114,7 +115,7 @@ def across_days(daily: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """
     v = F.col("value")
     rule = {
-        "sum": F.sum(v), "mean": F.avg(v), "min": F.min(v), "max": F.max(v),
+        "sum": steady_sum(v), "mean": steady_sum(v) / F.count(v), "min": F.min(v), "max": F.max(v),
         "median": F.median(v),
         "ending": F.max_by(v, F.when(v.isNotNull(), F.col(DAY))),
         "last_non_null": F.max_by(v, F.when(v.isNotNull(), F.col(DAY))),

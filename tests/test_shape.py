@@ -1,11 +1,14 @@
+import datetime as dt
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from measureloom.contract import Measure
+from measureloom.contract import Measure, Scope
+from measureloom.operators import aggregate as a
 from measureloom.operators import shape as g
 from measureloom.operators.ordering import ranked
+from measureloom.operators.scope import resolve
 
 ROWS = ("measure_id string, dimension string, name string, current double, baseline double, "
         "in_current boolean, in_base boolean")
@@ -103,3 +106,47 @@ def test_headlines_start_with_the_primary_measure(make):
 def test_heat_of_equal_cells(make):
     df = make("k string, value double", [("a", 3.0), ("b", 3.0)])
     assert {r["ratio"] for r in g.heat_table(df).collect()} == {0.5}
+
+
+PRICES = [2088.66, 2602.81, 2119.23, 1935.79, 261.26, 323.55, 2168.7]
+
+
+@pytest.fixture(scope="module")
+def equal_customers(spark, tmp_path_factory):
+    """Customers with the same order lines, each met in another order."""
+    d = str(tmp_path_factory.mktemp("equal"))
+    day = dt.datetime(2000, 3, 1)
+    rng, keys = random.Random(3), range(11, 51)
+    lines = [(k, v) for k in keys for v in rng.sample(PRICES, len(PRICES))]
+    tables = {
+        "region": ("r_regionkey int, r_name string", [(0, "ASIA")]),
+        "nation": ("n_nationkey int, n_name string, n_regionkey int", [(0, "INDIA", 0)]),
+        "customer": ("c_custkey bigint, c_nationkey int, c_mktsegment string", [(k, 0, "X") for k in keys]),
+        "part": ("p_partkey bigint, p_brand string, p_type string", [(1, "b", "t")]),
+        "orders": ("o_orderkey bigint, o_custkey bigint, o_orderdate timestamp", [(k, k, day) for k in keys]),
+        "lineitem": ("l_orderkey bigint, l_partkey bigint, l_quantity double, l_extendedprice double, "
+                     "l_discount double, l_returnflag string", [(k, 1, 1.0, v, 0.0, "N") for k, v in lines]),
+    }
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{d}/{name}.parquet")
+    return d
+
+
+@pytest.mark.parametrize("name", ["g01_customer_rank"])
+def test_customers_of_equal_revenue_rank_by_name(spark, equal_customers, name):
+    from measureloom.catalog import QUERIES
+
+    got = QUERIES[name](spark, equal_customers).orderBy("rank").collect()
+    assert [(r["name"], r["rank"]) for r in got] == [(str(k), i) for i, k in enumerate(range(11, 51), 1)]
+    if name == "g05_pareto_curve":
+        assert [(r["value"], r["cumulative_pct"]) for r in got] == [(11500.0, 2.5 * i) for i in range(1, 41)]
+
+
+@pytest.mark.parametrize("how", ["sum", "mean", "weighted_mean"])
+def test_equal_members_tie_in_every_sum(make, how):
+    rows = [("a", v, 3.7) for v in PRICES] + [("b", v, 3.7) for v in sorted(PRICES)]
+    m = Measure("m", "v", how, weight_field="w" if how == "weighted_mean" else None)
+    df = make("k string, v double, w double", rows).coalesce(1)
+    lock = resolve(df, Scope(mode="snapshot"), None)
+    got = {r["name"]: r["current"] for r in a.member_facts(df, [m], ["k"], lock, None).collect()}
+    assert got["a"] == got["b"]
