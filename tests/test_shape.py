@@ -132,7 +132,7 @@ def equal_customers(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["g01_customer_rank"])
+@pytest.mark.parametrize("name", ["g01_customer_rank", "g05_pareto_curve"])
 def test_customers_of_equal_revenue_rank_by_name(spark, equal_customers, name):
     from measureloom.catalog import QUERIES
 
