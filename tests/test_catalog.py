@@ -45,3 +45,17 @@ def test_entry_runs(spark):
 
     df = entry.entry(spark)
     assert df.count() == 5 and "contribution_pp" in df.columns
+
+
+def test_result_diff_reads_one_run(spark, monkeypatch):
+    """Facts that come out anew whenever they are computed are compared as one run left them."""
+    from pyspark.sql import functions as F
+
+    from measureloom.catalog import comparisons
+
+    anew = F.udf(lambda: float(int.from_bytes(os.urandom(4), "big")), "double").asNondeterministic()
+    run = spark.range(1).select(F.lit("revenue").alias("measure_id"), F.lit("(total)").alias("dimension"),
+                                (anew() + 1).alias("current"), (anew() + 1).alias("baseline"))
+    monkeypatch.setattr(comparisons, "facts", lambda *args: run)
+    got = {(r["kind"], r["changes"]) for r in QUERIES["f12_result_diff"](spark, "").collect()}
+    assert got == {("changed", 1), ("added", 1), ("removed", 1)}
