@@ -18,10 +18,19 @@ def steady_sum(value: Column) -> Column:
     exact sum. Rests are summed as they are, far below the last digit of such a sum. Beyond 2^53,
     and for values below a ten-thousandth, this rounds like a plain sum.
     """
+    return joined(*[F.sum(piece) for piece in pieces(value)])
+
+
+def pieces(value: Column) -> tuple[Column, Column, Column]:
+    """Whole, ten-thousandths and rest of a value; their sums may be summed again in any groups."""
     small = F.abs(value) < _WHOLE
     whole = F.when(small, F.rint(value)).otherwise(value)
     part = F.when(small, F.rint((value - F.rint(value)) * _PARTS)).otherwise(0.0)
     rest = F.when(small, value - (F.rint(value) + part / _PARTS)).otherwise(0.0)
-    parts = F.sum(part)
+    return whole, part, rest
+
+
+def joined(wholes: Column, parts: Column, rests: Column) -> Column:
+    """The sum of values from the sums of their pieces."""
     carry = F.rint(parts / _PARTS)
-    return (F.sum(whole) + carry) + (parts - carry * _PARTS) / _PARTS + F.sum(rest)
+    return (wholes + carry) + (parts - carry * _PARTS) / _PARTS + rests

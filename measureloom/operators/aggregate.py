@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from measureloom.contract import TOTAL, Measure
 from measureloom.functions import calendar as cal
 from measureloom.functions import cleaning
+from measureloom.functions import sums
 from measureloom.functions.sums import steady_sum
 from measureloom.operators.onerow import attach
 from measureloom.operators import quantiles as q
@@ -436,12 +437,58 @@ def monthly_series(df: DataFrame, measures: Sequence[Measure], time: str,
     return series.where(F.col("value").isNotNull()).select("measure_id", *shown, "month", "value")
 
 
+def _terms(measure: Measure) -> list[Column]:
+    """Columns whose sums make a combined measure; none for extremes."""
+    n = {part: F.col(name) for part, name in _cols(measure).items()}
+    one = F.when(n["value"].isNotNull(), 1.0)
+    weighed = n["value"].isNotNull() & (n["weight"] > 0)
+    divided = n["top"].isNotNull() & (n["bottom"] > 0)
+    return {
+        "sum": lambda: [n["value"]], "mean": lambda: [n["value"], one], "count": lambda: [one],
+        "weighted_mean": lambda: [F.when(weighed, n["value"] * n["weight"]), F.when(weighed, n["weight"])],
+        "ratio": lambda: [F.when(divided, n["top"]), F.when(divided, n["bottom"])],
+        "min": lambda: [], "max": lambda: []}[measure.aggregation]()
+
+
+def _crossed(rows: DataFrame, measures: Sequence[Measure], keys: Sequence[str]) -> DataFrame:
+    """Pieces of sums and extremes of all combinations of the keys, to be grouped further by ``_merged``."""
+    held = [F.count(F.lit(1)).alias("_n")]
+    for i, m in enumerate(measures):
+        if m.aggregation in ("min", "max"):
+            held.append(getattr(F, m.aggregation)(F.col(_cols(m)["value"])).alias(f"_x{i}"))
+        for j, term in enumerate(_terms(m)):
+            held += [F.sum(piece).alias(f"_s{i}_{j}_{k}") for k, piece in enumerate(sums.pieces(term))]
+    return rows.groupBy(*keys).agg(*held)
+
+
+def _merged(measure: Measure, i: int, guard: Column | None) -> Column:
+    """``combine`` over the rows of ``_crossed``, where the measure is the ``i``-th."""
+    def only(name: str) -> Column:
+        return F.col(name) if guard is None else F.when(guard, F.col(name))
+
+    if measure.aggregation in ("min", "max"):
+        return getattr(F, measure.aggregation)(only(f"_x{i}"))
+    total = [sums.joined(*[F.sum(only(f"_s{i}_{j}_{k}")) for k in range(3)]) for j in range(len(_terms(measure)))]
+    if measure.aggregation == "count":
+        return F.when(F.coalesce(F.sum(only("_n")), F.lit(0)) > 0, F.coalesce(total[0], F.lit(0.0)))
+    value = total[0] if len(total) == 1 else total[0] / total[1]
+    return value * 100 if measure.aggregation == "ratio" and measure.unit == "percent" else value
+
+
+def _few_combinations(rows: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether the keys have far fewer combinations than there are rows, from one scan."""
+    known = rows.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64(*keys))).head()
+    return 16 * known[1] <= known[0]
+
+
 def facts_and_series(df: DataFrame, measures: Sequence[Measure], dims: Sequence[str], lock: Lock, time: str,
-                     timezone: str | None = None) -> tuple[DataFrame, DataFrame]:
+                     timezone: str | None = None, cheap: bool = False) -> tuple[DataFrame, DataFrame]:
     """``member_facts`` of the locked scope and ``monthly_series`` of all dates, from one scan.
 
     The months are one more grouping set next to the dimensions and the total. Its partial results
     are written once when this is called. Measures that are not plain sums follow by plans of their own.
+    Where ``df`` is ``cheap`` to scan, the combinations of members and months are estimated first; when
+    they are few, rows are combined to them before they are multiplied by the grouping sets.
     """
     light = [m for m in measures if _kind(m, True) == "sums"]
     heavy = [m for m in measures if m not in light]
@@ -450,9 +497,14 @@ def facts_and_series(df: DataFrame, measures: Sequence[Measure], dims: Sequence[
         flags = [c.alias(n) for c, n in zip(side_flags(df, lock, time, timezone), (CURRENT, BASE), strict=True)]
         rows = prepare(df, light, [*_members(dims), *flags], time, timezone).withColumn(
             "_month", F.to_date(F.trunc(F.col(DAY), "month")))
-        values = [combine(m, m.aggregation, guard).alias(f"{side}_{m.id}") for m in light
-                  for side, guard in (("c", F.col(CURRENT)), ("b", F.col(BASE)), ("a", None))]
         keys, name, which = _private(dims), F.lit(TOTAL), F.lit(TOTAL)
+        crossing = [*keys, "_month", CURRENT, BASE]
+        few = cheap and _few_combinations(rows, crossing)
+        if few:
+            rows = _crossed(rows, light, crossing)
+        values = [(_merged(m, i, guard) if few else combine(m, m.aggregation, guard)).alias(f"{side}_{m.id}")
+                  for i, m in enumerate(light)
+                  for side, guard in (("c", F.col(CURRENT)), ("b", F.col(BASE)), ("a", None))]
         for d, k in zip(dims, keys, strict=True):
             own = F.grouping(F.col(k)) == 0
             name, which = F.when(own, F.col(k)).otherwise(name), F.when(own, F.lit(d)).otherwise(which)

@@ -270,3 +270,36 @@ def test_facts_and_series_from_one_scan(spark, tmp_path):
     assert total["current"] == pytest.approx(sum(r[2] for r in rows if r[0] and r[0].year == 2025 and r[0].month <= 3 and r[2] is not None))
     for r in series.collect():
         assert r["value"] == pytest.approx(sum(x[2] for x in rows if x[0] and x[0].replace(day=1) == r["month"] and x[2] is not None))
+
+
+ALL_SUMS = [
+    Measure("s", "v", "sum"), Measure("m", "v", "mean"), Measure("n", "v", "count"), Measure("lo", "v", "min"),
+    Measure("hi", "v", "max"), Measure("w", "v", "weighted_mean", weight_field="q"),
+    Measure("r", None, "ratio", "percent", numerator_field="v", denominator_field="q")]
+
+
+def test_few_combinations_are_combined_before_the_grouping_sets(spark, monkeypatch):
+    rng, start = random.Random(5), D(2024, 1, 1)
+    rows = [(start + dt.timedelta(days=rng.randrange(500)) if rng.random() < 0.99 else None, rng.choice(["x", "y", None]),
+             rng.choice([None, 0.1, 0.2, -7.35, 1e-9, 3e17]), rng.choice([None, 0.0, -1.0, 2.5, 4.0])) for _ in range(4000)]
+    df = spark.createDataFrame(rows, "d date, k string, v double, q double")
+    lock = s.resolve(df, Scope(period="2025Q1", comparison="yoy", data_as_of="2025-03-31", comparison_as_of="2024-03-31"), "d")
+    combined, real = [], a._crossed
+    monkeypatch.setattr(a, "_crossed", lambda *args: combined.append(args) or real(*args))
+    facts, series = a.facts_and_series(df, ALL_SUMS, ["k"], lock, "d", cheap=True)
+    assert len(combined) == 1
+    plain, monthly = a.facts_and_series(df, ALL_SUMS, ["k"], lock, "d")
+    assert len(combined) == 1
+    for got, wanted, by in ((facts, plain, ["measure_id", "dimension", "name"]), (series, monthly, ["measure_id", "month"])):
+        got, wanted = got.orderBy(*by).collect(), wanted.orderBy(*by).collect()
+        assert len(got) == len(wanted) > 7
+        for x, y in zip(got, wanted):
+            assert all(u == (pytest.approx(v, rel=1e-12) if isinstance(v, float) else v) for u, v in zip(x, y))
+
+
+def test_many_combinations_go_straight_to_the_grouping_sets(make, monkeypatch):
+    df = make("d date, k string, v double", [(D(2025, 1, 1 + i % 28), f"k{i}", 1.0) for i in range(100)])
+    lock = s.resolve(df, Scope(period="2025Q1", data_as_of="2025-03-31"), "d")
+    monkeypatch.delattr(a, "_crossed")
+    facts, _ = a.facts_and_series(df, [ALL_SUMS[0]], ["k"], lock, "d", cheap=True)
+    assert values(facts, TOTAL) == {TOTAL: 100.0}

@@ -177,3 +177,25 @@ def test_draft(spark):
     assert {r["analysis"] for r in found.suggestions.collect()} == {
         "single_year", "region_ranking", "customer_pareto"}
     assert draft(df, approximate=True).to_roles() == roles
+
+
+def test_input_written_once_is_read_by_columns_and_quantiles_only_on_demand(spark, monkeypatch):
+    from measureloom.operators import aggregate
+    from measureloom.session import written_table
+
+    made, real = [], aggregate.distribution
+    monkeypatch.setattr(aggregate, "distribution", lambda *args: made.append(args) or real(*args))
+    rows = [(D(y, m, d), "a b", float(d), None, -0.0) for y in (2024, 2025) for m in (1, 2) for d in (1, 2, 3)]
+    df = spark.createDataFrame(rows, "date date, `q u.e;ue` string, v double, empty string, zero double")
+    contract = Contract([Measure("v", "v", "sum", primary=True)], Roles("date", ("q u.e;ue",)), Scope(
+        period="2025Q1", comparison="yoy", data_as_of="2025-03-31", comparison_as_of="2024-03-31"))
+    report = build_report(df, contract, write_once=True)
+    derive_insights(report).problems.collect()
+    assert made == []
+    assert report.distribution.head()["max"] == 3.0 and report.distribution is report.distribution and len(made) == 1
+    assert {r["current"] for r in report.totals.collect()} == {12.0}
+    copy = written_table(df)
+    assert copy.schema == df.schema and sorted(map(str, copy.collect())) == sorted(map(str, df.collect()))
+    assert "FileScan parquet" in copy._jdf.queryExecution().toString()
+    odd = written_table(df.selectExpr("array(v) AS list", "null AS nothing"))
+    assert odd.count() == 12 and "FileScan" not in odd._jdf.queryExecution().toString()
