@@ -36,8 +36,11 @@ RANKED = 150_000
 LONG_LIST = 40
 #: Bins of the histogram of hashes that bounds the intersection of two sets from above.
 BINS = 32
-#: Bins of the finer histogram of large sets, and the size from which sets have one.
-WIDE, WIDE_FROM = 256, 300
+#: Hashes a bin of the finer histogram of large sets holds on average at most, and the size from which sets have
+#: one. Its bins grow with the set, as a fixed number tells sets apart only up to a size.
+WIDE_LOAD, WIDE_FROM = 8, 300
+#: Size from which BINS bins leave room for nearly any overlap, so that they are not worth sending.
+COARSE_BELOW = 700
 #: Members of one leader that are verified in one group, and sets in a block of a long list.
 STAR, BLOCK = 256, 512
 #: Postings in one range of shingles, the unit of a reducing task.
@@ -86,8 +89,23 @@ def histogram_of(shingles: np.ndarray, bins: int = BINS) -> bytes:
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
+def wide_bins(n: int) -> int:
+    """Bins of the finer histogram, a power of two; those of sizes that can link differ by one halving at most."""
+    return 1 << max(6, (-(-n // WIDE_LOAD) - 1).bit_length())
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """Rows of histograms with half the bins."""
+    half = x.shape[1] // 2
+    return np.minimum(x[:, :half].astype(np.uint16) + x[:, half:], 255).astype(np.uint8)
+
+
 def _possible(x: np.ndarray, y: np.ndarray, na, nb, percent: int) -> np.ndarray:
     """Whether histograms leave room for the overlap a link needs; a full bin leaves all room."""
+    if x.shape[1] > y.shape[1]:
+        x = _folded(x)
+    elif y.shape[1] > x.shape[1]:
+        y = _folded(y)
     low = np.minimum(x, y)
     bound = low.sum(1, dtype=np.int64)
     return (low == 255).any(1) | ((100 + percent) * bound >= percent * (na + nb))
@@ -119,7 +137,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
                 s = shingle_set(text, hashes, width)
                 sid = set_id(s) if len(s) else None
                 sizes.append(len(s))
-                wide.append(histogram_of(s, WIDE) if len(s) >= WIDE_FROM else None)
+                wide.append(histogram_of(s, wide_bins(len(s))) if len(s) >= WIDE_FROM else None)
                 sids.append(sid)
                 if sid is not None and sid not in seen:
                     seen.add(sid)
@@ -149,7 +167,7 @@ def postings(docs: DataFrame, text_col: str, width: int, percent: int, light: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, counts = ranked[0].value, ranked[1].value
-        hashes, seen = WordHashes(), set()
+        hashes, seen, full = WordHashes(), set(), b"\xff" * BINS
         plans = {n: subset_plan(n, percent, light) for n in range(1, light + 1)}
         listed, sure = _Packer(ranges), _Packer(ranges)
 
@@ -165,7 +183,8 @@ def postings(docs: DataFrame, text_col: str, width: int, percent: int, light: in
                             for c in itertools.combinations(s.tolist(), k)]
                     sure.add(np.array(keys, np.uint64), sid, n, b"")
                 if n >= least_listed:
-                    listed.add(_ordered(s, frequent, counts)[:n - smallest(n, percent) + 1], sid, n, histogram_of(s))
+                    listed.add(_ordered(s, frequent, counts)[:n - smallest(n, percent) + 1], sid, n,
+                               histogram_of(s) if n < COARSE_BELOW else full)
                 for packer, flag in ((listed, False), (sure, True)):
                     if packer.held > RANGE // 2:
                         yield from packer.flush(flag)
@@ -339,6 +358,23 @@ def _viable(na, pa_, nb, pb, percent: int):
     return fits & ((100 + percent) * np.minimum(na - pa_, nb - pb) >= percent * (na + nb))
 
 
+def plausible(pairs: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose finer histograms leave room for a link; pairs with a small set stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            kept = [k for k, (x, y, na, nb) in enumerate(zip(*[c.to_pylist() for c in batch.columns[2:]], strict=True))
+                    if x is None or y is None or _possible(
+                        np.frombuffer(x, np.uint8)[None], np.frombuffer(y, np.uint8)[None], na, nb, percent)[0]]
+            at = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
+
+    left = wide.select(F.col("sid").alias("a"), F.col("wide").alias("x"), F.col("size").alias("na"))
+    right = wide.select(F.col("sid").alias("b"), F.col("wide").alias("y"), F.col("size").alias("nb"))
+    return pairs.join(left, "a", "left").join(right, "b", "left").select("a", "b", "x", "y", "na", "nb").mapInArrow(
+        run, "a bigint, b bigint")
+
+
 def sets_for(roles: DataFrame, docs: DataFrame, members: DataFrame, id_col: str, text_col: str,
              width: int) -> DataFrame:
     """(sid, keys, shingles): every role (sid, keys) with its set, read from one document each."""
@@ -419,7 +455,7 @@ def still_open(lists: DataFrame, roots: DataFrame, wide: DataFrame) -> DataFrame
         "parts > 1").select("token", F.col("top.root").alias("main"))
     open_ = now.join(main, "token").groupBy("main", F.col("a").alias("sid")).agg(
         *[F.first(c).alias(c) for c in ("root", "n", "bins")])
-    return open_.join(wide, "sid", "left")
+    return open_.join(wide.select("sid", "wide"), "sid", "left")
 
 
 def in_blocks(rows: DataFrame, left: Column, right: Column, keep: list[str]) -> DataFrame:
@@ -445,17 +481,29 @@ def promising(rows: DataFrame, percent: int, light: int) -> DataFrame:
         left = table.column("left").to_numpy(zero_copy_only=False)
         sid, root, n = (table.column(c).to_numpy() for c in ("sid", "root", "n"))
         bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
-        finer = table.column("wide").to_pylist()
-        large = np.array([w is not None for w in finer], bool)
-        finer = np.frombuffer(b"".join(w or bytes(WIDE) for w in finer), np.uint8).reshape(-1, WIDE)
+        finer = [np.frombuffer(w or b"", np.uint8) for w in table.column("wide").to_pylist()]
+        width = np.array([len(w) for w in finer])
         a, b = np.flatnonzero(left), np.flatnonzero(~left)
+        # Histograms of one width as rows of one array, and the row of each right member.
+        own, row = {}, np.zeros(len(b), np.int64)
+        for w in np.unique(width[b]).tolist():
+            at = np.flatnonzero(width[b] == w)
+            own[w], row[at] = np.stack([finer[k] for k in b[at]]), np.arange(len(at))
+        halves = {w: _folded(x) for w, x in own.items() if w}
         found_a, found_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
         for k, x in enumerate(a):
             good = np.flatnonzero((root[b] != root[x]) & (np.maximum(n[b], n[x]) > light)
                                   & (100 * np.minimum(n[b], n[x]) >= percent * np.maximum(n[b], n[x])))
             good = good[_possible(bins[b[good]], bins[x][None], n[b[good]], n[x], percent)]
-            if large[x]:
-                good = good[~large[b[good]] | _possible(finer[b[good]], finer[x][None], n[b[good]], n[x], percent)]
+            if width[x]:
+                parts = []
+                for w in np.unique(width[b[good]]).tolist():
+                    some = good[width[b[good]] == w]
+                    if w:
+                        rows_ = (halves if w > width[x] else own)[w][row[some]]
+                        some = some[_possible(rows_, finer[x][None], n[b[some]], n[x], percent)]
+                    parts.append(some)
+                good = np.concatenate([np.zeros(0, np.int64), *parts])
             found_a[k] = len(good) > 0
             found_b[good] = True
         at = np.r_[a[found_a], b[found_b]]
@@ -519,7 +567,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     spark = docs.sparkSession
     described = reliable(describe(docs, id_col, text_col, width))
     members = described.where("count is null").select("id", "n", "sid")
-    wide = described.where("wide is not null").groupBy("sid").agg(F.first("wide").alias("wide"))
+    wide = described.where("wide is not null").groupBy("sid").agg(F.first("wide").alias("wide"), F.first("n").alias("size"))
     top = described.where("count is not null").groupBy("token").agg(F.sum("count").alias("count")).where(
         F.col("count") >= FREQUENT).orderBy(F.desc("count"), "token").limit(RANKED).toArrow()
     tokens = top["token"].to_numpy().view(np.uint64)
@@ -534,7 +582,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     found = reliable(packed.repartition(ranges, "range").groupBy("range").applyInArrow(
         _candidates(percent, light), PAIRS))
     proven = found.where("kind = 0").select("a", "b")
-    pairs = reliable(found.where("kind = 1").select("a", "b").distinct())
+    pairs = reliable(plausible(found.where("kind = 1").select("a", "b").distinct(), wide, percent))
     lists = found.where("kind = 2").select("token", "a", "n", "place", "bins")
 
     def check(some: DataFrame) -> DataFrame:

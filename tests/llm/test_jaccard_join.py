@@ -122,3 +122,33 @@ def test_histograms_never_rule_out_a_link():
         if 100 * both >= 75 * (len(x) + len(y) - both):
             bins = [np.frombuffer(jj.histogram_of(s), np.uint8)[None] for s in (x, y)]
             assert jj._possible(*bins, np.array([len(x)]), np.array([len(y)]), 75).all()
+
+
+@pytest.mark.parametrize("long_list", [40, 3])
+def test_large_sets_that_cannot_link_are_not_read_again(docs, monkeypatch, long_list):
+    """Sets of thousands that share a passage are ruled out by their histograms, in pairs and in long lists."""
+    monkeypatch.setattr(jj, "LONG_LIST", long_list)
+    rng = random.Random(11)
+    passage = [f"p{rng.random()}" for _ in range(400)]
+    texts = [" ".join(passage + [f"w{rng.random()}" for _ in range(size)]) for size in (3600, 3700, 4000, 4100, 4300, 4600)]
+    near = texts[0].split()
+    texts.append(" ".join(near[:3000] + ["other"] + near[3000:]))
+    sent, plain = [], jj.sets_for
+
+    def counted(roles, *rest):
+        sent.append(roles.select("sid").distinct().count())
+        return plain(roles, *rest)
+
+    monkeypatch.setattr(jj, "sets_for", counted)
+    assert run(docs, texts) == expected(texts, range(len(texts)))
+    assert sum(sent) == 2
+
+
+def test_folded_histograms_bound_sets_of_other_sizes():
+    rng = np.random.default_rng(1)
+    for n in (500, 512, 513, 1030, 5000, 16_400):
+        x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        y = np.concatenate([x[: int(n * 0.92)], rng.integers(0, 2**63, n // 50).astype(np.uint64)])
+        wide = [np.frombuffer(jj.histogram_of(s, jj.wide_bins(len(s))), np.uint8)[None] for s in (x, y)]
+        assert jj._possible(*wide, len(x), np.array([len(y)]), 75).all()
+        assert jj._possible(*wide[::-1], len(y), np.array([len(x)]), 75).all()
