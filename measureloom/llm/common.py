@@ -18,6 +18,11 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Key sets up to this many rows may be broadcast (16 bytes a row); larger ones are joined by shuffle.
 BROADCAST_ROWS = 500_000
 
+#: Rows of a batch that Spark hands to Python. Its own 10,000 whole texts are tens of MB, held in the JVM and in each
+#: worker at once, and more while their buffers grow by doubling.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _MASK = (1 << 63) - 1
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                  0xFF51AFD7ED558CCD], dtype=np.uint64)
@@ -57,6 +62,12 @@ def written(df: DataFrame, files: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def light_batches(spark: SparkSession) -> None:
+    """Bound the batches of whole texts in this session; a smaller bound that is set stays. Results do not depend on it."""
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batches in slices, so that their Python values do not all exist at once."""
     for batch in batches:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, WordHashes, mix, reliable, shingle_set, small
+from .common import BROADCAST_ROWS, WordHashes, light_batches, mix, reliable, shingle_set, small
 from .components import components
 
 #: Local count from which a shingle is reported as frequent, and total count from which it is ranked.
@@ -565,6 +565,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     any other. An empty table gives an empty result; columns of other names are ignored.
     """
     spark = docs.sparkSession
+    light_batches(spark)
     described = reliable(describe(docs, id_col, text_col, width))
     members = described.where("count is null").select("id", "n", "sid")
     wide = described.where("wide is not null").groupBy("sid").agg(F.first("wide").alias("wide"), F.first("n").alias("size"))

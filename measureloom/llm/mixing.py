@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import reliable, small_enough
 
@@ -99,10 +101,12 @@ def mix(docs: DataFrame, budget: int | None = None, target_entropy: float | None
     tokens = {r["_s"]: r["t"] for r in per}
     goal = budget if budget is not None else sum(tokens.values())
     parts = budgets(tokens, weights(tokens, bisect_exponent(tokens, target_entropy, max_repeats, goal)), goal)
-    kind = docs.schema[source_col].dataType.simpleString()
-    plan = F.broadcast(docs.sparkSession.createDataFrame(
-        [(s, int(parts[s]), int(tokens[s]), max(1, round(tokens[s] / block_tokens))) for s in tokens],
-        f"_s {kind}, _part bigint, _total bigint, _blocks bigint"))
+    # As an Arrow table: a list of rows would start Python workers on the executors to unpack it.
+    columns = zip(*[(s, int(parts[s]), int(tokens[s]), max(1, round(tokens[s] / block_tokens))) for s in tokens], strict=True)
+    kinds = [to_arrow_type(docs.schema[source_col].dataType), *[pa.int64()] * 3]
+    plan = pa.table([pa.array(c, k) for c, k in zip(tokens and columns or [[]] * 4, kinds, strict=True)],
+                    ["_s", "_part", "_total", "_blocks"])
+    plan = F.broadcast(docs.sparkSession.createDataFrame(plan))
 
     def in_blocks(df: DataFrame, source: str) -> DataFrame:
         joined = df.join(plan.withColumnRenamed("_s", "_of"), F.col(source).eqNullSafe(F.col("_of")))

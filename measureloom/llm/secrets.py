@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small
+from .common import light_batches, small
 
 # The patterns of the base kinds and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -115,6 +115,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     repeat; other columns are ignored.
     """
     kind = docs.schema[id_col].dataType.simpleString()
+    light_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
         _scan, f"id {kind}, spans {SPANS}").withColumnRenamed("id", id_col)
 
@@ -141,6 +142,7 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", leng
                                       batch.schema.field(k).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
+    light_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix, reliable, shingle_set, small
+from .common import WordHashes, light_batches, mix, reliable, shingle_set, small
 from .logistic import Sparse, fit, sigmoid
 
 WORD = re.compile(rb"[a-z\x80-\xff]+")
@@ -94,6 +94,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Rows without a label or id are not used; an id with several labels counts as toxic if any says so.
     Without labelled rows every probability is that of an empty training set.
     """
+    light_batches(docs.sparkSession)
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(
         F.col(id_col).alias("_l")).agg(F.max(F.col(label_col).cast("int")).alias("toxic")).orderBy(
         F.xxhash64("_l"), "_l").limit(max_rows)
@@ -193,6 +194,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
     Null and empty texts have no words and get the chain's probabilities of a text without any; whole
     texts are read; repeated rows and null ids are rows like any other; other columns are ignored.
     """
+    light_batches(docs.sparkSession)
     words = chain.words
     names = ["id", *[f"p_{c}" for c in chain.names]]
 
@@ -209,6 +211,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
 
 def keep_clean(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents, all columns as they were, whose last category stays below the threshold."""
+    light_batches(docs.sparkSession)
     words = chain.words
     at = docs.columns.index(text_col)
 

@@ -83,3 +83,15 @@ def test_the_same_without_broadcast(docs, monkeypatch):
     rows = sorted(map(str, mx.mix(df, block_tokens=60).select("doc_id", "epoch", "block").collect()))
     monkeypatch.setattr(mx, "small_enough", lambda keys, bound=0: keys)
     assert sorted(map(str, mx.mix(df, block_tokens=60).select("doc_id", "epoch", "block").collect())) == rows
+
+
+def test_the_plan_needs_no_python_workers(make, monkeypatch):
+    from pyspark import SparkContext
+
+    docs = make("doc_id int, text string, source string", [(i, "a b c " * (i + 1), None if i % 3 else "s") for i in range(9)])
+
+    def refused(*args, **kwargs):
+        raise AssertionError("rows unpacked by Python workers")
+
+    monkeypatch.setattr(SparkContext, "parallelize", refused)
+    assert {r["source"] for r in mx.mix(docs).collect()} == {None, "s"}

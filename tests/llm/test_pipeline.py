@@ -102,3 +102,21 @@ def test_entry_works_without_the_subpackage(tmp_path):
     shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
+def test_batches_of_whole_texts_are_light(spark, docs):
+    from measureloom.llm import jaccard_join
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    steps = [lambda d: jaccard_join.link(d), lambda d: secrets.redact(d), lambda d: toxicity.score(d, toxicity.Chain((), (), ()))]
+    try:
+        for step in steps:
+            spark.conf.set(name, "10000")
+            step(docs(["a b c d e f", None]))
+            assert int(spark.conf.get(name)) <= 1000
+        spark.conf.set(name, "7")
+        steps[1](docs(["a"]))
+        assert spark.conf.get(name) == "7"
+    finally:
+        spark.conf.set(name, before)
