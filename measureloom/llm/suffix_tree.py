@@ -8,8 +8,8 @@ number (a description-length test), and each state stores the symbols it predict
 symbols are left to the shorter state, discounted so that the probabilities still add up to one.
 A text is scored by the longest state that its last words match, symbol by symbol.
 
-The root needs the count of every word and never leaves the executors: words of documents and their
-counts meet in ranges of hashes. Sequences count from a fixed number of occurrences, so the tree grows
+The root needs the count of every word: words are counted by task and then in ranges of hashes, and the
+occurrences of all but the most frequent meet their counts by hash. Sequences count from a fixed number of occurrences, so the tree grows
 with the corpus: it is a table, grown length by length with joins. What a state changes is written as
 one weight for each sequence, and a text is scored by the sum of the weights of its sequences. The most
 frequent ones travel to every task; the places of all others meet their weights by hash.
@@ -26,16 +26,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, mix, reliable
+from .common import WordHashes, light_batches, mix, reliable, written  # noqa: F401
 
 DEPTH = 3
 #: Least count of a sequence in all training texts, wherever its occurrences lie.
 LEAST = 4
-#: Weights of sequences that travel to every task at most, the most frequent ones; the others are joined.
+#: Weights of sequences, and counts of words, that travel to every task at most, the most frequent ones; others are joined.
 HOT = 500_000
 DISCOUNT = 0.5
-#: Entries of one range of words, the unit of a reducing task; entries or places a task holds at once.
-RANGE, HELD = 1_200_000, 700_000
+#: Entries of one range of words, the unit of a reducing task; distinct entries, and places, a task holds at once.
+RANGE, HELD, POOL = 1_200_000, 1_500_000, 2_000_000
+#: Low bits of the hashes of pairs that the first count leaves out. Pairs that share the rest can only look more frequent.
+DROPPED = 24
 END = b"\n"
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
@@ -84,13 +86,31 @@ def _chunks(batch: pa.RecordBatch, size: int = 1000) -> Iterator[pa.RecordBatch]
 
 
 CELLS = ("a", "b", "c", "d", "e")
-GATHERED = "part int, words boolean, " + ", ".join(f"{c} binary" for c in CELLS)
+GATHERED = "part int, size int, " + ", ".join(f"{c} binary" for c in CELLS)
 
 
-def _cells(part: int, words: bool, arrays) -> pa.RecordBatch:
-    raw = [pa.array([x.tobytes()], pa.binary()) for x in arrays]
-    raw += [pa.nulls(1, pa.binary())] * (len(CELLS) - len(raw))
-    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([words]), *raw], ["part", "words", *CELLS])
+def _planes(values: np.ndarray) -> bytes:
+    """All first bytes, then all second ones and so on, so that those which are mostly zero compress to nothing."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _from_planes(raw: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _steps(values: np.ndarray) -> bytes:
+    """Sorted hashes by their differences, whose high bytes are zero."""
+    return _planes(np.diff(values, prepend=np.zeros(1, np.uint64)))
+
+
+def _from_steps(raw: bytes) -> np.ndarray:
+    return np.cumsum(_from_planes(raw, np.uint64), dtype=np.uint64)
+
+
+def _cells(part: int, size: int, raw: list[bytes]) -> pa.RecordBatch:
+    cells = [pa.array([x], pa.binary()) for x in raw] + [pa.nulls(1, pa.binary())] * (len(CELLS) - len(raw))
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([size], pa.int32()), *cells],
+                                      ["part", "size", *CELLS])
 
 
 def _by_part(values: np.ndarray, ranges: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -102,110 +122,102 @@ def _by_part(values: np.ndarray, ranges: int) -> Iterator[tuple[int, np.ndarray]
             yield r, order[edges[r]:edges[r + 1]]
 
 
+def _counted(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, their summed counts, and where each occurs first."""
+    order = np.argsort(values, kind="stable")
+    values, counts = values[order], counts[order]
+    new = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
+    return values[new], np.add.reduceat(counts, new) if len(new) else counts, order[new]
+
+
+class _Pool:
+    """Counts of one size of sequences in a task, with columns that follow from the sequence."""
+
+    def __init__(self, size: int, ranges: int, columns: int = 0):
+        self.size, self.ranges, self.columns = size, ranges, columns
+        self.clear()
+
+    def clear(self) -> None:
+        self.new, self.places = [], 0
+        self.held = [np.zeros(0, np.uint64), np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * self.columns]
+
+    def add(self, values: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.new.append((values, *columns))
+        self.places += len(values)
+        if self.places > POOL:
+            self.merge()
+            if len(self.held[0]) > HELD:
+                yield from self.flush()
+
+    def merge(self) -> None:
+        fresh = [np.concatenate(c) for c in zip(*self.new, strict=True)]
+        self.new, self.places = [], 0
+        values, counts, *columns = [np.concatenate(c) for c in zip(
+            self.held, [fresh[0], np.ones(len(fresh[0]), np.int64), *fresh[1:]], strict=True)]
+        values, counts, first = _counted(values, counts)
+        self.held = [values, counts, *[c[first] for c in columns]]
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.new:
+            self.merge()
+        values, counts, *columns = self.held
+        self.clear()
+        counts = np.minimum(counts, 0xFFFFFFFF).astype(np.uint32)
+        for r, at in _by_part(values, self.ranges):
+            yield _cells(r, self.size, [_steps(values[at]), _planes(counts[at]), *[c[at].tobytes() for c in columns]])
+
+
 def gather(rows: DataFrame, ranges: int) -> DataFrame:
-    """Packed words of documents, and all pairs of words with their local counts, by range of hashes.
+    """Counts by task of training words, and of pairs of words by the high bits of their hashes, by range of hashes.
 
     ``rows``: key, text, held. One pass over the corpus yields both.
     """
 
-    def packed(held: list) -> Iterator[pa.RecordBatch]:
-        words = np.concatenate([h[0] for h in held])
-        times = np.concatenate([h[1] for h in held]).astype(np.uint32)
-        who = np.repeat(np.arange(len(held), dtype=np.uint32), [len(h[0]) for h in held])
-        keys = np.array([h[2] for h in held], np.int64)
-        out = np.array([h[3] for h in held], np.uint8)
-        for r, at in _by_part(words, ranges):
-            used, local = np.unique(who[at], return_inverse=True)
-            yield _cells(r, True, (words[at], local.astype(np.uint32), times[at], keys[used], out[used]))
-
-    def pairs(pool: list) -> Iterator[pa.RecordBatch]:
-        values, counts = np.unique(np.concatenate(pool), return_counts=True)
-        for r, at in _by_part(values, ranges):
-            yield _cells(r, False, (values[at], counts[at].astype(np.uint32)))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        held, entries, pool, places = [], 0, [], 0
+        hashes, words, pairs = WordHashes(), _Pool(1, ranges), _Pool(2, ranges)
         for batch in batches:
             for part in _chunks(batch):
-                flat, place, lengths = _places(_binary(part.column(1)), hashes)
-                keys, out = part.column(0).to_pylist(), np.array(part.column(2).to_pylist(), bool)
-                for k, w in enumerate(np.split(flat, np.cumsum(lengths)[:-1])):
-                    values, times = np.unique(w, return_counts=True)
-                    held.append((values, times, keys[k], out[k]))
-                    entries += len(values)
-                learn = ~np.repeat(out, lengths)
-                flat, place = flat[learn], place[learn]
-                if (place > 0).any():
-                    pool.append(grams(flat, place, 1)[1][place > 0])
-                places += len(flat)
-                if entries > HELD:
-                    yield from packed(held)
-                    held, entries = [], 0
-                if pool and places > HELD:
-                    yield from pairs(pool)
-                    pool, places = [], 0
-        if held:
-            yield from packed(held)
-        if pool:
-            yield from pairs(pool)
+                learn = part.filter(pa.array([not h for h in part.column(2).to_pylist()], pa.bool_()))
+                flat, place, _ = _places(_binary(learn.column(1)), hashes)
+                yield from words.add(flat)
+                yield from pairs.add(grams(flat, place, 1)[1][place > 0] >> np.uint64(DROPPED))
+        yield from words.flush()
+        yield from pairs.flush()
 
     return rows.mapInArrow(run, GATHERED)
 
 
-SUMS = ("key bigint, gram bigint, logs double, halves double, known bigint, all bigint, vocabulary bigint, once bigint, "
-        "tokens bigint, size int, count bigint")
+SUMS = "gram bigint, size int, count bigint, vocabulary bigint, once bigint, tokens bigint"
+
+
+def _summed(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _counted(np.concatenate([_from_steps(r["a"]) for r in rows]),
+                    np.concatenate([_from_planes(r["b"], np.uint32) for r in rows]).astype(np.int64))
 
 
 def _sums(table: pa.Table) -> pa.Table:
-    """Of one range: sums over the words of each document (key), counts of the range, and words and pairs (gram) with
-    the least count or more. A range has all occurrences of what falls into it, so counts are those of the corpus."""
+    """Of one range: every word with its count, high bits of the hashes of pairs (size 2) with the least count or more,
+    and counts of the range. A range has all occurrences of what falls into it, so counts are those of the corpus."""
     names, kinds = zip(*[c.split() for c in SUMS.split(", ")], strict=True)
-    kinds = [{"bigint": pa.int64(), "double": pa.float64(), "int": pa.int32()}[k] for k in kinds]
+    kinds = [{"bigint": pa.int64(), "int": pa.int32()}[k] for k in kinds]
 
     def piece(n: int, **columns) -> pa.Table:
         return pa.table({c: pa.array(columns[c]).cast(k) if c in columns else pa.nulls(n, k)
                          for c, k in zip(names, kinds, strict=True)})
 
-    rows, out = table.to_pylist(), []
-    read = lambda some, cell, kind: [np.frombuffer(r[cell], kind) for r in some]
-    found = [r for r in rows if not r["words"]]
-    if found:
-        gram, count = np.concatenate(read(found, "a", np.uint64)), np.concatenate(read(found, "b", np.uint32))
-        del found
-        order = np.argsort(gram, kind="stable")
-        gram, count = gram[order], count[order].astype(np.int64)
-        new = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
-        gram, count = gram[new], np.add.reduceat(count, new)
-        often = count >= LEAST
-        out.append(piece(int(often.sum()), gram=gram[often].view(np.int64), count=count[often],
-                         size=np.full(int(often.sum()), 2)))
-    found = [r for r in rows if r["words"]]
-    del rows
-    if found:
-        keys = np.concatenate(read(found, "d", np.int64))
-        held = np.concatenate(read(found, "e", np.uint8)).astype(bool)
-        base = np.cumsum([0] + [len(r["e"]) for r in found])
-        who = np.concatenate([w + np.uint32(b) for w, b in zip(read(found, "b", np.uint32), base[:-1], strict=True)])
-        words = np.concatenate(read(found, "a", np.uint64))
-        times = np.concatenate(read(found, "c", np.uint32)).astype(np.int64)
-        del found
-        order = np.argsort(words, kind="stable")
-        words, who, times = words[order], who[order], times[order]
-        new = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
-        counts = np.add.reduceat(np.where(held[who], 0, times), new)
-        each = np.repeat(counts, np.diff(np.r_[new, len(words)]))
-        docs, place = np.unique(keys, return_inverse=True)
-        at, n = place[who], len(docs)
-        total = lambda w: np.bincount(at, weights=w, minlength=n)
-        out.append(piece(n, key=docs, logs=total(times * np.log10(np.maximum(each, 1))),
-                         halves=total(times * np.log10(each + 0.5)), known=total(times * (each > 0)).astype(np.int64),
-                         all=total(times).astype(np.int64)))
-        out.append(piece(1, vocabulary=[int((counts > 0).sum())], once=[int((counts == 1).sum())],
-                         tokens=[int(counts.sum())]))
-        often = counts >= LEAST
-        out.append(piece(int(often.sum()), gram=mix(words[new][often] + _STEP[0]).view(np.int64), count=counts[often],
-                         size=np.full(int(often.sum()), 1)))
+    rows, out = table.to_pylist(), [piece(0)]
+    for size in (1, 2):
+        some = [r for r in rows if r["size"] == size]
+        if not some:
+            continue
+        values, counts, _ = _summed(some)
+        if size == 1:
+            gram = mix(values + _STEP[0])
+            out.append(piece(1, vocabulary=[len(counts)], once=[int((counts == 1).sum())], tokens=[int(counts.sum())]))
+        else:
+            often = counts >= LEAST
+            gram, counts = values[often] << np.uint64(DROPPED), counts[often]
+        out.append(piece(len(gram), gram=gram.view(np.int64), size=np.full(len(gram), size), count=counts))
     return pa.concat_tables(out)
 
 
@@ -257,55 +269,55 @@ class Bits:
 FOUND = "gram bigint, context bigint, shorter bigint, next bigint, size int, count bigint"
 
 
-def sequences(rows: DataFrame, often: DataFrame) -> DataFrame:
+def sequences(rows: DataFrame, often: DataFrame, ranges: int = 12) -> DataFrame:
     """All sequences of the least count or more in training: gram, context, shorter, next, size, count.
 
-    ``often``: words and pairs (gram, size, count) of that count. Longer sequences are only made where
-    every pair in them is in the bit map of these, which no sequence of that count fails; each is summed
-    over the corpus before its count is tested.
+    ``often``: words, and pairs that may have that count (gram, size, count). Longer sequences are only
+    made where every pair in them is in the bit map of these, which no sequence of that count fails; each
+    is summed over the corpus before its count is tested.
     """
     shared = rows.sparkSession.sparkContext.broadcast(Bits.of(often.where("size = 2")))
     names = [c.split()[0] for c in FOUND.split(", ")]
 
-    def made(pool: list) -> Iterator[pa.RecordBatch]:
-        for size in range(2, DEPTH + 2):
-            columns = [np.concatenate([p[size - 2][k] for p in pool]) for k in range(4)]
-            values, first, counts = np.unique(columns[0], return_index=True, return_counts=True)
-            for at in range(0, len(values), 50_000):
-                cut = slice(at, at + 50_000)
-                hashes = [pa.array(c[first[cut]].view(np.int64)) for c in columns]
-                n = len(hashes[0])
-                yield pa.RecordBatch.from_arrays([*hashes, pa.array(np.full(n, size, np.int32)), pa.array(counts[cut])], names)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, hashes, pool, places = shared.value, WordHashes(), [], 0
+        bits, hashes = shared.value, WordHashes()
+        # The last word of a pair is its shorter form, so that it is sent for longer ones only.
+        pools = [_Pool(size, ranges, 2 + (size > 2)) for size in range(2, DEPTH + 2)]
         for batch in batches:
             for part in _chunks(batch):
                 flat, place, _ = _places(_binary(part.column(0)), hashes)
                 g = grams(flat, place, DEPTH)
                 fine = bits.has(g[1]) & (place > 0)
-                whole, found = fine.copy(), []
-                for size in range(2, DEPTH + 2):
+                whole = fine.copy()
+                for size, pool in zip(range(2, DEPTH + 2), pools, strict=True):
                     if size > 2:
                         # The pair before the last ones must be frequent too.
                         whole[size - 2:] &= fine[:len(fine) - size + 2]
                         whole &= place >= size - 1
                     at = np.flatnonzero(whole)
-                    found.append((g[size - 1][at], g[size - 2][at - 1], g[size - 2][at], g[0][at]))
-                pool.append(found)
-                places += len(flat)
-                if places > HELD:
-                    yield from made(pool)
-                    pool, places = [], 0
-        if pool:
-            yield from made(pool)
-
-    longer = rows.where(~F.col("held")).select("text").mapInArrow(run, FOUND).groupBy("gram").agg(
-        *[F.first(c).alias(c) for c in ("context", "shorter", "next", "size")], F.sum("count").alias("count")).where(
-        F.col("count") >= LEAST)
+                    yield from pool.add(g[size - 1][at], g[size - 2][at - 1], g[size - 2][at], *[g[0][at]] * (size > 2))
+        for pool in pools:
+            yield from pool.flush()
+
+    def total(table: pa.Table) -> pa.Table:
+        rows, out = table.to_pylist(), []
+        for size in range(2, DEPTH + 2):
+            some = [r for r in rows if r["size"] == size]
+            if not some:
+                continue
+            gram, counts, first = _summed(some)
+            often = counts >= LEAST
+            parts = [np.concatenate([np.frombuffer(r[c], np.int64) for r in some])[first[often]]
+                     for c in ("c", "d", "e" if size > 2 else "d")]
+            out.append(pa.table([pa.array(gram[often].view(np.int64)), *map(pa.array, parts),
+                                 pa.array(np.full(len(parts[0]), size, np.int32)), pa.array(counts[often])], names))
+        return pa.concat_tables(out)
+
+    longer = rows.where(~F.col("held")).select("text").mapInArrow(run, GATHERED).repartition(ranges, "part").groupBy(
+        "part").applyInArrow(total, FOUND)
     none = F.lit(0).cast("long")
-    return often.where("size = 1").select("gram", none.alias("context"), none.alias("shorter"), none.alias("next"), "size",
-                                          "count").unionByName(longer.select(*names))
+    return often.where("size = 1").where(F.col("count") >= LEAST).select(
+        "gram", none.alias("context"), none.alias("shorter"), none.alias("next"), "size", "count").unionByName(longer)
 
 
 @dataclass(frozen=True)
@@ -390,7 +402,7 @@ def weights(found: DataFrame, tokens: int, unseen: float) -> tuple[DataFrame, in
             value.select(F.col("gram").alias("shorter"), F.col("value").alias("below")), "shorter")
         p = F.greatest(F.col("n") - DISCOUNT, F.lit(0.01)) / F.col("total")
         base = F.log(F.lit(1 - unseen) * F.col("times") / F.lit(float(max(tokens, 1))))
-        rows = reliable(rows.select("gram", "context", "n", "total", "below", F.log(p).alias("p"), base.alias("base")))
+        rows = written(rows.select("gram", "context", "n", "total", "below", F.log(p).alias("p"), base.alias("base")))
         before = F.col("below") + F.col("base")
         kept = rows.groupBy("context").agg(
             F.count("*").alias("k"), F.first("total").alias("total"), F.sum("n").alias("sum_n"),
@@ -398,9 +410,9 @@ def weights(found: DataFrame, tokens: int, unseen: float) -> tuple[DataFrame, in
             F.sum(F.col("n") * (F.col("p") - before)).alias("gain")).where("rest > 0 and rest_before > 1e-9").withColumn(
             "discount", F.log(F.col("rest") / F.col("rest_before"))).where(
             F.col("gain") + (F.col("total") - F.col("sum_n")) * F.col("discount") >= price * (F.col("k") + 1))
-        kept = reliable(kept.select("context", "total", "discount"))
+        kept = written(kept.select("context", "total", "discount"))
         states += kept.count()
-        value = reliable(rows.join(kept.select("context", "discount"), "context", "left").select(
+        value = written(rows.join(kept.select("context", "discount"), "context", "left").select(
             "gram", "n", "discount", "below",
             F.when(F.col("discount").isNull(), F.col("below")).otherwise(F.col("p") - F.col("base")).alias("value")))
         parts += [kept.select(F.col("context").alias("gram"), F.col("discount").alias("weight"), F.col("total").alias("count")),
@@ -409,7 +421,7 @@ def weights(found: DataFrame, tokens: int, unseen: float) -> tuple[DataFrame, in
     every = parts[0]
     for part in parts[1:]:
         every = every.unionAll(part)
-    return reliable(every.groupBy("gram").agg(
+    return written(every.groupBy("gram").agg(
         (F.sum("weight") / math.log(10)).alias("weight"), F.max("count").alias("count"))), states
 
 
@@ -425,35 +437,46 @@ def hot_count(weighed: DataFrame) -> int:
     return 1 << cut
 
 
-def adjustments(rows: DataFrame, hot: DataFrame, id_col: str) -> DataFrame:
-    """(id, key, held, n_tokens, gain): the sum of the hot weights of each text."""
-    table = hot.toArrow()
+def _hot(table: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
     values, order = np.unique(table["gram"].to_numpy().astype(np.int64).view(np.uint64), return_index=True)
-    shared = rows.sparkSession.sparkContext.broadcast((values, table["weight"].to_numpy().astype(float)[order]))
+    return values, table[column].to_numpy().astype(float)[order]
+
+
+def adjustments(rows: DataFrame, hot: DataFrame, id_col: str, words: DataFrame | None = None) -> DataFrame:
+    """(id, key, held, n_tokens, gain, logs, halves, known): the sum of the hot weights of each text, and of its hot
+    ``words`` (gram, count) the logs of their counts, those of the counts and a half, and their number."""
+    words = hot.where("false") if words is None else words
+    shared = rows.sparkSession.sparkContext.broadcast((*_hot(hot.toArrow(), "weight"), *_hot(words.toArrow(), "count")))
     kind = rows.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, weight, hashes = Lookup(shared.value[0]), shared.value[1], WordHashes()
+        grams_, weight, words_, counts = shared.value
+        lookup, counted, hashes = Lookup(grams_), Lookup(words_), WordHashes()
+        logs, halves = np.log10(counts), np.log10(counts + 0.5)
         for batch in batches:
             for part in _chunks(batch):
                 flat, place, lengths = _places(_binary(part.column(1)), hashes)
-                gain = np.zeros(len(flat))
+                sums = np.zeros((4, len(flat)))
                 for k, g in enumerate(grams(flat, place, DEPTH)):
                     at, position = lookup.find(g)
                     real = place[at] >= k
-                    gain[at[real]] += weight[position[real]]
+                    sums[0, at[real]] += weight[position[real]]
+                    if k == 0:
+                        at, position = counted.find(g)
+                        sums[1, at], sums[2, at], sums[3, at] = logs[position], halves[position], 1
                 ends = np.cumsum(lengths) - lengths
-                sums = np.add.reduceat(gain, ends) if len(lengths) else np.zeros(0)
+                sums = np.add.reduceat(sums, ends, axis=1) if len(lengths) else np.zeros((4, 0))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(3), part.column(0), part.column(2), pa.array(lengths), pa.array(sums)],
-                    ["id", "key", "held", "n_tokens", "gain"])
+                    [part.column(3), part.column(0), part.column(2), pa.array(lengths), *map(pa.array, sums)],
+                    ["id", "key", "held", "n_tokens", "gain", "logs", "halves", "known"])
 
     return rows.select("key", "text", "held", F.col(id_col).alias("id")).mapInArrow(
-        run, f"id {kind}, key bigint, held boolean, n_tokens bigint, gain double")
+        run, f"id {kind}, key bigint, held boolean, n_tokens bigint, gain double, logs double, halves double, known double")
 
 
 def cold_sums(rows: DataFrame, cold: DataFrame) -> DataFrame:
-    """(key, cold): the sum of all other weights over the rows of a key. Places meet weights by hash."""
+    """(key, cold, cold_logs, cold_halves, cold_known): sums over the rows of a key of all other weights, and over its
+    other words. ``cold``: gram, weight, and the count of a word or 0. Places meet them by hash."""
     shared = rows.sparkSession.sparkContext.broadcast(Bits.of(cold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -467,8 +490,10 @@ def cold_sums(rows: DataFrame, cold: DataFrame) -> DataFrame:
                     for cut in np.split(at, range(50_000, len(at), 50_000)):
                         yield pa.RecordBatch.from_arrays([pa.array(keys[cut]), pa.array(g[cut].view(np.int64))], ["key", "gram"])
 
+    word = F.col("times") > 0
     return rows.select("key", "text").mapInArrow(run, "key bigint, gram bigint").join(cold, "gram").groupBy("key").agg(
-        F.sum("weight").alias("cold"))
+        F.sum("weight").alias("cold"), F.sum(F.when(word, F.log10("times"))).alias("cold_logs"),
+        F.sum(F.when(word, F.log10(F.col("times") + 0.5))).alias("cold_halves"), F.count_if(word).alias("cold_known"))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -479,33 +504,39 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     training, every word is unseen: base_score then is that of zero counts and score takes all mass for
     the unseen symbol. An empty table gives an empty result; other columns are ignored.
     """
+    light_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn(
         "key", F.xxhash64(F.col(id_col), F.col("text"))).withColumn("held", held_out(F.col(id_col)))
     rows = rows.select("key", "text", "held", id_col)
     letters = rows.select(F.sum(F.length("text"))).first()[0] or 0
     ranges = max(12, round(letters / 6 / RANGE))
-    packed = gather(rows.select("key", "text", "held"), ranges).repartition(ranges, "part")
-    one = ("logs", "halves", "known", "all", "vocabulary", "once", "tokens", "count")
-    sums = reliable(packed.groupBy("part").applyInArrow(_sums, SUMS).groupBy("key", "gram").agg(
-        *[F.sum(c).alias(c) for c in one], F.first("size").alias("size")))
-    totals = sums.where("key is null and gram is null").first()
-    size, tokens, once = (totals[c] or 0 for c in ("vocabulary", "tokens", "once")) if totals else (0, 0, 0)
+    sums = written(gather(rows.select("key", "text", "held"), ranges).repartition(ranges, "part").groupBy("part").applyInArrow(
+        _sums, SUMS))
+    totals = sums.where("gram is null").agg(*[F.sum(c).alias(c) for c in ("vocabulary", "tokens", "once")]).first()
+    size, tokens, once = (totals[c] or 0 for c in ("vocabulary", "tokens", "once"))
     unseen = min(0.5, max(once, 0.5) / tokens) if tokens else 1.0
-    found = reliable(sequences(rows, sums.where("gram is not null").select("gram", "size", "count")))
+    found = written(sequences(rows, sums.where("gram is not null").select("gram", "size", "count"), ranges))
     weighed, states = weights(found, tokens, unseen)
-    cut = hot_count(weighed)
-    adjusted = adjustments(rows, weighed.where(F.col("count") >= cut), id_col)
-    per = sums.where("key is not null").select("key", "logs", "halves", "known", "all")
-    cold = weighed.where(F.col("count") < cut).select("gram", "weight")
-    per = per.withColumn("cold", F.lit(0.0)) if cold.isEmpty() else per.join(cold_sums(rows, cold), "key", "left")
-    # Equal rows share their sums: each gets its part.
-    part = F.col("n_tokens") / F.col("all")
-    known = F.round(F.col("known") * part).cast("long")
+    words = sums.where("size = 1").select("gram", "count")
+    cut, cut_words = hot_count(weighed), hot_count(words)
+    adjusted = adjustments(rows, weighed.where(F.col("count") >= cut), id_col, words.where(F.col("count") >= cut_words))
+    cold = weighed.where(F.col("count") < cut).select("gram", "weight", F.lit(0).cast("long").alias("times")).unionAll(
+        words.where(F.col("count") < cut_words).select("gram", F.lit(0.0).alias("weight"), F.col("count").alias("times")))
+    if cold.isEmpty():
+        per = adjusted.select("*", *[F.lit(0.0).alias(c) for c in ("cold", "cold_logs", "cold_halves", "cold_known")],
+                              F.lit(1).alias("copies"))
+    else:
+        # Equal rows share their cold sums: each gets its part.
+        per = adjusted.join(cold_sums(rows, cold), "key", "left").join(
+            rows.groupBy("key").agg(F.count("*").alias("copies")), "key")
+    part = lambda c: F.coalesce(F.col(c), F.lit(0.0)) / F.col("copies")
+    known = F.round(F.col("known") + part("cold_known")).cast("long")
+    new = F.col("n_tokens") - known
     seen = math.log10((1 - unseen) / tokens) if tokens and unseen < 1 else 0.0
-    return adjusted.join(per, "key").select(
+    return per.select(
         F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", known.alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("halves") * part - F.col("n_tokens") * math.log10(tokens + 0.5 * (size + 1))).alias("base_score"),
-        (F.col("logs") * part + known * seen + (F.col("n_tokens") - known) * math.log10(unseen) + F.col("gain")
-         + F.coalesce("cold", F.lit(0.0)) * part).alias("score"),
+        (F.col("halves") + part("cold_halves") + new * math.log10(0.5)
+         - F.col("n_tokens") * math.log10(tokens + 0.5 * (size + 1))).alias("base_score"),
+        (F.col("logs") + part("cold_logs") + known * seen + new * math.log10(unseen) + F.col("gain") + part("cold")).alias("score"),
         F.lit(states).cast("int").alias("states"))

@@ -177,3 +177,14 @@ def test_states_do_not_depend_on_the_size_of_the_corpus(docs):
         # "bird" is nearly certain after "rare"; what is left is the price of "rare" itself.
         lost = rows[plain]["score"] - rows[passage[0]]["score"]
         assert lost < 1.2 * math.log10(rows[0]["train_tokens"] / 8)
+
+
+def test_what_is_counted_first_grows_with_distinct_words_not_with_texts(docs):
+    """Texts of the same words send no more than one of them does: words are summed before they are dealt."""
+    words = " ".join(f"w{k}" for k in range(400))
+    sizes = []
+    for n in (4, 40):
+        ids = [i for i in range(100) if not held(i)][:n]
+        rows = docs([words] * n, ids=ids).coalesce(1).selectExpr("doc_id as key", "text", "false as held")
+        sizes.append(sum(len(c) for r in st.gather(rows, 5).collect() for c in (r[x] for x in st.CELLS) if c))
+    assert sizes[1] < 1.1 * sizes[0]
