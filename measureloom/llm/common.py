@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +22,13 @@ BROADCAST_ROWS = 500_000
 #: Rows of a batch that Spark hands to Python. Its own 10,000 whole texts are tens of MB, held in the JVM and in each
 #: worker at once, and more while their buffers grow by doubling.
 BATCH_ROWS = 1000
+_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _MASK = (1 << 63) - 1
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                  0xFF51AFD7ED558CCD], dtype=np.uint64)
+_UNDO = np.array([pow(int(_ODD[k]), -1, 1 << 64) for k in (3, 4)], dtype=np.uint64)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +71,17 @@ def light_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_ROWS))
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go as soon as the action that wrote them ends: for steps that leave their results in tables."""
+    before = spark.conf.get(_FREED, "false")
+    spark.conf.set(_FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREED, before)
+
+
 def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The batches in slices, so that their Python values do not all exist at once."""
     for batch in batches:
@@ -115,6 +129,15 @@ def mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(32))
 
 
+def unmix(values: np.ndarray) -> np.ndarray:
+    """The values that ``mix`` made these of."""
+    values = values ^ (values >> np.uint64(32))
+    values = values * _UNDO[1]
+    values = values ^ (values >> np.uint64(29)) ^ (values >> np.uint64(58))
+    values = values * _UNDO[0]
+    return values ^ (values >> np.uint64(32))
+
+
 def shingle_set(text: bytes | None, hashes: WordHashes, width: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the word shingles of a lower-cased text; a shorter text is one shingle."""
     words = (text or b"").lower().split()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, light_batches, mix, reliable, written  # noqa: F401
+from .common import WordHashes, freed_shuffles, light_batches, mix, reliable, unmix, written  # noqa: F401
 
 DEPTH = 3
 #: Least count of a sequence in all training texts, wherever its occurrences lie.
@@ -40,6 +40,13 @@ RANGE, HELD, POOL = 1_200_000, 1_500_000, 2_000_000
 DROPPED = 24
 END = b"\n"
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
+_BACK = np.uint64(pow(int(_STEP[1]), -1, 1 << 64))
+
+
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
+#: What to keep of eight bytes of which so many belong to a word.
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def held_out(doc_id):
@@ -47,6 +54,16 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 1
 
 
+def _before(words: np.ndarray, shorter: np.ndarray) -> np.ndarray:
+    """Hashes of sequences with one more word before them."""
+    return mix(shorter * _STEP[1] + mix(words + _STEP[2]))
+
+
+def _without(words: np.ndarray, longer: np.ndarray) -> np.ndarray:
+    """Hashes of sequences without their first words: undoes ``_before``."""
+    return (unmix(longer) - mix(words + _STEP[2])) * _BACK
+
+
 def grams(words: np.ndarray, starts: np.ndarray, depth: int) -> list[np.ndarray]:
     """Hashes of the 1 to depth + 1 words that end at each place; zero where a text has no so many.
 
@@ -56,36 +73,67 @@ def grams(words: np.ndarray, starts: np.ndarray, depth: int) -> list[np.ndarray]
     for k in range(1, depth + 1):
         longer = np.zeros(len(words), np.uint64)
         # A sequence is hashed from its end: its shorter form without the first word is out[k - 1].
-        longer[k:] = mix(out[k - 1][k:] * _STEP[1] + mix(words[:-k] + _STEP[2]))
+        longer[k:] = _before(words[:-k], out[k - 1][k:])
         longer[starts < k] = 0
         out.append(longer)
     return out
 
 
+def _lanes(raw: bytes, at: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Up to eight bytes from each place on as one number."""
+    windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(raw, np.uint8), 8)
+    return windows[at].view(np.uint64).ravel() & _KEEP[np.minimum(width, 8)]
+
+
+def _hashed(lanes: np.ndarray, more: np.ndarray, width: np.ndarray) -> np.ndarray:
+    return mix(mix(lanes + width.astype(np.uint64) * _STEP[3]) + more * _STEP[1])
+
+
+#: The end, which no word equals, as it is white space.
+_ENDS = _hashed(np.array([ord(END)], np.uint64), np.zeros(1, np.uint64), np.ones(1, np.int64))[0]
+
+
 def _places(texts: list[bytes | None], hashes: WordHashes):
-    """Word hashes of all texts in one array with an end each, places within texts, and lengths."""
-    found, lengths = [], []
-    for t in texts:
-        words = (t or b"").lower().split()
-        words.append(END)
-        found.append(hashes.of(words))
-        lengths.append(len(words))
-    lengths = np.array(lengths, np.int64)
-    flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    return flat, place, lengths
+    """Word hashes of all texts in one array with an end each, places within texts, and lengths.
+
+    Words of up to 16 bytes are hashed all at once from two numbers, longer ones by ``hashes``.
+    """
+    found = [t or b"" for t in texts]
+    bounds = np.cumsum([1, *[len(t) + 1 for t in found]])
+    raw = b"".join([END, *[x for t in found for x in (t, END)]]).lower() + bytes(16)
+    white = _WHITE[np.frombuffer(raw, np.uint8)[:bounds[-1]]]
+    edges = np.flatnonzero(white[1:] != white[:-1]) + 1
+    starts, width = edges[::2], edges[1::2] - edges[::2]
+    more, second = np.zeros(len(starts), np.uint64), np.flatnonzero(width > 8)
+    more[second] = _lanes(raw, starts[second] + 8, width[second] - 8)
+    words = _hashed(_lanes(raw, starts, width), more, width)
+    far = np.flatnonzero(width > 16)
+    if len(far):
+        words[far] = hashes.of([raw[x:x + n] for x, n in zip(starts[far].tolist(), width[far].tolist(), strict=True)])
+    lengths = np.diff(np.searchsorted(starts, bounds)) + 1
+    last = np.cumsum(lengths) - 1
+    inner = np.ones(int(lengths.sum()), bool)
+    inner[last] = False
+    flat = np.full(len(inner), _ENDS, np.uint64)
+    flat[inner] = words
+    return flat, np.arange(len(flat)) - np.repeat(last + 1 - lengths, lengths), lengths
+
+
+def _range(values: np.ndarray, ranges: int) -> np.ndarray:
+    """Ranges by the first bits, as Spark's functions can tell them too."""
+    return ((values >> np.uint64(40)) % np.uint64(ranges)).astype(np.uint16 if ranges <= 1 << 16 else np.uint32)
 
 
 def _binary(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-def _chunks(batch: pa.RecordBatch, size: int = 1000) -> Iterator[pa.RecordBatch]:
+def _chunks(batch: pa.RecordBatch, size: int = 250) -> Iterator[pa.RecordBatch]:
     for k in range(0, batch.num_rows, size):
         yield batch.slice(k, size)
 
 
-CELLS = ("a", "b", "c", "d", "e")
+CELLS = ("a", "b", "c", "d")
 GATHERED = "part int, size int, " + ", ".join(f"{c} binary" for c in CELLS)
 
 
@@ -113,8 +161,12 @@ def _cells(part: int, size: int, raw: list[bytes]) -> pa.RecordBatch:
                                       ["part", "size", *CELLS])
 
 
-def _by_part(values: np.ndarray, ranges: int) -> Iterator[tuple[int, np.ndarray]]:
-    part = (mix(values) % np.uint64(ranges)).astype(np.int32)
+def _part(values: np.ndarray, ranges: int) -> np.ndarray:
+    # Short integers are sorted in one sweep.
+    return (mix(values) % np.uint64(ranges)).astype(np.uint16 if ranges <= 1 << 16 else np.uint32)
+
+
+def _by_part(part: np.ndarray, ranges: int) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(part, kind="stable")
     edges = np.searchsorted(part[order], np.arange(ranges + 1))
     for r in range(ranges):
@@ -131,20 +183,20 @@ def _counted(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 class _Pool:
-    """Counts of one size of sequences in a task, with columns that follow from the sequence."""
+    """Counts of one size of sequences in a task, and the first word of each if it is asked for."""
 
-    def __init__(self, size: int, ranges: int, columns: int = 0):
-        self.size, self.ranges, self.columns = size, ranges, columns
+    def __init__(self, size: int, ranges: int, firsts: bool = False):
+        self.size, self.ranges, self.firsts = size, ranges, firsts
         self.clear()
 
     def clear(self) -> None:
         self.new, self.places = [], 0
-        self.held = [np.zeros(0, np.uint64), np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * self.columns]
+        self.held = [np.zeros(0, np.uint64), np.zeros(0, np.int64), *[np.zeros(0, np.uint64)] * self.firsts]
 
-    def add(self, values: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.new.append((values, *columns))
-        self.places += len(values)
-        if self.places > POOL:
+    def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.new.append(columns)
+        self.places += len(columns[0])
+        if self.places > POOL // 2:
             self.merge()
             if len(self.held[0]) > HELD:
                 yield from self.flush()
@@ -152,19 +204,33 @@ class _Pool:
     def merge(self) -> None:
         fresh = [np.concatenate(c) for c in zip(*self.new, strict=True)]
         self.new, self.places = [], 0
-        values, counts, *columns = [np.concatenate(c) for c in zip(
-            self.held, [fresh[0], np.ones(len(fresh[0]), np.int64), *fresh[1:]], strict=True)]
-        values, counts, first = _counted(values, counts)
-        self.held = [values, counts, *[c[first] for c in columns]]
+        if self.firsts:
+            # A sequence has one first word, so which of its places comes first does not matter.
+            order = np.argsort(fresh[0])
+            fresh = [c[order] for c in fresh]
+        else:
+            fresh[0].sort()
+        new = np.flatnonzero(np.r_[True, fresh[0][1:] != fresh[0][:-1]][:len(fresh[0])])
+        counts = np.diff(np.r_[new, len(fresh[0])])
+        fresh = [fresh[0][new], counts, *[c[new] for c in fresh[1:]]]
+        if len(self.held[0]):
+            values, counts, *firsts = [np.concatenate(c) for c in zip(self.held, fresh, strict=True)]
+            values, counts, first = _counted(values, counts)
+            fresh = [values, counts, *[c[first] for c in firsts]]
+        self.held = fresh
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.new:
             self.merge()
-        values, counts, *columns = self.held
+        values, counts, *firsts = self.held
         self.clear()
         counts = np.minimum(counts, 0xFFFFFFFF).astype(np.uint32)
-        for r, at in _by_part(values, self.ranges):
-            yield _cells(r, self.size, [_steps(values[at]), _planes(counts[at]), *[c[at].tobytes() for c in columns]])
+        for r, at in _by_part(_part(values, self.ranges), self.ranges):
+            cell = [_steps(values[at]), _planes(counts[at])]
+            for words in firsts:
+                known, place = np.unique(words[at], return_inverse=True)
+                cell += [_steps(known), _planes(place.astype(np.uint32))]
+            yield _cells(r, self.size, cell)
 
 
 def gather(rows: DataFrame, ranges: int) -> DataFrame:
@@ -222,22 +288,34 @@ def _sums(table: pa.Table) -> pa.Table:
 
 
 class Lookup:
-    """Positions of hashes in a sorted array, behind a bit map that rules out most others cheaply."""
+    """Positions of hashes in a sorted array, by their first bits; a bit map rules out most others cheaply."""
 
     BITS = 22
 
     def __init__(self, values: np.ndarray):
         self.values = values
-        self.map = np.zeros(1 << self.BITS, bool)
-        self.map[(values >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
+        count = np.bincount(self._bits(values), minlength=1 << self.BITS)
+        self.map, self.most = count > 0, int(count.max())
+        self.start = (np.cumsum(count) - count).astype(np.int32)
+
+    def _bits(self, g: np.ndarray) -> np.ndarray:
+        return (g >> np.uint64(64 - self.BITS)).astype(np.int64)
 
     def find(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in ``g`` that are known, and their positions."""
-        at = np.flatnonzero(self.map[(g >> np.uint64(64 - self.BITS)).astype(np.int64)])
-        if not len(at) or not len(self.values):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        position = np.minimum(np.searchsorted(self.values, g[at]), len(self.values) - 1)
-        good = self.values[position] == g[at]
+        bits = self._bits(g)
+        at = np.flatnonzero(self.map[bits])
+        if not len(at):
+            return at, at
+        # Values of equal first bits lie side by side in order: go on while the one met is smaller.
+        sought, position = g[at], self.start[bits[at]].astype(np.int64)
+        left = np.arange(len(at))
+        for _ in range(self.most - 1):
+            left = left[self.values[position[left]] < sought[left]]
+            if not len(left):
+                break
+            position[left] = np.minimum(position[left] + 1, len(self.values) - 1)
+        good = self.values[position] == sought
         return at[good], position[good]
 
 
@@ -267,38 +345,47 @@ class Bits:
 
 
 FOUND = "gram bigint, context bigint, shorter bigint, next bigint, size int, count bigint"
+TOTALS = "gram bigint, first bigint, context bigint, shorter bigint, size int, count bigint"
 
 
-def sequences(rows: DataFrame, often: DataFrame, ranges: int = 12) -> DataFrame:
-    """All sequences of the least count or more in training: gram, context, shorter, next, size, count.
+def candidates(rows: DataFrame, often: DataFrame, ranges: int, parts: int = 2, sizes: tuple[int, ...] = (2, 3)) -> DataFrame:
+    """Counts by task of sequences of these sizes, of which every ``parts`` words in a row are in the bit map of ``often``.
 
-    ``often``: words, and pairs that may have that count (gram, size, count). Longer sequences are only
-    made where every pair in them is in the bit map of these, which no sequence of that count fails; each
-    is summed over the corpus before its count is tested.
+    Only hashes and first words are sent: the hash without the first word follows from both.
     """
-    shared = rows.sparkSession.sparkContext.broadcast(Bits.of(often.where("size = 2")))
-    names = [c.split()[0] for c in FOUND.split(", ")]
+    shared = rows.sparkSession.sparkContext.broadcast(Bits.of(often))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, hashes = shared.value, WordHashes()
-        # The last word of a pair is its shorter form, so that it is sent for longer ones only.
-        pools = [_Pool(size, ranges, 2 + (size > 2)) for size in range(2, DEPTH + 2)]
+        pools = [_Pool(size, ranges, True) for size in sizes]
         for batch in batches:
             for part in _chunks(batch):
                 flat, place, _ = _places(_binary(part.column(0)), hashes)
-                g = grams(flat, place, DEPTH)
-                fine = bits.has(g[1]) & (place > 0)
-                whole = fine.copy()
-                for size, pool in zip(range(2, DEPTH + 2), pools, strict=True):
-                    if size > 2:
-                        # The pair before the last ones must be frequent too.
-                        whole[size - 2:] &= fine[:len(fine) - size + 2]
-                        whole &= place >= size - 1
+                g = grams(flat, place, max(sizes) - 1)
+                fine = bits.has(g[parts - 1]) & (place >= parts - 1)
+                for size, pool in zip(sizes, pools, strict=True):
+                    whole = fine & (place >= size - 1)
+                    for k in range(1, size - parts + 1):
+                        whole[k:] &= fine[:len(fine) - k]
                     at = np.flatnonzero(whole)
-                    yield from pool.add(g[size - 1][at], g[size - 2][at - 1], g[size - 2][at], *[g[0][at]] * (size > 2))
+                    yield from pool.add(g[size - 1][at], flat[at - (size - 1)])
         for pool in pools:
             yield from pool.flush()
 
+    return rows.where(~F.col("held")).select("text").mapInArrow(run, GATHERED)
+
+
+def sequences(rows: DataFrame, often: DataFrame, ranges: int = 12) -> DataFrame:
+    """All sequences of the least count or more in training: gram, context, shorter, next, size, count.
+
+    ``often``: words, and pairs that may have that count (gram, size, count), whose bit map no sequence of
+    that count fails; each is summed over the corpus before its count is tested. Four words are only counted
+    where the three before and after are frequent, which one more pass tells. Contexts and last words of
+    longer sequences are read off the shorter sequence, which counts no less. The result is made of tables
+    in the shared folder.
+    """
+    names, total_names = [[c.split()[0] for c in x.split(", ")] for x in (FOUND, TOTALS)]
+
     def total(table: pa.Table) -> pa.Table:
         rows, out = table.to_pylist(), []
         for size in range(2, DEPTH + 2):
@@ -307,17 +394,36 @@ def sequences(rows: DataFrame, often: DataFrame, ranges: int = 12) -> DataFrame:
                 continue
             gram, counts, first = _summed(some)
             often = counts >= LEAST
-            parts = [np.concatenate([np.frombuffer(r[c], np.int64) for r in some])[first[often]]
-                     for c in ("c", "d", "e" if size > 2 else "d")]
-            out.append(pa.table([pa.array(gram[often].view(np.int64)), *map(pa.array, parts),
-                                 pa.array(np.full(len(parts[0]), size, np.int32)), pa.array(counts[often])], names))
+            gram, counts = gram[often], counts[often]
+            words = np.concatenate([_from_steps(r["c"])[_from_planes(r["d"], np.uint32)] for r in some])[first[often]]
+            columns = [gram, words, mix(words + _STEP[0]), _without(words, gram)]
+            columns = [pa.array(c.view(np.int64)) for c in columns]
+            # Of a pair the first word is the context; longer ones find theirs by the shorter sequence.
+            columns[1 if size == 2 else 2] = pa.nulls(len(gram), pa.int64())
+            out.append(pa.table([*columns, pa.array(np.full(len(gram), size, np.int32)), pa.array(counts)], total_names))
         return pa.concat_tables(out)
 
-    longer = rows.where(~F.col("held")).select("text").mapInArrow(run, GATHERED).repartition(ranges, "part").groupBy(
-        "part").applyInArrow(total, FOUND)
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first, inner = [batch.column(c).to_numpy().view(np.uint64) for c in ("first", "inner")]
+            context = pa.array(_before(first, inner).view(np.int64))
+            yield pa.RecordBatch.from_arrays([context if c == "context" else batch.column(c) for c in names], names)
+
+    def summed(sent: DataFrame) -> DataFrame:
+        return written(sent.repartition(ranges, "part").groupBy("part").applyInArrow(total, TOTALS))
+
+    totals = summed(candidates(rows, often.where("size = 2"), ranges))
     none = F.lit(0).cast("long")
-    return often.where("size = 1").where(F.col("count") >= LEAST).select(
-        "gram", none.alias("context"), none.alias("shorter"), none.alias("next"), "size", "count").unionByName(longer)
+    level = totals.where("size = 2").select("gram", "context", "shorter", F.col("shorter").alias("next"), "size", "count")
+    found = often.where("size = 1").where(F.col("count") >= LEAST).select(
+        "gram", none.alias("context"), none.alias("shorter"), none.alias("next"), "size", "count").unionByName(level)
+    for size in range(3, DEPTH + 2):
+        shorter = level.select(F.col("gram").alias("shorter"), F.col("context").alias("inner"), "next")
+        if size > 3:
+            totals = summed(candidates(rows, level, ranges, size - 1, (size,)))
+        level = written(totals.where(F.col("size") == size).drop("context").join(shorter, "shorter").mapInArrow(contexts, FOUND))
+        found = found.unionByName(level)
+    return found
 
 
 @dataclass(frozen=True)
@@ -442,58 +548,143 @@ def _hot(table: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
     return values, table[column].to_numpy().astype(float)[order]
 
 
+class _Hot:
+    """What hot weights (gram, weight) add to texts, and the hot words (gram, count) of these."""
+
+    def __init__(self, weights: pa.Table, words: pa.Table):
+        grams_, self.weight = _hot(weights, "weight")
+        known, counts = _hot(words, "count")
+        self.lookup, self.counted = Lookup(grams_), Lookup(known)
+        self.logs, self.halves = np.log10(counts), np.log10(counts + 0.5)
+
+    def sums(self, g: list[np.ndarray], place: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+        """Of each text: weights, logs of counts, logs of counts and a half, known words."""
+        sums = np.zeros((4, len(place)))
+        for k, longer in enumerate(g):
+            at, position = self.lookup.find(longer)
+            real = place[at] >= k
+            sums[0, at[real]] += self.weight[position[real]]
+        at, position = self.counted.find(g[0])
+        sums[1, at], sums[2, at], sums[3, at] = self.logs[position], self.halves[position], 1
+        return list(np.add.reduceat(sums, np.cumsum(lengths) - lengths, axis=1) if len(lengths) else np.zeros((4, 0)))
+
+
+SUMMED = "key bigint, held boolean, n_tokens bigint, gain double, logs double, halves double, known double"
+
+
+def _read(part: pa.RecordBatch, hashes: WordHashes):
+    flat, place, lengths = _places(_binary(part.column(1)), hashes)
+    return grams(flat, place, DEPTH), place, lengths
+
+
 def adjustments(rows: DataFrame, hot: DataFrame, id_col: str, words: DataFrame | None = None) -> DataFrame:
     """(id, key, held, n_tokens, gain, logs, halves, known): the sum of the hot weights of each text, and of its hot
     ``words`` (gram, count) the logs of their counts, those of the counts and a half, and their number."""
-    words = hot.where("false") if words is None else words
-    shared = rows.sparkSession.sparkContext.broadcast((*_hot(hot.toArrow(), "weight"), *_hot(words.toArrow(), "count")))
+    words = hot.where("false").withColumn("count", F.lit(0)) if words is None else words
+    shared = rows.sparkSession.sparkContext.broadcast((hot.toArrow(), words.toArrow()))
     kind = rows.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams_, weight, words_, counts = shared.value
-        lookup, counted, hashes = Lookup(grams_), Lookup(words_), WordHashes()
-        logs, halves = np.log10(counts), np.log10(counts + 0.5)
+        known, hashes = _Hot(*shared.value), WordHashes()
         for batch in batches:
             for part in _chunks(batch):
-                flat, place, lengths = _places(_binary(part.column(1)), hashes)
-                sums = np.zeros((4, len(flat)))
-                for k, g in enumerate(grams(flat, place, DEPTH)):
-                    at, position = lookup.find(g)
-                    real = place[at] >= k
-                    sums[0, at[real]] += weight[position[real]]
-                    if k == 0:
-                        at, position = counted.find(g)
-                        sums[1, at], sums[2, at], sums[3, at] = logs[position], halves[position], 1
-                ends = np.cumsum(lengths) - lengths
-                sums = np.add.reduceat(sums, ends, axis=1) if len(lengths) else np.zeros((4, 0))
+                g, place, lengths = _read(part, hashes)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(3), part.column(0), part.column(2), pa.array(lengths), *map(pa.array, sums)],
+                    [part.column(3), part.column(0), part.column(2), pa.array(lengths), *map(pa.array, known.sums(g, place, lengths))],
                     ["id", "key", "held", "n_tokens", "gain", "logs", "halves", "known"])
 
-    return rows.select("key", "text", "held", F.col(id_col).alias("id")).mapInArrow(
-        run, f"id {kind}, key bigint, held boolean, n_tokens bigint, gain double, logs double, halves double, known double")
+    return rows.select("key", "text", "held", F.col(id_col).alias("id")).mapInArrow(run, f"id {kind}, {SUMMED}")
 
 
-def cold_sums(rows: DataFrame, cold: DataFrame) -> DataFrame:
-    """(key, cold, cold_logs, cold_halves, cold_known): sums over the rows of a key of all other weights, and over its
-    other words. ``cold``: gram, weight, and the count of a word or 0. Places meet them by hash."""
-    shared = rows.sparkSession.sparkContext.broadcast(Bits.of(cold))
+def with_cold(rows: DataFrame, hot: DataFrame, id_col: str, words: DataFrame, cold: DataFrame, ranges: int) -> DataFrame:
+    """``adjustments`` with the sums over all other weights and words in them, a row for each row of the corpus.
+
+    ``cold``: gram, weight, and the count of a word or 0. Places that may be cold are dealt by range of hashes, packed
+    with the number of their text, and meet the weights of the range there; texts pass the same step beside them.
+    """
+    context = rows.sparkSession.sparkContext
+    shared, maybe = context.broadcast((hot.toArrow(), words.toArrow())), context.broadcast(Bits.of(cold))
+    kind = rows.schema[id_col].dataType.simpleString()
+    numbers = ("gain", "logs", "halves", "known")
+    sums = pa.schema([("id", rows.select(id_col).limit(0).toArrow().schema.field(0).type), ("key", pa.int64()), ("held", pa.bool_()),
+                      ("n_tokens", pa.int64()), *[(c, pa.float64()) for c in numbers]])
+    whole = pa.schema([("part", pa.int32()), *[(c, pa.binary()) for c in "abc"], *sums])
+
+    def lines(schema: pa.Schema, n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, hashes = shared.value, WordHashes()
+        known, bits, hashes = _Hot(*shared.value), maybe.value, WordHashes()
+        keys, found, texts, held = [], [], 0, 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            g, text = [np.concatenate(c) for c in zip(*found, strict=True)]
+            order = np.argsort(g)
+            g, text, names = g[order], text[order], np.concatenate(keys).tobytes()
+            for r, at in _by_part(_range(g, ranges), ranges):
+                cells = (_steps(g[at]), _planes(text[at]), names)
+                yield lines(whole, 1, part=pa.array([r], pa.int32()), **{
+                    c: pa.array([x], pa.binary()) for c, x in zip("abc", cells, strict=True)})
+
         for batch in batches:
-            for part in _chunks(batch, 200):
-                flat, place, lengths = _places(_binary(part.column(1)), hashes)
-                keys = np.repeat(np.array(part.column(0).to_pylist(), np.int64), lengths)
-                for k, g in enumerate(grams(flat, place, DEPTH)):
-                    at = np.flatnonzero(bits.has(g) & (place >= k))
-                    for cut in np.split(at, range(50_000, len(at), 50_000)):
-                        yield pa.RecordBatch.from_arrays([pa.array(keys[cut]), pa.array(g[cut].view(np.int64))], ["key", "gram"])
+            for part in _chunks(batch):
+                g, place, lengths = _read(part, hashes)
+                key = part.column(0).to_numpy()
+                yield lines(whole, len(key), part=pa.array((key.view(np.uint64) % np.uint64(ranges)).astype(np.int32)),
+                            id=part.column(3), key=part.column(0), held=part.column(2), n_tokens=pa.array(lengths),
+                            **dict(zip(numbers, map(pa.array, known.sums(g, place, lengths)), strict=True)))
+                text = np.repeat(np.arange(texts, texts + len(key), dtype=np.uint32), lengths)
+                keys.append(key)
+                texts += len(key)
+                for k, longer in enumerate(g):
+                    at = np.flatnonzero(bits.has(longer) & (place >= k))
+                    found.append((longer[at], text[at]))
+                    held += len(at)
+                if held > POOL:
+                    yield from flush()
+                    keys, found, texts, held = [], [], 0, 0
+        if found:
+            yield from flush()
+
+    def meet(places: pa.Table, weights: pa.Table) -> pa.Table:
+        grams_, weight, times = [weights[c].to_numpy() if weights.num_rows else np.zeros(0, k) for c, k in (
+            ("gram", np.int64), ("weight", float), ("times", np.int64))]
+        order = np.argsort(grams_.view(np.uint64))
+        grams_, weight, times = grams_.view(np.uint64)[order], weight[order], times[order]
+        if len(grams_):
+            # A word may have a count and, as a context, a weight.
+            new = np.flatnonzero(np.r_[True, grams_[1:] != grams_[:-1]])
+            grams_, weight, times = grams_[new], np.add.reduceat(weight, new), np.add.reduceat(times, new)
+        word = times > 0
+        logs, halves = np.log10(np.maximum(times, 1)), np.log10(times + 0.5) * word
+        out, cells = [sums.empty_table()], []
+        if places.num_rows:
+            out.append(places.filter(places["a"].is_null()).select(sums.names).cast(sums))
+            cells = np.flatnonzero(places["a"].is_valid().to_numpy()).tolist()
+        for n in cells if len(grams_) else []:
+            a, b, c = [places[x][n].as_py() for x in "abc"]
+            g, text, keys = _from_steps(a), _from_planes(b, np.uint32), np.frombuffer(c, np.int64)
+            position = np.minimum(np.searchsorted(grams_, g), len(grams_) - 1)
+            good = grams_[position] == g
+            position, text = position[good], text[good]
+            have = np.flatnonzero(np.bincount(text, minlength=len(keys)))
+            found = [np.bincount(text, weights=x[position], minlength=len(keys))[have] for x in (weight, logs, halves, word)]
+            out.append(pa.Table.from_batches([lines(sums, len(have), key=pa.array(keys[have]), **dict(zip(
+                numbers, map(pa.array, found), strict=True)))]))
+        return pa.concat_tables(out)
 
-    word = F.col("times") > 0
-    return rows.select("key", "text").mapInArrow(run, "key bigint, gram bigint").join(cold, "gram").groupBy("key").agg(
-        F.sum("weight").alias("cold"), F.sum(F.when(word, F.log10("times"))).alias("cold_logs"),
-        F.sum(F.when(word, F.log10(F.col("times") + 0.5))).alias("cold_halves"), F.count_if(word).alias("cold_known"))
+    part = (F.shiftrightunsigned("gram", 40) % ranges).cast("int")
+    summed = f"id {kind}, {SUMMED}"
+    dealt = rows.select("key", "text", "held", F.col(id_col).alias("id")).mapInArrow(
+        run, f"part int, a binary, b binary, c binary, {summed}").groupBy("part").cogroup(
+        cold.withColumn("part", part).groupBy("part")).applyInArrow(meet, summed)
+    # Rows of equal id and text share their key and are alike.
+    copies = F.count("n_tokens")
+    return dealt.groupBy("key").agg(
+        copies.alias("copies"), *[F.first(c, ignorenulls=True).alias(c) for c in ("id", "held", "n_tokens")],
+        *[(F.sum(c) / copies).alias(c) for c in numbers]).select(
+        "id", "key", "held", "n_tokens", *numbers, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).drop("copy")
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -508,35 +699,30 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn(
         "key", F.xxhash64(F.col(id_col), F.col("text"))).withColumn("held", held_out(F.col(id_col)))
     rows = rows.select("key", "text", "held", id_col)
-    letters = rows.select(F.sum(F.length("text"))).first()[0] or 0
+    letters = rows.select(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(12, round(letters / 6 / RANGE))
-    sums = written(gather(rows.select("key", "text", "held"), ranges).repartition(ranges, "part").groupBy("part").applyInArrow(
-        _sums, SUMS))
-    totals = sums.where("gram is null").agg(*[F.sum(c).alias(c) for c in ("vocabulary", "tokens", "once")]).first()
-    size, tokens, once = (totals[c] or 0 for c in ("vocabulary", "tokens", "once"))
-    unseen = min(0.5, max(once, 0.5) / tokens) if tokens else 1.0
-    found = written(sequences(rows, sums.where("gram is not null").select("gram", "size", "count"), ranges))
-    weighed, states = weights(found, tokens, unseen)
+    with freed_shuffles(docs.sparkSession):
+        sums = written(gather(rows.select("key", "text", "held"), ranges).repartition(ranges, "part").groupBy("part").applyInArrow(
+            _sums, SUMS))
+        totals = sums.where("gram is null").agg(*[F.sum(c).alias(c) for c in ("vocabulary", "tokens", "once")]).first()
+        size, tokens, once = (totals[c] or 0 for c in ("vocabulary", "tokens", "once"))
+        unseen = min(0.5, max(once, 0.5) / tokens) if tokens else 1.0
+        found = sequences(rows, sums.where("gram is not null").select("gram", "size", "count"), ranges)
+        weighed, states = weights(found, tokens, unseen)
     words = sums.where("size = 1").select("gram", "count")
     cut, cut_words = hot_count(weighed), hot_count(words)
-    adjusted = adjustments(rows, weighed.where(F.col("count") >= cut), id_col, words.where(F.col("count") >= cut_words))
+    hot, hot_words = weighed.where(F.col("count") >= cut), words.where(F.col("count") >= cut_words)
     cold = weighed.where(F.col("count") < cut).select("gram", "weight", F.lit(0).cast("long").alias("times")).unionAll(
         words.where(F.col("count") < cut_words).select("gram", F.lit(0.0).alias("weight"), F.col("count").alias("times")))
-    if cold.isEmpty():
-        per = adjusted.select("*", *[F.lit(0.0).alias(c) for c in ("cold", "cold_logs", "cold_halves", "cold_known")],
-                              F.lit(1).alias("copies"))
-    else:
-        # Equal rows share their cold sums: each gets its part.
-        per = adjusted.join(cold_sums(rows, cold), "key", "left").join(
-            rows.groupBy("key").agg(F.count("*").alias("copies")), "key")
-    part = lambda c: F.coalesce(F.col(c), F.lit(0.0)) / F.col("copies")
-    known = F.round(F.col("known") + part("cold_known")).cast("long")
+    per = adjustments(rows, hot, id_col, hot_words) if cold.isEmpty() else with_cold(
+        rows, hot, id_col, hot_words, cold, max(12, ranges // 10))
+    known = F.round("known").cast("long")
     new = F.col("n_tokens") - known
     seen = math.log10((1 - unseen) / tokens) if tokens and unseen < 1 else 0.0
     return per.select(
         F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", known.alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("halves") + part("cold_halves") + new * math.log10(0.5)
+        (F.col("halves") + new * math.log10(0.5)
          - F.col("n_tokens") * math.log10(tokens + 0.5 * (size + 1))).alias("base_score"),
-        (F.col("logs") + part("cold_logs") + known * seen + new * math.log10(unseen) + F.col("gain") + part("cold")).alias("score"),
+        (F.col("logs") + known * seen + new * math.log10(unseen) + F.col("gain")).alias("score"),
         F.lit(states).cast("int").alias("states"))

@@ -188,3 +188,49 @@ def test_what_is_counted_first_grows_with_distinct_words_not_with_texts(docs):
         rows = docs([words] * n, ids=ids).coalesce(1).selectExpr("doc_id as key", "text", "false as held")
         sizes.append(sum(len(c) for r in st.gather(rows, 5).collect() for c in (r[x] for x in st.CELLS) if c))
     assert sizes[1] < 1.1 * sizes[0]
+
+
+def test_a_sequence_is_sent_as_its_hash_and_first_word(docs):
+    """What else is known of a sequence follows from these, or is read off the shorter one where all are counted."""
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(60)]
+    rows = docs([" ".join(rng.choices(words, k=3000)) for _ in range(8)]).coalesce(1).selectExpr("doc_id as key", "text", "false as held")
+    often = st.gather(rows, 2).groupBy("part").applyInArrow(st._sums, st.SUMS).where("gram is not null").select("gram", "size", "count")
+    pairs = often.where("size = 2")
+    cells = st.candidates(rows, pairs, 2).collect() + st.candidates(rows, pairs, 2, 2, (4,)).collect()
+    sent = sum(len(r[c]) for r in cells for c in st.CELLS if r[c])
+    assert {r["size"] for r in cells} == {2, 3, 4} and sent < 17 * sum(len(r["a"]) // 8 for r in cells)
+    found = {r["gram"]: r for r in st.sequences(rows, often).collect()}
+    for r in found.values():
+        if r["size"] > 1:
+            first, longer = (np.array([r[c]], np.int64).view(np.uint64) for c in ("context", "gram"))
+            assert found[r["context"]]["size"] == found[r["shorter"]]["size"] == r["size"] - 1 and found[r["next"]]["size"] == 1
+            assert r["size"] > 2 or st._without(st.unmix(first) - st._STEP[0], longer).view(np.int64)[0] == r["shorter"] == r["next"]
+            assert r["size"] == 2 or found[r["context"]]["shorter"] == found[r["shorter"]]["context"]
+
+
+def test_words_are_told_apart_as_by_splitting():
+    """Words hashed all at once are the words of split(), of any length and with any other bytes."""
+    rng = random.Random(6)
+    stems = [b"\0", b"\0" * 8, b"a", b"A", b"a\0", b"\x1c", b"\xc2\xa0", "é".encode(), "É".encode(), b"x" * 300]
+    stems += [bytes(rng.choice(b"abZ\0\xff") for _ in range(n)) for n in (7, 8, 8, 9, 15, 16, 16, 17, 17, 24) for _ in range(3)]
+    texts = [None, b"", b" \n\x0b", b"a"] + [
+        b"".join(rng.choice(stems) + rng.choice([b" ", b"\t\r\n", b"\x0b", b"\x0c "]) for _ in range(50)) for _ in range(9)]
+    for some in ([], texts, texts[::-1], [b" a", b"a "]):
+        flat, place, lengths = st._places(some, st.WordHashes())
+        words = [w for t in some for w in [*(t or b"").lower().split(), st.END]]
+        assert lengths.tolist() == [len((t or b"").split()) + 1 for t in some]
+        assert place.tolist() == [k for n in lengths.tolist() for k in range(n)]
+        pairs = set(zip(words, flat.tolist(), strict=True))
+        assert len(pairs) == len(set(words)) == len(set(flat.tolist()))
+
+
+def test_places_of_cold_weights_are_sent_in_pieces(docs, monkeypatch):
+    """Texts get the same sums when a task deals its places out many times."""
+    df = docs(corpus(1200)).coalesce(1)
+    results = []
+    for hot, pool in ((st.HOT, st.POOL), (0, st.POOL), (0, 100)):
+        monkeypatch.setattr(st, "HOT", hot)
+        monkeypatch.setattr(st, "POOL", pool)
+        results.append(sorted((r["doc_id"], r["n_known"], round(r["base_score"], 7), round(r["score"], 7)) for r in st.score(df).collect()))
+    assert results[0] == results[1] == results[2] and len(results[0]) == 1204
