@@ -290,7 +290,7 @@ def _sums(table: pa.Table) -> pa.Table:
 class Lookup:
     """Positions of hashes in a sorted array, by their first bits; a bit map rules out most others cheaply."""
 
-    BITS = 22
+    BITS = 20
 
     def __init__(self, values: np.ndarray):
         self.values = values
@@ -641,7 +641,7 @@ def with_cold(rows: DataFrame, hot: DataFrame, id_col: str, words: DataFrame, co
                     at = np.flatnonzero(bits.has(longer) & (place >= k))
                     found.append((longer[at], text[at]))
                     held += len(at)
-                if held > POOL:
+                if held > POOL // 4:
                     yield from flush()
                     keys, found, texts, held = [], [], 0, 0
         if found:
